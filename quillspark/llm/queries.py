@@ -4,14 +4,27 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import decontaminate
+from quillspark.llm import decontaminate, pieces
 from quillspark.llm._spark import table
 
 
+def tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return decontaminate.digest(marked)
 
 
-QUERIES = {"op3_decontamination": op3_decontamination}
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digest(pieces.encode(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model")))
+
+
+QUERIES = {
+    "op3_decontamination": op3_decontamination,
+    "op4_sentencepiece": op4_sentencepiece,
+}
 ORACLE_SQL: dict[str, str] = {}
