@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import decontaminate, pieces
+from quillspark.llm import decontaminate, pieces, secrets
 from quillspark.llm._spark import table
 
 
@@ -23,8 +23,13 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digest(pieces.encode(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model")))
 
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     "op3_decontamination": op3_decontamination,
     "op4_sentencepiece": op4_sentencepiece,
+    "op9_secrets": op9_secrets,
 }
 ORACLE_SQL: dict[str, str] = {}
