@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import decontaminate, near_dedup, pieces, secrets
+from quillspark.llm import decontaminate, near_dedup, pieces, quality, secrets
 from quillspark.llm._spark import table
 
 
@@ -31,10 +31,15 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op2_near_duplicates": op2_near_duplicates,
     "op3_decontamination": op3_decontamination,
     "op4_sentencepiece": op4_sentencepiece,
     "op9_secrets": op9_secrets,
+    "op10_quality": op10_quality,
 }
 ORACLE_SQL: dict[str, str] = {}
