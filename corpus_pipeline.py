@@ -1,6 +1,80 @@
-STAGES = []
+"""A training-corpus pipeline: each stage takes what the one before kept.
+
+``STAGES`` are (name, function) pairs; a function takes (spark, docs, sf_dir) and
+returns a DataFrame, which is written as Parquet and reread as the next one's
+docs. All but the last return the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillspark.llm import decontaminate, near_dedup, pieces, quality, secrets
+from quillspark.llm._spark import broadcast_if_small, cut, ensure_checkpoint_dir, table
+from quillspark.llm.queries import tokenizer
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
+    """The documents that are not among the rejected ones, which a stage writes first so that their number is known."""
+    ids = broadcast_if_small(cut(rejected.select("doc_id")))
+    return docs.select(COLUMNS).join(ids, "doc_id", "left_anti").select(COLUMNS)
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go."""
+    scored = quality.score_quality(docs, table(spark, sf_dir, "labels"))
+    return without(docs, scored.where(~F.col("keep")))
+
+
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays."""
+    grouped = near_dedup.near_duplicates(docs)
+    return without(docs, grouped.where(~F.col("kept")))
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that share a window with a benchmark item go."""
+    marked = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    return without(docs, marked.where(F.size("items") > 0))
+
+
+def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are cut out of the texts; every document stays."""
+    scanned = secrets.scan(docs, keep=tuple(COLUMNS[1:]))
+    return scanned.select("doc_id", secrets.redact(scanned).alias("text"), "lang", "source").withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
+
+
+def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, ids, n_tokens, and whether decoding gives the text back."""
+    coded = pieces.encode(docs, tokenizer("piece_bpe_32k.model"), keep_text=True)
+    return coded.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), (F.coalesce("text", F.lit("")) == F.col("decoded")).alias("round_trip"))
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality_classifier", quality_stage),
+    ("minhash_near_dedup", near_dedup_stage),
+    ("benchmark_decontamination", decontamination_stage),
+    ("secret_scans", secret_stage),
+    ("sentencepiece", encoding_stage),
+]
+
+#: The near-duplicate groups and the tokenizer are beyond SQL; tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; what lies between them is written to the shared checkpoint folder."""
+    ensure_checkpoint_dir(spark)
+    shared = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
+    docs = table(spark, sf_dir, "documents")
+    for i, (name, stage) in enumerate(STAGES[:-1]):
+        path = f"{shared}/{i}-{name}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,3 +23,8 @@ def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder once and go on from there: nothing upstream is run again, a lost executor loses nothing."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = 250_000) -> DataFrame:
+    """``df``, a table of a few numbers a row that is written already, marked for broadcast if its counted rows are few; else Spark shuffles as usual."""
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm._spark import cut
+from quillspark.llm._spark import broadcast_if_small, cut
 from quillspark.llm._text import LOWER, NOT_SPACE, gram_hashes, mix, seeds, slices, word_hashes, words
 from quillspark.llm.components import connected_components
 
@@ -179,7 +179,7 @@ def near_duplicates(documents: DataFrame, *, k: int = 5, percent: int = 75, band
     # only keys with a second member matter; their hub is the smallest one
     hubs = banded.groupBy("key").agg(F.min("doc_id").alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1").select("key", "hub")
     members = cut(banded.join(hubs, "key").select("key", "hub", "doc_id", "n"))
-    found = members.select("doc_id").distinct()
+    found = broadcast_if_small(cut(members.select("doc_id").distinct()))
     texts = cut(documents.select("doc_id", "text").where("doc_id is not null").join(found, "doc_id").dropDuplicates(["doc_id"]))
     spokes = members.where("doc_id <> hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b")).distinct()
     links = cut(_verified(spokes, texts, k, percent))

@@ -96,18 +96,21 @@ def coder(model_file: str, table_rows: int) -> Coder:
     return _coders[key]
 
 
-def encode(documents: DataFrame, model_file: str, *, table_rows: int = 150_000) -> DataFrame:
-    """One row for each document: doc_id, ids (array<int>) of its whole text, decoded (what the library makes of these ids)."""
+def encode(documents: DataFrame, model_file: str, *, table_rows: int = 150_000, keep_text: bool = False) -> DataFrame:
+    """One row for each document: doc_id, ids (array<int>) of its whole text, decoded (what the library makes of these ids), and its text if asked for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = coder(model_file, table_rows)
         for batch in batches:
-            texts, ids = batch.column("text"), batch.column("doc_id")
+            texts = batch.column("text")
             for first, rows in _parts(texts):
                 got = own.encode([t or "" for t in rows])
-                yield pa.RecordBatch.from_arrays([ids.slice(first, len(rows)), pa.array(got, pa.list_(pa.int32())), pa.array(own.model.decode(got, num_threads=1), pa.string())], names=["doc_id", "ids", "decoded"])
+                made = {"doc_id": batch.column("doc_id").slice(first, len(rows)), "ids": pa.array(got, pa.list_(pa.int32())), "decoded": pa.array(own.model.decode(got, num_threads=1), pa.string())}
+                if keep_text:
+                    made["text"] = texts.slice(first, len(rows))
+                yield pa.RecordBatch.from_pydict(made)
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id bigint, ids array<int>, decoded string")
+    return documents.select("doc_id", "text").mapInArrow(run, "doc_id bigint, ids array<int>, decoded string" + ", text string" * keep_text)
 
 
 def _parts(texts: pa.Array, size: int = 1 << 20) -> Iterator[tuple[int, list[str | None]]]:
