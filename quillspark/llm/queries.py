@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quillspark.llm import decontaminate, near_dedup, pieces, quality, secrets
+from quillspark.llm import decontaminate, near_dedup, pieces, quality, secrets, topk, url_filter
 from quillspark.llm._spark import table
 
 
@@ -14,6 +15,26 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+#: Allow and block rules on hosts and their subdomains, by path.
+URL_RULES = [
+    ("com", "/", "allow"),
+    ("example.com", "/en/", "block"),
+    ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"),
+    ("net", "/fr/", "block"),
+]
+
+
+def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), topk.sign_code("embedding").alias("code"))
+    return topk.top_k(codes, codes.where("id % 50 = 0"), 10)
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return url_filter.filter_urls(table(spark, sf_dir, "pages"), rules)
+
+
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -36,10 +57,44 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_topk": op1_topk,
     "op2_near_duplicates": op2_near_duplicates,
     "op3_decontamination": op3_decontamination,
     "op4_sentencepiece": op4_sentencepiece,
+    "op6_url_filter": op6_url_filter,
     "op9_secrets": op9_secrets,
     "op10_quality": op10_quality,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_topk": """
+        WITH q AS (SELECT DISTINCT vec_id, embedding FROM embeddings WHERE vec_id % 50 = 0),
+        d AS (
+            SELECT q.vec_id AS query_id, e.vec_id AS neighbour_id,
+                CAST(list_sum(list_transform(range(1, 65), lambda i: CASE WHEN (q.embedding[i] > 0) <> (e.embedding[i] > 0) THEN 1 ELSE 0 END)) AS BIGINT) AS distance
+            FROM q JOIN (SELECT DISTINCT vec_id, embedding FROM embeddings) e ON e.vec_id <> q.vec_id
+        ),
+        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbour_id) AS rank FROM d)
+        SELECT query_id, neighbour_id, distance, rank FROM r WHERE rank <= 10
+    """,
+    "op6_url_filter": """
+        WITH raw AS (
+            SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+        ),
+        parts AS (
+            SELECT page_id,
+                translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+            FROM raw
+        ),
+        judged AS (
+            SELECT page_id, host, path, CASE
+                WHEN ('.' || host) LIKE '%.www.example.com' AND starts_with(path, '/en/') THEN 'www.example.com/en/'
+                WHEN ('.' || host) LIKE '%.example.com' AND starts_with(path, '/en/') THEN 'example.com/en/'
+                WHEN ('.' || host) LIKE '%.net' AND starts_with(path, '/es/') THEN 'net/es/'
+                WHEN ('.' || host) LIKE '%.net' AND starts_with(path, '/fr/') THEN 'net/fr/'
+                WHEN ('.' || host) LIKE '%.com' AND starts_with(path, '/') THEN 'com/' END AS rule
+            FROM parts
+        )
+        SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.com/en/', 'net/es/', 'net/fr/') THEN 'block' ELSE 'allow' END AS verdict FROM judged
+    """,
+}
