@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import decontaminate, near_dedup, pieces, quality, secrets, topk, url_filter
+from quillspark.llm import decontaminate, language, near_dedup, pieces, quality, secrets, topk, toxicity, url_filter
 from quillspark.llm._spark import table
 
 
@@ -48,6 +48,17 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digest(pieces.encode(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model")))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score_toxicity(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return scored.withColumn("held_out", toxicity.held_out(F.col("doc_id")))
+
+
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language.identify(docs, language.fit(docs)).withColumn("held_out", toxicity.held_out(F.col("doc_id")))
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
 
@@ -62,6 +73,8 @@ QUERIES = {
     "op3_decontamination": op3_decontamination,
     "op4_sentencepiece": op4_sentencepiece,
     "op6_url_filter": op6_url_filter,
+    "op7_toxicity": op7_toxicity,
+    "op8_language": op8_language,
     "op9_secrets": op9_secrets,
     "op10_quality": op10_quality,
 }
