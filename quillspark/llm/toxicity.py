@@ -1,7 +1,8 @@
 """Toxicity by a convolutional text classifier.
 
-Words have hashed embeddings: two halves from two tables by independent hashes,
-so that a word looks like another only where both collide. Filters of several
+Words have hashed embeddings: one half by the whole word, the other by its first
+``STEM`` bytes, so that inflected and joined forms share a half, and a short word
+looks like another only where two independent hashes collide. Filters of several
 widths run over the words, their outputs are max-pooled over the whole text,
 and a logistic layer scores what is left. The network is trained in numpy, by
 back-propagation through the pooled places, on a bounded sample of labelled rows
@@ -13,8 +14,8 @@ calibrated so that 0.5 is the cut for all texts, and a threshold is set for each
 language. Language is no input of the score: its threshold only makes the
 ``flagged`` column.
 
-For scoring, filters are multiplied into the embeddings once, so that a word is
-two table rows, and convolution is addition.
+For scoring, all filters are one matrix, so that each word is multiplied once, and
+convolution is addition of shifted columns.
 
 Defined results: a null or empty text is scored as padding alone; words are runs
 of ASCII letters, digits and non-ASCII characters, in lower case; with no labels
@@ -38,6 +39,7 @@ from quillspark.llm._text import ALNUM, LOWER, slices, word_hashes, words
 WIDTHS = (1, 2, 3)
 FILTERS = 8
 HALF = 4
+STEM = 8
 SLICE = 1 << 18
 
 
@@ -46,9 +48,9 @@ def tokens(column: pa.Array, buckets: int) -> Iterator[tuple[int, int, np.ndarra
     for first, last, data, offsets in slices(column, SLICE):
         data = LOWER[data]
         starts, ends, row = words(data, offsets, ALNUM)
-        h = word_hashes(data, starts, ends)
-        mask = np.uint64(buckets - 1)
-        both = np.column_stack([h & mask, (h >> np.uint64(32)) & mask]).astype(np.int64)
+        stems = word_hashes(data, starts, np.minimum(ends, starts + STEM)) >> np.uint64(32)
+        both = np.column_stack([word_hashes(data, starts, ends), stems]) & np.uint64(buckets - 1)
+        both = both.astype(np.int64)
         yield first, last - first, both, np.searchsorted(row, np.arange(last - first + 1))
 
 
@@ -149,17 +151,17 @@ class ConvNet:
                         table_held[half][unique] += total * total
                         self.tables[half][unique] -= rate * total / np.sqrt(table_held[half][unique])
 
-    def folded(self) -> dict:
-        """The filters multiplied into the tables: a row for each bucket, a block of columns for each width and place."""
-        wide = [np.concatenate([self.tables[h] @ self.filters[w][k][h * HALF : (h + 1) * HALF] for w in WIDTHS for k in range(w)], axis=1) for h in range(2)]
-        return {"wide": wide, "bias": np.concatenate([self.bias[w] for w in WIDTHS]), "out": self.out, "shift": self.shift, "scale": self.scale, "offset": self.offset, "buckets": len(wide[0])}
+    def model(self) -> dict:
+        """What scoring needs; all filters side by side, a block of columns for each width and place."""
+        wide = np.concatenate([self.filters[w][k] for w in WIDTHS for k in range(w)], axis=1)
+        return {"tables": self.tables, "filters": wide, "bias": np.concatenate([self.bias[w] for w in WIDTHS]), "out": self.out, "shift": self.shift, "scale": self.scale, "offset": self.offset, "buckets": self.tables.shape[1]}
 
 
 def _score_rows(model: dict, ids: np.ndarray, edges: np.ndarray, rows: int) -> np.ndarray:
     """Scores of whole texts from their words."""
     pooled = np.tile(model["bias"], (rows, 1))
     if len(ids):
-        wide = model["wide"][0][ids[:, 0]] + model["wide"][1][ids[:, 1]]
+        wide = np.concatenate([model["tables"][0][ids[:, 0]], model["tables"][1][ids[:, 1]]], axis=1) @ model["filters"]
         full = np.flatnonzero(np.diff(edges))
         starts, ends = edges[full], edges[full + 1]
         column = 0
@@ -185,7 +187,7 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
 
 
-def fit(documents: DataFrame, labels: DataFrame, *, max_fit_rows: int = 4000, buckets: int = 1 << 16, calibration: float = 0.25, epochs: int = 4, seed: int = 7) -> dict:
+def fit(documents: DataFrame, labels: DataFrame, *, max_fit_rows: int = 4000, buckets: int = 1 << 18, calibration: float = 0.25, epochs: int = 3, seed: int = 7) -> dict:
     """Train on at most ``max_fit_rows`` labelled rows outside the held-out fifth; the model as arrays of fixed size, with thresholds by language."""
     known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.where(~held_out(F.col("doc_id")))
@@ -198,7 +200,7 @@ def fit(documents: DataFrame, labels: DataFrame, *, max_fit_rows: int = 4000, bu
     if not len(got) or got["toxic"].nunique() < 2:
         p = ((share["p"] or 0) * share["n"] + 1) / (share["n"] + 2)
         net.out[:], net.shift = 0, float(np.log(p / (1 - p)))
-        return net.folded() | {"thresholds": {}}
+        return net.model() | {"thresholds": {}}
     rows = [ids[a:b] for _, n, ids, e in tokens(pa.array(got["text"].fillna(""), pa.string()), buckets) for a, b in zip(e[:-1], e[1:], strict=True)]
     y = got["toxic"].to_numpy(np.float32)
     rng = np.random.default_rng(seed)
@@ -208,22 +210,20 @@ def fit(documents: DataFrame, labels: DataFrame, *, max_fit_rows: int = 4000, bu
         aside[rng.permutation(at)[: int(len(at) * calibration)]] = True
     learn = [rows[i] for i in np.flatnonzero(~aside)]
     net.start(_log_odds(learn, y[~aside], buckets))
-    net.train(learn, y[~aside], epochs=epochs, rate=0.02, seed=seed)
+    net.train(learn, y[~aside], epochs=epochs, rate=0.01, seed=seed)
     logit = net.logits([rows[i] for i in np.flatnonzero(aside)]) if aside.any() else np.zeros(0)
     truth, lang = y[aside], got["lang"].to_numpy()[aside]
-    # the sample has equal parts; weights give the labels their share of the whole again
-    weight = np.where(truth == 1, share["p"] / 0.5, (1 - share["p"]) / 0.5)
+    # weights give the labels their share of all labelled rows again
+    weight = np.where(truth == 1, share["p"] / max(y.mean(), 1e-9), (1 - share["p"]) / max(1 - y.mean(), 1e-9))
     cut = _best_cut(logit, truth, weight)
     net.offset = -cut
-    score = 1 / (1 + np.exp(-np.clip(logit - cut, -30, 30)))
     thresholds = {}
     for code in sorted({x for x in lang if x is not None}):
         own = lang == code
         if (truth[own] == 1).sum() >= 20 and (truth[own] == 0).sum() >= 20:
             z = _best_cut(logit[own] - cut, truth[own], weight[own])
             thresholds[code] = float(1 / (1 + np.exp(-z)))
-    del score
-    return net.folded() | {"thresholds": thresholds}
+    return net.model() | {"thresholds": thresholds}
 
 
 def _best_cut(logit: np.ndarray, truth: np.ndarray, weight: np.ndarray) -> float:
