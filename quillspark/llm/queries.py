@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import decontaminate, language, near_dedup, pieces, quality, secrets, topk, toxicity, url_filter
+from quillspark.llm import decontaminate, language, near_dedup, pieces, quality, secrets, suffix_dedup, topk, toxicity, url_filter
 from quillspark.llm._spark import table
 
 
@@ -30,6 +30,10 @@ def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(codes, codes.where("id % 50 = 0"), 10)
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(suffix_dedup.deduplicate(table(spark, sf_dir, "documents")))
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), rules)
@@ -72,6 +76,7 @@ QUERIES = {
     "op2_near_duplicates": op2_near_duplicates,
     "op3_decontamination": op3_decontamination,
     "op4_sentencepiece": op4_sentencepiece,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_url_filter": op6_url_filter,
     "op7_toxicity": op7_toxicity,
     "op8_language": op8_language,
@@ -89,6 +94,7 @@ ORACLE_SQL: dict[str, str] = {
         r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbour_id) AS rank FROM d)
         SELECT query_id, neighbour_id, distance, rank FROM r WHERE rank <= 10
     """,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_url_filter": """
         WITH raw AS (
             SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
