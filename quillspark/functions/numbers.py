@@ -16,7 +16,8 @@ def finite(c: Column) -> Column:
 
 def completeness(actual: Column, expected: Column) -> Column:
     """The share that is there, 1 at most; NULL where nothing is expected."""
-    return F.least(F.try_divide(actual.cast("double"), expected.cast("double")), F.lit(1.0))
+    share = F.try_divide(actual.cast("double"), expected.cast("double"))
+    return F.when(share > 1, 1.0).otherwise(share)  # least() would take 1 for an unknown share
 
 
 def minutes_between(start: Column, end: Column) -> Column:
