@@ -94,7 +94,6 @@ ORACLE_SQL: dict[str, str] = {
         r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbour_id) AS rank FROM d)
         SELECT query_id, neighbour_id, distance, rank FROM r WHERE rank <= 10
     """,
-    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_url_filter": """
         WITH raw AS (
             SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
