@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,3 +29,17 @@ def cut(df: DataFrame) -> DataFrame:
 def broadcast_if_small(df: DataFrame, max_rows: int = 250_000) -> DataFrame:
     """``df``, a table of a few numbers a row that is written already, marked for broadcast if its counted rows are few; else Spark shuffles as usual."""
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
+def bounded_sample(df: DataFrame, max_rows: int, key: str = "doc_id") -> DataFrame:
+    """At most ``max_rows`` rows of ``df``: those below a hash cut that its counted rows set, so the same rows each time and about 95 % of the bound."""
+    n = df.count()
+    if n <= max_rows:
+        return df
+    return df.where(F.pmod(F.xxhash64(key, F.lit(17)), F.lit(1_000_000)) < int(950_000 * max_rows / n)).limit(max_rows)
+
+
+def release_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete shuffle files of what is written already: it does so when neither Python nor the JVM holds the query any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

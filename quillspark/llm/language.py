@@ -4,7 +4,7 @@ Each text is cut into blocks of ``BLOCK`` bytes, all of them, and both direction
 run over each block; every position is labelled from its two states, and a text's
 probabilities are the mean over its positions. The network is trained in numpy
 by back-propagation through time, on blocks of a bounded sample of labelled rows
-(``max_fit_rows``; the rows of least hash, ``blocks_per_text`` blocks spread over
+(``max_fit_rows``; rows below a hash cut, ``blocks_per_text`` blocks spread over
 each).
 
 Defined results: a null text, or one without any letter, is ``und`` with score 0; so is
@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.llm._spark import bounded_sample
 from quillspark.llm._text import slices
 from quillspark.llm.toxicity import held_out
 
@@ -130,8 +131,8 @@ def train(x: np.ndarray, valid: np.ndarray, y: np.ndarray, languages: int, *, st
 def fit(documents: DataFrame, *, max_fit_rows: int = 2000, blocks_per_text: int = 4, steps: int = 300, batch: int = 256, rate: float = 0.02, seed: int = 5) -> dict:
     """Learn from text and non-null lang of at most ``max_fit_rows`` documents outside the held-out fifth."""
     known = documents.select("doc_id", "text", "lang").where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    picked = known.select("doc_id", "lang").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_fit_rows)
-    got = known.join(F.broadcast(picked.select("doc_id").distinct()), "doc_id", "left_semi").toPandas().drop_duplicates("doc_id").sort_values("doc_id", ignore_index=True)
+    picked = F.broadcast(bounded_sample(known.select("doc_id"), max_fit_rows))  # at most max_fit_rows numbers
+    got = known.join(picked, "doc_id", "left_semi").toPandas().drop_duplicates("doc_id").sort_values("doc_id", ignore_index=True)
     languages = sorted(got["lang"].unique())
     if not languages:
         return {"languages": []}

@@ -6,7 +6,7 @@ looks like another only where two independent hashes collide. Filters of several
 widths run over the words, their outputs are max-pooled over the whole text,
 and a logistic layer scores what is left. The network is trained in numpy, by
 back-propagation through the pooled places, on a bounded sample of labelled rows
-(``max_fit_rows``, in equal parts of both labels, those of least hash). Embeddings start with
+(``max_fit_rows``, in equal parts of both labels, those below a hash cut). Embeddings start with
 the labels' document log odds of their bucket in their first place.
 
 A part of the sample (``calibration`` of it) is kept from training: on it the score is
@@ -31,9 +31,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quillspark.llm._spark import bounded_sample
 from quillspark.llm._text import ALNUM, LOWER, slices, word_hashes, words
 
 WIDTHS = (1, 2, 3)
@@ -191,10 +191,9 @@ def fit(documents: DataFrame, labels: DataFrame, *, max_fit_rows: int = 4000, bu
     """Train on at most ``max_fit_rows`` labelled rows outside the held-out fifth; the model as arrays of fixed size, with thresholds by language."""
     known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.where(~held_out(F.col("doc_id")))
-    order = W.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
     share = known.agg(F.avg("toxic").alias("p"), F.count(F.lit(1)).alias("n")).first()
-    # of labelled ids only, each side ranked within the first few by hash
-    sample = known.withColumn("r", F.row_number().over(order)).where(F.col("r") <= max_fit_rows // 2).select("doc_id", "toxic")
+    halves = [bounded_sample(known.where(F.col("toxic") == label), max_fit_rows // 2) for label in (0, 1)]
+    sample = F.broadcast(halves[0].unionByName(halves[1]).select("doc_id", "toxic"))  # at most max_fit_rows pairs of numbers
     got = documents.select("doc_id", "text", "lang").join(sample, "doc_id").toPandas().drop_duplicates("doc_id").sort_values("doc_id", ignore_index=True)
     net = ConvNet(buckets, seed)
     if not len(got) or got["toxic"].nunique() < 2:
