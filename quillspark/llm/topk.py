@@ -1,7 +1,8 @@
 """Exact top-k search over binary codes by incremental multi-index hashing.
 
 A 64-bit code is cut into ``m`` segments, about ``64 / log2(rows)``, so that a
-probed value has about one code whatever the number of rows. A code within
+probed value has about one code whatever the number of rows (3 at least: the
+values of wider segments at large radii are too many). A code within
 Hamming distance ``m * (r + 1) - 1`` of a query differs from it in at most ``r``
 bits in some segment. Round ``r`` probes the values at exactly ``r`` bits from
 the query's, in all segments, verifies full distances, and keeps the best; a query is
@@ -70,7 +71,9 @@ def top_k(index: DataFrame, queries: DataFrame, k: int = 10, *, segments: int |
     entries = cut(unique.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k + 1).groupBy("code").agg(F.array_sort(F.collect_list("id")).alias("ids")))
     asked = cut(queries.where("id is not null and code is not null").select(F.col("id").alias("query_id"), F.col("code").alias("q")).distinct())
     n = entries.count()
-    m = segments or max(1, min(16, round(BITS / max(1.0, math.log2(max(n, 2))))))
+    m = segments or max(3, min(16, round(BITS / max(1.0, math.log2(max(n, 2))))))
+    if not 3 <= m <= BITS:
+        raise ValueError("segments wider than 22 bits have too many values at large radii")
     parts = _segments(m)
     keyed = cut(entries.select("code", F.size("ids").alias("held"), F.posexplode(F.array(*(_part("code", s, b) for s, b in parts))).alias("seg", "value")))
     active = cut(asked.select("q").distinct().withColumn("bound", F.lit(BITS)))
