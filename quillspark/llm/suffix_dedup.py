@@ -8,6 +8,8 @@ All suffixes of a corpus need not be in one array: only those that agree in
 anchor, the first of its ``GRAM``-byte grams with the least hash: equal strings
 have equal anchors, so they meet in one partition, whatever surrounds them.
 
+A text that equals a text of a smaller doc_id goes whole, and takes no part in the rest.
+
 1. Anchors of all documents are shuffled by hash; those of one document only
    cannot start a repeat and go.
 2. For the others, a context is the run of starts that have this anchor, with the bytes that
@@ -39,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm._spark import cut
+from quillspark.llm._spark import broadcast_if_small, cut, release_shuffles
 from quillspark.llm._text import _BASE, mix, powers, seeds, slices
 
 LENGTH = 50
@@ -102,22 +104,23 @@ def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         for row, _, own in _texts(batch):
             place, _, _ = anchors(own)
-            held.append((own[place].view(np.int64), np.full(len(place), ids[row]), place.astype(np.int32)))
+            h = np.unique(own[place]).view(np.int64)
+            held.append((h, np.full(len(h), ids[row])))
         if held:
-            h, d, p = (np.concatenate(x) for x in zip(*held, strict=True))
+            h, d = (np.concatenate(x) for x in zip(*held, strict=True))
             for at in range(0, len(h), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 100_000]) for x in (h, d, p)], names=["h", "doc_id", "place"])
+                yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 100_000]) for x in (h, d)], names=["h", "doc_id"])
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, wanted = batch.column("doc_id").to_pylist(), batch.column("places")
+        ids, wanted = batch.column("doc_id").to_pylist(), batch.column("hashes")
         for row, data, own in _texts(batch):
             place, low, high = anchors(own)
-            pick = np.flatnonzero(np.isin(place, wanted[row].values.to_numpy(zero_copy_only=False)))
+            pick = np.flatnonzero(np.isin(own[place].view(np.int64), wanted[row].values.to_numpy(zero_copy_only=False)))
             if not len(pick):
                 continue
             size = high[pick] - low[pick] + LENGTH
@@ -246,27 +249,35 @@ def merged(spans: list[dict] | None) -> list[tuple[int, int]]:
     return out
 
 
-def repeats(documents: DataFrame) -> DataFrame:
-    """(doc_id, spans): byte spans that repeat strings of documents with a smaller doc_id; they may overlap."""
-    spark = documents.sparkSession
-    own = documents.select("doc_id", "text").where("doc_id is not null")
-    found = own.mapInArrow(_occurrences, "h bigint, doc_id bigint, place int").repartition("h")
+def whole_copies(documents: DataFrame) -> DataFrame:
+    """(doc_id, key, n_bytes) of texts of ``LENGTH`` bytes or more that equal a text of a smaller doc_id: all of them goes."""
+    known = documents.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("key"), F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("digest"), F.octet_length("text").cast("long").alias("n_bytes"))
+    known = known.where(F.col("n_bytes") >= LENGTH)
+    first = known.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first")
+    return known.join(first, "digest").where(F.col("doc_id") > F.col("first")).select("doc_id", "key", "n_bytes").distinct()
+
+
+def _shared_hashes(own: DataFrame) -> DataFrame:
+    """(doc_id, hashes): those anchors of a document that other documents have too."""
+    found = own.mapInArrow(_occurrences, "h bigint, doc_id bigint").repartition("h")
     several = found.groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("h")
-    places = cut(found.join(several, "h").groupBy("doc_id").agg(F.collect_list("place").alias("places")))
-    _release(spark, found, several)
-    contexts = own.join(places, "doc_id").mapInArrow(_contexts, "h bigint, doc_id bigint, low bigint, context binary")
+    return cut(found.join(several, "h").groupBy("doc_id").agg(F.collect_list("h").alias("hashes")))
+
+
+def _covered(own: DataFrame, hashes: DataFrame) -> DataFrame:
+    contexts = own.join(hashes, "doc_id").mapInArrow(_contexts, "h bigint, doc_id bigint, low bigint, context binary")
     # four times the usual partitions: each sorts its suffixes in memory
-    parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = 4 * int(own.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     spans = contexts.repartition(parts, "h").mapInArrow(_spans, "doc_id bigint, start bigint, end bigint")
-    out = cut(spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans")))
-    _release(spark, contexts, spans)
-    return out
+    return cut(spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans")))
 
 
-def _release(spark, *frames: DataFrame) -> None:
-    """What comes before a written table is not needed again: Spark deletes its shuffle files once the JVM has collected them."""
-    del frames
-    spark.sparkContext._jvm.System.gc()
+def repeats(documents: DataFrame) -> DataFrame:
+    """(doc_id, spans): byte spans that repeat strings of documents with a smaller doc_id; they may overlap."""
+    own = documents.select("doc_id", "text").where("doc_id is not null")
+    hashes = _shared_hashes(own)
+    release_shuffles(own.sparkSession)
+    return _covered(own, hashes)
 
 
 def deduplicate(documents: DataFrame) -> DataFrame:
@@ -285,8 +296,21 @@ def deduplicate(documents: DataFrame) -> DataFrame:
                 removed.append([{"start": s, "end": e} for s, e in gone])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(removed, kind), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "spans", "kept"])
 
-    both = documents.select("doc_id", "text").join(repeats(documents), "doc_id", "left")
-    return both.select("doc_id", "text", "spans").mapInArrow(run, "doc_id bigint, n_bytes bigint, spans array<struct<start:bigint,end:bigint>>, kept binary")
+    spark, spanned = documents.sparkSession, "array<struct<start:bigint,end:bigint>>"
+    copies = cut(whole_copies(documents))
+    keyed = documents.select("doc_id", "text", F.xxhash64("text").alias("key"))
+    same = copies.select(F.col("doc_id").alias("c"), F.col("key").alias("k"))
+    rest = keyed.join(broadcast_if_small(same), (F.col("doc_id") == F.col("c")) & (F.col("key") == F.col("k")), "left_anti").select("doc_id", "text")
+    spans = repeats(rest)
+    release_shuffles(spark)
+    # texts without spans stay where they are; only the others are shuffled to their spans
+    ids = broadcast_if_small(spans.select(F.col("doc_id").alias("s")))
+    whole = rest.join(ids, F.col("doc_id") == F.col("s"), "left_anti")
+    whole = whole.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.expr(f"cast(array() as {spanned})").alias("spans"), F.coalesce(F.col("text").cast("binary"), F.unhex(F.lit(""))).alias("kept"))
+    cut_up = rest.join(ids, F.col("doc_id") == F.col("s"), "left_semi").join(spans, "doc_id").select("doc_id", "text", "spans").mapInArrow(run, f"doc_id bigint, n_bytes bigint, spans {spanned}, kept binary")
+    gone = documents.select("doc_id", F.xxhash64("text").alias("key")).join(broadcast_if_small(copies), ["doc_id", "key"])
+    gone = gone.select("doc_id", "n_bytes", F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("end"))).alias("spans"), F.unhex(F.lit("")).alias("kept"))
+    return whole.unionByName(cut_up).unionByName(gone)
 
 
 def digest(cleaned: DataFrame) -> DataFrame:
