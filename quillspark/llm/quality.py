@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm._spark import cut
+from quillspark.llm._spark import bounded_sample, cut
 from quillspark.llm._text import LOWER, NOT_SPACE, gram_hashes, slices, word_hashes, words
 
 FEATURES = ("upper", "symbol", "digit", "non_ascii", "word_length", "repeated_words", "repeated_grams", "line_length", "odd_ends", "loose_symbols", "log_words")
@@ -144,11 +144,11 @@ def score_quality(documents: DataFrame, labels: DataFrame, *, max_fit_rows: int
     """doc_id, doc_score, host_posterior, path_posterior, score (0 to 1, higher: better), keep.
 
     ``max_fit_rows`` bounds the labelled rows that the document classifier is
-    fitted on; they are the rows of least hash. All else covers all rows.
+    fitted on; they are the rows below a hash cut. All else covers all rows.
     """
     known = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     featured = cut(with_features(documents, ["doc_id", "source", "lang"]))
-    sample = featured.join(known, "doc_id").select("doc_id", "x", "quality").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_fit_rows).toPandas()
+    sample = bounded_sample(featured.join(known, "doc_id").select("doc_id", "x", "quality"), max_fit_rows).toPandas().sort_values("doc_id", ignore_index=True)
     x = np.array(sample["x"].tolist()).reshape(len(sample), len(FEATURES))
     model = fit_logistic(x, sample["quality"].to_numpy(np.float64))
     logit = F.greatest(F.lit(-12.0), F.least(F.lit(12.0), _chance(model)))
