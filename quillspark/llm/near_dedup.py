@@ -173,7 +173,9 @@ def near_duplicates(documents: DataFrame, *, k: int = 5, percent: int = 75, band
         raise ValueError("a signature has at most 256 places")
     signed = cut(signatures(documents, k, bands, rows))
     alike = signed.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"))
-    classes = cut(signed.select("doc_id", "n", "s1", "s2").join(alike, ["s1", "s2", "n"], "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")).distinct())
+    # distinct rows first: above a join of copies, an aggregate would keep Spark from splitting a hot set
+    placed = signed.select("doc_id", "n", "s1", "s2").distinct().join(alike, ["s1", "s2", "n"], "left")
+    classes = cut(placed.select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")))
     reps = classes.where("doc_id = rep and n > 0").select("doc_id")
     banded = signed.join(reps, "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "n", F.explode("keys").alias("key"))
     # only keys with a second member matter; their hub is the smallest one
