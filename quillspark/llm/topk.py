@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillspark.llm._spark import cut
+from quillspark.llm._spark import broadcast_if_small, cut
 
 BITS = 64
 
@@ -89,12 +89,14 @@ def top_k(index: DataFrame, queries: DataFrame, k: int = 10, *, segments: int |
         met = (F.array_min(F.array(*gaps)) == radius) & (first == F.col("p.seg"))
         on = (F.col("p.seg") == F.col("i.seg")) & (F.col("p.value") == F.col("i.value")) & met & (d <= F.col("bound"))
         found = probes.alias("p").join(keyed.alias("i"), on).select("q", "code", "held", d.alias("d"))
-        pool = found if best is None else found.unionByName(best)
-        # codes up to the one with which k + 1 rows are held, and all that tie with it
-        ahead = F.sum("held").over(W.partitionBy("q").orderBy("d").rangeBetween(W.unboundedPreceding, -1))
-        near = pool.withColumn("ahead", ahead).where(F.coalesce("ahead", F.lit(0)) < k + 1).drop("ahead")
-        best = cut(near)
-        state = best.groupBy("q").agg(F.sum("held").alias("rows"), F.max("d").alias("far"))
+        pool = cut(found if best is None else found.unionByName(best))
+        # codes up to the one with which k + 1 rows are held, and all that tie with it: found from a query's rows at each
+        # distance (BITS + 1 sums at most), so that a query with many candidates is not sorted in one task
+        counts = pool.groupBy("q", "d").agg(F.sum("held").alias("rows"))
+        ahead = F.sum("rows").over(W.partitionBy("q").orderBy("d").rowsBetween(W.unboundedPreceding, -1))
+        reached = counts.withColumn("ahead", F.coalesce(ahead, F.lit(0))).where(F.col("ahead") < k + 1)
+        state = cut(reached.groupBy("q").agg(F.sum("rows").alias("rows"), F.max("d").alias("far")))
+        best = cut(pool.join(broadcast_if_small(state.select("q", "far")), "q").where("d <= far").select("q", "code", "held", "d"))
         covered = m * (radius + 1) - 1
         bound = F.when(F.col("rows") >= k + 1, F.col("far")).otherwise(BITS)
         state = active.select("q").join(state, "q", "left").select("q", F.coalesce(bound, F.lit(BITS)).alias("bound"))
