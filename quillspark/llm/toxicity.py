@@ -9,31 +9,34 @@ back-propagation through the pooled places, on a bounded sample of labelled rows
 (``max_fit_rows``, in equal parts of both labels, those below a hash cut). Embeddings start with
 the labels' document log odds of their bucket in their first place.
 
-A part of the sample (``calibration`` of it) is kept from training: on it the score is
+A part of the sample (``calibration`` of it) is kept from training. On it and on all
+labelled rows outside the sample and the held-out fifth the score is
 calibrated so that 0.5 is the cut for all texts, and a threshold is set for each
-language. Language is no input of the score: its threshold only makes the
-``flagged`` column.
+language: Spark scores them and counts labels by language and bin of the logit. A
+language's own cut is drawn toward the overall one, the more so the fewer labels it has (``PULL``).
+Language is no input of the score: its threshold only makes the ``flagged`` column.
 
 For scoring, all filters are one matrix, so that each word is multiplied once, and
 convolution is addition of shifted columns.
 
 Defined results: a null or empty text is scored as padding alone; words are runs
 of ASCII letters, digits and non-ASCII characters, in lower case; with no labels
-or one kind of label the score is that label's smoothed share; a language without a
-threshold has 0.5; labels that disagree on a doc_id count as their largest;
+or one kind of label the score is that label's smoothed share; a language without
+both labels among the rows not trained on has 0.5; labels that disagree on a doc_id count as their largest;
 columns besides the named ones are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm._spark import bounded_sample
+from quillspark.llm._spark import bounded_sample, cut
 from quillspark.llm._text import ALNUM, LOWER, slices, word_hashes, words
 
 WIDTHS = (1, 2, 3)
@@ -41,6 +44,8 @@ FILTERS = 8
 HALF = 4
 STEM = 8
 SLICE = 1 << 18
+BIN = 1 / 64  # of the logit
+PULL = 20  # labels of a language's rarer kind at which its own cut and the overall one weigh the same
 
 
 def tokens(column: pa.Array, buckets: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -157,8 +162,8 @@ class ConvNet:
         return {"tables": self.tables, "filters": wide, "bias": np.concatenate([self.bias[w] for w in WIDTHS]), "out": self.out, "shift": self.shift, "scale": self.scale, "offset": self.offset, "buckets": self.tables.shape[1]}
 
 
-def _score_rows(model: dict, ids: np.ndarray, edges: np.ndarray, rows: int) -> np.ndarray:
-    """Scores of whole texts from their words."""
+def _logit_rows(model: dict, ids: np.ndarray, edges: np.ndarray, rows: int) -> np.ndarray:
+    """Logits of whole texts from their words, not calibrated."""
     pooled = np.tile(model["bias"], (rows, 1))
     if len(ids):
         wide = np.concatenate([model["tables"][0][ids[:, 0]], model["tables"][1][ids[:, 1]]], axis=1) @ model["filters"]
@@ -178,8 +183,12 @@ def _score_rows(model: dict, ids: np.ndarray, edges: np.ndarray, rows: int) -> n
                 conv[: len(add)] += add
             column += w * FILTERS
             pooled[full, j * FILTERS : (j + 1) * FILTERS] += np.maximum.reduceat(conv, starts, axis=0)
-    logit = np.maximum(pooled, 0) @ model["out"] + model["shift"]
-    return 1 / (1 + np.exp(-np.clip(model["scale"] * logit + model["offset"], -30, 30)))
+    return np.maximum(pooled, 0) @ model["out"] + model["shift"]
+
+
+def _score_rows(model: dict, ids: np.ndarray, edges: np.ndarray, rows: int) -> np.ndarray:
+    """Scores of whole texts from their words."""
+    return 1 / (1 + np.exp(-np.clip(model["scale"] * _logit_rows(model, ids, edges, rows) + model["offset"], -30, 30)))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -210,19 +219,33 @@ def fit(documents: DataFrame, labels: DataFrame, *, max_fit_rows: int = 4000, bu
     learn = [rows[i] for i in np.flatnonzero(~aside)]
     net.start(_log_odds(learn, y[~aside], buckets))
     net.train(learn, y[~aside], epochs=epochs, rate=0.01, seed=seed)
-    logit = net.logits([rows[i] for i in np.flatnonzero(aside)]) if aside.any() else np.zeros(0)
-    truth, lang = y[aside], got["lang"].to_numpy()[aside]
+    trained = documents.sparkSession.createDataFrame([(int(i),) for i in got["doc_id"][~aside]], "doc_id long")
+    counts = cut(_label_counts(documents, known.join(F.broadcast(trained), "doc_id", "left_anti"), net.model()))
+    whole = counts.groupBy("bin", "toxic").agg(F.sum("n").alias("n")).toPandas()  # two rows a bin at most
+    seen = [int(whole["n"][whole["toxic"] == label].sum()) for label in (0, 1)]
     # weights give the labels their share of all labelled rows again
-    weight = np.where(truth == 1, share["p"] / max(y.mean(), 1e-9), (1 - share["p"]) / max(1 - y.mean(), 1e-9))
-    cut = _best_cut(logit, truth, weight)
-    net.offset = -cut
-    thresholds = {}
-    for code in sorted({x for x in lang if x is not None}):
-        own = lang == code
-        if (truth[own] == 1).sum() >= 20 and (truth[own] == 0).sum() >= 20:
-            z = _best_cut(logit[own] - cut, truth[own], weight[own])
-            thresholds[code] = float(1 / (1 + np.exp(-z)))
-    return net.model() | {"thresholds": thresholds}
+    weights = [sum(seen) * p / max(n, 1) for p, n in zip((1 - share["p"], share["p"]), seen, strict=True)]
+    middle = _binned_cut(whole, weights)
+    net.offset = -middle
+
+    def own(key: tuple, bins: pd.DataFrame) -> pd.DataFrame:
+        rarer = min(bins["n"][bins["toxic"] == label].sum() for label in (0, 1))
+        z = (_binned_cut(bins, weights) - middle) * rarer / (rarer + PULL) if rarer else 0.0
+        return pd.DataFrame({"lang": [key[0]], "threshold": [float(1 / (1 + np.exp(-z)))]})
+
+    found = counts.where("lang is not null").groupBy("lang").applyInPandas(own, "lang string, threshold double").collect()
+    return net.model() | {"thresholds": {r["lang"]: r["threshold"] for r in sorted(found)}}
+
+
+def _label_counts(documents: DataFrame, known: DataFrame, model: dict) -> DataFrame:
+    """(lang, bin, toxic, n): rows of ``known`` by their logit's bin. Texts are scored where they are; only numbers are joined."""
+    scored = _scored(documents.where(~held_out(F.col("doc_id"))), model, lambda own, *words: np.clip(_logit_rows(own, *words), -30, 30))
+    return scored.join(known.select("doc_id", "toxic"), "doc_id").groupBy("lang", F.floor(F.col("score") / BIN).alias("bin"), "toxic").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _binned_cut(bins: pd.DataFrame, weights: list[float]) -> float:
+    truth = bins["toxic"].to_numpy()
+    return _best_cut((bins["bin"].to_numpy() + 0.5) * BIN, truth, bins["n"].to_numpy() * np.array(weights)[truth])
 
 
 def _best_cut(logit: np.ndarray, truth: np.ndarray, weight: np.ndarray) -> float:
@@ -239,19 +262,23 @@ def _best_cut(logit: np.ndarray, truth: np.ndarray, weight: np.ndarray) -> float
     return float((low + high) / 2)
 
 
-def score_toxicity(documents: DataFrame, model: dict) -> DataFrame:
-    """doc_id, score (0 to 1), predicted (score >= 0.5), threshold of the language, flagged (score >= that)."""
-    spark = documents.sparkSession
-    shared = spark.sparkContext.broadcast({k: v for k, v in model.items() if k != "thresholds"})  # of fixed size
+def _scored(documents: DataFrame, model: dict, value: Callable[[dict, np.ndarray, np.ndarray, int], np.ndarray]) -> DataFrame:
+    """doc_id, lang and the ``value`` of each text's words as score."""
+    shared = documents.sparkSession.sparkContext.broadcast({k: v for k, v in model.items() if k != "thresholds"})  # of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
             for first, rows, ids, edges in tokens(batch.column("text"), own["buckets"]):
-                scores = _score_rows(own, ids, edges, rows)
+                scores = value(own, ids, edges, rows)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, rows), batch.column("lang").slice(first, rows), pa.array(scores.astype(np.float64))], names=["doc_id", "lang", "score"])
 
-    scored = documents.select("doc_id", "text", "lang").mapInArrow(run, "doc_id bigint, lang string, score double")
+    return documents.select("doc_id", "text", "lang").mapInArrow(run, "doc_id bigint, lang string, score double")
+
+
+def score_toxicity(documents: DataFrame, model: dict) -> DataFrame:
+    """doc_id, score (0 to 1), predicted (score >= 0.5), threshold of the language, flagged (score >= that)."""
+    scored = _scored(documents, model, _score_rows)
     pairs = [F.lit(x) for kv in model["thresholds"].items() for x in kv]
     threshold = F.coalesce(F.element_at(F.create_map(*pairs), F.col("lang")) if pairs else F.lit(None).cast("double"), F.lit(0.5))
     return scored.select("doc_id", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), threshold.alias("threshold"), (F.col("score") >= threshold).alias("flagged"))

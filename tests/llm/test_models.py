@@ -117,6 +117,24 @@ def test_toxicity(spark):
     assert toxicity.score_toxicity(docs.limit(0), toxicity.fit(docs, labels)).count() == 0
 
 
+def test_small_languages_are_calibrated(spark, monkeypatch):
+    docs, labels = labelled(spark)
+    made, count = [], toxicity._label_counts
+    monkeypatch.setattr(toxicity, "_label_counts", lambda *args: made.append(count(*args)) or made[-1])
+    model = toxicity.fit(docs, labels, max_fit_rows=160)
+    assert set(model["thresholds"]) == {"en", "de", "fr"} and all(0 < t < 1 for t in model["thresholds"].values())
+    learnable = labels.where(~toxicity.held_out(F.col("doc_id"))).count()
+    assert learnable - 160 <= made[0].agg(F.sum("n")).first()[0] < learnable
+
+
+def test_few_labels_pull_a_threshold_to_the_overall_cut(spark, monkeypatch):
+    docs, labels = labelled(spark)
+    counts = [("en", 0, 0, 500), ("en", 64, 1, 500), ("de", 128, 0, 2), ("de", 192, 1, 2), ("fr", 128, 0, 200), ("fr", 192, 1, 200), ("es", 0, 0, 9)]
+    monkeypatch.setattr(toxicity, "_label_counts", lambda *args: spark.createDataFrame(counts, "lang string, bin long, toxic int, n long"))
+    got = toxicity.fit(docs, labels, max_fit_rows=60)["thresholds"]
+    assert got["es"] == 0.5 and 0.5 < got["de"] < got["fr"]
+
+
 def test_pooling_ends_with_the_text():
     net = toxicity.ConvNet(1 << 10, 3)
     rng = np.random.default_rng(0)
