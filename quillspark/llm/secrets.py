@@ -10,8 +10,9 @@ A scope is ``scope_chars`` code points around an access identifier. Within each
 text, identifiers, keys and endpoints are interval-joined: sorted by position,
 each identifier's scope finds its keys and endpoints by binary search. A key is
 reported in the scope of an identifier, an endpoint only where the same scope
-also holds a key. A weak span that touches a base span is that span again and is
-left out.
+also holds a secret part: a key, an assignment or a hexadecimal run. An assignment
+that touches an identifier assigns the identifier and is no secret part. A weak span
+that touches a base span is that span again and is left out.
 
 A text is one row, so its parts are together already and the join needs no
 shuffle; one hot source or key changes nothing. Spans are (kind, start, end) in
@@ -57,14 +58,16 @@ def linked_spans(text: str, base: list[tuple[str, int, int]], scope_chars: int)
         return []
     taken = _merged([(s, e) for _, s, e in base])
     keys = _free([(m.start(), m.end()) for m in KEY.finditer(text)], taken)
-    if not keys:
+    assigned = _free([(s, e) for kind, s, e in base if kind == "assign"], _merged(identifiers))
+    runs = [(s, e) for kind, s, e in base if kind == "hex"]
+    if not (keys or assigned or runs):
         return []
     ends = _free([(m.start(), m.end()) for m in ENDPOINT.finditer(text)], taken)
     found: set[tuple[str, int, int]] = set()
     for near in _scopes(identifiers, scope_chars):
         mine = _within(keys, *near)
-        if mine:
-            found |= {("key", *s) for s in mine}
+        found |= {("key", *s) for s in mine}
+        if mine or _within(assigned, *near) or _within(runs, *near):
             found |= {("endpoint", *s) for s in _within(ends, *near)}
     return sorted(found, key=lambda s: (s[1], ORDER[s[0]]))
 

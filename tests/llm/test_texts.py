@@ -102,6 +102,16 @@ def test_secrets(spark):
     assert secrets.scan(docs(spark, [])).count() == 0
 
 
+def test_assigned_secrets_link_endpoints(spark):
+    end, run = "https://s3.example.com", "0123456789abcdef" * 2
+    linked = [f"id {ACCESS} secret={KEY} at {end}", f"{ACCESS} token: abcdef12 {end}", f"{ACCESS} {run} {end}"]
+    loose = [f"secret={KEY} at {end}", f"{run} at {end}", f"api_key={ACCESS} {end}", f"{ACCESS} {end}{' ' * 400}secret={KEY}"]
+    scanned = secrets.scan(docs(spark, linked + loose), keep=("text",))
+    got = scanned.withColumn("out", secrets.redact(scanned)).orderBy("doc_id").collect()
+    assert [[s["kind"] for s in r["linked"]] for r in got] == [["endpoint"]] * 3 + [[]] * 4
+    assert [end in r["out"] for r in got] == [False] * 3 + [True] * 4
+
+
 def test_redaction(spark):
     scanned = secrets.scan(docs(spark, SECRETS), keep=("text",))
     for r in scanned.withColumn("out", secrets.redact(scanned)).orderBy("doc_id").collect():
