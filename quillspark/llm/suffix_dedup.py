@@ -23,8 +23,11 @@ A text that equals a text of a smaller doc_id goes whole, and takes no part in t
    doc_id decides.
 4. Covered starts come back as spans; each document is cut once.
 
-Equal contexts are sorted once, so a passage that a third of all documents share costs
-a row for each, and one suffix for each of its bytes.
+An anchor of more than ``HOT`` contexts (a passage that a third of all documents share, a
+run of one byte) is too much for one partition. Its contexts go another way to the same
+result: Spark groups them by their bytes, combined before the shuffle, groups the strings of
+the distinct ones, and joins the smallest doc_id of each start back to the documents' places.
+Hashes of such anchors are in the driver and each task: at most one for ``HOT`` contexts.
 
 Defined results: a null text is empty; matches never cross documents; a text shorter
 than ``length`` keeps all; rows that repeat a doc_id are one document's parts and
@@ -34,6 +37,7 @@ keep all and remove nothing; columns besides the named ones are ignored.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,11 +45,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm._spark import broadcast_if_small, cut, release_shuffles
+from quillspark.llm._spark import broadcast_if_small, cut, ensure_checkpoint_dir, release_shuffles
 from quillspark.llm._text import _BASE, mix, powers, seeds, slices
 
 LENGTH = 50
 GRAM = 20
+HOT = 10_000
 _BYTE = seeds(256, 31)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _LOW = np.uint64(0xFFFFFFFF)
@@ -104,30 +109,34 @@ def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for row, _, own in _texts(batch):
             place, _, _ = anchors(own)
-            h = np.unique(own[place]).view(np.int64)
-            held.append((h, np.full(len(h), ids[row])))
+            h, n = np.unique(own[place], return_counts=True)
+            held.append((h.view(np.int64), np.full(len(h), ids[row]), n))
         if held:
-            h, d = (np.concatenate(x) for x in zip(*held, strict=True))
+            h, d, n = (np.concatenate(x) for x in zip(*held, strict=True))
             for at in range(0, len(h), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 100_000]) for x in (h, d)], names=["h", "doc_id"])
+                yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 100_000]) for x in (h, d, n)], names=["h", "doc_id", "n"])
+
+
+def _cut_contexts(row: int, data: np.ndarray, own: np.ndarray, ids: list[int], wanted: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The contexts of a text's wanted anchors, if it has any."""
+    place, low, high = anchors(own)
+    pick = np.flatnonzero(np.isin(own[place].view(np.int64), wanted))
+    if len(pick):
+        size = high[pick] - low[pick] + LENGTH
+        ends = np.cumsum(size)
+        flat = data[np.arange(int(ends[-1])) - np.repeat(ends - size, size) + np.repeat(low[pick], size)]
+        context = pa.Array.from_buffers(pa.binary(), len(pick), [None, pa.py_buffer(np.concatenate(([0], ends)).astype(np.int32)), pa.py_buffer(flat)])
+        yield pa.RecordBatch.from_arrays([pa.array(own[place[pick]].view(np.int64)), pa.array(np.full(len(pick), ids[row])), pa.array(low[pick].astype(np.int64)), context], names=["h", "doc_id", "low", "context"])
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, wanted = batch.column("doc_id").to_pylist(), batch.column("hashes")
         for row, data, own in _texts(batch):
-            place, low, high = anchors(own)
-            pick = np.flatnonzero(np.isin(own[place].view(np.int64), wanted[row].values.to_numpy(zero_copy_only=False)))
-            if not len(pick):
-                continue
-            size = high[pick] - low[pick] + LENGTH
-            ends = np.cumsum(size)
-            flat = data[np.arange(int(ends[-1])) - np.repeat(ends - size, size) + np.repeat(low[pick], size)]
-            context = pa.Array.from_buffers(pa.binary(), len(pick), [None, pa.py_buffer(np.concatenate(([0], ends)).astype(np.int32)), pa.py_buffer(flat)])
-            yield pa.RecordBatch.from_arrays([pa.array(own[place[pick]].view(np.int64)), pa.array(np.full(len(pick), ids[row])), pa.array(low[pick].astype(np.int64)), context], names=["h", "doc_id", "low", "context"])
+            yield from _cut_contexts(row, data, own, ids, wanted[row].values.to_numpy(zero_copy_only=False))
 
 
 def _named(*keys: np.ndarray) -> np.ndarray:
@@ -257,27 +266,60 @@ def whole_copies(documents: DataFrame) -> DataFrame:
     return known.join(first, "digest").where(F.col("doc_id") > F.col("first")).select("doc_id", "key", "n_bytes").distinct()
 
 
-def _shared_hashes(own: DataFrame) -> DataFrame:
-    """(doc_id, hashes): those anchors of a document that other documents have too."""
-    found = own.mapInArrow(_occurrences, "h bigint, doc_id bigint").repartition("h")
-    several = found.groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("h")
-    return cut(found.join(several, "h").groupBy("doc_id").agg(F.collect_list("h").alias("hashes")))
+def _shared_hashes(own: DataFrame) -> tuple[DataFrame, np.ndarray]:
+    """(doc_id, hashes): those anchors of a document that other documents have too; and the hot ones, which are not among them."""
+    found = own.mapInArrow(_occurrences, "h bigint, doc_id bigint, n bigint").repartition("h")
+    several = found.groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.sum("n").alias("n")).where("a < b").select("h", (F.col("n") > HOT).alias("hot"))
+    # one query for both, and n on both sides of the join, so that the shuffle of all anchors is made once
+    known = cut(found.join(several, "h").groupBy("doc_id").agg(F.sum("n").alias("n"), F.collect_list(F.when(~F.col("hot"), F.col("h"))).alias("hashes"), F.collect_list(F.when(F.col("hot"), F.col("h"))).alias("hot")))
+    hot = known.select(F.explode("hot").alias("h")).distinct().toPandas()["h"].to_numpy(np.int64)
+    return known.where(F.size("hashes") > 0).select("doc_id", "hashes"), hot
 
 
-def _covered(own: DataFrame, hashes: DataFrame) -> DataFrame:
+def _sorted_spans(own: DataFrame, hashes: DataFrame) -> DataFrame:
     contexts = own.join(hashes, "doc_id").mapInArrow(_contexts, "h bigint, doc_id bigint, low bigint, context binary")
     # four times the usual partitions: each sorts its suffixes in memory
     parts = 4 * int(own.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spans = contexts.repartition(parts, "h").mapInArrow(_spans, "doc_id bigint, start bigint, end bigint")
-    return cut(spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans")))
+    return contexts.repartition(parts, "h").mapInArrow(_spans, "doc_id bigint, start bigint, end bigint")
+
+
+def _hot_spans(own: DataFrame, hot: np.ndarray) -> DataFrame:
+    """Covered spans of the hot anchors' contexts, without a partition that holds all of an anchor."""
+    spark = own.sparkSession
+    shared = spark.sparkContext.broadcast(hot)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column("doc_id").to_pylist()
+            for row, data, grams_of in _texts(batch):
+                for made in _cut_contexts(row, data, grams_of, ids, shared.value):
+                    yield made.select(["doc_id", "low", "context"])
+
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/hot-{uuid.uuid4().hex}"
+    own.mapInArrow(run, "doc_id bigint, low bigint, context binary").write.parquet(path)  # equal contexts are one there in each column chunk
+    contexts = spark.read.parquet(path)
+    distinct = cut(contexts.groupBy("context").agg(F.min("doc_id").alias("least")))
+    strings = distinct.select("context", "least", F.posexplode(F.expr(f"transform(sequence(1, octet_length(context) - {LENGTH - 1}), i -> substring(context, i, {LENGTH}))")).alias("at", "string"))
+    smallest = strings.groupBy("string").agg(F.min("least").alias("m"))
+    starts = strings.join(smallest, "string").groupBy("context").agg(F.array_sort(F.collect_list(F.struct("at", "m"))).alias("starts"))
+    starts = cut(starts.select("context", F.col("starts.m").alias("m")))
+    placed = contexts.join(broadcast_if_small(starts, 50_000), "context")
+    placed = placed.select("doc_id", "low", F.expr("transform(m, x -> x < doc_id)").alias("c")).where("exists(c, x -> x)")
+    edge = lambda beside: f"filter(sequence(0, size(c) - 1), i -> c[i] and not coalesce(get(c, i {beside}), false))"
+    runs = placed.select("doc_id", "low", F.explode(F.arrays_zip(F.expr(edge("- 1")).alias("a"), F.expr(edge("+ 1")).alias("b"))).alias("r"))
+    return runs.select("doc_id", (F.col("low") + F.col("r.a")).alias("start"), (F.col("low") + F.col("r.b") + LENGTH).alias("end"))
 
 
 def repeats(documents: DataFrame) -> DataFrame:
     """(doc_id, spans): byte spans that repeat strings of documents with a smaller doc_id; they may overlap."""
     own = documents.select("doc_id", "text").where("doc_id is not null")
-    hashes = _shared_hashes(own)
+    hashes, hot = _shared_hashes(own)
     release_shuffles(own.sparkSession)
-    return _covered(own, hashes)
+    spans = _sorted_spans(own, hashes)
+    if len(hot):
+        spans = spans.unionByName(_hot_spans(own, hot))
+    return cut(spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans")))
 
 
 def deduplicate(documents: DataFrame) -> DataFrame:

@@ -155,6 +155,20 @@ def test_suffix_dedup(spark):
     assert suffix_dedup.deduplicate(docs(spark, [])).count() == 0
 
 
+def test_hot_anchors_are_split(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "HOT", 6)
+    rng = random.Random(4)
+    text = lambda n, a="abcé ": "".join(rng.choice(a) for _ in range(n))
+    passage = text(200)
+    texts = [text(rng.randrange(80)) + rng.choice([passage, passage[20:120], "-" * 90, "-" * rng.randrange(60)]) + text(rng.randrange(80)) for _ in range(40)] + [text(300)] * 2 + [None, ""]
+    own = docs(spark, texts)
+    hashes, hot = suffix_dedup._shared_hashes(own.select("doc_id", "text"))
+    sorted_rows = own.select("doc_id", "text").join(hashes, "doc_id").mapInArrow(suffix_dedup._contexts, "h bigint, doc_id bigint, low bigint, context binary").groupBy("h").count()
+    assert len(hot) > 3 and sorted_rows.agg(F.max("count")).first()[0] <= 6
+    got = suffix_dedup.digest(suffix_dedup.deduplicate(own)).orderBy("doc_id").collect()
+    assert [tuple(r)[1:] for r in got] == deduplicated(texts)
+
+
 @pytest.mark.parametrize("letters", [1, 2, 4])
 def test_suffix_classes(letters):
     rng = np.random.default_rng(letters)
