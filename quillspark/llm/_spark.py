@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,13 +19,48 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """The cluster names a shared folder in ``spark.checkpoint.dir``; only where it names none (tests) a local one is set."""
     if spark.sparkContext.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        master = spark.sparkContext.master
+        if named is None and not (master == "local" or master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
 
 
+@contextmanager
+def _shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Spark removes the shuffle files of each query that is run in here when it ends: what it made is in the shared folder then."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder once and go on from there: nothing upstream is run again, a lost executor loses nothing."""
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with _shuffles_removed(df.sparkSession):
+        return df.select("*").checkpoint(eager=True)  # select: Spark takes the setting where a frame is made
+
+
+def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``df`` as a Parquet table in the shared checkpoint folder, for what is larger than ``cut`` should hold, and its path for ``remove``."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    with _shuffles_removed(spark):
+        df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a table that ``written`` made and nothing reads any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = 250_000) -> DataFrame:
@@ -37,9 +74,3 @@ def bounded_sample(df: DataFrame, max_rows: int, key: str = "doc_id") -> DataFra
     if n <= max_rows:
         return df
     return df.where(F.pmod(F.xxhash64(key, F.lit(17)), F.lit(1_000_000)) < int(950_000 * max_rows / n)).limit(max_rows)
-
-
-def release_shuffles(spark: SparkSession) -> None:
-    """Let Spark delete shuffle files of what is written already: it does so when neither Python nor the JVM holds the query any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()

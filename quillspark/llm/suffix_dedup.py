@@ -5,39 +5,42 @@ document with a smaller doc_id; strings are judged on the input.
 
 All suffixes of a corpus need not be in one array: only those that agree in
 ``length`` bytes have to be neighbours. Each string of ``length`` bytes is dealt out by its
-anchor, the first of its ``GRAM``-byte grams with the least hash: equal strings
-have equal anchors, so they meet in one partition, whatever surrounds them.
+anchor, the least hash of its ``GRAM``-byte grams: equal strings have equal anchors, so
+they meet in one partition, whatever surrounds them. A context is a run of neighbouring
+starts with one anchor, together with the bytes that their strings need.
 
 A text that equals a text of a smaller doc_id goes whole, and takes no part in the rest.
 
-1. Anchors of all documents are shuffled by hash; those of one document only
-   cannot start a repeat and go.
-2. For the others, a context is the run of starts that have this anchor, with the bytes that
-   their strings need. Contexts are shuffled by the anchor's hash.
-3. Each partition sorts its suffixes by a difference cover of period 3: the
+1. The anchors of all contexts are written with their doc_id (copies of a text once for each
+   task) and grouped; those of one document only cannot start a repeat and go.
+2. The contexts of the others are cut out of the texts and written.
+3. They are dealt out by anchor, and each partition sorts the suffixes of its distinct contexts by a
+   difference cover of period 3: the
    sampled places (1 and 2 modulo 3) are named by triples of symbols, which are
    themselves named by sorting (the recursion ends there, since only ``length``
    bytes count); places 0 modulo 3 are sorted by their first byte and the name
    behind it; both are merged by what they have in common with each other: one byte and a name,
    or two bytes and a name. Neighbours with equal prefixes are one class, and its smallest
-   doc_id decides.
+   doc_id decides. An anchor whose contexts are all equal needs no sorting.
 4. Covered starts come back as spans; each document is cut once.
 
-An anchor of more than ``HOT`` contexts (a passage that a third of all documents share, a
-run of one byte) is too much for one partition. Its contexts go another way to the same
+An anchor of more than ``HOT`` contexts (a passage that a third of all documents share) is too
+much for one partition. Its contexts go another way to the same
 result: Spark groups them by their bytes, combined before the shuffle, groups the strings of
 the distinct ones, and joins the smallest doc_id of each start back to the documents' places.
-Hashes of such anchors are in the driver and each task: at most one for ``HOT`` contexts.
+
+Memory is bounded by ``HOT`` and ``RUN``: partitions are walked in order of their anchors, texts in slices
+of about 1 MB, and a run of one anchor (a long line of dashes) is cut into contexts of ``RUN`` starts.
+Nothing is collected, and joins choose their strategy by sizes that Spark has measured.
 
 Defined results: a null text is empty; matches never cross documents; a text shorter
-than ``length`` keeps all; rows that repeat a doc_id are one document's parts and
-do not remove each other, and each is cut by the spans of both; rows of null doc_id
-keep all and remove nothing; columns besides the named ones are ignored.
+than ``length`` keeps all; rows that repeat a doc_id do not remove each other, and each is cut by its own
+spans; rows of null doc_id keep all and remove nothing; columns besides the named ones are ignored.
 """
 
 from __future__ import annotations
 
-import uuid
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,15 +48,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm._spark import broadcast_if_small, cut, ensure_checkpoint_dir, release_shuffles
-from quillspark.llm._text import _BASE, mix, powers, seeds, slices
+from quillspark.llm._spark import cut, remove, written
+from quillspark.llm._text import _BASE, SLICE_BYTES, mix, powers, seeds, slices
 
 LENGTH = 50
 GRAM = 20
 HOT = 10_000
+RUN = 1_024
+SPANS = "array<struct<start:bigint,end:bigint>>"
 _BYTE = seeds(256, 31)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_LOW = np.uint64(0xFFFFFFFF)
 _inverses = np.ones(1, dtype=np.uint64)
 
 
@@ -84,59 +88,80 @@ def _least(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(out[: len(x) - width + 1], out[width - size :]) if size < width else out
 
 
-def anchors(own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(place, first start, last start) of each anchor of a text of gram hashes: its starts are those strings of which it is the anchor."""
+def contexts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, first start, last start, anchor) of each context of the texts between ``offsets``, which may reach beyond ``data``."""
+    own = grams(data)
     width = LENGTH - GRAM + 1
     if len(own) < width:
         none = np.zeros(0, np.int64)
-        return none, none, none
-    # the upper half of the hash, then the place: of equal hashes the first one is the least
-    keyed = (own & ~_LOW) | np.arange(len(own), dtype=np.uint64)
-    at = (_least(keyed, width) & _LOW).astype(np.int64)
-    first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-    return at[first], first, np.append(first[1:], len(at)) - 1
-
-
-def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(row, bytes, gram hashes) of each text of a batch that can hold a string."""
-    for first, last, data, offsets in slices(batch.column("text")):
-        h = grams(data)
-        for i in range(last - first):
-            if offsets[i + 1] - offsets[i] >= LENGTH:
-                yield first + i, data[offsets[i] : offsets[i + 1]], h[offsets[i] : offsets[i + 1] - GRAM + 1]
-
-
-def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return none, none, none, np.zeros(0, np.uint64)
+    least = _least(own, width)
+    row = np.searchsorted(offsets, np.arange(len(least)), side="right") - 1
+    at = np.flatnonzero(np.arange(LENGTH, len(least) + LENGTH) <= offsets[row + 1])  # strings that do not cross texts
+    if not len(at):
+        return at, at, at, np.zeros(0, np.uint64)
+    h = least[at]
+    first = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (at[1:] != at[:-1] + 1))))
+    size = np.diff(np.append(first, len(at)))
+    parts = -(-size // RUN)
+    if parts.max() > 1:
+        within = np.arange(int(parts.sum())) - np.repeat(np.cumsum(parts) - parts, parts)
+        size = np.minimum(np.repeat(size, parts) - within * RUN, RUN)
+        first = np.repeat(first, parts) + within * RUN
+    return row[at[first]], at[first], at[first] + size - 1, h[first]
+
+
+def _pieces(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, last row, bytes, offsets) of slices of a text column; a long text comes in several, which share the bytes that strings need."""
+    for first, last, data, offsets in slices(column):
+        for at in range(0, max(1, len(data) - LENGTH + 1), SLICE_BYTES):
+            yield first, last, data[at : at + SLICE_BYTES + LENGTH - 1], offsets - at
+
+
+def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    seen: set[bytes] = set()
     for batch in batches:
-        ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for row, _, own in _texts(batch):
-            place, _, _ = anchors(own)
-            h, n = np.unique(own[place], return_counts=True)
-            held.append((h.view(np.int64), np.full(len(h), ids[row]), n))
-        if held:
-            h, d, n = (np.concatenate(x) for x in zip(*held, strict=True))
-            for at in range(0, len(h), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 100_000]) for x in (h, d, n)], names=["h", "doc_id", "n"])
-
-
-def _cut_contexts(row: int, data: np.ndarray, own: np.ndarray, ids: list[int], wanted: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """The contexts of a text's wanted anchors, if it has any."""
-    place, low, high = anchors(own)
-    pick = np.flatnonzero(np.isin(own[place].view(np.int64), wanted))
-    if len(pick):
-        size = high[pick] - low[pick] + LENGTH
-        ends = np.cumsum(size)
-        flat = data[np.arange(int(ends[-1])) - np.repeat(ends - size, size) + np.repeat(low[pick], size)]
-        context = pa.Array.from_buffers(pa.binary(), len(pick), [None, pa.py_buffer(np.concatenate(([0], ends)).astype(np.int32)), pa.py_buffer(flat)])
-        yield pa.RecordBatch.from_arrays([pa.array(own[place[pick]].view(np.int64)), pa.array(np.full(len(pick), ids[row])), pa.array(low[pick].astype(np.int64)), context], names=["h", "doc_id", "low", "context"])
-
-
-def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        raw = batch.column("text").cast(pa.large_binary()).fill_null(b"").to_numpy(zero_copy_only=False)
+        digests = [hashlib.blake2b(x, digest_size=16).digest() for x in raw]
+        new = np.zeros(len(digests), dtype=bool)
+        for i, x in enumerate(digests):
+            if x not in seen:
+                seen.add(x)
+                new[i] = len(raw[i]) >= LENGTH
+        del raw
+        ids = batch.column("doc_id").filter(pa.array(new)).to_numpy(zero_copy_only=False)
+        for first, _, data, offsets in _pieces(batch.column("text").filter(pa.array(new))):
+            row, _, _, h = contexts(data, offsets)
+            if len(h):
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ids[first + row])], names=["h", "doc_id"])
+
+
+def _flat(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _cut_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The contexts whose anchors are wanted. An anchor that one document of a slice wants is one that all of them want."""
     for batch in batches:
-        ids, wanted = batch.column("doc_id").to_pylist(), batch.column("hashes")
-        for row, data, own in _texts(batch):
-            yield from _cut_contexts(row, data, own, ids, wanted[row].values.to_numpy(zero_copy_only=False))
+        ids, keys = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "key"))
+        go = np.ones(batch.num_rows, dtype=bool)
+        for i in np.flatnonzero(batch.column("copies").value_lengths().fill_null(0).to_numpy(zero_copy_only=False)):
+            go[i] = keys[i] not in batch.column("copies")[int(i)].as_py()
+        rows = batch.filter(pa.array(go))
+        ids, keys = ids[go], keys[go]
+        for first, last, data, offsets in _pieces(rows.column("text")):
+            row, low, high, h = contexts(data, offsets)
+            h = h.view(np.int64)
+            pick = np.flatnonzero(np.isin(h, _flat(rows.column("hashes").slice(first, last - first))))
+            if not len(pick):
+                continue
+            row, low, high, h = row[pick], low[pick], high[pick], h[pick]
+            hot = np.isin(h, _flat(rows.column("hot").slice(first, last - first)))
+            size = high - low + LENGTH
+            ends = np.cumsum(size)
+            flat = data[np.arange(int(ends[-1])) - np.repeat(ends - size, size) + np.repeat(low, size)]
+            context = pa.Array.from_buffers(pa.binary(), len(pick), [None, pa.py_buffer(np.concatenate(([0], ends)).astype(np.int32)), pa.py_buffer(flat)])
+            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(hot), pa.array(ids[first + row]), pa.array(keys[first + row]), pa.array(low - offsets[row]), context], names=["h", "hot", "doc_id", "key", "low", "context"])
 
 
 def _named(*keys: np.ndarray) -> np.ndarray:
@@ -210,42 +235,77 @@ def suffix_classes(text: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return _named(out[:, 0], out[:, 1])
 
 
+def _least_of_starts(edges: np.ndarray, text: np.ndarray, count: np.ndarray, least: np.ndarray, anchor: np.ndarray) -> np.ndarray:
+    """The smallest doc_id of each start of each distinct context; only contexts that share their anchor with others are sorted."""
+    out = np.repeat(least, count)
+    _, inverse, times = np.unique(anchor, return_inverse=True, return_counts=True)
+    several = times[inverse] > 1
+    if several.any():
+        among = np.repeat(several, count)
+        first = np.cumsum(count) - count
+        starts = np.arange(len(out)) - np.repeat(first, count) + np.repeat(edges[:-1], count)
+        group = suffix_classes(text, starts[among])
+        smallest = np.full(int(group.max()) + 1, np.iinfo(np.int64).max)
+        np.minimum.at(smallest, group, out[among])
+        out[among] = smallest[group]
+    return out
+
+
+def _walked(batches: Iterator[pa.RecordBatch], rows: int = 20_000) -> Iterator[pa.Table]:
+    """Tables of about so many rows; no anchor is in two of them."""
+    held: list[pa.RecordBatch] = []
+    n = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if n >= rows:
+            h = batch.column("h").to_numpy()
+            change = np.flatnonzero(h != held[-1].column("h")[-1].as_py())
+            cut_at = int(change[0]) if len(change) else len(h)
+            held.append(batch.slice(0, cut_at))
+            if len(change):
+                yield pa.Table.from_batches(held)
+                held, n = [batch.slice(cut_at)], len(h) - cut_at
+            continue
+        held.append(batch)
+        n += batch.num_rows
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Covered spans of a partition's contexts. All strings of an anchor are here."""
-    held = [b for b in batches if b.num_rows]
-    if not held:
-        return
-    rows = pa.Table.from_batches(held)
-    doc, low = rows["doc_id"].to_numpy(), rows["low"].to_numpy()
-    coded = rows["context"].combine_chunks().dictionary_encode()
-    code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    texts = coded.dictionary
-    _, where, flat = texts.buffers()
-    edges = np.frombuffer(where, np.int32)[: len(texts) + 1].astype(np.int64)
-    text = np.frombuffer(flat, np.uint8)
-    count = np.diff(edges) - LENGTH + 1
-    first = np.cumsum(count) - count
-    starts = np.arange(int(count.sum())) - np.repeat(first, count) + np.repeat(edges[:-1], count)
-    group = suffix_classes(text, starts)
-    least = np.full(len(texts), np.iinfo(np.int64).max)
-    np.minimum.at(least, code, doc)
-    smallest = np.full(int(group.max()) + 1, np.iinfo(np.int64).max)
-    np.minimum.at(smallest, group, np.repeat(least, count))
-    smallest = smallest[group]  # of each start of each distinct context
-    step = max(1, 2_000_000 // max(1, int(count.max())))
-    for at in range(0, len(doc), step):
-        c, d, lo = code[at : at + step], doc[at : at + step], low[at : at + step]
-        n = count[c]
-        begin = np.cumsum(n) - n
-        within = np.arange(int(n.sum())) - np.repeat(begin, n)
-        covered = smallest[np.repeat(first[c], n) + within] < np.repeat(d, n)
-        new = covered.copy()
-        new[1:] &= ~(covered[:-1] & (within[1:] > 0))
-        end = covered.copy()
-        end[:-1] &= ~(covered[1:] & (within[1:] > 0))
-        s, e = np.flatnonzero(new), np.flatnonzero(end)
-        place = np.repeat(lo, n) + within
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(d, n)[s]), pa.array(place[s]), pa.array(place[e] + LENGTH)], names=["doc_id", "start", "end"])
+    """Covered spans of a partition's contexts, in order of their anchors. All strings of an anchor are here."""
+    for rows in _walked(batches):
+        doc, low = rows["doc_id"].to_numpy(), rows["low"].to_numpy()
+        coded = rows["context"].combine_chunks().dictionary_encode()
+        code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        texts = coded.dictionary
+        _, where, flat = texts.buffers()
+        edges = np.frombuffer(where, np.int32)[: len(texts) + 1].astype(np.int64)
+        count = np.diff(edges) - LENGTH + 1
+        least, anchor = np.full(len(texts), np.iinfo(np.int64).max), np.zeros(len(texts), np.int64)
+        np.minimum.at(least, code, doc)
+        anchor[code] = rows["h"].to_numpy()
+        smallest = _least_of_starts(edges, np.frombuffer(flat, np.uint8), count, least, anchor)
+        first = np.cumsum(count) - count
+        # a context can be covered only where its own document is not the first with one of its strings
+        lowest = np.minimum.reduceat(smallest, first)
+        some = np.flatnonzero(lowest[code] < doc)
+        key = rows["key"].to_numpy()
+        step = max(1, 2_000_000 // int(count.max()))
+        for at in range(0, len(some), step):
+            i = some[at : at + step]
+            c, d, lo = code[i], doc[i], low[i]
+            n = count[c]
+            within = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            covered = smallest[np.repeat(first[c], n) + within] < np.repeat(d, n)
+            new = covered.copy()
+            new[1:] &= ~(covered[:-1] & (within[1:] > 0))
+            end = covered.copy()
+            end[:-1] &= ~(covered[1:] & (within[1:] > 0))
+            s, e = np.flatnonzero(new), np.flatnonzero(end)
+            place = np.repeat(lo, n) + within
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(d, n)[s]), pa.array(np.repeat(key[i], n)[s]), pa.array(place[s]), pa.array(place[e] + LENGTH)], names=["doc_id", "key", "start", "end"])
 
 
 def merged(spans: list[dict] | None) -> list[tuple[int, int]]:
@@ -259,67 +319,65 @@ def merged(spans: list[dict] | None) -> list[tuple[int, int]]:
 
 
 def whole_copies(documents: DataFrame) -> DataFrame:
-    """(doc_id, key, n_bytes) of texts of ``LENGTH`` bytes or more that equal a text of a smaller doc_id: all of them goes."""
+    """(doc_id, key, n_bytes, first) of texts of ``LENGTH`` bytes or more that equal a text of a smaller doc_id, ``first``: all of them goes."""
     known = documents.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("key"), F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("digest"), F.octet_length("text").cast("long").alias("n_bytes"))
     known = known.where(F.col("n_bytes") >= LENGTH)
     first = known.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first")
-    return known.join(first, "digest").where(F.col("doc_id") > F.col("first")).select("doc_id", "key", "n_bytes").distinct()
-
-
-def _shared_hashes(own: DataFrame) -> tuple[DataFrame, np.ndarray]:
-    """(doc_id, hashes): those anchors of a document that other documents have too; and the hot ones, which are not among them."""
-    found = own.mapInArrow(_occurrences, "h bigint, doc_id bigint, n bigint").repartition("h")
-    several = found.groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.sum("n").alias("n")).where("a < b").select("h", (F.col("n") > HOT).alias("hot"))
-    # one query for both, and n on both sides of the join, so that the shuffle of all anchors is made once
-    known = cut(found.join(several, "h").groupBy("doc_id").agg(F.sum("n").alias("n"), F.collect_list(F.when(~F.col("hot"), F.col("h"))).alias("hashes"), F.collect_list(F.when(F.col("hot"), F.col("h"))).alias("hot")))
-    hot = known.select(F.explode("hot").alias("h")).distinct().toPandas()["h"].to_numpy(np.int64)
-    return known.where(F.size("hashes") > 0).select("doc_id", "hashes"), hot
-
-
-def _sorted_spans(own: DataFrame, hashes: DataFrame) -> DataFrame:
-    contexts = own.join(hashes, "doc_id").mapInArrow(_contexts, "h bigint, doc_id bigint, low bigint, context binary")
-    # four times the usual partitions: each sorts its suffixes in memory
-    parts = 4 * int(own.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return contexts.repartition(parts, "h").mapInArrow(_spans, "doc_id bigint, start bigint, end bigint")
-
-
-def _hot_spans(own: DataFrame, hot: np.ndarray) -> DataFrame:
+    return known.join(first, "digest").where(F.col("doc_id") > F.col("first")).select("doc_id", "key", "n_bytes", "first").distinct()
+
+
+def _wanted(own: DataFrame, copies: DataFrame) -> DataFrame:
+    """(doc_id, hashes, hot, copies): anchors of a document that other documents have too, the hot ones among them, and keys of its texts that are copies."""
+    found, path = written(own.select("doc_id", "text").mapInArrow(_anchors, "h bigint, doc_id bigint"), "anchors")
+    several = found.groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count(F.lit(1)).alias("n")).where("a < b").select("h", (F.col("n") > HOT).alias("hot"))
+    several = cut(several)
+    known = cut(found.join(several, "h").groupBy("doc_id").agg(F.collect_set("h").alias("hashes"), F.collect_set(F.when(F.col("hot"), F.col("h"))).alias("hot")))
+    remove(own.sparkSession, path)
+    # a task writes the anchors of equal texts once, maybe under the doc_id of a copy: they are the first one's
+    moved = known.join(copies.select("doc_id", "first").distinct(), "doc_id")
+    moved = moved.select(F.col("first").alias("doc_id"), F.explode("hashes").alias("h"), "hot").select("doc_id", "h", F.array_contains("hot", F.col("h")).alias("is_hot"))
+    moved = moved.groupBy("doc_id").agg(F.collect_set("h").alias("more"), F.collect_set(F.when(F.col("is_hot"), F.col("h"))).alias("more_hot"))
+    none = F.array().cast("array<bigint>")
+    both = lambda a, b: F.array_union(F.coalesce(a, none), F.coalesce(b, none)).alias(a)
+    wanted = known.join(moved, "doc_id", "full").select("doc_id", both("hashes", "more"), both("hot", "more_hot"))
+    return wanted.join(copies.groupBy("doc_id").agg(F.collect_set("key").alias("copies")), "doc_id", "left")
+
+
+def _hot_spans(contexts: DataFrame) -> DataFrame:
     """Covered spans of the hot anchors' contexts, without a partition that holds all of an anchor."""
-    spark = own.sparkSession
-    shared = spark.sparkContext.broadcast(hot)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column("doc_id").to_pylist()
-            for row, data, grams_of in _texts(batch):
-                for made in _cut_contexts(row, data, grams_of, ids, shared.value):
-                    yield made.select(["doc_id", "low", "context"])
-
-    ensure_checkpoint_dir(spark)
-    path = f"{spark.sparkContext.getCheckpointDir()}/hot-{uuid.uuid4().hex}"
-    own.mapInArrow(run, "doc_id bigint, low bigint, context binary").write.parquet(path)  # equal contexts are one there in each column chunk
-    contexts = spark.read.parquet(path)
     distinct = cut(contexts.groupBy("context").agg(F.min("doc_id").alias("least")))
     strings = distinct.select("context", "least", F.posexplode(F.expr(f"transform(sequence(1, octet_length(context) - {LENGTH - 1}), i -> substring(context, i, {LENGTH}))")).alias("at", "string"))
     smallest = strings.groupBy("string").agg(F.min("least").alias("m"))
     starts = strings.join(smallest, "string").groupBy("context").agg(F.array_sort(F.collect_list(F.struct("at", "m"))).alias("starts"))
-    starts = cut(starts.select("context", F.col("starts.m").alias("m")))
-    placed = contexts.join(broadcast_if_small(starts, 50_000), "context")
-    placed = placed.select("doc_id", "low", F.expr("transform(m, x -> x < doc_id)").alias("c")).where("exists(c, x -> x)")
+    placed = contexts.join(cut(starts.select("context", F.col("starts.m").alias("m"))), "context")
+    placed = placed.select("doc_id", "key", "low", F.expr("transform(m, x -> x < doc_id)").alias("c")).where("exists(c, x -> x)")
     edge = lambda beside: f"filter(sequence(0, size(c) - 1), i -> c[i] and not coalesce(get(c, i {beside}), false))"
-    runs = placed.select("doc_id", "low", F.explode(F.arrays_zip(F.expr(edge("- 1")).alias("a"), F.expr(edge("+ 1")).alias("b"))).alias("r"))
-    return runs.select("doc_id", (F.col("low") + F.col("r.a")).alias("start"), (F.col("low") + F.col("r.b") + LENGTH).alias("end"))
+    runs = placed.select("doc_id", "key", "low", F.explode(F.arrays_zip(F.expr(edge("- 1")).alias("a"), F.expr(edge("+ 1")).alias("b"))).alias("r"))
+    return runs.select("doc_id", "key", (F.col("low") + F.col("r.a")).alias("start"), (F.col("low") + F.col("r.b") + LENGTH).alias("end"))
+
+
+def shared_contexts(documents: DataFrame, copies: DataFrame) -> tuple[DataFrame, str]:
+    """(h, hot, doc_id, key, low, context) of all contexts whose anchor is in several documents, as a table, and its path."""
+    own = documents.where("doc_id is not null").select("doc_id", "text", F.xxhash64("text").alias("key"))
+    joined = own.join(_wanted(own, copies), "doc_id").select("doc_id", "text", "key", "hashes", "hot", "copies")
+    return written(joined.mapInArrow(_cut_contexts, "h bigint, hot boolean, doc_id bigint, key bigint, low bigint, context binary"), "contexts")
 
 
 def repeats(documents: DataFrame) -> DataFrame:
-    """(doc_id, spans): byte spans that repeat strings of documents with a smaller doc_id; they may overlap."""
-    own = documents.select("doc_id", "text").where("doc_id is not null")
-    hashes, hot = _shared_hashes(own)
-    release_shuffles(own.sparkSession)
-    spans = _sorted_spans(own, hashes)
-    if len(hot):
-        spans = spans.unionByName(_hot_spans(own, hot))
-    return cut(spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans")))
+    """(doc_id, key, spans): byte spans of a text, known by the xxhash64 ``key``, that repeat strings of documents with a smaller doc_id; they may overlap."""
+    spark = documents.sparkSession
+    copies = cut(whole_copies(documents))
+    found, path = shared_contexts(documents, copies)
+    # twice the usual partitions: each sorts its suffixes in memory
+    parts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    spans = found.where("not hot").drop("hot").repartition(parts, "h").sortWithinPartitions("h").mapInArrow(_spans, "doc_id bigint, key bigint, start bigint, end bigint")
+    hot = found.where("hot").drop("h", "hot")
+    if not hot.isEmpty():
+        spans = spans.unionByName(_hot_spans(hot))
+    whole = copies.select("doc_id", "key", F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("end"))
+    spans = cut(spans.unionByName(whole).groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", "end")).alias("spans")))
+    remove(spark, path)
+    return spans
 
 
 def deduplicate(documents: DataFrame) -> DataFrame:
@@ -331,28 +389,16 @@ def deduplicate(documents: DataFrame) -> DataFrame:
             sizes, removed, kept = [], [], []
             for text, spans in zip(batch.column("text"), batch.column("spans").to_pylist(), strict=True):
                 data = (text.as_py() or "").encode()
-                gone = [(s, min(e, len(data))) for s, e in merged(spans) if s < len(data)]
+                gone = merged(spans)
                 edges = [0, *(x for s in gone for x in s), len(data)]
                 kept.append(b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)))
                 sizes.append(len(data))
                 removed.append([{"start": s, "end": e} for s, e in gone])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(removed, kind), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "spans", "kept"])
 
-    spark, spanned = documents.sparkSession, "array<struct<start:bigint,end:bigint>>"
-    copies = cut(whole_copies(documents))
-    keyed = documents.select("doc_id", "text", F.xxhash64("text").alias("key"))
-    same = copies.select(F.col("doc_id").alias("c"), F.col("key").alias("k"))
-    rest = keyed.join(broadcast_if_small(same), (F.col("doc_id") == F.col("c")) & (F.col("key") == F.col("k")), "left_anti").select("doc_id", "text")
-    spans = repeats(rest)
-    release_shuffles(spark)
-    # texts without spans stay where they are; only the others are shuffled to their spans
-    ids = broadcast_if_small(spans.select(F.col("doc_id").alias("s")))
-    whole = rest.join(ids, F.col("doc_id") == F.col("s"), "left_anti")
-    whole = whole.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.expr(f"cast(array() as {spanned})").alias("spans"), F.coalesce(F.col("text").cast("binary"), F.unhex(F.lit(""))).alias("kept"))
-    cut_up = rest.join(ids, F.col("doc_id") == F.col("s"), "left_semi").join(spans, "doc_id").select("doc_id", "text", "spans").mapInArrow(run, f"doc_id bigint, n_bytes bigint, spans {spanned}, kept binary")
-    gone = documents.select("doc_id", F.xxhash64("text").alias("key")).join(broadcast_if_small(copies), ["doc_id", "key"])
-    gone = gone.select("doc_id", "n_bytes", F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("end"))).alias("spans"), F.unhex(F.lit("")).alias("kept"))
-    return whole.unionByName(cut_up).unionByName(gone)
+    spans = repeats(documents)
+    rows = documents.select("doc_id", "text", F.xxhash64("text").alias("key")).join(spans, ["doc_id", "key"], "left")
+    return rows.select("doc_id", "text", "spans").mapInArrow(run, f"doc_id bigint, n_bytes bigint, spans {SPANS}, kept binary")
 
 
 def digest(cleaned: DataFrame) -> DataFrame:
