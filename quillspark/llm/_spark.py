@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,8 +70,20 @@ def broadcast_if_small(df: DataFrame, max_rows: int = 250_000) -> DataFrame:
 
 
 def bounded_sample(df: DataFrame, max_rows: int, key: str = "doc_id") -> DataFrame:
-    """At most ``max_rows`` rows of ``df``: those below a hash cut that its counted rows set, so the same rows each time and about 95 % of the bound."""
+    """At most ``max_rows`` rows of ``df``: the first ones by hash of those below a hash cut that the counted rows set, so the same rows each time."""
     n = df.count()
     if n <= max_rows:
         return df
-    return df.where(F.pmod(F.xxhash64(key, F.lit(17)), F.lit(1_000_000)) < int(950_000 * max_rows / n)).limit(max_rows)
+    hashed = F.xxhash64(key, F.lit(17))
+    return df.where(hashed < -(2**63) + 2**64 * 19 * max_rows // (20 * n)).orderBy(hashed, key).limit(max_rows)
+
+
+def sampled_texts(documents: DataFrame, sample: DataFrame, max_bytes: int) -> pd.DataFrame:
+    """The ``documents`` rows (doc_id, text, ...) of a bounded ``sample``, in order of doc_id, with its columns: whole texts, in hash order, as long as they fit into ``max_bytes``."""
+    sample = F.broadcast(sample)  # bounded rows of numbers
+    sizes = documents.join(sample.select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.max(F.octet_length("text")).alias("bytes"), F.first(F.xxhash64("doc_id", F.lit(17))).alias("h")).toPandas()
+    sizes = sizes.sort_values("h", ignore_index=True)
+    ids = sizes["doc_id"][sizes["bytes"].fillna(0).cumsum() <= max_bytes].tolist()
+    fits = F.broadcast(documents.sparkSession.createDataFrame([(int(i),) for i in ids], "doc_id long"))
+    got = documents.join(sample, "doc_id").join(fits, "doc_id", "left_semi").toPandas()
+    return got.sort_values(["doc_id", "text"], ignore_index=True).drop_duplicates("doc_id", ignore_index=True)

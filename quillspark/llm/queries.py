@@ -55,12 +55,12 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = toxicity.score_toxicity(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
-    return scored.withColumn("held_out", toxicity.held_out(F.col("doc_id")))
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "threshold", "flagged")
 
 
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return language.identify(docs, language.fit(docs)).withColumn("held_out", toxicity.held_out(F.col("doc_id")))
+    return language.identify(docs, language.fit(docs)).select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

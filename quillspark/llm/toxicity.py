@@ -4,10 +4,11 @@ Words have hashed embeddings: one half by the whole word, the other by its first
 ``STEM`` bytes, so that inflected and joined forms share a half, and a short word
 looks like another only where two independent hashes collide. Filters of several
 widths run over the words, their outputs are max-pooled over the whole text,
-and a logistic layer scores what is left. The network is trained in numpy, by
-back-propagation through the pooled places, on a bounded sample of labelled rows
-(``max_fit_rows``, in equal parts of both labels, those below a hash cut). Embeddings start with
-the labels' document log odds of their bucket in their first place.
+and a logistic layer scores what is left. The network starts from random numbers and is trained in numpy, by
+back-propagation, on a bounded sample of labelled rows
+(``max_fit_rows``, in equal parts of both labels, those below a hash cut, and ``max_fit_bytes`` of their texts).
+In the first epochs the pooling is softened (a log mean of exponentials, which passes a gradient to every
+place), then it becomes the maximum (``PHASES``). Words are dropped at random while it learns, and embeddings decay.
 
 A part of the sample (``calibration`` of it) is kept from training. On it and on all
 labelled rows outside the sample and the held-out fifth the score is
@@ -23,6 +24,7 @@ Defined results: a null or empty text is scored as padding alone; words are runs
 of ASCII letters, digits and non-ASCII characters, in lower case; with no labels
 or one kind of label the score is that label's smoothed share; a language without
 both labels among the rows not trained on has 0.5; labels that disagree on a doc_id count as their largest;
+rows that repeat a doc_id, or have none, are scored each by its own text (a repeated id is learned from once);
 columns besides the named ones are ignored.
 """
 
@@ -36,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm._spark import bounded_sample, cut
+from quillspark.llm._spark import bounded_sample, cut, sampled_texts
 from quillspark.llm._text import ALNUM, LOWER, slices, word_hashes, words
 
 WIDTHS = (1, 2, 3)
@@ -45,6 +47,7 @@ HALF = 4
 STEM = 8
 SLICE = 1 << 18
 BIN = 1 / 64  # of the logit
+PHASES = ((1.0, 4), (4.0, 2), (None, 3))  # sharpness of the pooling, epochs
 PULL = 20  # labels of a language's rarer kind at which its own cut and the overall one weigh the same
 
 
@@ -59,107 +62,102 @@ def tokens(column: pa.Array, buckets: int) -> Iterator[tuple[int, int, np.ndarra
         yield first, last - first, both, np.searchsorted(row, np.arange(last - first + 1))
 
 
-def _log_odds(rows: list[np.ndarray], y: np.ndarray, buckets: int) -> np.ndarray:
-    """Smoothed log odds of a bucket's document frequencies, for both tables."""
-    out = np.zeros((2, buckets))
-    for half in range(2):
-        count = np.zeros((2, buckets))
-        for ids, label in zip(rows, y, strict=True):
-            count[int(label), np.unique(ids[:, half])] += 1
-        total = np.maximum(1, np.array([(y == 0).sum(), (y == 1).sum()]))[:, None]
-        share = np.log(count + 2) - np.log(total + 4)
-        out[half] = share[1] - share[0]
-    return out
-
-
 class ConvNet:
     """Hashed embeddings, filters of several widths, max pooling, a logistic layer."""
 
     def __init__(self, buckets: int, seed: int):
         rng = np.random.default_rng(seed)
-        self.tables = rng.normal(0, 0.05, (2, buckets, HALF)).astype(np.float32)
-        self.filters = {w: rng.normal(0, 0.2, (w, 2 * HALF, FILTERS)).astype(np.float32) for w in WIDTHS}
-        self.bias = {w: np.zeros(FILTERS, np.float32) for w in WIDTHS}
-        self.out = rng.normal(0, 0.1, len(WIDTHS) * FILTERS).astype(np.float32)
-        self.shift = 0.0
+        self.tables = rng.normal(0, 0.1, (2, buckets, HALF)).astype(np.float32)
+        self.filters = {w: rng.normal(0, 0.3, (w, 2 * HALF, FILTERS)).astype(np.float32) for w in WIDTHS}
+        self.bias = np.zeros(len(WIDTHS) * FILTERS, np.float32)
+        self.out = rng.normal(0, 0.3, len(WIDTHS) * FILTERS).astype(np.float32)
+        self.shift = np.zeros(1, np.float32)
         self.scale, self.offset = 1.0, 0.0
 
-    def start(self, odds: np.ndarray) -> None:
-        """The first filter of width 1 looks for log odds that are high in both tables."""
-        self.tables[:, :, 0] = np.clip(odds, -5, 5) / 2
-        self.filters[1][:, :, 0] = 0
-        self.filters[1][0, [0, HALF], 0] = 1
-        self.bias[1][0] = -1
-        self.out[0] = 2
-
-    def embed(self, ids: np.ndarray) -> np.ndarray:
-        return np.concatenate([self.tables[0][ids[:, 0]], self.tables[1][ids[:, 1]]], axis=1)
-
-    def _forward(self, rows: list[np.ndarray]):
-        pooled = np.zeros((len(rows), len(WIDTHS) * FILTERS), np.float32)
-        places = np.zeros((len(rows), len(WIDTHS) * FILTERS), np.int64)
-        xs = [self.embed(r) for r in rows]
-        for i, x in enumerate(xs):
-            if not len(x):
-                pooled[i] = np.concatenate([self.bias[w] for w in WIDTHS])
-                continue
-            for j, w in enumerate(WIDTHS):
-                conv = x @ self.filters[w][0]
-                for k in range(1, min(w, len(x))):
-                    conv[:-k] += x[k:] @ self.filters[w][k]
-                at = conv.argmax(axis=0)
-                part = slice(j * FILTERS, (j + 1) * FILTERS)
-                places[i, part] = at
-                pooled[i, part] = conv[at, np.arange(FILTERS)] + self.bias[w]
-        hidden = np.maximum(pooled, 0)
-        return xs, places, pooled, hidden, hidden @ self.out + self.shift
-
-    def logits(self, rows: list[np.ndarray]) -> np.ndarray:
-        return np.concatenate([self._forward(rows[i : i + 64])[-1] for i in range(0, len(rows), 64)]) if rows else np.zeros(0)
-
-    def train(self, rows: list[np.ndarray], y: np.ndarray, *, epochs: int, rate: float, seed: int, decay: float = 1e-4) -> None:
+    def _forward(self, ids: np.ndarray, edges: np.ndarray, sharp: float | None) -> dict:
+        """Everything back-propagation needs, for texts of words ``ids`` between ``edges``; ``sharp``: of the softened maximum, None: the maximum."""
+        n = np.diff(edges)
+        row, full = np.repeat(np.arange(len(n)), n), np.flatnonzero(n)
+        x = np.concatenate([self.tables[0][ids[:, 0]], self.tables[1][ids[:, 1]]], axis=1)
+        same = {k: (row[k:] == row[:-k])[:, None] for k in range(1, max(WIDTHS))}
+        conv = np.empty((len(x), len(WIDTHS) * FILTERS), np.float32)
+        for j, w in enumerate(WIDTHS):
+            own = conv[:, j * FILTERS : (j + 1) * FILTERS]
+            own[:] = x @ self.filters[w][0]
+            for k in range(1, w):
+                own[:-k] += (x[k:] @ self.filters[w][k]) * same[k]
+        pooled = np.zeros((len(n), conv.shape[1]), np.float32)
+        shares = np.zeros_like(conv)  # of a pooled value's gradient that each place gets
+        if len(full):
+            pooled[full] = np.maximum.reduceat(conv, edges[full])
+            if sharp is None:
+                at = np.minimum.reduceat(np.where(conv == pooled[row], np.arange(len(x))[:, None], len(x)), edges[full])
+                shares[at, np.arange(conv.shape[1])] = 1
+            else:
+                e = np.exp(sharp * (conv - pooled[row]))
+                total = np.ones_like(pooled)
+                total[full] = np.add.reduceat(e, edges[full])
+                shares = e / total[row]
+                pooled += np.log(total / np.maximum(n, 1)[:, None]) / np.float32(sharp)
+        ahead = pooled + self.bias
+        hidden = np.maximum(ahead, 0)
+        return {"row": row, "x": x, "same": same, "shares": shares, "live": ahead > 0, "hidden": hidden, "logit": hidden @ self.out + self.shift[0]}
+
+    def gradients(self, ids: np.ndarray, edges: np.ndarray, y: np.ndarray, weight: np.ndarray, sharp: float | None) -> tuple[dict, np.ndarray]:
+        """Of the weighted cross entropy: by the dense parameters' names, and by each word's embedding."""
+        made = self._forward(ids, edges, sharp)
+        g = ((1 / (1 + np.exp(-np.clip(made["logit"], -30, 30))) - y) * weight).astype(np.float32)
+        d = g[:, None] * self.out * made["live"]
+        places, x, same = made["shares"] * d[made["row"]], made["x"], made["same"]
+        grads = {"out": made["hidden"].T @ g, "bias": d.sum(axis=0), "shift": np.array([g.sum()], np.float32)}
+        dx = np.zeros_like(x)
+        for j, w in enumerate(WIDTHS):
+            own = places[:, j * FILTERS : (j + 1) * FILTERS]
+            df = np.zeros_like(self.filters[w])
+            df[0] = x.T @ own
+            dx += own @ self.filters[w][0].T
+            for k in range(1, w):
+                part = own[:-k] * same[k]
+                df[k] = x[k:].T @ part
+                dx[k:] += part @ self.filters[w][k].T
+            grads[f"f{w}"] = df
+        return grads, dx
+
+    def train(self, rows: list[np.ndarray], y: np.ndarray, *, phases: tuple, rate: float, seed: int, batch: int = 32, decay: float = 1e-4, forget: float = 1e-3, drop: float = 0.3) -> None:
+        """Adam for the dense parameters, Adagrad for the embeddings of the words of a batch, which decay by ``forget``."""
         rng = np.random.default_rng(seed)
-        grads = {"out": self.out, **{f"f{w}": self.filters[w] for w in WIDTHS}, **{f"b{w}": self.bias[w] for w in WIDTHS}}
-        held = {k: np.full_like(v, 1e-3) for k, v in grads.items()}
-        table_held = np.full_like(self.tables, 1e-3)
-        for _ in range(epochs):
-            order = rng.permutation(len(rows))
-            for at in range(0, len(rows), 32):
-                pick = order[at : at + 32]
-                xs, places, pooled, hidden, logit = self._forward([rows[i] for i in pick])
-                g = (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - y[pick]).astype(np.float32) / len(pick)
-                d = g[:, None] * self.out * (pooled > 0)
-                made = {"out": hidden.T @ g + decay * self.out}
-                self.shift -= rate * float(g.sum())
-                touched, pulls = [], []
-                for j, w in enumerate(WIDTHS):
-                    df, part = np.zeros_like(self.filters[w]), d[:, j * FILTERS : (j + 1) * FILTERS]
-                    for i, x in enumerate(xs):
-                        live = np.flatnonzero(part[i]) if len(x) else ()
-                        for f in live:
-                            p = places[i, j * FILTERS + f]
-                            for k in range(min(w, len(x) - p)):
-                                df[k, :, f] += part[i, f] * x[p + k]
-                                touched.append(rows[pick[i]][p + k])
-                                pulls.append(part[i, f] * self.filters[w][k, :, f])
-                    made[f"f{w}"], made[f"b{w}"] = df + decay * self.filters[w], part.sum(axis=0)
-                for k, v in made.items():
-                    held[k] += v * v
-                    grads[k] -= rate * v / np.sqrt(held[k])
-                if touched:
-                    ids, pull = np.array(touched), np.array(pulls)
+        dense = {"out": self.out, "bias": self.bias, "shift": self.shift, **{f"f{w}": self.filters[w] for w in WIDTHS}}
+        m1, m2 = ({k: np.zeros_like(v) for k, v in dense.items()} for _ in range(2))
+        held = np.zeros_like(self.tables)
+        rarer = float(np.sqrt((y == 0).sum() / max(1, (y == 1).sum())))
+        step = 0
+        for sharp, epochs in phases:
+            for _ in range(epochs):
+                order = rng.permutation(len(rows))
+                for at in range(0, len(rows), batch):
+                    pick, step = order[at : at + batch], step + 1
+                    texts = [rows[i][rng.random(len(rows[i])) >= drop] for i in pick]
+                    ids = np.concatenate(texts)
+                    grads, dx = self.gradients(ids, np.cumsum([0, *map(len, texts)]), y[pick], np.where(y[pick] == 1, rarer, 1) / len(pick), sharp)
+                    for k, g in grads.items():
+                        if k == "out" or k[0] == "f":
+                            g = g + decay * dense[k]
+                        m1[k] = 0.9 * m1[k] + 0.1 * g
+                        m2[k] = 0.999 * m2[k] + 0.001 * g * g
+                        dense[k] -= rate * (m1[k] / (1 - 0.9**step)) / (np.sqrt(m2[k] / (1 - 0.999**step)) + 1e-7)
                     for half in range(2):
-                        total = np.zeros((len(ids), HALF), np.float32)
-                        unique, where = np.unique(ids[:, half], return_inverse=True)
-                        total = np.zeros((len(unique), HALF), np.float32)
-                        np.add.at(total, where, pull[:, half * HALF : (half + 1) * HALF])
-                        table_held[half][unique] += total * total
-                        self.tables[half][unique] -= rate * total / np.sqrt(table_held[half][unique])
+                        part = dx[:, half * HALF : (half + 1) * HALF]
+                        live = np.abs(part).max(axis=1) > 1e-9
+                        unique, where = np.unique(ids[live, half], return_inverse=True)
+                        total = forget * self.tables[half][unique]
+                        np.add.at(total, where, part[live])
+                        held[half][unique] += total * total
+                        self.tables[half][unique] -= 5 * rate * total / (np.sqrt(held[half][unique]) + 1e-4)
 
     def model(self) -> dict:
         """What scoring needs; all filters side by side, a block of columns for each width and place."""
         wide = np.concatenate([self.filters[w][k] for w in WIDTHS for k in range(w)], axis=1)
-        return {"tables": self.tables, "filters": wide, "bias": np.concatenate([self.bias[w] for w in WIDTHS]), "out": self.out, "shift": self.shift, "scale": self.scale, "offset": self.offset, "buckets": self.tables.shape[1]}
+        return {"tables": self.tables, "filters": wide, "bias": self.bias, "out": self.out, "shift": float(self.shift[0]), "scale": self.scale, "offset": self.offset, "buckets": self.tables.shape[1]}
 
 
 def _logit_rows(model: dict, ids: np.ndarray, edges: np.ndarray, rows: int) -> np.ndarray:
@@ -196,18 +194,17 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
 
 
-def fit(documents: DataFrame, labels: DataFrame, *, max_fit_rows: int = 4000, buckets: int = 1 << 18, calibration: float = 0.25, epochs: int = 3, seed: int = 7) -> dict:
+def fit(documents: DataFrame, labels: DataFrame, *, max_fit_rows: int = 4000, max_fit_bytes: int = 1 << 26, buckets: int = 1 << 18, calibration: float = 0.25, phases: tuple = PHASES, seed: int = 7) -> dict:
     """Train on at most ``max_fit_rows`` labelled rows outside the held-out fifth; the model as arrays of fixed size, with thresholds by language."""
     known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.where(~held_out(F.col("doc_id")))
     share = known.agg(F.avg("toxic").alias("p"), F.count(F.lit(1)).alias("n")).first()
     halves = [bounded_sample(known.where(F.col("toxic") == label), max_fit_rows // 2) for label in (0, 1)]
-    sample = F.broadcast(halves[0].unionByName(halves[1]).select("doc_id", "toxic"))  # at most max_fit_rows pairs of numbers
-    got = documents.select("doc_id", "text", "lang").join(sample, "doc_id").toPandas().drop_duplicates("doc_id").sort_values("doc_id", ignore_index=True)
+    got = sampled_texts(documents.select("doc_id", "text"), halves[0].unionByName(halves[1]).select("doc_id", "toxic"), max_fit_bytes)
     net = ConvNet(buckets, seed)
     if not len(got) or got["toxic"].nunique() < 2:
         p = ((share["p"] or 0) * share["n"] + 1) / (share["n"] + 2)
-        net.out[:], net.shift = 0, float(np.log(p / (1 - p)))
+        net.out[:], net.shift[0] = 0, float(np.log(p / (1 - p)))
         return net.model() | {"thresholds": {}}
     rows = [ids[a:b] for _, n, ids, e in tokens(pa.array(got["text"].fillna(""), pa.string()), buckets) for a, b in zip(e[:-1], e[1:], strict=True)]
     y = got["toxic"].to_numpy(np.float32)
@@ -217,8 +214,7 @@ def fit(documents: DataFrame, labels: DataFrame, *, max_fit_rows: int = 4000, bu
         at = np.flatnonzero(y == label)
         aside[rng.permutation(at)[: int(len(at) * calibration)]] = True
     learn = [rows[i] for i in np.flatnonzero(~aside)]
-    net.start(_log_odds(learn, y[~aside], buckets))
-    net.train(learn, y[~aside], epochs=epochs, rate=0.01, seed=seed)
+    net.train(learn, y[~aside], phases=phases, rate=0.01, seed=seed)
     trained = documents.sparkSession.createDataFrame([(int(i),) for i in got["doc_id"][~aside]], "doc_id long")
     counts = cut(_label_counts(documents, known.join(F.broadcast(trained), "doc_id", "left_anti"), net.model()))
     whole = counts.groupBy("bin", "toxic").agg(F.sum("n").alias("n")).toPandas()  # two rows a bin at most

@@ -141,7 +141,53 @@ def test_pooling_ends_with_the_text():
     rows = [rng.integers(0, 1 << 10, (n, 2)) for n in (5, 0, 1, 2, 7)]
     edges = np.cumsum([0, *map(len, rows)])
     got = toxicity._score_rows(net.model(), np.concatenate(rows), edges, len(rows))
-    assert got == pytest.approx(1 / (1 + np.exp(-net.logits(rows))), abs=1e-5)
+    assert got == pytest.approx(1 / (1 + np.exp(-net._forward(np.concatenate(rows), edges, None)["logit"])), abs=1e-5)
+
+
+@pytest.mark.parametrize("sharp", [None, 2.0])
+def test_convolution_gradients(sharp):
+    """Back-propagation through pooling and filters against finite differences."""
+    net, rng = toxicity.ConvNet(1 << 6, 3), np.random.default_rng(1)
+    net.tables = net.tables.astype(np.float64) * 5
+    net.bias[:] = 0.1  # away from the kink at 0, where an empty text is
+    ids, edges = rng.integers(0, 1 << 6, (12, 2)), np.array([0, 5, 5, 6, 12])
+    y, weight = np.array([1.0, 0, 1, 0]), np.array([0.25, 0.5, 1, 0.25])
+
+    def loss():
+        z = net._forward(ids, edges, sharp)["logit"]
+        return float((weight * (np.logaddexp(0, z) - y * z)).sum())
+
+    grads, dx = net.gradients(ids, edges, y, weight, sharp)
+    for name, values in {"out": net.out, "bias": net.bias, "shift": net.shift, **{f"f{w}": net.filters[w] for w in toxicity.WIDTHS}}.items():
+        for at in list(np.ndindex(values.shape))[:: max(1, values.size // 7)]:
+            was = values[at]
+            values[at] = was + 2e-4
+            high = loss()
+            values[at] = was - 2e-4
+            low = loss()
+            values[at] = was
+            assert (high - low) / 4e-4 == pytest.approx(grads[name][at], abs=2e-3)
+    summed = np.zeros_like(net.tables[0])
+    np.add.at(summed, ids[:, 0], dx[:, : toxicity.HALF])
+    for b in np.unique(ids[:, 0])[:5]:
+        net.tables[0][b, 1] += 2e-4
+        high = loss()
+        net.tables[0][b, 1] -= 4e-4
+        low = loss()
+        net.tables[0][b, 1] += 2e-4
+        assert (high - low) / 4e-4 == pytest.approx(summed[b, 1], abs=2e-3)
+
+
+def test_random_start_learns_toxicity(spark):
+    """The query's held-out figures: nothing but training tells toxic texts from clean ones."""
+    sf = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{sf}/labels.parquet").where("toxic is not null").select("doc_id", "toxic")
+    got = queries.op7_toxicity(spark, sf).where("held_out").join(labels, "doc_id").toPandas()
+    ranks = got["score"].rank()
+    bad = got["toxic"] == 1
+    auc = (ranks[bad].sum() - bad.sum() * (bad.sum() + 1) / 2) / (bad.sum() * (~bad).sum())
+    print("held out:", len(got), "auc", auc, "recall", got["predicted"][bad].mean(), "flagged", got["flagged"][bad].mean(), "false", got["predicted"][~bad].mean())
+    assert auc > 0.95 and got["predicted"][bad].mean() > 0.75 and got["predicted"][~bad].mean() < 0.01
 
 
 def test_language(spark):
