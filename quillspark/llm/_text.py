@@ -97,14 +97,20 @@ def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np.
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each word's bytes, the same in every process."""
-    if not len(starts):
-        return np.zeros(0, dtype=np.uint64)
     lens = ends - starts
-    first = np.concatenate(([0], np.cumsum(lens)[:-1]))
-    place = np.arange(int(lens.sum())) - np.repeat(first, lens)
-    taken = data[place + np.repeat(starts, lens)]
-    sums = np.add.reduceat(_BYTE[taken] * powers(int(lens.max()))[place], first)
-    return mix(sums + lens.astype(np.uint64))
+    out = np.zeros(len(starts), dtype=np.uint64)
+    # about ``SLICE_BYTES`` of words at a time: a long text stands alone in its slice
+    edges = np.searchsorted(np.cumsum(lens), np.arange(SLICE_BYTES, int(lens.sum()), SLICE_BYTES)) if len(lens) else []
+    for low, high in zip([0, *edges], [*edges, len(lens)], strict=True):
+        if low == high:
+            continue
+        own = lens[low:high]
+        first = np.concatenate(([0], np.cumsum(own)[:-1]))
+        place = np.arange(int(own.sum())) - np.repeat(first, own)
+        taken = data[place + np.repeat(starts[low:high], own)]
+        sums = np.add.reduceat(_BYTE[taken] * powers(int(own.max()))[place], first)
+        out[low:high] = mix(sums + own.astype(np.uint64))
+    return out
 
 
 def gram_hashes(hashes: np.ndarray, k: int) -> np.ndarray:

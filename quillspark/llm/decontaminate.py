@@ -1,22 +1,23 @@
 """Benchmark decontamination by winnowing.
 
-Both texts become word sequences; of every ``window - gram + 1`` consecutive
-``gram``-word hashes the smallest (the last one of equals) is kept as a
-fingerprint. Any ``window`` words that a document shares with an item hold the
-same kept fingerprint at the same place, so no shared span of that length is
-lost. Training and test fingerprints are joined, and every hit is extended word
-by word along its context in both texts; only extensions that reach the full
-window count.
+Both texts become word sequences. Of the ``gram``-word hashes in each window of ``window`` consecutive
+words the smallest (the last one of equals) is kept as its
+fingerprint. A window that a document shares with an item has the
+same fingerprint at the same place, so no shared span of that length is
+lost. Fingerprints of a document that are fingerprints of the benchmark are hits; a hit is extended to the
+whole windows around it, and what the two sides share of those is joined on two 64-bit hashes.
+Neighbouring shared windows make up the span.
 
 An item of fewer words is one window of its own length ``L``. Winnowing gives no
 guarantee below ``window`` words, so for each such length that occurs every
 ``L``-word hash of the documents is a fingerprint.
 
-Document fingerprints are looked up in a Bloom filter of the test fingerprints
-(``bloom_bits``, of fixed size whatever the inputs) before they are shuffled: it only drops what the join
-would drop.
+Fingerprints and windows of documents are looked up in a Bloom filter of the benchmark's (16 bits for each
+counted entry, ``bloom_bits`` at most) before they are shuffled: it only drops what the join
+would drop. Only hits are joined; a distinct window is matched once whatever the number of items that hold it,
+and a window that many documents share is a skewed join that Spark can split.
 
-Defined results: a null or empty text has no words and is never hit; items
+Defined results: one row for each row of documents, whatever its doc_id (null and repeated ids included); a null or empty text has no words and is never hit; items
 without words never occur; equal items are all reported, as items with one id
 are one item; items of null id are left out; columns besides the named ones are
 ignored; empty tables give empty (or clean) results.
@@ -31,12 +32,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm._text import ALNUM, LOWER, gram_hashes, slices, word_hashes, words
+from quillspark.llm._spark import cut
+from quillspark.llm._text import ALNUM, LOWER, gram_hashes, mix, slices, word_hashes, words
 
-HIT = "array<struct<f:bigint,at:int,before:int,context:array<bigint>>>"
+ENTRY = "a bigint, b bigint, at bigint, size bigint"
 
 
-def _kept(grams: np.ndarray, per: int) -> np.ndarray:
+def _smallest(grams: np.ndarray, per: int) -> np.ndarray:
     """Places of the smallest of each ``per`` consecutive hashes, the last of equals; for runs shorter than that none."""
     n = len(grams) - per + 1
     if n <= 0:
@@ -47,23 +49,17 @@ def _kept(grams: np.ndarray, per: int) -> np.ndarray:
         take = at <= low
         best[take] = np.flatnonzero(take) + j
         low[take] = at[take]
-    return np.unique(best)
+    return best
 
 
-def _fingerprints(hashes: np.ndarray, window: int, gram: int, short: list[int]) -> list[tuple[int, np.ndarray, np.ndarray]]:
-    """(words, hashes, places) of the winnowed grams, and of all grams of each short length."""
-    grams = gram_hashes(hashes, gram)
-    at = _kept(grams, window - gram + 1)
-    found = [(gram, grams[at], at)]
-    for length in short:
-        # a salt keeps the fingerprints of different lengths apart
-        each = gram_hashes(hashes, length) ^ np.uint64(0x9E3779B97F4A7C15 * length % 2**64)
-        found.append((length, each, np.arange(len(each))))
-    return found
+def _window_hashes(hashes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent hashes of each run of ``size`` words; sizes are kept apart."""
+    salt = np.uint64(0x9E3779B97F4A7C15 * size % 2**64)
+    return gram_hashes(hashes, size) ^ salt, gram_hashes(mix(hashes ^ np.uint64(0xD6E8FEB86659FD93)), size) ^ salt
 
 
 class _Bloom:
-    """Two bits for each fingerprint, in a filter of fixed size."""
+    """Two bits for each entry."""
 
     def __init__(self, bits: int):
         self.mask = np.uint64(bits - 1)
@@ -94,98 +90,111 @@ def _by_row(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
             yield first + i, hashes[edges[i] : edges[i + 1]]
 
 
-def _hits(hashes: np.ndarray, window: int, gram: int, short: list[int], bloom: _Bloom | None) -> list[dict]:
-    """Fingerprints with as many words on both sides as an occurrence of the window can reach."""
-    out = []
-    for i, (length, values, places) in enumerate(_fingerprints(hashes, window, gram, short)):
-        if bloom is not None and len(values):
-            ok = bloom.has(values)
-            values, places = values[ok], places[ok]
-        reach = 0 if i else window - gram
-        for f, p in zip(values.view(np.int64).tolist(), places.tolist()):
-            low = max(0, p - reach)
-            out.append({"f": f, "at": p, "before": p - low, "context": hashes[low : p + length + reach].view(np.int64).tolist()})
-    return out
-
-
-def benchmark_fingerprints(benchmark: DataFrame, window: int, gram: int) -> DataFrame:
-    """(f, item_id, item_before, item_context, need, short) of every item: winnowed grams, or for a short item its whole sequence."""
+def _shared_windows(hashes: np.ndarray, window: int, gram: int, short: list[int], bloom: _Bloom | None) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(words, places, first hashes, second hashes) of the windows whose fingerprint and hash the filter has, if there is one."""
+    grams = gram_hashes(hashes, gram)
+    kept = grams[_smallest(grams, window - gram + 1)]
+    places = np.arange(len(kept)) if bloom is None else np.flatnonzero(bloom.has(kept))
+    if len(places):
+        a, b = _window_hashes(hashes, window)
+        if bloom is not None:
+            places = places[bloom.has(a[places])]
+        yield window, places, a[places], b[places]
+    for size in short:
+        a, b = _window_hashes(hashes, size)
+        places = np.arange(len(a)) if bloom is None else np.flatnonzero(bloom.has(a))
+        if len(places):
+            yield size, places, a[places], b[places]
+
+
+def benchmark_windows(benchmark: DataFrame, window: int, gram: int) -> DataFrame:
+    """(f, a, b, size, item_id) of every item: the fingerprint and the hashes of each window, or for a short item of its whole sequence."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, rows = batch.column("item_id").to_pylist(), []
+            ids = batch.column("item_id")
             for row, hashes in _by_row(batch):
                 n = len(hashes)
-                if not n or ids[row] is None:
+                if not n or not ids[row].is_valid:
                     continue
-                if n < window:
-                    (_, f, _), = _fingerprints(hashes, window, gram, [n])[1:]
-                    rows.append({"f": int(f.view(np.int64)[0]), "item_id": ids[row], "item_before": 0, "item_context": hashes.view(np.int64).tolist(), "need": n, "short": True})
-                else:
-                    rows += [{"f": h["f"], "item_id": ids[row], "item_before": h["before"], "item_context": h["context"], "need": window, "short": False} for h in _hits(hashes, window, gram, [], None)]
-            yield pa.RecordBatch.from_pylist(rows, schema=kind)
-
-    kind = pa.schema([("f", pa.int64()), ("item_id", pa.string()), ("item_before", pa.int32()), ("item_context", pa.list_(pa.int64())), ("need", pa.int32()), ("short", pa.bool_())])
+                size = min(n, window)
+                a, b = _window_hashes(hashes, size)
+                grams = gram_hashes(hashes, gram)
+                f = grams[_smallest(grams, window - gram + 1)] if size == window else a
+                yield pa.RecordBatch.from_arrays([*(pa.array(x.view(np.int64)) for x in (f, a, b)), pa.array(np.full(len(a), size)), pa.array([ids[row].as_py()] * len(a), pa.string())], names=["f", "a", "b", "size", "item_id"])
+
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text")
-    return items.mapInArrow(run, "f bigint, item_id string, item_before int, item_context array<bigint>, need int, short boolean")
+    return items.mapInArrow(run, "f bigint, a bigint, b bigint, size bigint, item_id string").distinct()
 
 
-def decontaminate(documents: DataFrame, benchmark: DataFrame, *, window: int = 10, gram: int = 5, bloom_bits: int = 1 << 23) -> DataFrame:
-    """One row for each document: doc_id, n_words, spans (hit word ranges, end exclusive, merged and in order), items (ids with an occurrence, sorted as strings)."""
-    items = benchmark_fingerprints(benchmark, window, gram).persist()
-    short = sorted(r["need"] for r in items.where("short").select("need").distinct().collect())  # at most window - 1 numbers
+def _filter_of(windows: DataFrame, bloom_bits: int) -> _Bloom:
+    """The filter of all fingerprints and windows: bits are set in tasks, the driver gets its bytes."""
+    entries = windows.select(F.explode(F.array("f", "a")).alias("h")).distinct()
+    bits = 1 << 13
+    while bits < min(16 * entries.count(), bloom_bits):
+        bits *= 2
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = _Bloom(bloom_bits)
+        part = _Bloom(bits)
         for batch in batches:
-            part.add(batch.column("f").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
+            part.add(batch.column("h").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
         used = np.flatnonzero(part.data)
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(part.data[used].astype(np.int32))], names=["place", "bits"])
+        for at in range(0, len(used), 1 << 16):
+            own = used[at : at + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array(part.data[own].astype(np.int32))], names=["place", "bits"])
 
-    bloom = _Bloom(bloom_bits)
-    places = items.select("f").distinct().mapInArrow(fill, "place int, bits int").groupBy("place").agg(F.bit_or("bits").alias("bits"))
-    got = places.toPandas()  # at most bloom_bits / 8 bytes of filter
+    bloom = _Bloom(bits)
+    got = entries.mapInArrow(fill, "place int, bits int").groupBy("place").agg(F.bit_or("bits").alias("bits")).toPandas()  # bloom_bits / 8 rows at most
     bloom.data[got["place"].to_numpy(np.int64)] = got["bits"].to_numpy(np.uint8)
-    shared = documents.sparkSession.sparkContext.broadcast(bloom.data)
+    return bloom
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The union of each row's ranges, in order."""
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    for batch in batches:
+        out = []
+        for spans in batch.column("raw"):
+            start, end = (spans.values.field(i).to_numpy() for i in range(2))
+            order = np.argsort(start, kind="stable")
+            start, end = start[order], np.maximum.accumulate(end[order])
+            first = np.flatnonzero(np.concatenate(([True], start[1:] > end[:-1])))
+            last = np.append(first[1:], len(start)) - 1
+            out.append([{"start": s, "end": e} for s, e in zip(start[first].tolist(), end[last].tolist(), strict=True)])
+        yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(out, kind), batch.column("items")], names=["row", "spans", "items"])
+
+
+def decontaminate(documents: DataFrame, benchmark: DataFrame, *, window: int = 10, gram: int = 5, bloom_bits: int = 1 << 26) -> DataFrame:
+    """One row for each document: doc_id, n_words, spans (hit word ranges, end exclusive, merged and in order), items (ids with an occurrence, sorted as strings)."""
+    windows = cut(benchmark_windows(benchmark, window, gram))
+    short = sorted(r["size"] for r in windows.where(F.col("size") < window).select("size").distinct().collect())  # at most window - 1 numbers
+    bloom = _filter_of(windows, bloom_bits)
+    bits, shared = len(bloom.data) * 8, documents.sparkSession.sparkContext.broadcast(bloom.data)
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = _Bloom(bloom_bits)
+        seen = _Bloom(bits)
         seen.data = shared.value
         for batch in batches:
-            counts, hits = [], []
-            for _, hashes in _by_row(batch):
-                counts.append(len(hashes))
-                hits.append(_hits(hashes, window, gram, short, seen))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(hits, kind)], names=["doc_id", "n_words", "hits"])
-
-    kind = pa.list_(pa.struct([("f", pa.int64()), ("at", pa.int32()), ("before", pa.int32()), ("context", pa.list_(pa.int64()))]))
-    marked = documents.select("doc_id", "text").mapInArrow(mark, f"doc_id bigint, n_words bigint, hits {HIT}")
-    hits = marked.select("doc_id", "n_words", F.explode_outer("hits").alias("h")).select("doc_id", "n_words", "h.*")
-    joined = hits.join(items, "f", "left")
-    # How many words agree from the fingerprint to the left, and from it to the right.
-    ahead = F.least("before", "item_before")
-    left = _agreeing(ahead, lambda j: F.get("context", F.col("before") - 1 - j), lambda j: F.get("item_context", F.col("item_before") - 1 - j))
-    right = _agreeing(F.least(F.size("context") - F.col("before"), F.size("item_context") - F.col("item_before")), lambda j: F.get("context", F.col("before") + j), lambda j: F.get("item_context", F.col("item_before") + j))
-    ok = F.col("item_id").isNotNull() & (F.col("l") + F.col("r") >= F.col("need"))
-    span = F.when(ok, F.struct((F.col("at") - F.col("l")).cast("long").alias("start"), (F.col("at") + F.col("r")).cast("long").alias("end")))
-    found = joined.withColumns({"l": left, "r": right}).select("doc_id", "n_words", span.alias("span"), F.when(ok, F.col("item_id")).alias("item_id"))
-    grouped = found.groupBy("doc_id", "n_words").agg(F.array_sort(F.collect_set("span")).alias("raw"), F.array_sort(F.collect_set("item_id")).alias("items"))
-    empty = F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)")
-    merged = F.aggregate(
-        "raw", empty,
-        lambda done, s: F.when((F.size(done) > 0) & (F.get(done, F.size(done) - 1)["end"] >= s["start"]),
-            F.concat(F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0))), F.array(F.struct(F.get(done, F.size(done) - 1)["start"].alias("start"), F.greatest(F.get(done, F.size(done) - 1)["end"], s["end"]).alias("end")))))
-        .otherwise(F.concat(done, F.array(s))),
-    )
-    return grouped.select("doc_id", "n_words", merged.alias("spans"), "items")
-
-
-def _agreeing(n, mine, theirs):
-    """The length of the common run of two arrays, walked outwards over ``n`` places."""
-    places = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    same = lambda s, j: s["on"] & (mine(j) == theirs(j))
-    start = F.struct(F.lit(True).alias("on"), F.lit(0).alias("n"))
-    return F.aggregate(places, start, lambda s, j: F.struct(same(s, j).alias("on"), (s["n"] + same(s, j).cast("int")).alias("n")))["n"]
+            counts = np.zeros(batch.num_rows, np.int64)
+            none = lambda n: pa.nulls(n, pa.int64())
+            for row, hashes in _by_row(batch):
+                counts[row] = len(hashes)
+                for size, at, a, b in _shared_windows(hashes, window, gram, short, seen):
+                    key = pa.array(np.full(len(at), batch.column("row")[row].as_py()))
+                    yield pa.RecordBatch.from_arrays([key, none(len(at)), none(len(at)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(at), pa.array(np.full(len(at), size))], names=names)
+            n = batch.num_rows
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), pa.array(counts), *(none(n) for _ in range(4))], names=names)
+
+    names = ["row", "doc_id", "n_words", "a", "b", "at", "size"]
+    # a row for each document (n_words is set) and one for each of its shared windows; numbers only, written once
+    marked = cut(documents.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(mark, f"row bigint, doc_id bigint, n_words bigint, {ENTRY}"))
+    hits = marked.where("n_words is null").select("row", "a", "b", "at", "size")
+    found = hits.join(windows.select("a", "b", "item_id").distinct(), ["a", "b"])
+    span = F.struct(F.col("at").alias("start"), (F.col("at") + F.col("size")).alias("end"))
+    grouped = found.groupBy("row").agg(F.collect_set(span).alias("raw"), F.array_sort(F.collect_set("item_id")).alias("items"))
+    hit = grouped.mapInArrow(_merged, "row bigint, spans array<struct<start:bigint,end:bigint>>, items array<string>")
+    every = marked.where("n_words is not null").select("row", "doc_id", "n_words").join(hit, "row", "left")
+    return every.select("doc_id", "n_words", F.coalesce("spans", F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)")).alias("spans"), F.coalesce("items", F.expr("cast(array() as array<string>)")).alias("items"))
 
 
 def digest(marked: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.llm import decontaminate, pieces, secrets, suffix_dedup
+from quillspark.llm import decontaminate, pieces, queries, secrets, suffix_dedup
 from quillspark.llm.queries import tokenizer
 
 DOCS = "doc_id long, text string, lang string, item_id string, h long"
@@ -57,6 +57,24 @@ def test_decontamination(spark):
     assert [tuple(r)[1:] for r in got] == contamination(texts, items)
 
 
+def test_decontamination_keeps_every_row(spark):
+    """Null and repeated ids, equal rows included: one result for each row."""
+    texts = ["p q a b c d e f g h i j r", "clean text", None]
+    rows = [(i, t) for i in (1, 1, None) for t in texts] + [(None, texts[0])]
+    bench = spark.createDataFrame([(7, "a b c d e f g h i j")], "item_id long, text string")
+    got = decontaminate.digest(decontaminate.decontaminate(spark.createDataFrame(rows, "doc_id long, text string"), bench)).collect()
+    assert sorted((r["doc_id"] or 0, r["n_words"], r["n_hit"]) for r in got) == sorted((i or 0, *{texts[0]: (13, 10), texts[1]: (2, 0), None: (0, 0)}[t]) for i, t in rows)
+
+
+def test_decontamination_query(spark):
+    """The registered query over whole tables against brute force."""
+    sf = "/root/testdata/sf0.001"
+    texts = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").collect()]
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    got = queries.op3_decontamination(spark, sf).orderBy("doc_id").collect()
+    assert [tuple(r)[1:] for r in got] == contamination([t for _, t in texts], items) and any(r["contaminated"] for r in got)
+
+
 def test_decontamination_of_nothing(spark):
     bench = spark.createDataFrame([(1, "a b")], "item_id long, text string")
     assert decontaminate.decontaminate(docs(spark, []), bench).count() == 0
