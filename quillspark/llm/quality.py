@@ -9,7 +9,9 @@ shrink sparse sites toward what lies above:
     host           m1 = (sum over host  + w_host * m0) / (n_host + w_host)
     path           m2 = (sum over path  + w_path * m1) / (n_path + w_path)
 
-The weights are fitted from the data by moments: with little difference between
+A document's own chance is left out of the sums and counts of its host and path, so that it is
+no evidence for itself. The weights are fitted from the data by moments, between hosts about the
+global mean and between paths about the mean of their host: with little difference between
 sites they are large and sites say little, with a lot they are small. Sums come
 from grouped aggregation, which Spark combines before the shuffle, so a host with
 a third of all rows is no hot key.
@@ -22,7 +24,7 @@ Shape features are shares that do not depend on the length of a text, over the
 whole text.
 
 Defined results: a null text counts as empty; an empty text has the global
-chance as its own; a null source or lang is a site of its own; where labels are
+chance as its own; a null source or lang is a site of its own; rows that repeat a doc_id, or have none, are judged each by its own text and site; where labels are
 missing or all of one kind every document has that label's smoothed share as its
 chance; columns of documents besides the named ones are ignored.
 """
@@ -33,7 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm._spark import bounded_sample, cut
@@ -125,18 +127,18 @@ def _chance(model: dict):
     return z
 
 
-def _weight(sums: DataFrame, mean: float) -> float:
-    """How many documents the prior above counts as: within-site over between-site variance, by moments over all sites."""
+def _weight(sums: DataFrame, above: Column, groups: int) -> float:
+    """How many documents the prior ``above`` counts as: within-site over between-site variance, by moments over all sites below ``groups`` priors."""
+    away = F.col("s") / F.col("n") - above
     row = sums.agg(
-        F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"), F.sum(F.col("n") * F.col("n")).alias("nn"),
-        F.sum(F.col("s2") - F.col("s") * F.col("s") / F.col("n")).alias("within"),
-        F.sum(F.col("n") * (F.col("s") / F.col("n") - mean) * (F.col("s") / F.col("n") - mean)).alias("between"),
+        F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"), F.sum(F.col("n") * F.col("n") / F.col("all_n")).alias("nn"),
+        F.sum(F.col("s2") - F.col("s") * F.col("s") / F.col("n")).alias("within"), F.sum(F.col("n") * away * away).alias("between"),
     ).first()
-    if not row["n"] or row["k"] < 2 or row["n"] <= row["k"]:
+    if not row["n"] or row["k"] <= groups or row["n"] <= row["k"]:
         return 1e6
     inside = row["within"] / (row["n"] - row["k"])
-    effective = (row["n"] - row["nn"] / row["n"]) / (row["k"] - 1)
-    outside = max(0.0, (row["between"] / (row["k"] - 1) - inside) / max(effective, 1e-9))
+    free = row["k"] - groups
+    outside = max(0.0, (row["between"] / free - inside) / max((row["n"] - row["nn"]) / free, 1e-9))
     return float(min(1e6, max(1.0, inside / outside if outside > 0 else 1e6)))
 
 
@@ -155,19 +157,27 @@ def score_quality(documents: DataFrame, labels: DataFrame, *, max_fit_rows: int
     empty = F.forall("x", lambda v: v == 0)
     scored = featured.select("doc_id", F.col("source").alias("host"), F.col("lang").alias("path"), F.when(~empty, logit).alias("z"))
     scored = scored.withColumn("p", 1 / (1 + F.exp(-F.col("z"))))
-    paths = cut(scored.where("p is not null").groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.sum("p").alias("s"), F.sum(F.col("p") * F.col("p")).alias("s2")))
+    add = lambda c: F.coalesce(F.sum(c), F.lit(0.0))
+    # sites of empty texts alone are among them, with n = 0
+    paths = cut(scored.groupBy("host", "path").agg(F.count("p").alias("n"), add(F.col("p")).alias("s"), add(F.col("p") * F.col("p")).alias("s2")))
     hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("s2").alias("s2"))
     total = hosts.agg(F.sum("n").alias("n"), F.sum("s").alias("s")).first()
     mean = float(total["s"] / total["n"]) if total["n"] else float(1 / (1 + np.exp(-model["b"])))
     mean = min(1 - 1e-6, max(1e-6, mean))
-    w_host, w_path = _weight(hosts, mean), _weight(paths, mean)
-    upper = hosts.select("host", ((F.col("s") + w_host * mean) / (F.col("n") + w_host)).alias("m1"))
-    below = paths.alias("p").join(upper.alias("h"), F.col("p.host").eqNullSafe(F.col("h.host"))).select(F.col("p.host").alias("h2"), F.col("p.path").alias("p2"), "m1", ((F.col("s") + w_path * F.col("m1")) / (F.col("n") + w_path)).alias("m2"))
+    named = hosts.select(F.col("host").alias("h"), F.col("n").alias("all_n"), F.col("s").alias("all_s"))
+    sites = cut(paths.join(named, F.col("host").eqNullSafe(F.col("h"))).drop("h"))
+    w_host = _weight(hosts.where("n > 0").withColumn("all_n", F.lit(total["n"])), F.lit(mean), 1)
+    w_path = _weight(sites.where("n > 0"), F.col("all_s") / F.col("all_n"), hosts.where("n > 0").count())
+    below = sites.select(F.col("host").alias("h2"), F.col("path").alias("p2"), "n", "s", "all_n", "all_s")
+    joined = scored.join(below, F.col("host").eqNullSafe(F.col("h2")) & F.col("path").eqNullSafe(F.col("p2")), "left")
+    # without the document's own chance; a text that is empty has none in the sums
+    own, one = F.coalesce("p", F.lit(0.0)), F.col("p").isNotNull().cast("int")
+    posterior = lambda s, n, w, prior: (F.greatest(F.coalesce(F.col(s), F.lit(0.0)) - own, F.lit(0.0)) + w * prior) / (F.coalesce(F.col(n), F.lit(0)) - one + w)
+    joined = joined.withColumn("m1", posterior("all_s", "all_n", w_host, F.lit(mean))).withColumn("m2", posterior("s", "n", w_path, F.col("m1")))
     log_odds = lambda c: F.log(c / (1 - c))
     near = lambda c: F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), c))
     pull = F.greatest(F.lit(-site_pull), F.least(F.lit(site_pull), log_odds(near(F.col("m2"))) - log_odds(F.lit(mean))))
-    joined = scored.join(below, F.col("host").eqNullSafe(F.col("h2")) & F.col("path").eqNullSafe(F.col("p2")), "left")
-    joined = joined.withColumns({"m1": F.coalesce("m1", F.lit(mean)), "m2": F.coalesce("m2", F.lit(mean)), "z": F.coalesce("z", log_odds(F.lit(mean)))})
+    joined = joined.withColumn("z", F.coalesce("z", log_odds(F.lit(mean))))
     score = 1 / (1 + F.exp(-(F.col("z") + pull)))
     return joined.select(
         "doc_id", (1 / (1 + F.exp(-F.col("z")))).alias("doc_score"), F.col("m1").alias("host_posterior"), F.col("m2").alias("path_posterior"),
