@@ -3,13 +3,13 @@
 Each text is cut into blocks of ``BLOCK`` bytes, all of them, and both directions
 run over each block; every position is labelled from its two states, and a text's
 probabilities are the mean over its positions. The network is trained in numpy
-by back-propagation through time, on blocks of a bounded sample of labelled rows
-(``max_fit_rows``; rows below a hash cut, ``blocks_per_text`` blocks spread over
-each).
+by back-propagation through time, on all blocks of a bounded sample of labelled rows:
+each language gets an equal part of ``max_fit_rows``, those below its own hash cut, and
+all of them together ``max_fit_bytes`` of text. States start anew in each block.
 
 Defined results: a null text, or one without any letter, is ``und`` with score 0; so is
 every text where no language was learned; ties go to the language that sorts
-first; columns besides the named ones are ignored.
+first; rows that repeat a doc_id, or have none, are judged each by its own text (a repeated id is learned from once); columns besides the named ones are ignored.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm._spark import bounded_sample
+from quillspark.llm._spark import sampled_texts
 from quillspark.llm._text import slices
 from quillspark.llm.toxicity import held_out
 
@@ -99,8 +99,11 @@ def train(x: np.ndarray, valid: np.ndarray, y: np.ndarray, languages: int, *, st
     model = {"tf": small(256, 3 * HIDDEN), "uf": small(HIDDEN, 3 * HIDDEN), "tb": small(256, 3 * HIDDEN), "ub": small(HIDDEN, 3 * HIDDEN), "v": small(2 * HIDDEN, languages), "c": np.zeros(languages, np.float32)}
     m1 = {k: np.zeros_like(v) for k, v in model.items()}
     m2 = {k: np.zeros_like(v) for k, v in model.items()}
+    order = np.zeros(0, np.int64)
     for step in range(1, steps + 1):
-        pick = rng.integers(0, len(x), min(batch, len(x)))
+        while len(order) < batch:
+            order = np.concatenate([order, rng.permutation(len(x))])
+        pick, order = order[:batch], order[batch:]
         own = np.ascontiguousarray(x[pick].T)
         there = (np.arange(BLOCK)[:, None] < valid[pick][None, :]).astype(np.float32)
         kf: list = []
@@ -128,25 +131,28 @@ def train(x: np.ndarray, valid: np.ndarray, y: np.ndarray, languages: int, *, st
     return model
 
 
-def fit(documents: DataFrame, *, max_fit_rows: int = 2000, blocks_per_text: int = 4, steps: int = 300, batch: int = 256, rate: float = 0.02, seed: int = 5) -> dict:
-    """Learn from text and non-null lang of at most ``max_fit_rows`` documents outside the held-out fifth."""
-    known = documents.select("doc_id", "text", "lang").where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    picked = F.broadcast(bounded_sample(known.select("doc_id"), max_fit_rows))  # at most max_fit_rows numbers
-    got = known.join(picked, "doc_id", "left_semi").toPandas().drop_duplicates("doc_id").sort_values("doc_id", ignore_index=True)
+def fit(documents: DataFrame, *, max_fit_rows: int = 2000, max_fit_bytes: int = 1 << 23, steps: int = 300, batch: int = 256, rate: float = 0.02, seed: int = 5) -> dict:
+    """Learn from text and non-null lang of documents outside the held-out fifth, in ``steps`` batches at least and so many that every block of the sample is used."""
+    known = documents.select("doc_id", "text", "lang").where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each language
+    if not counts:
+        return {"languages": []}
+    each = max(1, max_fit_rows // len(counts))
+    cuts = [x for lang, n in sorted(counts.items()) for x in (F.lit(lang), F.lit(min(2**63 - 1, -(2**63) + 2**64 * each // n)))]
+    sample = known.where(F.xxhash64("doc_id", F.lit(17)) <= F.element_at(F.create_map(*cuts), F.col("lang")))
+    got = sampled_texts(known, sample.select("doc_id").distinct(), max_fit_bytes)
     languages = sorted(got["lang"].unique())
     if not languages:
         return {"languages": []}
     xs, vs, ys = [], [], []
+    label = np.array([languages.index(x) for x in got["lang"]])
     for first, _, data, offsets in slices(pa.array(got["text"], pa.string())):
         x, valid, row = blocks(data, offsets)
-        edges = np.searchsorted(row, np.arange(len(offsets)))
-        for i in range(len(offsets) - 1):
-            at = np.unique(np.linspace(edges[i], edges[i + 1] - 1, blocks_per_text).astype(np.int64)) if edges[i + 1] > edges[i] else []
-            for j in at:
-                xs.append(x[j])
-                vs.append(valid[j])
-                ys.append(languages.index(got["lang"][first + i]))
-    return train(np.array(xs), np.array(vs), np.array(ys), len(languages), steps=steps, batch=batch, rate=rate, seed=seed) | {"languages": languages}
+        xs.append(x)
+        vs.append(valid)
+        ys.append(label[first + row])
+    x, valid, y = (np.concatenate(v) for v in (xs, vs, ys))
+    return train(x, valid, y, len(languages), steps=max(steps, -(-len(x) // batch)), batch=batch, rate=rate, seed=seed) | {"languages": languages}
 
 
 def identify(documents: DataFrame, model: dict) -> DataFrame:
