@@ -10,7 +10,8 @@ done once its kth verified distance is covered by the radius. The radius grows u
 all queries are done, at the latest when a segment's whole width is searched, so
 results are exact.
 
-Equal codes are one index entry with the ``k + 1`` smallest ids, found by a
+A query's first bound on its kth distance comes from a few codes that share a segment value with it, before any
+round. Equal codes are one index entry with the ``k + 1`` smallest ids, found by a
 ranked window that Spark limits before its shuffle, and equal query codes are searched once: a vector that
 a third of the rows share costs one entry. Candidates farther than a
 query's kth distance so far are dropped in the join itself; that cannot lose a
@@ -34,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillspark.llm._spark import broadcast_if_small, cut
+from quillspark.llm._spark import cut
 
 BITS = 64
 
@@ -76,12 +77,14 @@ def top_k(index: DataFrame, queries: DataFrame, k: int = 10, *, segments: int |
         raise ValueError("segments wider than 22 bits have too many values at large radii")
     parts = _segments(m)
     keyed = cut(entries.select("code", F.size("ids").alias("held"), F.posexplode(F.array(*(_part("code", s, b) for s, b in parts))).alias("seg", "value")))
-    active = cut(asked.select("q").distinct().withColumn("bound", F.lit(BITS)))
+    active = cut(_first_bounds(asked.select("q").distinct(), keyed, parts, k))
+    spread = max(1, int(index.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     best = None  # (q, code, held, d) of the codes that hold a query's nearest k + 1 rows
     done = []
     radius = 0
     while True:
-        probes = active.mapInArrow(_prober(parts, radius), "q bigint, bound int, seg int, value bigint")
+        # a query becomes very many probes: as many tasks as a shuffle has share them
+        probes = active.repartition(spread, "q").mapInArrow(_prober(parts, radius), "q bigint, bound int, seg int, value bigint")
         d = F.bit_count(F.col("q").bitwiseXOR(F.col("code"))).cast("int")
         # a pair is met at its least radius, in the first segment of those; the rest would repeat it
         gaps = [F.bit_count(_part(F.col("q").bitwiseXOR(F.col("code")), s, b)).cast("int") for s, b in parts]
@@ -96,10 +99,10 @@ def top_k(index: DataFrame, queries: DataFrame, k: int = 10, *, segments: int |
         ahead = F.sum("rows").over(W.partitionBy("q").orderBy("d").rowsBetween(W.unboundedPreceding, -1))
         reached = counts.withColumn("ahead", F.coalesce(ahead, F.lit(0))).where(F.col("ahead") < k + 1)
         state = cut(reached.groupBy("q").agg(F.sum("rows").alias("rows"), F.max("d").alias("far")))
-        best = cut(pool.join(broadcast_if_small(state.select("q", "far")), "q").where("d <= far").select("q", "code", "held", "d"))
+        best = cut(pool.join(state.select("q", "far"), "q").where("d <= far").select("q", "code", "held", "d"))
         covered = m * (radius + 1) - 1
-        bound = F.when(F.col("rows") >= k + 1, F.col("far")).otherwise(BITS)
-        state = active.select("q").join(state, "q", "left").select("q", F.coalesce(bound, F.lit(BITS)).alias("bound"))
+        bound = F.when(F.col("rows") >= k + 1, F.least("far", "bound"))
+        state = active.join(state, "q", "left").select("q", F.coalesce(bound, F.col("bound")).alias("bound"))
         radius += 1
         if radius > max(b for _, b in parts):
             done.append(best)
@@ -120,6 +123,20 @@ def top_k(index: DataFrame, queries: DataFrame, k: int = 10, *, segments: int |
     return others.select("query_id", F.posexplode("all").alias("pos", "e")).select("query_id", F.col("e.neighbour_id").alias("neighbour_id"), F.col("e.d").cast("long").alias("distance"), (F.col("pos") + 1).cast("long").alias("rank"))
 
 
+def _first_bounds(asked: DataFrame, keyed: DataFrame, parts: list[tuple[int, int]], k: int) -> DataFrame:
+    """(q, bound): a distance within which k + 1 rows are known to lie, from the ``k + 1`` smallest codes of each of a query's own segment values; else ``BITS``.
+
+    A query in a cluster of near copies then meets only what is as near as those, not all of the cluster.
+    """
+    few = keyed.withColumn("r", F.row_number().over(W.partitionBy("seg", "value").orderBy("code"))).where(F.col("r") <= k + 1)
+    own = asked.select("q", F.posexplode(F.array(*(_part("q", s, b) for s, b in parts))).alias("seg", "value"))
+    near = own.join(few, ["seg", "value"]).select("q", "code", "held", F.bit_count(F.col("q").bitwiseXOR(F.col("code"))).cast("int").alias("d")).distinct()
+    counts = near.groupBy("q", "d").agg(F.sum("held").alias("rows"))
+    counts = counts.withColumn("rows", F.sum("rows").over(W.partitionBy("q").orderBy("d").rowsBetween(W.unboundedPreceding, 0)))
+    bounds = counts.where(F.col("rows") >= k + 1).groupBy("q").agg(F.min("d").alias("bound"))
+    return asked.join(bounds, "q", "left").select("q", F.coalesce("bound", F.lit(BITS)).alias("bound"))
+
+
 def _prober(parts: list[tuple[int, int]], radius: int):
     """All values at ``radius`` bits from each query's value, in each segment that is wide enough."""
 
