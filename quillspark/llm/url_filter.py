@@ -8,8 +8,8 @@ so a digest collision cannot judge a URL.
 
 A rule fits its host and every subdomain of it, where the URL's path starts with
 the rule's path. For each URL the candidates are each suffix of its host at a label
-boundary, joined with its path cut to each path length that occurs in the rules;
-the longest rule that is confirmed wins. URLs that no rule fits have the verdict
+boundary with no more labels than the longest rule, joined with its path cut to each path length that occurs in the rules;
+the longest rule that is confirmed wins, of equally long ones the one of the longer host. URLs that no rule fits have the verdict
 ``default``.
 
 The array is built on the driver, up to ``max_rules`` rules and ``max_bytes`` of
@@ -46,8 +46,8 @@ class DigestArray:
     def __init__(self, path: str):
         head = np.memmap(path, dtype=np.int64, mode="r", shape=(2,))
         n, m = int(head[0]), int(head[1])
-        at = 16 + 8 * m  # the path lengths stand in front
-        self.lengths = np.memmap(path, dtype=np.int64, mode="r", offset=16, shape=(m,)).tolist() if m else []
+        at = 24 + 8 * m  # the most labels of a host and the path lengths stand in front
+        self.labels, *self.lengths = np.memmap(path, dtype=np.int64, mode="r", offset=16, shape=(m + 1,)).tolist()
         self.keys = np.memmap(path, dtype=np.uint64, mode="r", offset=at, shape=(n,)) if n else np.zeros(0, np.uint64)
         self.ends = np.memmap(path, dtype=np.int64, mode="r", offset=at + 8 * n, shape=(n + 1,))
         size = int(self.ends[-1])
@@ -64,7 +64,8 @@ class DigestArray:
         strings = [f"{v}\0{k}".encode() for _, k, v in held]
         ends = np.concatenate(([0], np.cumsum([len(s) for s in strings]))).astype(np.int64)
         with open(path, "wb") as f:
-            f.write(np.array([len(held), len(lengths)], dtype=np.int64).tobytes() + lengths.tobytes())
+            labels = max((h.count(".") + 1 for h, _, _ in rules if h), default=0)
+            f.write(np.array([len(held), len(lengths), labels], dtype=np.int64).tobytes() + lengths.tobytes())
             f.write(np.array([h for h, _, _ in held], dtype=np.uint64).tobytes() + ends.tobytes() + b"".join(strings))
 
     def find(self, probes: list[bytes]) -> list[str | None]:
@@ -100,11 +101,11 @@ def publish(spark: SparkSession, rules: list[tuple[str, str, str]]) -> str:
     return os.path.basename(path)
 
 
-def candidates(host: str, path: str, lengths: list[int]) -> list[bytes]:
-    """All full strings of rules that would fit, the longest path and then host first."""
-    labels = host.split(".")
+def candidates(host: str, path: str, most_labels: int, lengths: list[int]) -> list[bytes]:
+    """All full strings of rules that would fit: suffixes of the host of ``most_labels`` at most, with each length of path."""
+    labels = host.rsplit(".", most_labels)[-most_labels:]
     hosts = [".".join(labels[i:]).encode() for i in range(len(labels))]
-    raw = path.encode()
+    raw = path[: max(lengths, default=0)].encode()
     return [h + raw[:n] for h in hosts for n in lengths if n <= len(raw)]
 
 
@@ -128,7 +129,7 @@ def filter_urls(urls: DataFrame, rules: DataFrame, *, url: str = "url", key: str
         for batch in batches:
             probes, owner = [], []
             for i, (h, p) in enumerate(zip(batch.column("host").to_pylist(), batch.column("path").to_pylist(), strict=True)):
-                for c in candidates(h, p, array.lengths) if h else []:
+                for c in candidates(h, p, array.labels, array.lengths) if h else []:
                     probes.append(c)
                     owner.append(i)
             rule: list[str | None] = [None] * batch.num_rows
