@@ -64,11 +64,6 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = 250_000) -> DataFrame:
-    """``df``, a table of a few numbers a row that is written already, marked for broadcast if its counted rows are few; else Spark shuffles as usual."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
-
-
 def bounded_sample(df: DataFrame, max_rows: int, key: str = "doc_id") -> DataFrame:
     """At most ``max_rows`` rows of ``df``: the first ones by hash of those below a hash cut that the counted rows set, so the same rows each time."""
     n = df.count()

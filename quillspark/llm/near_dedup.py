@@ -24,8 +24,11 @@ Links are ``100 * intersection >= 75 * union`` by default, in integers.
 
 Defined results: a null or empty text, or one of white space, has an empty set and
 is linked with nothing; a text of fewer than ``k`` words is one shingle; rows
-that repeat a doc_id and its text count once; columns besides the named ones are
+that repeat a doc_id count once, of different texts the one of least xxhash64 counts; columns besides the named ones are
 ignored; a row whose doc_id is null is left out.
+
+Joins choose their strategy by sizes that Spark has measured; whole texts are shuffled once to those that a bucket
+has beside others, and for each of their pairs.
 """
 
 from __future__ import annotations
@@ -37,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm._spark import broadcast_if_small, cut
+from quillspark.llm._spark import cut, remove, written
 from quillspark.llm._text import LOWER, NOT_SPACE, gram_hashes, mix, seeds, slices, word_hashes, words
 from quillspark.llm.components import connected_components
 
@@ -98,7 +101,7 @@ def superminhash(sets: list[np.ndarray], places: int) -> np.ndarray:
 
 
 def signatures(documents: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
-    """(doc_id, n, s1, s2, keys): set size, a 128-bit hash of the set, and a key for each band."""
+    """(doc_id, text_key, n, s1, s2, keys): set size, a 128-bit hash of the set, and a key for each band."""
     weight = seeds(rows, 21)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,9 +115,13 @@ def signatures(documents: DataFrame, k: int, bands: int, rows: int) -> DataFrame
                 s2 = np.array([int(mix(s ^ _STEP).sum(dtype=np.uint64)) for s in sets], dtype=np.uint64).view(np.int64)
                 flat = pa.array(keys.ravel())
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * bands), flat)
-                yield pa.RecordBatch.from_arrays([ids.slice(first, len(sets)), pa.array(n), pa.array(s1), pa.array(s2), lists], names=["doc_id", "n", "s1", "s2", "keys"])
+                yield pa.RecordBatch.from_arrays([ids.slice(first, len(sets)), batch.column("text_key").slice(first, len(sets)), pa.array(n), pa.array(s1), pa.array(s2), lists], names=["doc_id", "text_key", "n", "s1", "s2", "keys"])
+
+    return _keyed(documents).mapInArrow(run, "doc_id bigint, text_key bigint, n bigint, s1 bigint, s2 bigint, keys array<bigint>")
+
 
-    return documents.select("doc_id", "text").where("doc_id is not null").mapInArrow(run, "doc_id bigint, n bigint, s1 bigint, s2 bigint, keys array<bigint>")
+def _keyed(documents: DataFrame) -> DataFrame:
+    return documents.where("doc_id is not null").select("doc_id", "text", F.xxhash64("text").alias("text_key"))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -172,17 +179,19 @@ def near_duplicates(documents: DataFrame, *, k: int = 5, percent: int = 75, band
     if bands * rows > 256:
         raise ValueError("a signature has at most 256 places")
     signed = cut(signatures(documents, k, bands, rows))
+    several = signed.groupBy("doc_id").agg(F.min("text_key").alias("one"), F.max("text_key").alias("other")).where("one <> other").select("doc_id", "one")
+    signed = signed.join(several, "doc_id", "left").where("one is null or one = text_key").drop("one")
     alike = signed.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"))
     # distinct rows first: above a join of copies, an aggregate would keep Spark from splitting a hot set
     placed = signed.select("doc_id", "n", "s1", "s2").distinct().join(alike, ["s1", "s2", "n"], "left")
     classes = cut(placed.select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")))
     reps = classes.where("doc_id = rep and n > 0").select("doc_id")
-    banded = signed.join(reps, "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "n", F.explode("keys").alias("key"))
+    banded = signed.join(reps, "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text_key", "n", F.explode("keys").alias("key"))
     # only keys with a second member matter; their hub is the smallest one
     hubs = banded.groupBy("key").agg(F.min("doc_id").alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1").select("key", "hub")
-    members = cut(banded.join(hubs, "key").select("key", "hub", "doc_id", "n"))
-    found = broadcast_if_small(cut(members.select("doc_id").distinct()))
-    texts = cut(documents.select("doc_id", "text").where("doc_id is not null").join(found, "doc_id").dropDuplicates(["doc_id"]))
+    members = cut(banded.join(hubs, "key").select("key", "hub", "doc_id", "text_key", "n"))
+    found = members.select("doc_id", "text_key").distinct()
+    texts, path = written(_keyed(documents).join(found, ["doc_id", "text_key"]).dropDuplicates(["doc_id", "text_key"]).select("doc_id", "text"), "members")
     spokes = members.where("doc_id <> hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b")).distinct()
     links = cut(_verified(spokes, texts, k, percent))
     roots = cut(connected_components(links))
@@ -190,6 +199,7 @@ def near_duplicates(documents: DataFrame, *, k: int = 5, percent: int = 75, band
     mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
     open_members = cut(placed.join(mixed, "key", "left_semi").select("doc_id", "n", "root").distinct())
     more = cut(_verified(_across(open_members, texts, k, percent), texts, k, percent))
+    remove(documents.sparkSession, path)
     if not more.isEmpty():
         roots = connected_components(links.unionByName(more))
     return (
