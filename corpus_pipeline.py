@@ -3,6 +3,9 @@
 ``STAGES`` are (name, function) pairs; a function takes (spark, docs, sf_dir) and
 returns a DataFrame, which is written as Parquet and reread as the next one's
 docs. All but the last return the columns of ``documents``.
+
+Decisions go by doc_id: rows that repeat one share them (one of them rejected
+rejects all), and a row without one cannot be rejected. A null text is an empty one in every stage.
 """
 
 from __future__ import annotations
@@ -14,16 +17,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm import decontaminate, near_dedup, pieces, quality, secrets
-from quillspark.llm._spark import broadcast_if_small, cut, ensure_checkpoint_dir, table
+from quillspark.llm._spark import cut, ensure_checkpoint_dir, remove, table
 from quillspark.llm.queries import tokenizer
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """The documents that are not among the rejected ones, which a stage writes first so that their number is known."""
-    ids = broadcast_if_small(cut(rejected.select("doc_id")))
-    return docs.select(COLUMNS).join(ids, "doc_id", "left_anti").select(COLUMNS)
+    """The documents that are not among the rejected ones, which a stage writes first, so that Spark knows their size when it joins."""
+    return docs.select(COLUMNS).join(cut(rejected.select("doc_id")), "doc_id", "left_anti").select(COLUMNS)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -72,9 +74,12 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; what lies between them is written to the shared checkpoint folder."""
     ensure_checkpoint_dir(spark)
     shared = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for i, (name, stage) in enumerate(STAGES[:-1]):
         path = f"{shared}/{i}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:  # what the stage has replaced
+            remove(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
