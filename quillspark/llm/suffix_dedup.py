@@ -347,8 +347,9 @@ def _hot_spans(contexts: DataFrame) -> DataFrame:
     """Covered spans of the hot anchors' contexts, without a partition that holds all of an anchor."""
     distinct = cut(contexts.groupBy("context").agg(F.min("doc_id").alias("least")))
     strings = distinct.select("context", "least", F.posexplode(F.expr(f"transform(sequence(1, octet_length(context) - {LENGTH - 1}), i -> substring(context, i, {LENGTH}))")).alias("at", "string"))
-    smallest = strings.groupBy("string").agg(F.min("least").alias("m"))
-    starts = strings.join(smallest, "string").groupBy("context").agg(F.array_sort(F.collect_list(F.struct("at", "m"))).alias("starts"))
+    # written first: Spark can split a join of two tables where many contexts hold one string
+    smallest = cut(strings.groupBy("string").agg(F.min("least").alias("m"), F.count(F.lit(1)).alias("n")).where("n > 1").select("string", "m"))
+    starts = strings.join(smallest, "string", "left").groupBy("context").agg(F.array_sort(F.collect_list(F.struct("at", F.coalesce("m", "least").alias("m")))).alias("starts"))
     placed = contexts.join(cut(starts.select("context", F.col("starts.m").alias("m"))), "context")
     placed = placed.select("doc_id", "key", "low", F.expr("transform(m, x -> x < doc_id)").alias("c")).where("exists(c, x -> x)")
     edge = lambda beside: f"filter(sequence(0, size(c) - 1), i -> c[i] and not coalesce(get(c, i {beside}), false))"
