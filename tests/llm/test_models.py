@@ -42,6 +42,16 @@ def test_topk(spark, n, k, segments):
     assert sorted(map(tuple, got)) == nearest(held, [r for r in held if r[0] % 5 == 0], k)
 
 
+def test_topk_in_a_cluster_of_near_copies(spark):
+    rng = random.Random(3)
+    center = rng.getrandbits(64)
+    near = lambda: center ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(4)))
+    rows = [(i, (near() if i % 3 == 0 else rng.getrandbits(64)) - 2**63) for i in range(900)]
+    df = spark.createDataFrame(rows, "id long, code long").withColumns({"q": F.lit(1), "seg": F.lit(2), "held": F.lit("x")})
+    got = topk.top_k(df, df.where("id % 50 = 0"), 6).collect()
+    assert sorted(map(tuple, got)) == nearest(rows, [r for r in rows if r[0] % 50 == 0], 6)
+
+
 def test_topk_of_nothing(spark):
     df = spark.createDataFrame([], "id long, code long")
     assert topk.top_k(df, df, 3).count() == 0
@@ -78,6 +88,26 @@ def test_url_filter(spark):
         url_filter.filter_urls(spark.createDataFrame(rows[:1], "page_id long, url string, v string"), rules, max_rules=2)
 
 
+def fitting(url, rules, default="allow"):
+    """The longest rule that fits, by trying all of them."""
+    rest = url.split("://", 1)[1] if url and "://" in url else ""
+    end = min([i for i in map(rest.find, "/?#") if i >= 0], default=len(rest))
+    host, path = rest[:end].translate({i: i + 32 for i in range(65, 91)}), rest[end:].split("?")[0].split("#")[0]
+    held = [(len((h + p).encode()), len(h), h + p, v) for h, p, v in rules if host and (host == h or host.endswith("." + h)) and path.startswith(p)]
+    return (host, path, *max(held, default=(0, 0, None, default))[2:])
+
+
+def test_long_urls(spark):
+    """Hosts of very many labels and long paths against trying every rule."""
+    rng = random.Random(5)
+    host = lambda n: ".".join(rng.choice("abc") for _ in range(n))
+    rules = [(h, p, rng.choice(["allow", "block"])) for h, p in {(host(rng.randrange(1, 4)), "/" + "é/x" * rng.randrange(3)) for _ in range(40)}]
+    urls = [f"http://{host(n)}/{'é/x' * m}{tail}" for n in (1, 2, 3, 5, 200_000) for m in (0, 1, 2, 50_000) for tail in ("", "?q", "z")] + ["http://" + "a" * 100_000 + ".b/", "x://..a/", "://a.b/"]
+    rows = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = url_filter.filter_urls(rows, spark.createDataFrame(rules, "host string, path string, verdict string")).orderBy("page_id").collect()
+    assert [tuple(r)[1:] for r in got] == [fitting(u, rules) for u in urls]
+
+
 def test_digest_collisions_are_confirmed(tmp_path, monkeypatch):
     monkeypatch.setattr(url_filter.xxhash, "xxh64_intdigest", lambda b: 7)
     path = str(tmp_path / "d")
@@ -232,10 +262,53 @@ def test_quality(spark):
 
 
 def test_sparse_sites_shrink(spark):
-    """A site of one bad document stays near the global prior; a large bad site doesn't."""
+    """A site of one document is the global prior to it, as it is no evidence for itself; a large bad site stays bad."""
     good, bad = "plain words go on and on like this", "BAD!! WORDS!! GO!! ON!! AND!! ON!!"
     rows = [(i, good, "en", "good") for i in range(200)] + [(200 + i, bad, "en", "bad") for i in range(200)] + [(400, bad, "en", "one")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
     labels = spark.createDataFrame([(i, int(i < 200)) for i in range(400)], "doc_id long, quality int")
     got = {r["doc_id"]: r for r in quality.score_quality(docs, labels).where("doc_id in (0, 200, 400)").collect()}
-    assert got[200]["host_posterior"] < 0.1 < got[400]["host_posterior"] < 0.4 < 0.9 < got[0]["host_posterior"]
+    assert got[200]["host_posterior"] < 0.1 < 0.4 < got[400]["host_posterior"] < 0.6 < 0.9 < got[0]["host_posterior"]
+
+
+def test_posteriors_match_a_plain_version(spark):
+    """Sums without the document itself, moments about the level above, in plain Python."""
+    docs, labels = labelled(spark)
+    docs = docs.withColumn("source", F.when(F.col("doc_id") % 3 == 0, F.lit("hot")).otherwise(F.col("source")))
+    got = {r["doc_id"]: r for r in quality.score_quality(docs, labels).collect()}
+    rows = [r for r in docs.collect()]
+    site = {r["doc_id"]: (r["source"], r["lang"]) for r in rows}
+    p = {r["doc_id"]: got[r["doc_id"]]["doc_score"] for r in rows if r["text"]}
+    mean = np.mean(list(p.values()))
+    groups = lambda key: {k: np.array([p[i] for i in p if key(site[i]) == k]) for k in {key(site[i]) for i in p}}
+    hosts, paths = groups(lambda s: s[0]), groups(lambda s: s)
+
+    def weight(parts, above, n_above, priors):
+        n, k = sum(map(len, parts.values())), len(parts)
+        inside = sum(((v - v.mean()) ** 2).sum() for v in parts.values()) / (n - k)
+        between = sum(len(v) * (v.mean() - above(s)) ** 2 for s, v in parts.items()) / (k - priors)
+        outside = max(0, (between - inside) / ((n - sum(len(v) ** 2 / n_above(s) for s, v in parts.items())) / (k - priors)))
+        return min(1e6, max(1, inside / outside if outside else 1e6))
+
+    w1 = weight(hosts, lambda s: mean, lambda s: len(p), 1)
+    w2 = weight(paths, lambda s: hosts[s[0]].mean(), lambda s: len(hosts[s[0]]), len(hosts))
+    for i, s in site.items():
+        own, one = p.get(i, 0), int(i in p)
+        sums = lambda parts, key: (parts[key].sum(), len(parts[key])) if key in parts else (0, 0)
+        (a, n), (b, m) = sums(hosts, s[0]), sums(paths, s)
+        m1 = (max(a - own, 0) + w1 * mean) / (n - one + w1)
+        m2 = (max(b - own, 0) + w2 * m1) / (m - one + w2)
+        assert (got[i]["host_posterior"], got[i]["path_posterior"]) == pytest.approx((m1, m2), rel=1e-6)
+        z = np.log(p.get(i, mean) / (1 - p.get(i, mean))) + np.clip(np.log(m2 / (1 - m2)) - np.log(mean / (1 - mean)), -1, 1)
+        assert got[i]["score"] == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-6)
+
+
+def test_quality_held_out(spark):
+    """Labels that were not learned from."""
+    sf = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{sf}/labels.parquet").where("quality is not null").select("doc_id", "quality")
+    held = toxicity.held_out(F.col("doc_id"))
+    got = quality.score_quality(spark.read.parquet(f"{sf}/documents.parquet"), labels.where(~held)).join(labels.where(held), "doc_id").toPandas()
+    right = (got["keep"] == (got["quality"] == 1)).mean()
+    print("held out:", len(got), "right", right)
+    assert len(got) > 500 and right > 0.98
