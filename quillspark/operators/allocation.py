@@ -59,8 +59,13 @@ def allocate(signals: DataFrame, params: DataFrame, *, long_only: bool = True) -
 
 
 def compact_view(weights: DataFrame, n: int, *, pairs: bool = False) -> DataFrame:
-    """Positive weights of each row in falling order, in columns 1 to n: ``TICKER (12.3%)``, or the asset and weight."""
-    order = W.partitionBy("ts").orderBy(F.col("weight").desc(), "asset_pos")
+    """Positive weights of each row in falling order, in columns 1 to n: ``TICKER (12.3%)``, or the asset and weight. Of a sweep, a row for each of its settings."""
+    settings = [F.nullif(F.countDistinct(c) + F.max(F.col(c).isNull().cast("int")), F.lit(1)).isNotNull().alias(c) for c in ("method", "top_k")]
+    swept = weights.agg(*settings).first()
+    keys = ["ts", *(c for c in ("method", "top_k") if swept[c])]
+    order = W.partitionBy(*keys).orderBy(F.col("weight").desc(), "asset_pos")
     held = weights.where("weight > 0").withColumn("place", F.row_number().over(order))
     cell: Column = F.struct("asset", "weight") if pairs else F.concat("asset", F.lit(" ("), percent(F.col("weight")), F.lit(")"))
-    return weights.select("ts").distinct().join(held.groupBy("ts").pivot("place", list(range(1, n + 1))).agg(F.first(cell)), "ts", "left")
+    wide = held.groupBy(*keys).pivot("place", list(range(1, n + 1))).agg(F.first(cell))
+    each, same = weights.select(*keys).distinct(), [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in keys]
+    return each.alias("a").join(wide.alias("b"), same, "left").select("a.*", *(F.col(f"b.`{i}`") for i in range(1, n + 1)))

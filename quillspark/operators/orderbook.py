@@ -47,12 +47,18 @@ def prefixed(ticker: Column) -> Column:
     return F.concat(F.lit("US."), ticker)
 
 
-def sample_hold(events: DataFrame, ticks: DataFrame, key: str, ts: str, value: str) -> DataFrame:
+def sample_hold(events: DataFrame, ticks: DataFrame, key: str, ts: str, value: str, every_seconds: int | None = None) -> DataFrame:
     """(key, ts, value) at each tick: the key's last value at or before it, for every key seen by then.
 
     Ticks are put among the events of each key and the last value is carried
     forward in one window, so the spine is keys by ticks and nothing is joined on ranges.
+    Where ticks are whole multiples of ``every_seconds``, events are first reduced to the last one of each
+    key and interval, before any shuffle, so that the window holds ticks and not events.
     """
+    if every_seconds is not None:
+        kind, step = dict(events.dtypes)[ts], every_seconds * 1_000_000
+        tick = F.timestamp_micros(F.ceil(F.unix_micros(F.col(ts).cast("timestamp")) / step) * step).cast(kind)
+        events = events.where(F.col(value).isNotNull()).groupBy(key, tick.alias("_tick")).agg(F.max_by(value, ts).alias(value)).withColumnRenamed("_tick", ts)
     spine = events.select(key).distinct().crossJoin(F.broadcast(ticks.select(F.col(ticks.columns[0]).alias(ts))))
     both = events.select(key, ts, F.col(value).alias("v"), F.lit(0).alias("tick")).unionByName(spine.select(key, ts, F.lit(None).cast(dict(events.dtypes)[value]).alias("v"), F.lit(1).alias("tick")))
     held = F.last("v", ignorenulls=True).over(W.partitionBy(key).orderBy(ts, "tick").rowsBetween(W.unboundedPreceding, 0))

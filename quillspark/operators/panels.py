@@ -145,6 +145,15 @@ def pick_post(posts: DataFrame, wanted: str) -> DataFrame:
     return posts.where(F.contains(F.lower("title"), F.lower(F.lit(words)))).orderBy(F.col("created_utc").desc(), "id").limit(1)
 
 
+def require_post(posts: DataFrame, wanted: str, most: int = 20) -> DataFrame:
+    """``pick_post``, or an error that lists the newest titles."""
+    picked = pick_post(posts, wanted)
+    if picked.isEmpty():
+        titles = [r["title"] for r in posts.orderBy(F.col("created_utc").desc(), "id").limit(most).collect()]
+        raise LookupError(f"no post titled {THREADS.get(wanted, wanted)!r}; there are: {'; '.join(titles)}")
+    return picked
+
+
 def parse_listing(listing: DataFrame, now: Column, site: str, body: str = "body") -> DataFrame:
     """(id, title, url, created_utc) of listing JSON; a missing time is ``now``."""
     schema = "data struct<children:array<struct<data:struct<id:string,title:string,permalink:string,created_utc:double>>>>"

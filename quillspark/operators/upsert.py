@@ -43,11 +43,12 @@ def snapshot_replace(existing: DataFrame, new: DataFrame, keys: list[str]) -> Da
     return existing.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(new)
 
 
-def ordered_union(frames: list[DataFrame], key: str, pos: str) -> DataFrame:
-    """(key, place): distinct keys in order of the first frame and place that hold them."""
+def ordered_union(frames: list[DataFrame], key: str, pos: str, first: int | None = None) -> DataFrame:
+    """(key, src, pos): distinct keys in order of the first frame and place that hold them; the ``first`` ones if given."""
     each = [f.select(F.col(key), F.lit(i).alias("_src"), F.col(pos).alias("_pos")) for i, f in enumerate(frames)]
     firsts = reduce(DataFrame.unionByName, each).groupBy(key).agg(F.min(F.struct("_src", "_pos")).alias("_at"))
-    return firsts.select(key, F.col("_at._src").alias("src"), F.col("_at._pos").alias("pos"))
+    out = firsts.select(key, F.col("_at._src").alias("src"), F.col("_at._pos").alias("pos"))
+    return out if first is None else out.orderBy("src", "pos", key).limit(first)
 
 
 def union_by_priority(frames: list[DataFrame], key: str) -> DataFrame:

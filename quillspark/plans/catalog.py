@@ -44,6 +44,8 @@ HOURLY = """
         max_by(value, (ts, event_id)) AS close, CAST(count(*) AS DOUBLE) AS volume
     FROM events GROUP BY 1, 2
 """
+# The event types of the test tables.
+TYPES_OF_EVENTS = ["click", "error", "purchase", "signup", "view"]
 DAILY = HOURLY.replace("event_type AS ticker", "CAST(user_id AS VARCHAR) AS ticker").replace("'hour'", "'day'")
 
 
@@ -72,10 +74,10 @@ def ring_buffer(spark: SparkSession, sf: str) -> DataFrame:
     return bars.tail(views.hourly(spark, sf), 5).select("ticker", "datetime", "close")
 
 
-@query(f"""SELECT datetime, {', '.join(f"max(CASE WHEN ticker = '{t}' THEN close END) AS {t}" for t in ('click', 'purchase', 'view'))} FROM ({HOURLY.replace("'hour'", "'day'")}) GROUP BY 1""")
+@query(f"""SELECT datetime, {', '.join(f"max(CASE WHEN ticker = '{t}' THEN close END) AS {t}" for t in TYPES_OF_EVENTS)} FROM ({HOURLY.replace("'hour'", "'day'")}) GROUP BY 1""")
 def close_matrix(spark: SparkSession, sf: str) -> DataFrame:
     made = bars.bars(views.events(spark, sf), "day", ticker="event_type", ts="ts", price="value", order=["ts", "event_id"])
-    return bars.close_matrix(made, ["click", "purchase", "view"])
+    return bars.close_matrix(made, TYPES_OF_EVENTS)
 
 
 @query("SELECT ts, event_type, value FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 1 DAY")
@@ -86,13 +88,14 @@ def retention_window(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""
-    WITH u AS (SELECT CAST(range AS BIGINT) AS ticker FROM range(0, 160)), s AS (SELECT user_id AS ticker, max(ts) AS last_seen FROM events GROUP BY 1)
+    WITH u AS (SELECT DISTINCT user_id AS ticker FROM events UNION ALL SELECT -1), s AS (SELECT user_id AS ticker, max(ts) AS last_seen FROM events GROUP BY 1)
     SELECT u.ticker, last_seen FROM u LEFT JOIN s USING (ticker) WHERE coalesce(last_seen <= (SELECT max(ts) - INTERVAL 2 DAY FROM events), true)
 """)
 def silent_tickers(spark: SparkSession, sf: str) -> DataFrame:
     ev = views.events(spark, sf).select(F.col("user_id").alias("ticker"), F.col("ts").alias("datetime"))
     now = ev.agg((F.max("datetime") - F.expr("interval 2 days")).alias("since"))
-    universe = spark.range(160).select(F.col("id").alias("ticker")).join(F.broadcast(now))
+    never = spark.range(-1, 0).select(F.col("id").alias("ticker"))
+    universe = ev.select("ticker").distinct().unionByName(never).join(F.broadcast(now))  # one row
     return bars.silent(universe, ev, F.col("since")).select("ticker", "last_seen")
 
 
@@ -114,10 +117,16 @@ def stream_bars(spark: SparkSession, sf: str) -> DataFrame:
     ticks = live.read_files(spark, sf, views.events(spark, sf).schema, glob="events*.parquet")
     ticks = ticks.withColumn("ts", F.col("ts").cast("timestamp"))
     made = live.stream_bars(ticks, ticker="event_type", ts="ts", price="value", order="event_id")
-    # complete mode keeps each bar's last state: bars need not be closed by the watermark
-    running = made.writeStream.outputMode("complete").option("checkpointLocation", f"{out}/log").trigger(availableNow=True).foreachBatch(lambda df, i: df.write.mode("overwrite").parquet(f"{out}/bars"))
-    running.start().awaitTermination()
-    return spark.read.parquet(f"{out}/bars").withColumn("datetime", F.col("datetime").cast("timestamp_ntz"))
+    # update mode: a batch brings the bars that it changed, which are merged over what is there; the watermark ends their state
+    made_of: list[str] = []
+
+    def save(df: DataFrame, i: int) -> None:
+        df.write.mode("overwrite").parquet(f"{out}/bars-{i}")
+        made_of.append(f"{out}/bars-{i}")
+
+    merge = live.upsert_batches(lambda: spark.read.parquet(made_of[-1]) if made_of else None, save, ["ticker", "datetime"], ["volume"])
+    made.writeStream.outputMode("update").option("checkpointLocation", f"{out}/log").trigger(availableNow=True).foreachBatch(merge).start().awaitTermination()
+    return spark.read.parquet(made_of[-1]).withColumn("datetime", F.col("datetime").cast("timestamp_ntz"))
 
 
 def live_folder(spark: SparkSession) -> str:
@@ -214,7 +223,7 @@ def refetch_totals(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""
     WITH cal AS (SELECT unnest(generate_series((SELECT CAST(min(ts) AS DATE) FROM events), (SELECT CAST(max(ts) AS DATE) FROM events), INTERVAL 1 DAY))::DATE AS date),
-    u AS (SELECT DISTINCT user_id FROM events WHERE user_id < 5),
+    u AS (SELECT DISTINCT user_id FROM events),
     miss AS (SELECT user_id, date FROM u CROSS JOIN cal EXCEPT SELECT user_id, CAST(ts AS DATE) FROM events),
     s AS (SELECT date, string_agg(CAST(user_id AS VARCHAR), ',' ORDER BY CAST(user_id AS VARCHAR)) AS tickers FROM miss GROUP BY 1),
     d AS (SELECT date, tickers, row_number() OVER (ORDER BY date) AS i FROM cal LEFT JOIN s USING (date)),
@@ -223,7 +232,7 @@ def refetch_totals(spark: SparkSession, sf: str) -> DataFrame:
     SELECT min(date) AS start, max(date) AS "end", tickers FROM r WHERE tickers IS NOT NULL GROUP BY run, tickers
 """)
 def gap_islands(spark: SparkSession, sf: str) -> DataFrame:
-    counts = views.minutes(spark, sf, "user_id").where(F.col("ticker").isin("0", "1", "2", "3", "4"))
+    counts = views.minutes(spark, sf, "user_id")
     tickers = counts.select("ticker").distinct().withColumn("asset_class", F.lit("cryptos"))
     cal = views.calendar(spark, sf, 1440)
     report = health.gap_report(tickers, cal, counts)
@@ -238,13 +247,16 @@ def backfill_batches(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""
-    WITH t AS (SELECT CAST(user_id AS VARCHAR) AS ticker, count(*) AS n_bars, min(ts) AS first, max(ts) AS last FROM events WHERE user_id % 3 <> 0 GROUP BY 1),
-    u AS (SELECT CAST(range AS VARCHAR) AS ticker, CASE WHEN range % 7 = 0 THEN 'timeout' END AS error FROM range(0, 200))
+    WITH t AS (SELECT CAST(user_id AS VARCHAR) AS ticker, count(*) AS n_bars, min(ts) AS first, max(ts) AS last FROM events GROUP BY 1),
+    u AS (SELECT CAST(user_id AS VARCHAR) AS ticker, CASE WHEN min(value) < 0.5 THEN 'timeout' END AS error FROM events GROUP BY user_id UNION ALL SELECT 'GONE', NULL)
     SELECT ticker, CASE WHEN error IS NOT NULL THEN 'error' WHEN n_bars IS NULL THEN 'not_found' ELSE 'done' END AS status, coalesce(n_bars, 0) AS n_bars, first, last, error FROM u LEFT JOIN t USING (ticker)
 """)
 def backfill_ledger(spark: SparkSession, sf: str) -> DataFrame:
-    got = views.events(spark, sf).where("user_id % 3 <> 0").select(F.col("user_id").cast("string").alias("ticker"), F.col("ts").alias("datetime"))
-    tried = spark.range(200).select(F.col("id").cast("string").alias("ticker"), F.when(F.col("id") % 7 == 0, "timeout").alias("error"))
+    """All users, those with a tiny value as failures, and one ticker without bars."""
+    ev = views.events(spark, sf)
+    got = ev.select(F.col("user_id").cast("string").alias("ticker"), F.col("ts").alias("datetime"))
+    tried = ev.groupBy(F.col("user_id").cast("string").alias("ticker")).agg(F.when(F.min("value") < 0.5, "timeout").alias("error"))
+    tried = tried.unionByName(spark.sql("select 'GONE' ticker, cast(null as string) error"))
     return screening.ledger_rows(got, tried, F.lit(None).cast("timestamp")).drop("fetched_at")
 
 
@@ -253,9 +265,10 @@ def ledger_status(spark: SparkSession, sf: str) -> DataFrame:
     return screening.ledger_counts(backfill_ledger(spark, sf))
 
 
-@query(f"SELECT CAST(range AS VARCHAR) AS ticker FROM range(0, 220) WHERE CAST(range AS VARCHAR) NOT IN (SELECT ticker FROM ({ORACLE_SQL['backfill_ledger']}) WHERE status = 'done')")
+@query(f"SELECT ticker FROM (SELECT DISTINCT CAST(user_id AS VARCHAR) AS ticker FROM events UNION ALL SELECT 'GONE' UNION ALL SELECT 'NEW') WHERE ticker NOT IN (SELECT ticker FROM ({ORACLE_SQL['backfill_ledger']}) WHERE status = 'done')")
 def backfill_pending(spark: SparkSession, sf: str) -> DataFrame:
-    return screening.not_done(spark.range(220).select(F.col("id").cast("string").alias("ticker")), backfill_ledger(spark, sf))
+    universe = views.events(spark, sf).select(F.col("user_id").cast("string").alias("ticker")).distinct().unionByName(spark.sql("select * from values ('GONE'), ('NEW') t(ticker)"))
+    return screening.not_done(universe, backfill_ledger(spark, sf))
 
 
 # Sessions and half days by public rules, for three years.
@@ -320,12 +333,12 @@ def promote_staging(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""
-    WITH a AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'click' AND user_id < 120), b AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'view' AND user_id > 40)
+    WITH a AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'click'), b AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'signup')
     SELECT user_id, 'add' AS change FROM a WHERE user_id NOT IN (FROM b) UNION ALL SELECT user_id, 'remove' FROM b WHERE user_id NOT IN (FROM a)
 """)
 def subscription_diff(spark: SparkSession, sf: str) -> DataFrame:
     ev = views.events(spark, sf)
-    return upsert.changes(ev.where("event_type = 'click' and user_id < 120").select("user_id"), ev.where("event_type = 'view' and user_id > 40").select("user_id"), "user_id")
+    return upsert.changes(ev.where("event_type = 'click'").select("user_id"), ev.where("event_type = 'signup'").select("user_id"), "user_id")
 
 
 # Allocation
@@ -564,7 +577,7 @@ def _panel(spark: SparkSession, sf: str) -> DataFrame:
     w = W.partitionBy("h").orderBy("ts", "event_id")
     ev = views.events(spark, sf).withColumn("h", F.date_trunc("hour", "ts")).withColumn("i", F.row_number().over(w))
     line = F.concat_ws("\n", F.upper("event_type"), F.format_string("$%.2f", "value"), F.format_string("-%d%%", "user_id"))
-    trade = F.concat_ws("\n", F.upper("event_type"), F.when(F.col("i") % 2 == 0, F.lit("$400C 8/15")), F.format_string("×%d", "user_id"), F.format_string("+$%.1fk", "value"))
+    trade = F.concat_ws("\n", F.upper("event_type"), F.when(F.col("i") % 2 == 0, F.lit("$400C 8/15")), F.format_string("×%d", "user_id"), F.format_string("+$%.2fk", "value"))
     rows = ev.groupBy("h").agg(F.array_sort(F.collect_list(F.struct("i", line.alias("line"), trade.alias("trade")))).alias("r"))
     body = F.concat_ws("\n", F.lit("Closed\nMe"), F.transform("r", lambda x: x["line"]), F.lit("TOP TRADES\nTABLE"), F.transform("r", lambda x: x["trade"]), F.lit("CONNECT & VERIFY\nSENTIMENT"))
     return rows.select(F.col("h").alias("capture_ts"), F.lit("base").alias("view"), body.alias("text"))
@@ -572,11 +585,11 @@ def _panel(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""
     SELECT date_trunc('hour', ts) AS date, row_number() OVER (PARTITION BY date_trunc('hour', ts) ORDER BY ts, event_id) AS rank, upper(event_type) AS ticker,
-        CASE WHEN row_number() OVER (PARTITION BY date_trunc('hour', ts) ORDER BY ts, event_id) % 2 = 0 THEN '$400C 8/15' END AS contract, CAST(user_id AS DOUBLE) AS qty FROM events
+        CASE WHEN row_number() OVER (PARTITION BY date_trunc('hour', ts) ORDER BY ts, event_id) % 2 = 0 THEN '$400C 8/15' END AS contract, CAST(user_id AS DOUBLE) AS qty, round(CAST(printf('%.2f', value) AS DOUBLE) * 1000, 6) AS pnl FROM events
 """)
 def top_trades(spark: SparkSession, sf: str) -> DataFrame:
     rows, _ = panels.tables(panels.extract(_panel(spark, sf)))["panel_top_trades"]
-    return rows.select("date", F.col("rank").cast("long").alias("rank"), "ticker", "contract", "qty")
+    return rounded(rows.select("date", F.col("rank").cast("long").alias("rank"), "ticker", "contract", "qty", "pnl"))
 
 
 @query("""
@@ -623,7 +636,7 @@ def sample_hold(spark: SparkSession, sf: str) -> DataFrame:
     ev = views.events(spark, sf)
     span = ev.agg(F.date_trunc("hour", F.min("ts")).alias("a"), F.date_trunc("hour", F.max("ts")).alias("b"))
     ticks = span.select(F.explode(F.sequence(F.col("a").cast("timestamp_ntz"), F.col("b").cast("timestamp_ntz"), F.expr("interval 1 hour"))).alias("ts"))
-    return orderbook.sample_hold(ev, ticks, "event_type", "ts", "value")
+    return orderbook.sample_hold(ev, ticks, "event_type", "ts", "value", every_seconds=3600)
 
 
 @query("SELECT 'hourly' AS name, true AS stale UNION ALL SELECT 'daily', true UNION ALL SELECT 'fresh', false UNION ALL SELECT 'never', true")

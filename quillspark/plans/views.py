@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillspark.operators.bars import bars
@@ -38,9 +39,9 @@ def minutes(spark: SparkSession, sf: str, key: str) -> DataFrame:
 def signals(spark: SparkSession, sf: str) -> DataFrame:
     """Daily mean of each event type against 50, with its place in the alphabet."""
     by_day = events(spark, sf).groupBy(F.to_date("ts").alias("ts"), F.col("event_type").alias("asset")).agg(F.round(F.avg("value") - 50, 6).alias("signal"))
-    names = by_day.select("asset").distinct()
-    pos = names.alias("a").join(names.alias("b"), F.col("b.asset") <= F.col("a.asset")).groupBy("a.asset").agg(F.count(F.lit(1)).cast("int").alias("asset_pos"))
-    return by_day.join(F.broadcast(pos), "asset").select("ts", "asset", "asset_pos", "signal")
+    # one window over the distinct names: a universe of assets, not their rows
+    pos = by_day.select("asset").distinct().withColumn("asset_pos", F.row_number().over(W.orderBy("asset")))
+    return by_day.join(pos, "asset").select("ts", "asset", "asset_pos", "signal")
 
 
 def holdings(spark: SparkSession) -> DataFrame:

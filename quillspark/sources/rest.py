@@ -1,9 +1,12 @@
-"""A Python data source for paginated bar services, a partition for each ticker.
+"""A Python data source for paginated bar services; tickers are dealt to ``parallel`` partitions.
 
 The transport is a function (url, params) -> (status, JSON), named by
 ``module:function``, so tests and other services bring their own; a file-backed one
-is here. Reading follows ``next_url`` to the end, backs off on 429 and 5xx,
-drops symbols that the service calls invalid, and keeps the library's own ticker.
+is here. Reading follows ``next_url`` to the end, backs off on 429 and 5xx (each wait half as long again, ``max_backoff``
+at most), drops symbols that the service calls invalid, and keeps the library's own ticker. ``per_minute`` caps the calls
+of all partitions together: each takes its share. An error ends the read, or with ``errors`` set to ``rows`` only
+its ticker: the columns status (done, not_found, error) and error follow, with a row without a time for each ticker that has no bars or failed,
+which is what the backfill ledger needs.
 """
 
 from __future__ import annotations
@@ -23,8 +26,8 @@ EPOCH = datetime(1970, 1, 1, tzinfo=UTC)
 
 
 class TickerPartition(InputPartition):
-    def __init__(self, ticker: str):
-        super().__init__(ticker)
+    def __init__(self, tickers: list[str]):
+        super().__init__(tickers)
 
 
 def provider_symbol(ticker: str) -> str:
@@ -42,26 +45,39 @@ class BarReader(DataSourceReader):
         self.tickers = [t for t in options["tickers"].split(",") if t]
 
     def partitions(self) -> list[InputPartition]:
-        return [TickerPartition(t) for t in self.tickers] or [TickerPartition("")]
+        n = min(len(self.tickers), int(self.options.get("parallel", "8")))
+        return [TickerPartition(self.tickers[i::n]) for i in range(n)] or [TickerPartition([])]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        ticker = partition.value
-        if not ticker:
-            return
-        module, _, name = self.options["transport"].partition(":")
-        get = getattr(importlib.import_module(module), name)
+        rows = self.options.get("errors") == "rows"
+        module, _, name = self.options["transport"].partition(":") if partition.value else ("", "", "")
+        get = getattr(importlib.import_module(module), name) if module else None
+        for ticker in partition.value:
+            n = 0
+            try:
+                for bar in self._bars(get, ticker):
+                    n += 1
+                    yield (ticker, *bar, "done", None) if rows else (ticker, *bar)
+                if rows and not n:
+                    yield ticker, *[None] * 6, "not_found", None
+            except Exception as e:
+                if not rows:
+                    raise
+                yield ticker, *[None] * 6, "error", str(e)
+
+    def _bars(self, get, ticker: str) -> Iterator[tuple]:
         url, params = self.options["base"].rstrip("/") + "/" + provider_symbol(ticker), dict(adjusted="true", sort="asc")
-        pause = 60 / float(self.options.get("per_minute", "inf"))
+        pause = 60 * len(self.partitions()) / float(self.options.get("per_minute", "inf"))
         while url:
-            data = _fetch(get, url, params, pause, int(self.options.get("retries", "5")), float(self.options.get("backoff", "15")))
+            data = _fetch(get, url, params, pause, int(self.options.get("retries", "5")), float(self.options.get("backoff", "15")), float(self.options.get("max_backoff", "60")))
             if data is None:
                 return
             for r in data.get("results") or []:
-                yield ticker, EPOCH + timedelta(milliseconds=r["t"]), *(float(r[k]) if r.get(k) is not None else None for k in "ohlcv")
+                yield EPOCH + timedelta(milliseconds=r["t"]), *(float(r[k]) if r.get(k) is not None else None for k in "ohlcv")
             url, params = data.get("next_url"), {}
 
 
-def _fetch(get, url: str, params: dict, pause: float, retries: int, backoff: float) -> dict | None:
+def _fetch(get, url: str, params: dict, pause: float, retries: int, backoff: float, most: float) -> dict | None:
     """One page; None where the ticker is unknown or its symbol is invalid."""
     for attempt in range(retries):
         time.sleep(pause)
@@ -69,7 +85,7 @@ def _fetch(get, url: str, params: dict, pause: float, retries: int, backoff: flo
         if status == 404 or status == 400 and invalid_symbol(json.dumps(body)):
             return None
         if status == 429 or status >= 500:
-            time.sleep(backoff * (attempt + 1))
+            time.sleep(min(most, backoff * 1.5**attempt))
             continue
         if status >= 400:
             raise RuntimeError(f"{status} for {url}")
@@ -85,7 +101,8 @@ class BarSource(DataSource):
         return "rest_bars"
 
     def schema(self) -> str:
-        return "ticker string, datetime timestamp, open double, high double, low double, close double, volume double"
+        bar = "ticker string, datetime timestamp, open double, high double, low double, close double, volume double"
+        return bar + ", status string, error string" if self.options.get("errors") == "rows" else bar
 
     def reader(self, schema) -> DataSourceReader:
         return BarReader(dict(self.options))

@@ -70,3 +70,31 @@ def test_rest_source(spark, tmp_path):
     got = reader.option("tickers", "BF-A,GONE").load().orderBy("datetime").collect()
     assert [(r["ticker"], r["datetime"].minute, r["close"]) for r in got] == [("BF-A", 1, 1.5), ("BF-A", 2, 1.5)]
     assert reader.option("tickers", "").load().count() == 0
+
+
+def failing_transport(url, params):
+    return (500, {}) if "BAD" in url else (403, {}) if "DENIED" in url else (200, {"results": [{"t": 0, "o": 1, "h": 1, "l": 1, "c": 1, "v": 1}]}) if "GOOD" in url else (404, {})
+
+
+def test_rest_errors_are_rows(spark):
+    spark.dataSource.register(BarSource)
+    reader = spark.read.format("rest_bars").option("base", "x").option("transport", "tests.test_streaming:failing_transport").option("backoff", "0").option("retries", "2").option("parallel", "2")
+    got = reader.option("tickers", "GOOD,BAD,DENIED,GONE").option("errors", "rows").load().collect()
+    assert sorted((r["ticker"], r["status"], r["datetime"] is None, bool(r["error"])) for r in got) == [("BAD", "error", True, True), ("DENIED", "error", True, True), ("GONE", "not_found", True, False), ("GOOD", "done", False, False)]
+
+
+def test_hold_whole_books(spark, tmp_path):
+    df = spark.sql("select 'A' code, timestamp '2024-01-01 10:00:00' ts, array(named_struct('price', 1.0D, 'size', 2.0D)) bids, array(named_struct('price', 3.0D, 'size', 4.0D), named_struct('price', 5.0D, 'size', 6.0D)) asks")
+    df.write.parquet(str(tmp_path / "in"))
+    held = live.hold_latest(live.read_files(spark, str(tmp_path / "in"), df.schema), values=["bids", "asks"])
+    query = held.writeStream.outputMode("append").format("memory").queryName("books").start()
+    try:
+        for _ in range(40):
+            time.sleep(1)
+            if spark.table("books").where("repeated").count():
+                break
+    finally:
+        query.stop()
+    rows = spark.table("books").collect()
+    assert {r["repeated"] for r in rows} == {True, False}
+    assert all([tuple(x) for x in r["bids"]] == [(1.0, 2.0)] and [tuple(x) for x in r["asks"]] == [(3.0, 4.0), (5.0, 6.0)] for r in rows)
