@@ -91,7 +91,8 @@ def top_k(index: DataFrame, queries: DataFrame, k: int = 10, *, segments: int |
         first = F.array_position(F.array(*gaps), F.array_min(F.array(*gaps))).cast("int") - 1
         met = (F.array_min(F.array(*gaps)) == radius) & (first == F.col("p.seg"))
         on = (F.col("p.seg") == F.col("i.seg")) & (F.col("p.value") == F.col("i.value")) & met & (d <= F.col("bound"))
-        found = probes.alias("p").join(keyed.alias("i"), on).select("q", "code", "held", d.alias("d"))
+        # merge: Spark takes probes for as small as the queries they are made of, and would broadcast them
+        found = probes.alias("p").hint("merge").join(keyed.alias("i"), on).select("q", "code", "held", d.alias("d"))
         pool = cut(found if best is None else found.unionByName(best))
         # codes up to the one with which k + 1 rows are held, and all that tie with it: found from a query's rows at each
         # distance (BITS + 1 sums at most), so that a query with many candidates is not sorted in one task
