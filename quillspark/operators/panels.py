@@ -88,26 +88,21 @@ def leaderboard(items: Column, streaks: bool = False) -> Column:
 def top_trades(items: Column) -> Column:
     """Records of ticker, [contract unless the line is a quantity], qty, pnl; a record that is cut off is dropped.
 
-    A fold with what the next line is to be: 0 a ticker, 1 a contract or quantity, 2 a quantity, 3 a result.
+    The lines are joined and matched record after record in one pass: where the second line is no quantity, two lines follow it.
     """
-    row = "struct<ticker:string,contract:string,qty:double,pnl:double>"
-    start = F.expr(f"named_struct('next', 0, 'ticker', cast(null as string), 'contract', cast(null as string), 'qty', cast(null as string), 'out', cast(array() as array<{row}>))")
-
-    def state(next_, ticker, contract, qty, out):
-        return F.struct(F.lit(next_).alias("next"), ticker.alias("ticker"), contract.alias("contract"), qty.alias("qty"), out.alias("out"))
-
-    none = F.lit(None).cast("string")
-
-    def step(a: Column, x: Column) -> Column:
-        done = F.struct(a["ticker"].alias("ticker"), a["contract"].alias("contract"), number(a["qty"]).alias("qty"), number(x).alias("pnl"))
-        return (
-            F.when(a["next"] == 0, state(1, x, none, none, a["out"]))
-            .when((a["next"] == 1) & ~F.startswith(x, F.lit("×")), state(2, a["ticker"], x, none, a["out"]))
-            .when(a["next"] <= 2, state(3, a["ticker"], a["contract"], x, a["out"]))
-            .otherwise(state(0, none, none, none, F.concat(a["out"], F.array(done))))
-        )
-
-    return F.aggregate(F.coalesce(items, F.array().cast(_NONE)), start, step)["out"]
+    line = r"[^\n]*\n"
+    record = rf"\G{line}(?:(?!×){line}{line}|(?=×){line}){line}"
+    text = F.array_join(F.transform(F.coalesce(items, F.array().cast(_NONE)), lambda x: F.concat(F.coalesce(x, F.lit("")), F.lit("\n"))), "")
+
+    def fields(part: Column) -> Column:
+        last = F.size(part) - 2  # the last part is what follows the last line
+        return F.struct(
+            F.get(part, F.lit(0)).alias("ticker"), F.when(last == 3, F.get(part, F.lit(1))).alias("contract"),
+            number(F.get(part, last - 1)).alias("qty"), number(F.get(part, last)).alias("pnl"),
+        )
+
+    records = F.transform(F.regexp_extract_all(text, F.lit(record), F.lit(0)), lambda r: F.split(r, "\n"))
+    return F.transform(records, fields)
 
 
 def extract(captures: DataFrame) -> DataFrame:
