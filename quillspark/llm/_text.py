@@ -113,12 +113,13 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return out
 
 
-def gram_hashes(hashes: np.ndarray, k: int) -> np.ndarray:
-    """The hash of each run of ``k`` consecutive hashes; one for each start that has ``k``."""
+def gram_hashes(hashes: np.ndarray, k: int, at: np.ndarray | None = None) -> np.ndarray:
+    """The hash of each run of ``k`` consecutive hashes; one for each start that has ``k``, or for each of the starts ``at``."""
     n = len(hashes) - k + 1
     if n <= 0:
         return np.zeros(0, dtype=np.uint64)
-    total = hashes[:n] * _GRAM[0]
+    run = (lambda j: hashes[j : j + n]) if at is None else (lambda j: hashes[at + j])
+    total = run(0) * _GRAM[0]
     for j in range(1, k):
-        total = total + hashes[j : j + n] * _GRAM[j]
+        total = total + run(j) * _GRAM[j]
     return mix(total + np.uint64(k))

@@ -1,7 +1,7 @@
 """Benchmark decontamination by winnowing.
 
 Both texts become word sequences. Of the ``gram``-word hashes in each window of ``window`` consecutive
-words the smallest (the last one of equals) is kept as its
+words the smallest is kept as its
 fingerprint. A window that a document shares with an item has the
 same fingerprint at the same place, so no shared span of that length is
 lost. Fingerprints of a document that are fingerprints of the benchmark are hits; a hit is extended to the
@@ -13,7 +13,7 @@ guarantee below ``window`` words, so for each such length that occurs every
 ``L``-word hash of the documents is a fingerprint.
 
 Fingerprints and windows of documents are looked up in a Bloom filter of the benchmark's (16 bits for each
-counted entry, ``bloom_bits`` at most) before they are shuffled: it only drops what the join
+entry, ``bloom_bits`` at most) before they are shuffled: it only drops what the join
 would drop. Only hits are joined; a distinct window is matched once whatever the number of items that hold it,
 and a window that many documents share is a skewed join that Spark can split.
 
@@ -38,24 +38,23 @@ from quillspark.llm._text import ALNUM, LOWER, gram_hashes, mix, slices, word_ha
 ENTRY = "a bigint, b bigint, at bigint, size bigint"
 
 
-def _smallest(grams: np.ndarray, per: int) -> np.ndarray:
-    """Places of the smallest of each ``per`` consecutive hashes, the last of equals; for runs shorter than that none."""
+def _least(grams: np.ndarray, per: int) -> np.ndarray:
+    """The smallest of each ``per`` consecutive hashes; for runs shorter than that none."""
     n = len(grams) - per + 1
     if n <= 0:
-        return np.zeros(0, dtype=np.int64)
-    best, low = np.arange(n), grams[:n].copy()
-    for j in range(1, per):
-        at = grams[j : j + n]
-        take = at <= low
-        best[take] = np.flatnonzero(take) + j
-        low[take] = at[take]
-    return best
-
-
-def _window_hashes(hashes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two independent hashes of each run of ``size`` words; sizes are kept apart."""
+        return np.zeros(0, dtype=np.uint64)
+    low, span = grams, 1
+    while span < per:  # runs of ``span`` make up runs of up to twice as many
+        step = min(span, per - span)
+        low = np.minimum(low[: len(low) - step], low[step:])
+        span += step
+    return low
+
+
+def _window_hashes(hashes: np.ndarray, size: int, at: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent hashes of each run of ``size`` words (or of those that start ``at``); sizes are kept apart."""
     salt = np.uint64(0x9E3779B97F4A7C15 * size % 2**64)
-    return gram_hashes(hashes, size) ^ salt, gram_hashes(mix(hashes ^ np.uint64(0xD6E8FEB86659FD93)), size) ^ salt
+    return gram_hashes(hashes, size, at) ^ salt, gram_hashes(mix(hashes ^ np.uint64(0xD6E8FEB86659FD93)), size, at) ^ salt
 
 
 class _Bloom:
@@ -79,31 +78,29 @@ class _Bloom:
         return found
 
 
-def _by_row(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
-    """(row, word hashes) of each text in a batch."""
+def _by_slice(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, last row, word hashes, row of each word from the first) of each slice of texts in a batch."""
     for first, last, data, offsets in slices(batch.column("text")):
         data = LOWER[data]
         starts, ends, row = words(data, offsets, ALNUM)
-        hashes = word_hashes(data, starts, ends)
-        edges = np.searchsorted(row, np.arange(last - first + 1))
-        for i in range(last - first):
-            yield first + i, hashes[edges[i] : edges[i + 1]]
-
-
-def _shared_windows(hashes: np.ndarray, window: int, gram: int, short: list[int], bloom: _Bloom | None) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(words, places, first hashes, second hashes) of the windows whose fingerprint and hash the filter has, if there is one."""
-    grams = gram_hashes(hashes, gram)
-    kept = grams[_smallest(grams, window - gram + 1)]
-    places = np.arange(len(kept)) if bloom is None else np.flatnonzero(bloom.has(kept))
-    if len(places):
-        a, b = _window_hashes(hashes, window)
-        if bloom is not None:
-            places = places[bloom.has(a[places])]
-        yield window, places, a[places], b[places]
+        yield first, last, word_hashes(data, starts, ends), row
+
+
+def _shared_windows(hashes: np.ndarray, row: np.ndarray, window: int, gram: int, short: list[int], bloom: _Bloom) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(words, places, first hashes, second hashes) of the windows within a row whose fingerprint and hash the filter has."""
+    n = len(hashes)
+    if n >= window:
+        kept = _least(gram_hashes(hashes, gram), window - gram + 1)
+        new = np.concatenate(([True], kept[1:] != kept[:-1]))  # neighbours mostly share their fingerprint
+        found = bloom.has(kept[new])[np.cumsum(new) - 1]
+        places = np.flatnonzero(found & (row[: n - window + 1] == row[window - 1 :]))
+        a, b = _window_hashes(hashes, window, places)
+        sure = bloom.has(a)
+        yield window, places[sure], a[sure], b[sure]
     for size in short:
-        a, b = _window_hashes(hashes, size)
-        places = np.arange(len(a)) if bloom is None else np.flatnonzero(bloom.has(a))
-        if len(places):
+        if n >= size:
+            a, b = _window_hashes(hashes, size)
+            places = np.flatnonzero(bloom.has(a) & (row[: n - size + 1] == row[size - 1 :]))
             yield size, places, a[places], b[places]
 
 
@@ -113,38 +110,39 @@ def benchmark_windows(benchmark: DataFrame, window: int, gram: int) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("item_id")
-            for row, hashes in _by_row(batch):
-                n = len(hashes)
-                if not n or not ids[row].is_valid:
-                    continue
-                size = min(n, window)
-                a, b = _window_hashes(hashes, size)
-                grams = gram_hashes(hashes, gram)
-                f = grams[_smallest(grams, window - gram + 1)] if size == window else a
-                yield pa.RecordBatch.from_arrays([*(pa.array(x.view(np.int64)) for x in (f, a, b)), pa.array(np.full(len(a), size)), pa.array([ids[row].as_py()] * len(a), pa.string())], names=["f", "a", "b", "size", "item_id"])
+            for first, last, every, owner in _by_slice(batch):
+                edges = np.searchsorted(owner, np.arange(last - first + 1))
+                for row in range(first, last):
+                    hashes = every[edges[row - first] : edges[row - first + 1]]
+                    if not len(hashes) or not ids[row].is_valid:
+                        continue
+                    size = min(len(hashes), window)
+                    a, b = _window_hashes(hashes, size)
+                    f = _least(gram_hashes(hashes, gram), window - gram + 1) if size == window else a
+                    yield pa.RecordBatch.from_arrays([*(pa.array(x.view(np.int64)) for x in (f, a, b)), pa.array(np.full(len(a), size)), pa.array([ids[row].as_py()] * len(a), pa.string())], names=["f", "a", "b", "size", "item_id"])
 
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text")
     return items.mapInArrow(run, "f bigint, a bigint, b bigint, size bigint, item_id string").distinct()
 
 
-def _filter_of(windows: DataFrame, bloom_bits: int) -> _Bloom:
-    """The filter of all fingerprints and windows: bits are set in tasks, the driver gets its bytes."""
-    entries = windows.select(F.explode(F.array("f", "a")).alias("h")).distinct()
+def _filter_of(windows: DataFrame, n: int, bloom_bits: int) -> _Bloom:
+    """The filter of the fingerprints and hashes of ``n`` windows: bits are set in tasks, the driver gets its bytes."""
     bits = 1 << 13
-    while bits < min(16 * entries.count(), bloom_bits):
+    while bits < min(32 * n, bloom_bits):
         bits *= 2
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = _Bloom(bits)
         for batch in batches:
-            part.add(batch.column("h").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
+            for column in ("f", "a"):
+                part.add(batch.column(column).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
         used = np.flatnonzero(part.data)
         for at in range(0, len(used), 1 << 16):
             own = used[at : at + (1 << 16)]
             yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array(part.data[own].astype(np.int32))], names=["place", "bits"])
 
     bloom = _Bloom(bits)
-    got = entries.mapInArrow(fill, "place int, bits int").groupBy("place").agg(F.bit_or("bits").alias("bits")).toPandas()  # bloom_bits / 8 rows at most
+    got = windows.select("f", "a").mapInArrow(fill, "place int, bits int").groupBy("place").agg(F.bit_or("bits").alias("bits")).toPandas()  # bloom_bits / 8 rows at most
     bloom.data[got["place"].to_numpy(np.int64)] = got["bits"].to_numpy(np.uint8)
     return bloom
 
@@ -167,8 +165,10 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def decontaminate(documents: DataFrame, benchmark: DataFrame, *, window: int = 10, gram: int = 5, bloom_bits: int = 1 << 26) -> DataFrame:
     """One row for each document: doc_id, n_words, spans (hit word ranges, end exclusive, merged and in order), items (ids with an occurrence, sorted as strings)."""
     windows = cut(benchmark_windows(benchmark, window, gram))
-    short = sorted(r["size"] for r in windows.where(F.col("size") < window).select("size").distinct().collect())  # at most window - 1 numbers
-    bloom = _filter_of(windows, bloom_bits)
+    size = F.col("size")
+    known = windows.agg(F.count(F.lit(1)).alias("n"), F.collect_set(F.when(size < window, size)).alias("short")).first()
+    short = sorted(known["short"])  # at most window - 1 numbers
+    bloom = _filter_of(windows, known["n"], bloom_bits)
     bits, shared = len(bloom.data) * 8, documents.sparkSession.sparkContext.broadcast(bloom.data)
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,12 +176,15 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, *, window: int = 1
         seen.data = shared.value
         for batch in batches:
             counts = np.zeros(batch.num_rows, np.int64)
+            keys = batch.column("row").to_numpy()
             none = lambda n: pa.nulls(n, pa.int64())
-            for row, hashes in _by_row(batch):
-                counts[row] = len(hashes)
-                for size, at, a, b in _shared_windows(hashes, window, gram, short, seen):
-                    key = pa.array(np.full(len(at), batch.column("row")[row].as_py()))
-                    yield pa.RecordBatch.from_arrays([key, none(len(at)), none(len(at)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(at), pa.array(np.full(len(at), size))], names=names)
+            for first, last, hashes, row in _by_slice(batch):
+                counts[first:last] = np.bincount(row, minlength=last - first)
+                starts = np.cumsum(counts[first:last]) - counts[first:last]
+                for size, places, a, b in _shared_windows(hashes, row, window, gram, short, seen):
+                    m, own = len(places), row[places]
+                    columns = (keys[first:last][own], none(m), none(m), a.view(np.int64), b.view(np.int64), places - starts[own], np.full(m, size))
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
             n = batch.num_rows
             yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), pa.array(counts), *(none(n) for _ in range(4))], names=names)
 
