@@ -1,8 +1,9 @@
 """URL filtering against a sorted digest array.
 
 The list of rules (host, path, verdict) becomes 64-bit xxhash keys of
-``host + path`` in ascending order, in one file that every executor fetches once
-and maps into memory, with the full strings behind it. URLs are probed with a
+``host + path`` in ascending order with the full strings behind them, cut by key range
+into shards of about ``shard_bytes``. Tasks build the shards in the shared folder; every executor fetches each once
+and maps it into memory, so a list is bounded by an executor's disk only. URLs are probed with a
 vectorised binary search, and each match is confirmed on the stored full string,
 so a digest collision cannot judge a URL.
 
@@ -12,10 +13,6 @@ boundary with no more labels than the longest rule, joined with its path cut to
 the longest rule that is confirmed wins, of equally long ones the one of the longer host. URLs that no rule fits have the verdict
 ``default``.
 
-The array is built on the driver, up to ``max_rules`` rules and ``max_bytes`` of
-strings (about 1 GB by default); a larger list is refused with an error and is to be
-split by host suffix.
-
 Defined results: the host is what follows the first ``://`` up to ``/``, ``?``, ``#`` or
 the end, with A-Z lower-cased; the path follows up to ``?``, ``#`` or the end. A null
 URL, or one without ``://``, has neither and fits no rule. Rules that repeat
@@ -25,19 +22,20 @@ besides the named ones are ignored.
 
 from __future__ import annotations
 
-import hashlib
 import os
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import xxhash
 from pyspark import SparkFiles
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_open: dict[str, DigestArray] = {}
+from quillspark.llm._spark import written
+
+_open: dict[str, dict[int, DigestArray]] = {}
 
 
 class DigestArray:
@@ -54,7 +52,8 @@ class DigestArray:
         self.text = np.memmap(path, dtype=np.uint8, mode="r", offset=at + 8 * (2 * n + 1), shape=(size,)) if size else np.zeros(0, np.uint8)
 
     @staticmethod
-    def build(path: str, rules: list[tuple[str, str, str]]) -> None:
+    def packed(rules: list[tuple[str, str, str]]) -> bytes:
+        """The contents of a file."""
         entries: dict[str, str] = {}
         for host, prefix, verdict in rules:
             if host and entries.setdefault(host + prefix, verdict) != verdict:
@@ -63,16 +62,20 @@ class DigestArray:
         lengths = np.array(sorted({len(p.encode()) for h, p, _ in rules if h}), dtype=np.int64)
         strings = [f"{v}\0{k}".encode() for _, k, v in held]
         ends = np.concatenate(([0], np.cumsum([len(s) for s in strings]))).astype(np.int64)
+        labels = max((h.count(".") + 1 for h, _, _ in rules if h), default=0)
+        head = np.array([len(held), len(lengths), labels], dtype=np.int64).tobytes() + lengths.tobytes()
+        return head + np.array([h for h, _, _ in held], dtype=np.uint64).tobytes() + ends.tobytes() + b"".join(strings)
+
+    @staticmethod
+    def build(path: str, rules: list[tuple[str, str, str]]) -> None:
         with open(path, "wb") as f:
-            labels = max((h.count(".") + 1 for h, _, _ in rules if h), default=0)
-            f.write(np.array([len(held), len(lengths), labels], dtype=np.int64).tobytes() + lengths.tobytes())
-            f.write(np.array([h for h, _, _ in held], dtype=np.uint64).tobytes() + ends.tobytes() + b"".join(strings))
+            f.write(DigestArray.packed(rules))
 
-    def find(self, probes: list[bytes]) -> list[str | None]:
-        """The verdict stored for each full string, or None."""
+    def find(self, probes: list[bytes], want: np.ndarray | None = None) -> list[str | None]:
+        """The verdict stored for each full string, or None; ``want`` has the digests if they are known."""
         if not probes or not len(self.keys):
             return [None] * len(probes)
-        want = np.fromiter(map(xxhash.xxh64_intdigest, probes), dtype=np.uint64, count=len(probes))
+        want = digests(probes) if want is None else want
         at = np.searchsorted(self.keys, want)
         out: list[str | None] = [None] * len(probes)
         for i in np.flatnonzero(self.keys[np.minimum(at, len(self.keys) - 1)] == want):
@@ -86,19 +89,63 @@ class DigestArray:
         return out
 
 
-def _mapped(name: str) -> DigestArray:
-    if name not in _open:
-        _open[name] = DigestArray(SparkFiles.get(name))
-    return _open[name]
+def digests(strings: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, strings), dtype=np.uint64, count=len(strings))
+
+
+def _range_of(keys: np.ndarray, bits: int) -> np.ndarray:
+    """The shard of each key: its first ``bits`` bits."""
+    return (keys >> np.uint64(63 - bits) >> np.uint64(1)).astype(np.int64)
 
 
-def publish(spark: SparkSession, rules: list[tuple[str, str, str]]) -> str:
-    """Build the array and let executors fetch it; the name of the file."""
-    digest = hashlib.sha256(repr(sorted(rules)).encode()).hexdigest()[:24]
-    path = os.path.join(tempfile.mkdtemp(prefix="digests-"), f"digests-{digest}-{os.urandom(4).hex()}.bin")
-    DigestArray.build(path, rules)
-    spark.sparkContext.addFile(path)
-    return os.path.basename(path)
+def build_shards(entries: DataFrame, bits: int) -> list[str]:
+    """Sorted digest arrays of ``entries`` (host, path, verdict), one for each key range, built by tasks; the names under which executors fetch them."""
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            full = [(h + p).encode() for h, p in zip(batch.column("host").to_pylist(), batch.column("path").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_range_of(digests(full), bits))], names=["host", "path", "verdict", "shard"])
+
+    def build(part: pa.Table) -> pa.Table:
+        data = DigestArray.packed(list(zip(*(part.column(c).to_pylist() for c in ("host", "path", "verdict")), strict=True)))
+        return pa.table({"shard": part.column("shard").slice(0, 1), "data": pa.array([data], pa.binary())})
+
+    placed = entries.mapInArrow(place, "host string, path string, verdict string, shard long")
+    shards, _ = written(placed.groupBy("shard").applyInArrow(build, "shard long, data binary"), "digests")
+    files = shards.inputFiles()  # names only; they stay in the shared folder for executors that come later
+    for file in files:
+        entries.sparkSession.sparkContext.addFile(file)
+    return [os.path.basename(file) for file in files]
+
+
+def _mapped(names: list[str]) -> dict[int, DigestArray]:
+    """The shards by number, mapped into memory; the first worker of an executor unpacks a fetched file beside it."""
+    shards: dict[int, DigestArray] = {}
+    for name in names:
+        if name not in _open:
+            fetched, _open[name] = SparkFiles.get(name), {}
+            for batch in pq.ParquetFile(fetched).iter_batches(batch_size=1):
+                shard, path = batch.column("shard")[0].as_py(), f"{fetched}.{batch.column('shard')[0]}"
+                if not os.path.exists(path):
+                    own = f"{path}.{os.getpid()}"
+                    with open(own, "wb") as f:
+                        f.write(batch.column("data")[0].as_buffer())
+                    os.replace(own, path)
+                _open[name][shard] = DigestArray(path)
+        shards |= _open[name]
+    return shards
+
+
+def _find(shards: dict[int, DigestArray], bits: int, probes: list[bytes]) -> list[str | None]:
+    """The verdict stored for each full string in the shard of its digest, or None."""
+    want, out = digests(probes), [None] * len(probes)
+    places = _range_of(want, bits)
+    for shard in np.unique(places).tolist():
+        own = np.flatnonzero(places == shard)
+        if shard in shards:
+            for i, verdict in zip(own.tolist(), shards[shard].find([probes[i] for i in own], want[own]), strict=True):
+                out[i] = verdict
+    return out
 
 
 def candidates(host: str, path: str, most_labels: int, lengths: list[int]) -> list[bytes]:
@@ -109,13 +156,21 @@ def candidates(host: str, path: str, most_labels: int, lengths: list[int]) -> li
     return [h + raw[:n] for h in hosts for n in lengths if n <= len(raw)]
 
 
-def filter_urls(urls: DataFrame, rules: DataFrame, *, url: str = "url", key: str = "page_id", default: str = "allow", max_rules: int = 10_000_000, max_bytes: int = 1 << 30) -> DataFrame:
+def filter_urls(urls: DataFrame, rules: DataFrame, *, url: str = "url", key: str = "page_id", default: str = "allow", shard_bytes: int = 32 << 20) -> DataFrame:
     """(key, host, path, rule, verdict) for each URL; ``rules`` has host, path and verdict."""
-    size = rules.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("host") + F.octet_length("path")), F.lit(0)).alias("bytes")).first()
-    if size["n"] > max_rules or size["bytes"] > max_bytes:
-        raise ValueError("the list is too large for one array: split it by host suffix")
-    held = [(r["host"], r["path"] or "", r["verdict"]) for r in rules.select("host", "path", "verdict").where("host is not null").collect()]
-    name = publish(urls.sparkSession, held)
+    entries = rules.select("host", F.coalesce("path", F.lit("")).alias("path"), "verdict").where("host <> ''").distinct()
+    full, length = F.concat("host", "path"), F.octet_length("path")
+    of_each = entries.groupBy(full.alias("full")).agg((F.min("verdict") != F.max("verdict")).alias("differ"), F.max(F.regexp_count("host", F.lit("[.]")) + 1).alias("labels"), F.collect_set(length).alias("lengths"))
+    known = of_each.agg(
+        F.max(F.when(F.col("differ"), F.col("full"))).alias("disputed"), F.coalesce(F.max("labels"), F.lit(0)).alias("labels"),
+        F.coalesce(F.sum(F.octet_length("full") + 32), F.lit(0)).alias("bytes"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("lengths")))).alias("lengths"),
+    ).first()
+    if known["disputed"] is not None:
+        raise ValueError(f"rules disagree on {known['disputed']}")
+    labels, lengths, bits = known["labels"], known["lengths"], 0
+    while known["bytes"] > shard_bytes << bits:
+        bits += 1
+    names = build_shards(entries, bits)
 
     rest = F.substring(F.col(url), F.locate("://", F.col(url)) + 3, F.length(url))
     raw = F.when(F.contains(F.col(url), F.lit("://")), rest).otherwise("")
@@ -125,17 +180,17 @@ def filter_urls(urls: DataFrame, rules: DataFrame, *, url: str = "url", key: str
     parts = urls.select(key, F.translate(F.regexp_extract(raw, r"^[^/?#]*", 0), upper, lower).alias("host"), F.regexp_extract(raw, r"^[^/?#]*([^?#]*)", 1).alias("path"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        array = _mapped(name)
+        shards = _mapped(names)
         for batch in batches:
             probes, owner = [], []
             for i, (h, p) in enumerate(zip(batch.column("host").to_pylist(), batch.column("path").to_pylist(), strict=True)):
-                for c in candidates(h, p, array.labels, array.lengths) if h else []:
+                for c in candidates(h, p, labels, lengths) if h and labels else []:
                     probes.append(c)
                     owner.append(i)
             rule: list[str | None] = [None] * batch.num_rows
             verdict = [default] * batch.num_rows
             best = [-1] * batch.num_rows
-            for i, c, v in zip(owner, probes, array.find(probes), strict=True):
+            for i, c, v in zip(owner, probes, _find(shards, bits, probes), strict=True):
                 if v is not None and len(c) > best[i]:
                     rule[i], verdict[i], best[i] = c.decode(), v, len(c)
             yield pa.RecordBatch.from_pydict({**{c: batch.column(c) for c in (key, "host", "path")}, "rule": pa.array(rule, pa.string()), "verdict": pa.array(verdict, pa.string())})

@@ -84,8 +84,10 @@ def test_url_filter(spark):
     assert [tuple(r)[1:] for r in got] == [*URLS.values(), ("", "", None, "allow"), ("", "", None, "allow")]
     none = url_filter.filter_urls(spark.createDataFrame(rows[:1], "page_id long, url string, verdict string"), rules.limit(0)).first()
     assert none["rule"] is None and none["verdict"] == "allow"
+    shards = url_filter.filter_urls(spark.createDataFrame(rows, "page_id long, url string, verdict string"), rules, shard_bytes=40).orderBy("page_id").collect()
+    assert shards == got
     with pytest.raises(ValueError):
-        url_filter.filter_urls(spark.createDataFrame(rows[:1], "page_id long, url string, v string"), rules, max_rules=2)
+        url_filter.filter_urls(spark.createDataFrame(rows[:1], "page_id long, url string, v string"), rules.withColumn("verdict", F.expr("uuid()")).union(rules))
 
 
 def fitting(url, rules, default="allow"):
