@@ -4,8 +4,9 @@
 returns a DataFrame, which is written as Parquet and reread as the next one's
 docs. All but the last return the columns of ``documents``.
 
-Decisions go by doc_id: rows that repeat one share them (one of them rejected
-rejects all), and a row without one cannot be rejected. A null text is an empty one in every stage.
+Decisions go by doc_id; rows that repeat one, or have none, are judged each by itself, under a key made of
+their own columns (``keyed``). Of rows that are equal in all of them one stays in the near-duplicate stage. A null text is an
+empty one in every stage.
 """
 
 from __future__ import annotations
@@ -23,27 +24,45 @@ from quillspark.llm.queries import tokenizer
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """The columns of documents, loose (the doc_id is null or repeats), and key: the doc_id, of a loose row a hash of its columns."""
+    shared = cut(docs.groupBy("doc_id").count().where("doc_id is null or count > 1").select(F.col("doc_id").alias("same")))
+    if shared.isEmpty():
+        return docs.select(*COLUMNS, F.lit(False).alias("loose"), F.col("doc_id").cast("long").alias("key"))
+    marked = docs.select(COLUMNS).join(shared.withColumn("loose", F.lit(True)), F.col("doc_id").eqNullSafe(F.col("same")), "left")
+    own = F.xxhash64(*(F.struct(F.col(c).isNull(), c) for c in COLUMNS[:4]))
+    return marked.select(*COLUMNS, F.coalesce("loose", F.lit(False)).alias("loose"), F.when(F.col("loose"), own).otherwise(F.col("doc_id").cast("long")).alias("key"))
+
+
+def judged(docs: DataFrame) -> DataFrame:
+    """What the operators take: the key as doc_id."""
+    return docs.select(F.col("key").alias("doc_id"), "text", "lang", "source")
+
+
 def without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """The documents that are not among the rejected ones, which a stage writes first, so that Spark knows their size when it joins."""
-    return docs.select(COLUMNS).join(cut(rejected.select("doc_id")), "doc_id", "left_anti").select(COLUMNS)
+    """The keyed documents that are not among the rejected ones, which a stage writes first, so that Spark knows their size when it joins."""
+    return docs.join(cut(rejected.select(F.col("doc_id").alias("key"))), "key", "left_anti")
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
-    scored = quality.score_quality(docs, table(spark, sf_dir, "labels"))
-    return without(docs, scored.where(~F.col("keep")))
+    docs = keyed(docs)
+    scored = quality.score_quality(judged(docs), table(spark, sf_dir, "labels"))
+    return without(docs, scored.where(~F.col("keep"))).select(COLUMNS)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays."""
-    grouped = near_dedup.near_duplicates(docs)
-    return without(docs, grouped.where(~F.col("kept")))
+    docs = keyed(docs)
+    kept = without(docs, near_dedup.near_duplicates(judged(docs)).where(~F.col("kept")))
+    return kept.where(~F.col("loose")).unionByName(kept.where("loose").dropDuplicates(["key"])).select(COLUMNS)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that share a window with a benchmark item go."""
-    marked = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    return without(docs, marked.where(F.size("items") > 0))
+    docs = keyed(docs)
+    marked = decontaminate.decontaminate(judged(docs), table(spark, sf_dir, "benchmark"))
+    return without(docs, marked.where(F.size("items") > 0)).select(COLUMNS)
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
