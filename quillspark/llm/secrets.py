@@ -125,16 +125,23 @@ def scan(documents: DataFrame, *, scope_chars: int = 300, keep: tuple[str, ...]
     return wanted.mapInArrow(run, schema)
 
 
+def _redacted(text: pa.Array, spans: pa.Array) -> pa.Array:
+    out = []
+    for row, found in zip(text.to_pylist(), spans.to_pylist(), strict=True):
+        parts, at = [], 0
+        for s, e in sorted((x["start"], x["end"]) for x in found) if row is not None else ():
+            if s >= at:
+                parts += [row[at:s], "[REDACTED]"]
+            at = max(at, e)
+        out.append(None if row is None else "".join(parts) + row[at:])
+    return pa.array(out, pa.string())
+
+
 def redact(scanned: DataFrame, text: str = "text") -> Column:
-    """``text`` with each merged span of ``base`` and ``linked`` replaced by ``[REDACTED]``."""
-    spans = F.array_sort(F.transform(F.concat("base", "linked"), lambda s: F.struct(s["start"], s["end"])))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    done = F.aggregate(
-        spans, start,
-        lambda a, s: F.when(s["end"] <= a["at"], a).when(s["start"] < a["at"], F.struct(s["end"].alias("at"), a["out"].alias("out")))
-        .otherwise(F.struct(s["end"].alias("at"), F.concat(a["out"], F.substring(text, a["at"] + 1, s["start"] - a["at"]), F.lit("[REDACTED]")).alias("out"))),
-    )
-    return F.when(F.size(spans) == 0, F.col(text)).otherwise(F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text))))
+    """``text`` with each merged span of ``base`` and ``linked`` replaced by ``[REDACTED]``; only texts with spans go through Python."""
+    spans = F.concat("base", "linked")
+    replaced = F.arrow_udf(_redacted, "string")(F.when(F.size(spans) > 0, F.col(text)), spans)
+    return F.when(F.size(spans) == 0, F.col(text)).otherwise(replaced)
 
 
 def _joined(spans: Column) -> Column:
