@@ -50,6 +50,11 @@ def keyed_json(text: DataFrame, value_schema: str, body: str = "body") -> DataFr
     return text.select(F.explode(F.from_json(body, f"map<string,{value_schema}>")).alias("key", "value"))
 
 
+def write_side_file(rows: DataFrame, path: str) -> None:
+    """A small table (unmatched symbols, the ledger, metadata) as JSON lines in one file."""
+    rows.coalesce(1).write.mode("overwrite").json(path)
+
+
 def stale(control: DataFrame, names: DataFrame, now: Column, freq: str | None = None, hours: float | None = None, force: bool = False) -> DataFrame:
     """Which of ``names`` are to be built again: by UTC dates for a frequency (unknown ones are daily), or by hours of age."""
     both = names.join(control, "name", "left")

@@ -318,6 +318,8 @@ def test_files(spark, tmp_path):
         files.load(spark, str(tmp_path), "panel_sentiment")
     spark.createDataFrame([(dt.datetime(2024, 1, d), 1.0, 2.0) for d in (1, 3)], "date timestamp_ntz, bearish_pct double, bullish_pct double").write.parquet(str(tmp_path / "panel_sentiment"))
     assert files.load(spark, str(tmp_path), "panel_sentiment", dt.datetime(2024, 1, 2)).count() == 1
+    files.write_side_file(spark.createDataFrame([("X", None), ("Y", 2)], "ticker string, n int"), str(tmp_path / "side"))
+    assert sorted((r["ticker"], r["n"]) for r in spark.read.schema("ticker string, n int").json(str(tmp_path / "side")).collect()) == [("X", None), ("Y", 2)]
     kv = files.keyed_json(spark.createDataFrame([('{"A": {"x": 1}}',)], "body string"), "struct<x:int>").first()
     assert kv["key"] == "A" and kv["value"]["x"] == 1
     control = files.mark_written(spark.createDataFrame([], "name string, written_at timestamp"), "t", F.lit("2024-01-01").cast("timestamp"))
