@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import decontaminate, language, near_dedup, pieces, quality, secrets, suffix_dedup, topk, toxicity, url_filter
+from quillspark.llm import byte_bpe, decontaminate, language, near_dedup, pieces, quality, secrets, suffix_dedup, topk, toxicity, url_filter
 from quillspark.llm._spark import table
 
 
@@ -71,6 +71,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.digest(byte_bpe.encode(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.tiktoken")))
+
+
 QUERIES = {
     "op1_topk": op1_topk,
     "op2_near_duplicates": op2_near_duplicates,
@@ -82,6 +86,7 @@ QUERIES = {
     "op8_language": op8_language,
     "op9_secrets": op9_secrets,
     "op10_quality": op10_quality,
+    "op12_byte_bpe": op12_byte_bpe,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_topk": """
