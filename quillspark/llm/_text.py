@@ -123,3 +123,31 @@ def gram_hashes(hashes: np.ndarray, k: int, at: np.ndarray | None = None) -> np.
     for j in range(1, k):
         total = total + run(j) * _GRAM[j]
     return mix(total + np.uint64(k))
+
+
+def gather(values: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """values[start : start + len] of each, one after another."""
+    total = int(lens.sum())
+    shift = starts - (np.cumsum(lens) - lens)
+    return values[np.repeat(shift, lens) + np.arange(total)] if total else values[:0]
+
+
+def distinct_words(data: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(an occurrence of each distinct word, which of them each occurrence is)."""
+    _, entry, which = np.unique(word_hashes(data, starts, starts + lens), return_index=True, return_inverse=True)
+    wrong = np.flatnonzero(lens != lens[entry][which])
+    rest = np.flatnonzero(lens == lens[entry][which])
+    # equal hashes are not yet equal words: compare, a few megabytes at a time
+    ends = np.cumsum(lens[rest])
+    edges = np.append(np.searchsorted(ends, np.arange(0, int(lens[rest].sum()), 4 * SLICE_BYTES)), len(rest))
+    for low, high in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        part = rest[low:high]
+        if len(part):
+            same = gather(data, starts[part], lens[part]) == gather(data, starts[entry[which[part]]], lens[part])
+            if not same.all():
+                bad = np.unique(np.searchsorted(np.cumsum(lens[part]), np.flatnonzero(~same), side="right"))
+                wrong = np.append(wrong, part[bad])
+    if len(wrong):  # each of them stands for itself
+        which[wrong] = len(entry) + np.arange(len(wrong))
+        entry = np.append(entry, wrong)
+    return entry, which

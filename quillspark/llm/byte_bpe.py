@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm._text import SLICE_BYTES, slices, word_hashes
+from quillspark.llm._text import SLICE_BYTES, distinct_words, gather, slices
 
 LETTER, NUMBER, SPACE, OTHER = range(4)
 CUT = 1 << 20
@@ -200,18 +200,18 @@ class ByteCoder:
         if not len(starts):
             return np.zeros(0, np.int32), np.zeros(len(offsets) - 1, np.int64)
         lens = np.diff(np.append(starts, len(data)))
-        entry, which = _distinct(data, starts, lens)
+        entry, which = distinct_words(data, starts, lens)
         words = [bytes(data[s : s + k]) if k <= self.longest else b"" for s, k in zip(starts[entry].tolist(), lens[entry].tolist(), strict=True)]
         whole = np.array([self.ranks.get(w, -1) for w in words], dtype=np.int32)  # a word that is a token takes its id as it is
         rest = np.flatnonzero(whole < 0)
-        ids, counts = self.replay(_gather(data, starts[entry[rest]], lens[entry[rest]]), lens[entry[rest]])
+        ids, counts = self.replay(gather(data, starts[entry[rest]], lens[entry[rest]]), lens[entry[rest]])
         count = np.ones(len(entry), dtype=np.int64)
         count[rest] = counts
         place = np.empty(len(entry), dtype=np.int64)
         place[rest] = np.cumsum(counts) - counts
         place[whole >= 0] = len(ids) + np.arange(len(entry) - len(rest))
         ids = np.concatenate((ids, whole[whole >= 0]))
-        out = _gather(ids, place[which], count[which])
+        out = gather(ids, place[which], count[which])
         row = np.searchsorted(offsets, starts, side="right") - 1
         return out, np.bincount(row, weights=count[which], minlength=len(offsets) - 1).astype(np.int64)
 
@@ -228,7 +228,7 @@ class ByteCoder:
             low = high
 
     def decode(self, ids: np.ndarray) -> np.ndarray:
-        return _gather(self.token_bytes, self.token_starts[ids], self.token_lens[ids])
+        return gather(self.token_bytes, self.token_starts[ids], self.token_lens[ids])
 
 
 def _at(values: np.ndarray, places: np.ndarray) -> np.ndarray:
@@ -261,34 +261,6 @@ def _safe_cuts(data: np.ndarray, low: int, high: int) -> np.ndarray:
     return low + ok[np.unique(np.minimum(np.searchsorted(ok, np.arange(SLICE_BYTES, high - low, SLICE_BYTES)), len(ok) - 1))]
 
 
-def _gather(values: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
-    """values[start : start + len] of each, one after another."""
-    total = int(lens.sum())
-    shift = starts - (np.cumsum(lens) - lens)
-    return values[np.repeat(shift, lens) + np.arange(total)] if total else values[:0]
-
-
-def _distinct(data: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(an occurrence of each distinct word, which of them each occurrence is)."""
-    _, entry, which = np.unique(word_hashes(data, starts, starts + lens), return_index=True, return_inverse=True)
-    wrong = np.flatnonzero(lens != lens[entry][which])
-    rest = np.flatnonzero(lens == lens[entry][which])
-    # equal hashes are not yet equal words: compare, a few megabytes at a time
-    ends = np.cumsum(lens[rest])
-    edges = np.append(np.searchsorted(ends, np.arange(0, int(lens[rest].sum()), 4 * SLICE_BYTES)), len(rest))
-    for low, high in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-        part = rest[low:high]
-        if len(part):
-            same = _gather(data, starts[part], lens[part]) == _gather(data, starts[entry[which[part]]], lens[part])
-            if not same.all():
-                bad = np.unique(np.searchsorted(np.cumsum(lens[part]), np.flatnonzero(~same), side="right"))
-                wrong = np.append(wrong, part[bad])
-    if len(wrong):  # each of them stands for itself
-        which[wrong] = len(entry) + np.arange(len(wrong))
-        entry = np.append(entry, wrong)
-    return entry, which
-
-
 def coder(rank_file: str) -> ByteCoder:
     if rank_file not in _coders:
         _coders[rank_file] = ByteCoder(read_ranks(rank_file), character_classes())

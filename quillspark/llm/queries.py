@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import byte_bpe, decontaminate, language, near_dedup, pieces, quality, secrets, suffix_dedup, topk, toxicity, url_filter
+from quillspark.llm import byte_bpe, collocations, decontaminate, language, near_dedup, pieces, quality, secrets, suffix_dedup, topk, toxicity, url_filter
 from quillspark.llm._spark import table
 
 
@@ -71,6 +71,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digest(byte_bpe.encode(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.tiktoken")))
 
@@ -86,6 +90,7 @@ QUERIES = {
     "op8_language": op8_language,
     "op9_secrets": op9_secrets,
     "op10_quality": op10_quality,
+    "op11_collocations": op11_collocations,
     "op12_byte_bpe": op12_byte_bpe,
 }
 ORACLE_SQL: dict[str, str] = {
@@ -120,4 +125,23 @@ ORACLE_SQL: dict[str, str] = {
         )
         SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.com/en/', 'net/es/', 'net/fr/') THEN 'block' ELSE 'allow' END AS verdict FROM judged
     """,
+    "op11_collocations": r"""
+        WITH w AS (
+            SELECT lang, list_filter(string_split_regex(piece, '[ \t]+'), lambda x: x <> '') AS w FROM (
+                SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\n\x0B\f\r]')) AS piece FROM documents)
+        ),
+        g AS (SELECT lang, k AS m, array_to_string(w[i : i + k - 1], ' ') AS phrase FROM w, unnest(range(1, 5)) t(k), unnest(range(1, len(w) - k + 2)) u(i)),
+        f AS (SELECT lang, m, phrase, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 30),
+        n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY 1),
+        c AS (SELECT lang, phrase, m, f AS a, string_split(phrase, ' ') AS w FROM f WHERE m >= 2),
+        cuts AS (SELECT lang, phrase, a, k, array_to_string(w[1 : k], ' ') AS first, array_to_string(w[k + 1 : m], ' ') AS rest FROM c, unnest(range(1, m)) t(k)),
+        s AS (
+            SELECT cuts.lang, cuts.phrase, a, k, x.f AS l, y.f AS r, CAST((2000000 * CAST(a AS HUGEINT)) // (CAST(x.f AS HUGEINT) + y.f) AS BIGINT) AS score
+            FROM cuts JOIN f x ON x.lang = cuts.lang AND x.phrase = first JOIN f y ON y.lang = cuts.lang AND y.phrase = rest
+        ),
+        best AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+        inner_ AS (SELECT lang, array_to_string(w[i : i + k - 1], ' ') AS phrase, max(a) AS o FROM c, unnest(range(2, m)) t(k), unnest(range(1, m - k + 2)) u(i) GROUP BY 1, 2),
+        kept AS (SELECT best.* FROM best LEFT JOIN inner_ USING (lang, phrase) WHERE o IS NULL OR 100 * CAST(o AS HUGEINT) < 80 * CAST(a AS HUGEINT))
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM kept JOIN n USING (lang) QUALIFY rank <= 2000
+    """,
 }
