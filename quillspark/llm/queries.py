@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import byte_bpe, collocations, decontaminate, language, near_dedup, pieces, quality, secrets, suffix_dedup, topk, toxicity, url_filter
+from quillspark.llm import byte_bpe, collocations, conversations, decontaminate, language, near_dedup, pieces, quality, secrets, suffix_dedup, topk, toxicity, url_filter
 from quillspark.llm._spark import table
 
 
@@ -79,6 +79,10 @@ def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digest(byte_bpe.encode(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.tiktoken")))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.digest(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_topk": op1_topk,
     "op2_near_duplicates": op2_near_duplicates,
@@ -92,6 +96,7 @@ QUERIES = {
     "op10_quality": op10_quality,
     "op11_collocations": op11_collocations,
     "op12_byte_bpe": op12_byte_bpe,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_topk": """
