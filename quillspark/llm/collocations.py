@@ -1,13 +1,14 @@
 """Phrase collocations: count-min sketches find what may be frequent, a second pass counts exactly that, then scores and subsumption.
 
-1. Each task adds the n-grams of one to ``max_words`` words of its texts to a count-min sketch of ``DEPTH`` rows. A block
-   of texts sends its part of the sketch as sorted cells with counts, in shards of 2**20 cells; a shard's parts are added
-   by one task after the other in an array of fixed size (counts end at the threshold). The sketch's width follows the bytes
+1. Each task adds the words and word pairs of its texts to a count-min sketch of ``DEPTH`` rows. A block
+   of texts sends its part of the sketch as sorted cells with counts, in about a thousand shards; a shard's parts are added
+   by one task one after the other in an array of fixed size (counts end at the threshold). The sketch's width follows the bytes
    of all texts, so cells stay lightly loaded at every size, and no task holds more of it than a shard.
-2. Of the merged sketch only one bit for each cell is kept (estimate at least ``min_count``), and where the sketch is wider than
-   ``2**bitmap_bits`` cells, one bit for each run of cells. This bitmap is all that is broadcast: ``DEPTH * 2**bitmap_bits / 8``
-   bytes at most (32 MB by default), whatever the corpus.
-3. The second pass reads the texts again and counts, with their words, the n-grams whose bits are set in every row. An estimate is never below the
+   A second sketch takes the longer n-grams, of those words only whose neighbouring pairs may all be frequent by the first one.
+2. Of a merged sketch only one bit for each cell is kept (estimate at least ``min_count``), and where the sketch is wider than
+   ``2**bitmap_bits`` cells, one bit for each run of cells. These bitmaps are all that is broadcast: ``DEPTH * 2**bitmap_bits / 8``
+   bytes at most for each (32 MB by default), whatever the corpus.
+3. The last pass reads the texts again and counts, with their words, the n-grams whose bits are set in every row. An estimate is never below the
    true count, so nothing frequent is lost; what passes by chance is dropped by its exact count.
 4. Scores, cuts and subsumption are joins and aggregates over the frequent n-grams, with decimals where products may pass 64 bits.
 
@@ -26,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -34,7 +35,6 @@ from quillspark.llm._spark import remove, written
 from quillspark.llm._text import LOWER, distinct_words, gather, gram_hashes, mix, slices, word_hashes, words
 
 DEPTH = 2
-SHARD_BITS = 20
 
 BREAK = np.zeros(256, dtype=bool)
 BREAK[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
@@ -73,7 +73,7 @@ def blocks(column: pa.Array, size: int, max_words: int) -> Iterator[tuple[int, i
 
 
 class Block:
-    """Words of a block, and which of them go on in the same piece."""
+    """Words of a block, and which of them go on in the same piece (``joined``; ``only_pairs`` takes out pairs that are not frequent)."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, limit: int):
         self.data = data
@@ -83,9 +83,9 @@ class Block:
         self.joined = (breaks[1:] == breaks[:-1]) & (self.row[1:] == self.row[:-1])
         self.hashes = word_hashes(data, self.starts, self.ends)
 
-    def grams(self, n: int, salts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(first words, hashes) of the n-grams that count here; ``salts`` has a number for each row's language."""
-        count = min(len(self.starts) - n + 1, self.own)
+    def grams(self, n: int, salts: np.ndarray, beyond: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """(first words, hashes) of the n-grams that count here, or with ``beyond`` of all in the block; ``salts`` has a number for each row's language."""
+        count = min(len(self.starts) - n + 1, len(self.starts) if beyond else self.own)
         if count <= 0:
             return np.zeros(0, np.int64), np.zeros(0, np.uint64)
         ok = np.ones(count, dtype=bool)
@@ -94,6 +94,33 @@ class Block:
         at = np.flatnonzero(ok)
         return at, mix(gram_hashes(self.hashes, n, at) ^ salts[self.row[at]])
 
+    def only_pairs(self, seen: Seen, salts: np.ndarray) -> None:
+        """A phrase can be frequent only where each two neighbours in it are."""
+        at, hashes = self.grams(2, salts, beyond=True)
+        self.joined[:] = False
+        self.joined[at[seen.test(hashes)]] = True
+
+
+class Seen:
+    """The bitmap of a merged sketch in every task."""
+
+    def __init__(self, spark: SparkSession, shards: list, bits: int, bitmap_bits: int):
+        self.name, self.bits, self.fold = uuid.uuid4().hex, bits, max(0, bits - bitmap_bits)
+        self.bytes = max(1, (1 << (bits - self.fold)) // 8)
+        self.held = spark.sparkContext.broadcast(_bitmap(shards, bits, bitmap_bits))
+
+    def test(self, hashes: np.ndarray) -> np.ndarray:
+        """Whether an n-gram of each hash may be frequent."""
+        if self.name not in _bitmaps:
+            while len(_bitmaps) > 1:  # those of the query before
+                del _bitmaps[next(iter(_bitmaps))]
+            _bitmaps[self.name] = [np.frombuffer(pa.decompress(row, self.bytes, "zstd"), dtype=np.uint8) for row in self.held.value]
+        ok = np.ones(len(hashes), dtype=bool)
+        for depth, row in enumerate(_bitmaps[self.name]):
+            cell = _cells(hashes, depth, self.bits) >> np.uint64(self.fold)
+            ok &= (row[(cell >> np.uint64(3)).astype(np.int64)] >> (7 - (cell & np.uint64(7)).astype(np.uint8))) & 1 == 1
+        return ok
+
 
 def _cells(hashes: np.ndarray, depth: int, bits: int) -> np.ndarray:
     """The cell of each hash in a row of the sketch."""
@@ -124,17 +151,24 @@ def _count_kind(min_count: int) -> np.dtype:
     return np.dtype(np.uint8 if min_count < 256 else np.uint32)
 
 
-def sketch(documents: DataFrame, max_words: int, min_count: int, bits: int, bitmap_bits: int, block_bytes: int) -> DataFrame:
-    """(depth, shard, bits): where the merged sketch reaches ``min_count``; shards are in order of cells."""
-    shard_bits = min(SHARD_BITS, bits)
+def _shard_bits(bits: int) -> int:
+    """About a thousand shards, of 65,536 to 16 million cells."""
+    return min(bits, 24, max(16, bits - 10))
+
+
+def sketch(documents: DataFrame, lengths: range, pairs: Seen | None, min_count: int, bits: int, bitmap_bits: int, block_bytes: int) -> DataFrame:
+    """(depth, shard, bits): where the merged sketch of n-grams of these lengths reaches ``min_count``; shards are in order of cells."""
+    shard_bits = _shard_bits(bits)
     kind = _count_kind(min_count)
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             salts = _salts(batch.column("lang"))
-            for first, last, data, offsets, limit in blocks(batch.column("text"), block_bytes, max_words):
+            for first, last, data, offsets, limit in blocks(batch.column("text"), block_bytes, lengths.stop):
                 block = Block(data, offsets, limit)
-                hashes = np.concatenate([block.grams(n, salts[first:last])[1] for n in range(1, max_words + 1)])
+                if pairs is not None:
+                    block.only_pairs(pairs, salts[first:last])
+                hashes = np.concatenate([block.grams(n, salts[first:last])[1] for n in lengths])
                 for depth in range(DEPTH):
                     cells, counts = np.unique(_cells(hashes, depth, bits), return_counts=True)
                     counts = np.minimum(counts, min_count).astype(kind)
@@ -174,7 +208,7 @@ def sketch(documents: DataFrame, max_words: int, min_count: int, bits: int, bitm
 def _bitmap(shards: list, bits: int, bitmap_bits: int) -> list[bytes]:
     """The rows' bitmaps, compressed, from the shards' bits."""
     fold = max(0, bits - bitmap_bits)
-    shard_bits = min(SHARD_BITS, bits)
+    shard_bits = _shard_bits(bits)
     each = max(1, 1 << max(0, shard_bits - fold))  # bits of a shard
     out = [np.zeros(max(1, (1 << (bits - fold)) // 8), dtype=np.uint8) for _ in range(DEPTH)]
     for s in shards:
@@ -193,24 +227,13 @@ def exact_counts(documents: DataFrame, *, max_words: int = 4, min_count: int = 3
     """(lang, words, phrase, f): the exact count of every n-gram of at least ``min_count``, and with words 0 and an empty phrase that of all words."""
     spark = documents.sparkSession
     texts = documents.select("text", F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"))
-    if width_bits is None:  # about one cell in each row of the sketch for every four n-grams
+    if width_bits is None:  # about one cell in each row of the sketch for every four words and pairs
         size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-        width_bits = max(SHARD_BITS, int(size // 8).bit_length())
-    bits = width_bits
-    shards = sketch(texts, max_words, min_count, bits, bitmap_bits, block_bytes).collect()  # the bitmap: of bounded size
-    held = spark.sparkContext.broadcast(_bitmap(shards, bits, bitmap_bits))
-    name, fold = uuid.uuid4().hex, np.uint64(max(0, bits - bitmap_bits))
-    bytes_of_row = max(1, (1 << (bits - int(fold))) // 8)
-
-    def frequent(hashes: np.ndarray) -> np.ndarray:
-        if name not in _bitmaps:
-            _bitmaps.clear()
-            _bitmaps[name] = [np.frombuffer(pa.decompress(row, bytes_of_row, "zstd"), dtype=np.uint8) for row in held.value]
-        ok = np.ones(len(hashes), dtype=bool)
-        for depth, row in enumerate(_bitmaps[name]):
-            cell = _cells(hashes, depth, bits) >> fold
-            ok &= (row[(cell >> np.uint64(3)).astype(np.int64)] >> (7 - (cell & np.uint64(7)).astype(np.uint8))) & 1 == 1
-        return ok
+        width_bits = max(20, int(size // 16).bit_length())
+    how = (min_count, width_bits, bitmap_bits, block_bytes)
+    # what is collected are the bitmaps, of bounded size
+    pairs = Seen(spark, sketch(texts, range(1, 3), None, *how).collect(), width_bits, bitmap_bits)
+    longer = Seen(spark, sketch(texts, range(3, max_words + 1), pairs, *how).collect(), width_bits, bitmap_bits) if max_words > 2 else None
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -228,8 +251,10 @@ def exact_counts(documents: DataFrame, *, max_words: int = 4, min_count: int = 3
                 spaced = np.append(data, np.uint8(0x20))
                 starts, lens = block.starts[entry], (block.ends - block.starts)[entry]
                 for n in range(1, max_words + 1):
+                    if n == 3:
+                        block.only_pairs(pairs, salts[first:last])
                     at, hashes = block.grams(n, salts[first:last])
-                    ok = frequent(hashes)
+                    ok = (pairs if n < 3 else longer).test(hashes)
                     at, hashes = at[ok], hashes[ok]
                     if not len(at):
                         continue
