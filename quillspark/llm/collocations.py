@@ -1,7 +1,7 @@
 """Phrase collocations: count-min sketches find what may be frequent, a second pass counts exactly that, then scores and subsumption.
 
-1. Each task adds the words and word pairs of its texts to a count-min sketch of ``DEPTH`` rows. A block
-   of texts sends its part of the sketch as sorted cells with counts, in about a thousand shards; a shard's parts are added
+1. Each task adds the words and word pairs of its texts to a count-min sketch of ``DEPTH`` rows. A run
+   of blocks sends its part of the sketch as sorted cells with counts, in about a thousand shards; a shard's parts are added
    by one task one after the other in an array of fixed size (counts end at the threshold). The sketch's width follows the bytes
    of all texts, so cells stay lightly loaded at every size, and no task holds more of it than a shard.
    A second sketch takes the longer n-grams, of those words only whose neighbouring pairs may all be frequent by the first one.
@@ -35,6 +35,10 @@ from quillspark.llm._spark import remove, written
 from quillspark.llm._text import LOWER, distinct_words, gather, gram_hashes, mix, slices, word_hashes, words
 
 DEPTH = 2
+#: Cells that a task gathers before it sends them.
+HELD = 4_000_000
+#: Bytes of text for which a task counts, so that a phrase is sent once for as many places as possible.
+TASK_BYTES = 1 << 27
 
 BREAK = np.zeros(256, dtype=bool)
 BREAK[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
@@ -161,7 +165,19 @@ def sketch(documents: DataFrame, lengths: range, pairs: Seen | None, min_count:
     shard_bits = _shard_bits(bits)
     kind = _count_kind(min_count)
 
+    def part(depth: int, cells: np.ndarray) -> pa.RecordBatch:
+        """A task's cells so far, each once with its count, by shard."""
+        cells, counts = np.unique(cells, return_counts=True)
+        counts = np.minimum(counts, min_count).astype(kind)
+        shards = (cells >> cells.dtype.type(shard_bits)).astype(np.int64)
+        cells = (cells & cells.dtype.type((1 << shard_bits) - 1)).astype(np.int64)
+        edges = [0, *(np.flatnonzero(np.diff(shards)) + 1).tolist(), len(shards)]
+        each = [(depth, int(shards[a]), b - a, _packed(cells[a:b], counts[a:b])) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*each, strict=True), (pa.int32(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["depth", "shard", "n", "body"])
+
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = [[] for _ in range(DEPTH)]
+        n = 0
         for batch in batches:
             salts = _salts(batch.column("lang"))
             for first, last, data, offsets, limit in blocks(batch.column("text"), block_bytes, lengths.stop):
@@ -170,14 +186,13 @@ def sketch(documents: DataFrame, lengths: range, pairs: Seen | None, min_count:
                     block.only_pairs(pairs, salts[first:last])
                 hashes = np.concatenate([block.grams(n, salts[first:last])[1] for n in lengths])
                 for depth in range(DEPTH):
-                    cells, counts = np.unique(_cells(hashes, depth, bits), return_counts=True)
-                    counts = np.minimum(counts, min_count).astype(kind)
-                    shards = (cells >> np.uint64(shard_bits)).astype(np.int64)
-                    cells = (cells & np.uint64((1 << shard_bits) - 1)).astype(np.int64)
-                    edges = [0, *(np.flatnonzero(np.diff(shards)) + 1).tolist(), len(shards)] if len(shards) else [0]
-                    each = [(depth, int(shards[a]), b - a, _packed(cells[a:b], counts[a:b])) for a, b in zip(edges[:-1], edges[1:], strict=True)]
-                    if each:
-                        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*each, strict=True), (pa.int32(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["depth", "shard", "n", "body"])
+                    held[depth].append(_cells(hashes, depth, bits).astype(np.uint32 if bits <= 32 else np.uint64))
+                n += len(hashes)
+                if n > HELD:
+                    yield from (part(depth, np.concatenate(held[depth])) for depth in range(DEPTH))
+                    held, n = [[] for _ in range(DEPTH)], 0
+        if n:
+            yield from (part(depth, np.concatenate(held[depth])) for depth in range(DEPTH))
 
     fold = max(0, bits - bitmap_bits)
 
@@ -227,8 +242,8 @@ def exact_counts(documents: DataFrame, *, max_words: int = 4, min_count: int = 3
     """(lang, words, phrase, f): the exact count of every n-gram of at least ``min_count``, and with words 0 and an empty phrase that of all words."""
     spark = documents.sparkSession
     texts = documents.select("text", F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"))
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     if width_bits is None:  # about one cell in each row of the sketch for every four words and pairs
-        size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         width_bits = max(20, int(size // 16).bit_length())
     how = (min_count, width_bits, bitmap_bits, block_bytes)
     # what is collected are the bitmaps, of bounded size
@@ -275,7 +290,8 @@ def exact_counts(documents: DataFrame, *, max_words: int = 4, min_count: int = 3
                     phrases = pa.Array.from_buffers(pa.large_string(), len(firsts), [None, pa.py_buffer(ends), pa.py_buffer(texts)]).cast(pa.string())
                     yield _rows(coded.dictionary.take(pa.array(lang_of[block.row[firsts]])), np.full(len(firsts), n, np.int32), phrases, counts)
 
-    counted = texts.mapInArrow(count, "lang string, words int, phrase string, f bigint")
+    tasks = max(2 * spark.sparkContext.defaultParallelism, int(size // TASK_BYTES))
+    counted = texts.coalesce(tasks).mapInArrow(count, "lang string, words int, phrase string, f bigint")
     return counted.groupBy("lang", "words", "phrase").agg(F.sum("f").alias("f")).where((F.col("words") == 0) | (F.col("f") >= min_count))
 
 
