@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -13,7 +11,6 @@ from quillspark.operators import allocation, bars, decisions, health, indicators
 from quillspark.plans import views
 from quillspark.sources import calendars, files
 from quillspark.sources.files import table
-from quillspark.streaming import live
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -110,32 +107,6 @@ def snapshot_tail_merge(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(bars.catch_up(b.where(F.col("datetime") < at("2024-01-16")), b.where(F.col("datetime") >= at("2024-01-15")).withColumn("close", F.col("close") + 1), ["volume"]))
 
 
-@query(HOURLY)
-def stream_bars(spark: SparkSession, sf: str) -> DataFrame:
-    """The same bars from a file stream that runs until it has read all, into files that this query reads."""
-    out = live_folder(spark)
-    ticks = live.read_files(spark, sf, views.events(spark, sf).schema, glob="events*.parquet")
-    ticks = ticks.withColumn("ts", F.col("ts").cast("timestamp"))
-    made = live.stream_bars(ticks, ticker="event_type", ts="ts", price="value", order="event_id")
-    # update mode: a batch brings the bars that it changed, which are merged over what is there; the watermark ends their state
-    made_of: list[str] = []
-
-    def save(df: DataFrame, i: int) -> None:
-        df.write.mode("overwrite").parquet(f"{out}/bars-{i}")
-        made_of.append(f"{out}/bars-{i}")
-
-    merge = live.upsert_batches(lambda: spark.read.parquet(made_of[-1]) if made_of else None, save, ["ticker", "datetime"], ["volume"])
-    made.writeStream.outputMode("update").option("checkpointLocation", f"{out}/log").trigger(availableNow=True).foreachBatch(merge).start().awaitTermination()
-    return spark.read.parquet(made_of[-1]).withColumn("datetime", F.col("datetime").cast("timestamp_ntz"))
-
-
-def live_folder(spark: SparkSession) -> str:
-    import uuid
-
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared}/stream-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="stream-")
-
-
 # Data health
 
 REPORT = """

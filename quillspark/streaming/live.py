@@ -1,15 +1,11 @@
-"""Structured Streaming: live bars, deduplication, sinks and polling strategies."""
+"""Structured Streaming: live bars, deduplication, sinks and polling strategies. Held books and seeded bars are in ``stateful``."""
 
 from __future__ import annotations
 
-import pickle
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
 from quillspark.operators.decisions import Strategy
@@ -75,32 +71,3 @@ def run_strategy(strategy: Strategy, bars: Callable[[], DataFrame], positions: C
 def subscriptions(batch: DataFrame, watchlist: DataFrame) -> DataFrame:
     """The rows of watched tickers, by exact name; the list is read anew for each batch."""
     return batch.join(F.broadcast(watchlist), "ticker", "left_semi")
-
-
-def hold_latest(books: DataFrame, key: str = "code", ts: str = "ts", values: list[str] | str = "price", timeout_ms: int = 1000) -> DataFrame:
-    """The last row of each key with its ``values`` (numbers, or a book's bids and asks), again whenever its timer fires without new rows (processing time)."""
-    values = [values] if isinstance(values, str) else list(values)
-
-    def row(k: tuple, at: int, held: bytes, repeated: bool) -> pd.DataFrame:
-        return pd.DataFrame({key: [k[0]], ts: [pd.Timestamp(at, unit="us")], **{v: [x] for v, x in zip(values, pickle.loads(held), strict=True)}, "repeated": [repeated]})
-
-    def plain(x):
-        return [plain(y) for y in x] if isinstance(x, list | np.ndarray) else x
-
-    def step(k: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            yield row(k, *state.get, True)
-        else:
-            at, held = state.get if state.exists else (None, None)
-            for pdf in rows:
-                last = pdf.loc[pdf[ts].idxmax()]
-                micros = int(last[ts].value // 1000)
-                if at is None or micros >= at:
-                    at, held = micros, pickle.dumps([plain(last[v]) for v in values])
-            state.update((at, held))
-            yield row(k, at, held, False)
-        state.setTimeoutDuration(timeout_ms)
-
-    kinds = dict(books.dtypes)
-    out = ", ".join([*(f"{c} {kinds[c]}" for c in (key, ts, *values)), "repeated boolean"])
-    return books.select(key, ts, *values).groupBy(key).applyInPandasWithState(step, out, "at bigint, held binary", "append", GroupStateTimeout.ProcessingTimeTimeout)

@@ -1,5 +1,4 @@
 import json
-import time
 
 from pyspark.sql import functions as F
 
@@ -44,23 +43,6 @@ def test_flushes_and_upserts(spark, tmp_path):
     assert seen == [1]
 
 
-def test_hold_latest(spark, tmp_path):
-    df = spark.sql("select timestamp '2024-01-01 10:00:00' ts, 'A' code, 1.0D price union all select timestamp '2024-01-01 10:00:01', 'A', 2.0D")
-    df.write.parquet(str(tmp_path / "in"))
-    held = live.hold_latest(live.read_files(spark, str(tmp_path / "in"), df.schema))
-    # its timers go on for ever, so the query is stopped once it has repeated a value
-    query = held.writeStream.outputMode("append").format("memory").queryName("held").trigger(processingTime="1 second").start()
-    try:
-        for _ in range(40):
-            time.sleep(1)
-            if spark.table("held").where("repeated").count():
-                break
-    finally:
-        query.stop()
-    rows = spark.table("held").collect()
-    assert {(r["code"], r["price"]) for r in rows} == {("A", 2.0)} and {r["repeated"] for r in rows} == {True, False}
-
-
 def test_rest_source(spark, tmp_path):
     bar = {"t": 60000, "o": 1, "h": 2, "l": 0.5, "c": 1.5, "v": 10}
     (tmp_path / "BF.A.json").write_text(json.dumps({"results": [bar], "next_url": str(tmp_path / "page2")}))
@@ -81,20 +63,3 @@ def test_rest_errors_are_rows(spark):
     reader = spark.read.format("rest_bars").option("base", "x").option("transport", "tests.test_streaming:failing_transport").option("backoff", "0").option("retries", "2").option("parallel", "2")
     got = reader.option("tickers", "GOOD,BAD,DENIED,GONE").option("errors", "rows").load().collect()
     assert sorted((r["ticker"], r["status"], r["datetime"] is None, bool(r["error"])) for r in got) == [("BAD", "error", True, True), ("DENIED", "error", True, True), ("GONE", "not_found", True, False), ("GOOD", "done", False, False)]
-
-
-def test_hold_whole_books(spark, tmp_path):
-    df = spark.sql("select 'A' code, timestamp '2024-01-01 10:00:00' ts, array(named_struct('price', 1.0D, 'size', 2.0D)) bids, array(named_struct('price', 3.0D, 'size', 4.0D), named_struct('price', 5.0D, 'size', 6.0D)) asks")
-    df.write.parquet(str(tmp_path / "in"))
-    held = live.hold_latest(live.read_files(spark, str(tmp_path / "in"), df.schema), values=["bids", "asks"])
-    query = held.writeStream.outputMode("append").format("memory").queryName("books").start()
-    try:
-        for _ in range(40):
-            time.sleep(1)
-            if spark.table("books").where("repeated").count():
-                break
-    finally:
-        query.stop()
-    rows = spark.table("books").collect()
-    assert {r["repeated"] for r in rows} == {True, False}
-    assert all([tuple(x) for x in r["bids"]] == [(1.0, 2.0)] and [tuple(x) for x in r["asks"]] == [(3.0, 4.0), (5.0, 6.0)] for r in rows)
