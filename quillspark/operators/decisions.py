@@ -8,11 +8,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillspark.operators.allocation import allocate, parameters
 from quillspark.operators.indicators import crossovers, last_rows, momentum
+from quillspark.operators.numbering import numbered
+from quillspark.sources.shared import settled
 
 Strategy = Callable[[DataFrame, DataFrame], DataFrame]
 KINDS = ("open", "close", "replace")
@@ -20,8 +21,8 @@ KINDS = ("open", "close", "replace")
 
 def _numbered(parts: DataFrame) -> DataFrame:
     """Opens before closes, each by symbol."""
-    seq = F.row_number().over(W.orderBy(F.when(F.col("kind") == "open", 0).otherwise(1), "symbol"))
-    return parts.select(seq.alias("seq"), "kind", "symbol", "side", "weight")
+    ordered = numbered(parts, [F.when(F.col("kind") == "open", 0).otherwise(1), F.col("symbol")], "seq")
+    return ordered.select(F.col("seq").cast("int").alias("seq"), "kind", "symbol", "side", "weight")
 
 
 def rebalance(targets: DataFrame, positions: DataFrame) -> DataFrame:
@@ -46,8 +47,15 @@ def sma_cross_strategy(fast: int = 10, slow: int = 30, weight: float = 0.1) -> S
 
 def momentum_targets(bars: DataFrame, lookback: int, top_k: int = 3) -> DataFrame:
     """(symbol, weight): rank weights of the best positive returns; assets are in order of their names."""
-    signals = momentum(bars, lookback).select(F.lit(0).alias("ts"), F.col("ticker").alias("asset"), F.row_number().over(W.orderBy("ticker")).alias("asset_pos"), "signal")
-    weights = allocate(signals, parameters(bars.sparkSession, "rank", top_k))
+    return _best(momentum(bars, lookback), top_k)
+
+
+def _best(signals: DataFrame, top_k: int) -> DataFrame:
+    """Weights of the ``top_k`` best signals (ticker, signal): only these are ranked against each other."""
+    size = F.nanvl("signal", F.lit(0.0))
+    best = signals.where(size > 0).orderBy(size.desc(), "ticker").limit(top_k)
+    row = best.select(F.lit(0).alias("ts"), F.col("ticker").alias("asset"), F.col("ticker").alias("asset_pos"), "signal")
+    weights = allocate(row, parameters(signals.sparkSession, "rank", top_k))
     return weights.where("weight <> 0").select(F.col("asset").alias("symbol"), "weight")
 
 
@@ -55,8 +63,8 @@ def momentum_strategy(lookback: int, top_k: int = 3) -> Strategy:
     """Hold the best movers; where no symbol has enough bars nothing is done, and holdings stay."""
 
     def decide(bars: DataFrame, positions: DataFrame) -> DataFrame:
-        qualified = momentum(bars, lookback).agg(F.count(F.lit(1)).alias("n")).where("n > 0")
-        return rebalance(momentum_targets(bars, lookback, top_k), positions).join(F.broadcast(qualified), how="left_semi")
+        signals = settled(momentum(bars, lookback))  # a row for each symbol, read three times
+        return rebalance(_best(signals, top_k), positions.limit(0) if signals.isEmpty() else positions)
 
     return decide
 

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillspark.functions.numbers import completeness
+from quillspark.operators.numbering import numbered
 
 REFETCH_BELOW = 0.9
 
@@ -72,12 +76,18 @@ def islands(missing: DataFrame, valid_days: DataFrame) -> DataFrame:
     ``missing`` has (ticker, date); a valid day on which none is missing ends a run,
     and days that are not valid do not count.
     """
-    sets = missing.groupBy("date").agg(F.array_join(F.sort_array(F.collect_set("ticker")), ",").alias("tickers"))
-    days = valid_days.select("date").distinct().join(sets, "date", "left")
+    # a day's set as a count and an order-free hash of 128 bits, so that no day's names meet in one row
+    hashes = [F.bit_xor(F.xxhash64(F.lit(seed), "ticker")).alias(f"h{seed}") for seed in (1, 2)]
+    names = missing.select("date", "ticker").distinct()
+    sets = names.groupBy("date").agg(F.struct(F.count(F.lit(1)).alias("n"), *hashes).alias("set"))
+    days = valid_days.select("date").distinct().join(sets.select("date", F.col("set.n").alias("n"), F.col("set.h1").alias("h1"), F.col("set.h2").alias("h2")), "date", "left")
     order = W.orderBy("date")  # one row for each calendar day: bounded by the calendar, not the data
-    changed = ~F.col("tickers").eqNullSafe(F.lag("tickers").over(order))
+    changed = reduce(or_, (~F.col(c).eqNullSafe(F.lag(c).over(order)) for c in ("n", "h1", "h2")))
     runs = days.withColumn("run", F.sum(changed.cast("int")).over(order.rowsBetween(W.unboundedPreceding, 0)))
-    return runs.where("tickers is not null").groupBy("run", "tickers").agg(F.min("date").alias("start"), F.max("date").alias("end")).select("start", "end", "tickers")
+    spans = runs.where("n is not null").groupBy("run").agg(F.min("date").alias("start"), F.max("date").alias("end"))
+    # names are gathered for the first day of each run alone
+    listed = names.withColumnRenamed("date", "start").join(spans, "start").groupBy("start", "end").agg(F.array_join(F.sort_array(F.collect_list("ticker")), ",").alias("tickers"))
+    return listed.select("start", "end", "tickers")
 
 
 def fetch_batches(missing: DataFrame, size: int = 100) -> DataFrame:
@@ -88,8 +98,8 @@ def fetch_batches(missing: DataFrame, size: int = 100) -> DataFrame:
 
 
 def numbered_chunks(df: DataFrame, order: str | Column, size: int) -> DataFrame:
-    """Consecutive chunks of ``size`` rows; for universes of symbols, which are small."""
-    return df.withColumn("batch", F.floor((F.row_number().over(W.orderBy(order)) - 1) / size))
+    """Consecutive chunks of ``size`` rows."""
+    return numbered(df, [order], "_n").withColumn("batch", F.floor((F.col("_n") - 1) / size)).drop("_n")
 
 
 def report_totals(report: DataFrame) -> DataFrame:

@@ -2,32 +2,18 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.plans import views
 from quillspark.plans.catalog import HOURLY, query
+from quillspark.sources.shared import shared_folder
 from quillspark.sources.versions import VersionedTable
 from quillspark.streaming import live, stateful
 
 EVENTS = dict(ticker="event_type", ts="ts", price="value", order="event_id")
 
 
-def live_folder(spark: SparkSession) -> str:
-    """A new folder for a stream's files in the folder that the cluster shares; only a local session without one takes a temporary folder."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None:
-        import tempfile
-
-        master = spark.sparkContext.master
-        if not (master == "local" or master.startswith("local[")):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        shared = tempfile.mkdtemp(prefix="stream-")
-    return f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
 def _ticks(spark: SparkSession, sf: str) -> DataFrame:
     """The events as a stream of their files."""
     schema = views.events(spark, sf).schema
@@ -41,7 +27,7 @@ def _bars_of(table: VersionedTable) -> DataFrame:
 @query(HOURLY)
 def stream_bars(spark: SparkSession, sf: str) -> DataFrame:
     """Bars of a file stream that runs until it has read all; each batch's changes are a version of a table, by day."""
-    out = live_folder(spark)
+    out = shared_folder(spark, "stream")
     table = VersionedTable(spark, f"{out}/bars", ["ticker", "datetime"], ["volume"], F.to_date("datetime"))
     # update mode: a batch brings the bars that it changed; the watermark ends their state
     made = live.stream_bars(_ticks(spark, sf), **EVENTS)
@@ -53,7 +39,7 @@ def stream_bars(spark: SparkSession, sf: str) -> DataFrame:
 @query(HOURLY)
 def stream_after_history(spark: SparkSession, sf: str) -> DataFrame:
     """Bars of the first half of the events' time, computed at once, are the initial state of a stream over the second half; the half falls within an hour."""
-    out, own = live_folder(spark), stateful.state_session(spark)
+    out, own = shared_folder(spark, "stream"), stateful.state_session(spark)
     ev = views.events(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
     cut = ev.agg(F.timestamp_micros(((F.unix_micros(F.min("ts")) + F.unix_micros(F.max("ts"))) / 2).cast("long")).alias("cut"))
     before = ev.join(F.broadcast(cut)).where("ts < cut")  # one row
