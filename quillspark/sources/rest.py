@@ -3,10 +3,16 @@
 The transport is a function (url, params) -> (status, JSON), named by
 ``module:function``, so tests and other services bring their own; a file-backed one
 is here. Reading follows ``next_url`` to the end, backs off on 429 and 5xx (each wait half as long again, ``max_backoff``
-at most), drops symbols that the service calls invalid, and keeps the library's own ticker. ``per_minute`` caps the calls
-of all partitions together: each takes its share. An error ends the read, or with ``errors`` set to ``rows`` only
-its ticker: the columns status (done, not_found, error) and error follow, with a row without a time for each ticker that has no bars or failed,
+at most), drops symbols that the service calls invalid, and keeps the library's own ticker. ``always`` is a JSON object of parameters
+that go with every page (a key, say). ``per_minute`` caps the calls of all partitions together: each takes its share.
+
+A ticker's bars are given once its last page is there, all or none. An error ends the read, or with ``errors`` set to ``rows`` only
+its ticker: the columns status (done, not_found, invalid, error) and error follow, with a row without a time for each ticker that has no bars or failed,
 which is what the backfill ledger needs.
+
+With ``batch`` set, one request asks for so many tickers (parameter ``symbols``, answer ``bars`` by symbol, ``next_page_token`` to go on). A symbol
+that an error names is taken out and the rest is asked for again; a refused batch whose error names none is cut in halves until
+the refused symbols stand alone.
 """
 
 from __future__ import annotations
@@ -43,53 +49,105 @@ class BarReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.options = options
         self.tickers = [t for t in options["tickers"].split(",") if t]
+        self.batch = int(options.get("batch", "0"))
+        self.always = json.loads(options.get("always", "{}"))
 
     def partitions(self) -> list[InputPartition]:
-        n = min(len(self.tickers), int(self.options.get("parallel", "8")))
+        units = -(-len(self.tickers) // self.batch) if self.batch else len(self.tickers)
+        n = min(units, int(self.options.get("parallel", "8")))
+        if self.batch:  # whole batches, so that no request is split
+            groups = [self.tickers[i : i + self.batch] for i in range(0, len(self.tickers), self.batch)]
+            return [TickerPartition([t for g in groups[i::n] for t in g]) for i in range(n)] or [TickerPartition([])]
         return [TickerPartition(self.tickers[i::n]) for i in range(n)] or [TickerPartition([])]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         rows = self.options.get("errors") == "rows"
-        module, _, name = self.options["transport"].partition(":") if partition.value else ("", "", "")
-        get = getattr(importlib.import_module(module), name) if module else None
-        for ticker in partition.value:
-            n = 0
+        if not partition.value:
+            return
+        module, _, name = self.options["transport"].partition(":")
+        get = getattr(importlib.import_module(module), name)
+        size = self.batch or 1
+        for i in range(0, len(partition.value), size):
+            group = partition.value[i : i + size]
+            for ticker, bars, status, error in self._batch(get, group) if self.batch else self._single(get, group[0]):
+                if status == "error" and not rows:
+                    raise RuntimeError(f"{ticker}: {error}")
+                for bar in bars:
+                    yield (ticker, *bar, status, error) if rows else (ticker, *bar)
+                if rows and not bars:
+                    yield ticker, *[None] * 6, status, error
+
+    def _get(self, get, url: str, params: dict) -> tuple[int, dict]:
+        pause = 60 * len(self.partitions()) / float(self.options.get("per_minute", "inf"))
+        return _answer(get, url, params | self.always, pause, int(self.options.get("retries", "5")), float(self.options.get("backoff", "15")), float(self.options.get("max_backoff", "60")))
+
+    def _single(self, get, ticker: str) -> Iterator[tuple]:
+        """(ticker, bars, status, error) of one ticker: all its pages, or why not."""
+        url, params, bars = self.options["base"].rstrip("/") + "/" + provider_symbol(ticker), dict(adjusted="true", sort="asc"), []
+        try:
+            while url:
+                status, data = self._get(get, url, params)
+                if status == 404 or status == 400 and invalid_symbol(json.dumps(data)):
+                    yield ticker, [], "not_found" if status == 404 else "invalid", None
+                    return
+                if status >= 400:
+                    raise RuntimeError(f"{status} for {url}")
+                bars += map(_bar, data.get("results") or [])
+                url, params = data.get("next_url"), {}
+        except Exception as e:
+            yield ticker, [], "error", str(e)
+            return
+        yield ticker, bars, "done" if bars else "not_found", None
+
+    def _batch(self, get, tickers: list[str]) -> Iterator[tuple]:
+        """The same of many tickers in one request."""
+        names = {provider_symbol(t): t for t in tickers}
+        while names:
+            found: dict[str, list] = {n: [] for n in names}
+            params: dict = {"symbols": ",".join(names)}
             try:
-                for bar in self._bars(get, ticker):
-                    n += 1
-                    yield (ticker, *bar, "done", None) if rows else (ticker, *bar)
-                if rows and not n:
-                    yield ticker, *[None] * 6, "not_found", None
+                while True:
+                    status, data = self._get(get, self.options["base"], params)
+                    if status >= 400:
+                        break
+                    for symbol, bars in (data.get("bars") or {}).items():
+                        found[symbol] += map(_bar, bars)
+                    if not data.get("next_page_token"):
+                        break
+                    params = params | {"page_token": data["next_page_token"]}
             except Exception as e:
-                if not rows:
-                    raise
-                yield ticker, *[None] * 6, "error", str(e)
-
-    def _bars(self, get, ticker: str) -> Iterator[tuple]:
-        url, params = self.options["base"].rstrip("/") + "/" + provider_symbol(ticker), dict(adjusted="true", sort="asc")
-        pause = 60 * len(self.partitions()) / float(self.options.get("per_minute", "inf"))
-        while url:
-            data = _fetch(get, url, params, pause, int(self.options.get("retries", "5")), float(self.options.get("backoff", "15")), float(self.options.get("max_backoff", "60")))
-            if data is None:
+                status, data = 599, {"message": str(e)}
+            if status < 400:
+                for symbol, bars in found.items():
+                    yield names[symbol], bars, "done" if bars else "not_found", None
+                return
+            text = json.dumps(data)
+            bad = invalid_symbol(text)
+            if bad in names:
+                yield names.pop(bad), [], "invalid", text
+            elif status in (400, 422) and len(names) > 1:  # refused without a name
+                half = [names[n] for n in list(names)[: len(names) // 2]]
+                yield from self._batch(get, half)
+                names = {n: t for n, t in names.items() if t not in half}
+            else:
+                refused = "invalid" if status in (400, 422) else "error"
+                for ticker in names.values():
+                    yield ticker, [], refused, text
                 return
-            for r in data.get("results") or []:
-                yield EPOCH + timedelta(milliseconds=r["t"]), *(float(r[k]) if r.get(k) is not None else None for k in "ohlcv")
-            url, params = data.get("next_url"), {}
 
 
-def _fetch(get, url: str, params: dict, pause: float, retries: int, backoff: float, most: float) -> dict | None:
-    """One page; None where the ticker is unknown or its symbol is invalid."""
+def _bar(r: dict) -> tuple:
+    return EPOCH + timedelta(milliseconds=r["t"]), *(float(r[k]) if r.get(k) is not None else None for k in "ohlcv")
+
+
+def _answer(get, url: str, params: dict, pause: float, retries: int, backoff: float, most: float) -> tuple[int, dict]:
+    """One page, asked for again while the service is busy."""
     for attempt in range(retries):
         time.sleep(pause)
         status, body = get(url, params)
-        if status == 404 or status == 400 and invalid_symbol(json.dumps(body)):
-            return None
-        if status == 429 or status >= 500:
-            time.sleep(min(most, backoff * 1.5**attempt))
-            continue
-        if status >= 400:
-            raise RuntimeError(f"{status} for {url}")
-        return body
+        if status != 429 and status < 500:
+            return status, body
+        time.sleep(min(most, backoff * 1.5**attempt))
     raise RuntimeError(f"no answer for {url} after {retries} attempts")
 
 

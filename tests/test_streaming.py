@@ -63,3 +63,63 @@ def test_rest_errors_are_rows(spark):
     reader = spark.read.format("rest_bars").option("base", "x").option("transport", "tests.test_streaming:failing_transport").option("backoff", "0").option("retries", "2").option("parallel", "2")
     got = reader.option("tickers", "GOOD,BAD,DENIED,GONE").option("errors", "rows").load().collect()
     assert sorted((r["ticker"], r["status"], r["datetime"] is None, bool(r["error"])) for r in got) == [("BAD", "error", True, True), ("DENIED", "error", True, True), ("GONE", "not_found", True, False), ("GOOD", "done", False, False)]
+
+
+def paged_transport(url, params):
+    """Page 1 is good; page 2 is refused, or is there for those who bring their key."""
+    if params.get("key") != "k1":
+        return 403, {}
+    one = {"results": [{"t": 0, "o": 1, "h": 1, "l": 1, "c": 1, "v": 1}]}
+    if url.endswith("page2"):
+        return (403, {}) if "HALF" in url else (200, one)
+    return 200, one | {"next_url": url + "-page2"}
+
+
+def test_a_ticker_is_whole_or_not_there(spark):
+    spark.dataSource.register(BarSource)
+    reader = spark.read.format("rest_bars").option("base", "x").option("transport", "tests.test_streaming:paged_transport").option("always", '{"key": "k1"}')
+    got = reader.option("tickers", "GOOD,HALF").option("errors", "rows").load().collect()
+    assert sorted((r["ticker"], r["status"], r["datetime"] is None) for r in got) == [("GOOD", "done", False)] * 2 + [("HALF", "error", True)]
+
+
+CALLS: list[int] = []
+
+
+def batch_transport(url, params):
+    """Refuses a batch with a bad symbol, by name unless the symbol is mute; answers in pages."""
+    symbols = params["symbols"].split(",")
+    CALLS.append(len(symbols))
+    bad = next((s for s in symbols if s.startswith("BAD")), None)
+    if bad:
+        return 400, {"message": f"invalid symbol: {bad}"}
+    if any(s.startswith("MUTE") for s in symbols):
+        return 422, {"message": "unprocessable"}
+    bar = {"t": 60000, "o": 1, "h": 1, "l": 1, "c": 1, "v": 1}
+    if url == "pages" and "page_token" not in params:
+        return 200, {"bars": {s: [bar] for s in symbols}, "next_page_token": "p2"}
+    return 200, {"bars": {s: [bar] for s in symbols if s != "EMPTY"}}
+
+
+def batched(tickers, **options):
+    CALLS.clear()
+    reader = BarSource({"tickers": ",".join(tickers), "transport": "tests.test_streaming:batch_transport", "base": "x", "errors": "rows", "batch": "100", "backoff": "0"} | options).reader(None)
+    return [r for p in reader.partitions() for r in reader.read(p)]
+
+
+def test_batches_drop_bad_symbols(spark):
+    good = [f"T{i}" for i in range(97)]
+    rows = batched(good[:50] + ["BAD1", "BAD2"] + good[50:] + ["BAD3"])
+    assert sorted(r[0] for r in rows if r[-2] == "done") == sorted(good)
+    assert sorted((r[0], r[1]) for r in rows if r[-2] == "invalid") == [("BAD1", None), ("BAD2", None), ("BAD3", None)]
+    assert len(rows) == 100 and len(CALLS) <= 5
+
+
+def test_batches_without_names(spark):
+    rows = batched([f"T{i}" for i in range(30)] + ["MUTE", "EMPTY", "BF-A"], parallel="1")
+    assert {r[0]: r[-2] for r in rows if r[-2] != "done"} == {"MUTE": "invalid", "EMPTY": "not_found"}
+    assert sum(r[-2] == "done" for r in rows) == 31 and "BF-A" in {r[0] for r in rows} and len(CALLS) < 20
+    assert len(batched(["A", "B"], base="pages")) == 4
+    spark.dataSource.register(BarSource)
+    reader = spark.read.format("rest_bars").option("base", "x").option("transport", "tests.test_streaming:batch_transport").option("batch", "10").option("errors", "rows")
+    got = reader.option("tickers", ",".join(f"T{i}" for i in range(35)) + ",BAD").load()
+    assert {(r["status"], r["count"]) for r in got.groupBy("status").count().collect()} == {("done", 35), ("invalid", 1)}
