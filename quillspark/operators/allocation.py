@@ -58,11 +58,9 @@ def allocate(signals: DataFrame, params: DataFrame, *, long_only: bool = True) -
     return rows.select("method", "top_k", "ts", "asset", "asset_pos", weight.alias("weight"))
 
 
-def compact_view(weights: DataFrame, n: int, *, pairs: bool = False) -> DataFrame:
-    """Positive weights of each row in falling order, in columns 1 to n: ``TICKER (12.3%)``, or the asset and weight. Of a sweep, a row for each of its settings."""
-    settings = [F.nullif(F.countDistinct(c) + F.max(F.col(c).isNull().cast("int")), F.lit(1)).isNotNull().alias(c) for c in ("method", "top_k")]
-    swept = weights.agg(*settings).first()
-    keys = ["ts", *(c for c in ("method", "top_k") if swept[c])]
+def compact_view(weights: DataFrame, n: int, *, by: tuple[str, ...] = (), pairs: bool = False) -> DataFrame:
+    """Positive weights of each row in falling order, in columns 1 to n: ``TICKER (12.3%)``, or the asset and weight. ``by`` names the settings (method, top_k) that a sweep varies."""
+    keys = ["ts", *by]
     order = W.partitionBy(*keys).orderBy(F.col("weight").desc(), "asset_pos")
     held = weights.where("weight > 0").withColumn("place", F.row_number().over(order))
     cell: Column = F.struct("asset", "weight") if pairs else F.concat("asset", F.lit(" ("), percent(F.col("weight")), F.lit(")"))

@@ -38,9 +38,24 @@ def book_levels(books: DataFrame) -> DataFrame:
     return each.select("ts", "code", "s.side", F.posexplode("s.levels").alias("pos", "l")).select("ts", "code", "side", "pos", "l.price", "l.size")
 
 
+def bucketed(levels: Column, n: int = LEVELS) -> Column:
+    """``bucket_levels`` of one side within its row: array<struct<level, price, size>> of array<struct<price, size>>."""
+    prices = F.transform(levels, lambda x: x["price"])
+    low, high = F.array_min(prices), F.array_max(prices)
+    width = F.when(high > low, (high - low) / n).otherwise(1.0)
+    row = lambda level, price, size: F.struct(level.cast("int").alias("level"), price.cast("double").alias("price"), size.cast("double").alias("size"))
+    place = lambda x: F.least(F.floor((x["price"] - low) / width), F.lit(n - 1))
+    total = lambda i: F.aggregate(levels, F.lit(0.0), lambda sum_, x: sum_ + F.when(place(x) == i, x["size"]).otherwise(0.0))
+    bins = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: row(i, low + (i + 0.5) * width, total(i)))
+    return F.when(F.size(levels) <= n, F.transform(levels, lambda x, i: row(i, x["price"], x["size"]))).when(F.size(levels) > n, bins)
+
+
 def snapshots(books: DataFrame, n: int = LEVELS) -> DataFrame:
-    """Rows as stored: timestamp, ticker (the prefixed code), side, level, price, size."""
-    return bucket_levels(book_levels(books), ["ts", "code", "side"], n).select(F.col("ts").alias("timestamp"), F.col("code").alias("ticker"), "side", "level", "price", "size")
+    """Rows as stored: timestamp, ticker (the prefixed code), side, level, price, size. Each book is bucketed in its row: nothing is shuffled."""
+    sides = F.array(*(F.struct(F.lit(s[:-1]).alias("side"), F.col(s).alias("levels")) for s in ("bids", "asks")))
+    each = books.select(F.col("ts").alias("timestamp"), F.col("code").alias("ticker"), F.explode(sides).alias("s"))
+    each = each.select("timestamp", "ticker", "s.side", F.explode(bucketed(F.col("s.levels"), n)).alias("l"))
+    return each.select("timestamp", "ticker", "side", "l.level", "l.price", "l.size")
 
 
 def prefixed(ticker: Column) -> Column:

@@ -176,9 +176,13 @@ def dead_tickers(spark: SparkSession, sf: str) -> DataFrame:
     return health.dead_tickers(_user_report(spark, sf))
 
 
-@query(f"{TYPES} SELECT ticker, {', '.join(f'''max(CASE WHEN date = DATE '2024-01-{d:02d}' THEN completeness END) AS "2024-01-{d:02d}"''' for d in (1, 2, 3))}, round(avg(completeness), 6) AS mean FROM report GROUP BY ticker ORDER BY avg(completeness), ticker LIMIT 3")
+# The days of the test tables.
+DAYS_OF_EVENTS = [f"2024-01-{d:02d}" for d in range(1, 31)]
+
+
+@query(f"{TYPES} SELECT ticker, {', '.join(f"""max(CASE WHEN date = DATE '{d}' THEN completeness END) AS "{d}\"""" for d in DAYS_OF_EVENTS)}, round(avg(completeness), 6) AS mean FROM report GROUP BY ticker ORDER BY avg(completeness), ticker LIMIT 3")
 def coverage_heatmap(spark: SparkSession, sf: str) -> DataFrame:
-    wide = health.heatmap(_type_report(spark, sf), ["2024-01-01", "2024-01-02", "2024-01-03"], 3)
+    wide = health.heatmap(_type_report(spark, sf), DAYS_OF_EVENTS, 3)
     return wide.withColumn("mean", F.round("mean", 6))
 
 
@@ -294,13 +298,13 @@ def upsert_lineitem(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""
-    WITH e AS (SELECT event_type, ts, value FROM events) SELECT event_type, ts, value FROM e WHERE event_type = 'click' AND ts < TIMESTAMP '2024-01-10'
-    UNION ALL SELECT event_type, ts, value FROM e WHERE ts >= TIMESTAMP '2024-01-25'
+    WITH e AS (SELECT event_type, ts, value FROM events) SELECT event_type, ts, value FROM e WHERE event_type = 'click' AND ts < TIMESTAMP '2024-01-16'
+    UNION ALL SELECT event_type, ts, value FROM e WHERE ts >= TIMESTAMP '2024-01-16'
 """)
 def promote_staging(spark: SparkSession, sf: str) -> DataFrame:
     ev = views.events(spark, sf).select("event_type", "ts", "value")
     at = lambda d: F.to_timestamp_ntz(F.lit(d))
-    return upsert.promote(ev.where(F.col("ts") < at("2024-01-10")), ev.where(F.col("ts") >= at("2024-01-25")), F.col("event_type") == "click")
+    return upsert.promote(ev.where(F.col("ts") < at("2024-01-16")), ev.where(F.col("ts") >= at("2024-01-16")), F.col("event_type") == "click")
 
 
 @query("""
@@ -508,13 +512,13 @@ def json_fields(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""
-    WITH s AS (SELECT s_nationkey AS ticker, min(s_name) AS name, 'suppliers' AS source FROM supplier WHERE s_nationkey < 15 GROUP BY 1),
-    c AS (SELECT c_nationkey AS ticker, coalesce(nullif(min(CASE WHEN c_nationkey % 2 = 0 THEN '' ELSE c_name END), ''), min(c_mktsegment)) AS name, 'customers' AS source FROM customer WHERE c_nationkey >= 8 GROUP BY 1)
+    WITH s AS (SELECT s_nationkey AS ticker, min(s_name) AS name, 'suppliers' AS source FROM supplier GROUP BY 1),
+    c AS (SELECT c_nationkey AS ticker, coalesce(nullif(min(CASE WHEN c_nationkey % 2 = 0 THEN '' ELSE c_name END), ''), min(c_mktsegment)) AS name, 'customers' AS source FROM customer WHERE c_nationkey IS NOT NULL GROUP BY 1)
     SELECT * FROM c UNION ALL SELECT * FROM s WHERE ticker NOT IN (SELECT ticker FROM c)
 """)
 def metadata_union(spark: SparkSession, sf: str) -> DataFrame:
-    s = table(spark, sf, "supplier").where("s_nationkey < 15").groupBy(F.col("s_nationkey").alias("ticker")).agg(F.min("s_name").alias("name")).withColumn("source", F.lit("suppliers"))
-    c = table(spark, sf, "customer").where("c_nationkey >= 8").groupBy(F.col("c_nationkey").alias("ticker"))
+    s = table(spark, sf, "supplier").groupBy(F.col("s_nationkey").alias("ticker")).agg(F.min("s_name").alias("name")).withColumn("source", F.lit("suppliers"))
+    c = table(spark, sf, "customer").where("c_nationkey is not null").groupBy(F.col("c_nationkey").alias("ticker"))
     c = c.agg(F.min(F.when(F.col("c_nationkey") % 2 == 0, "").otherwise(F.col("c_name"))).alias("long"), F.min("c_mktsegment").alias("short"))
     c = c.select("ticker", text.or_else(F.col("long"), F.col("short")).alias("name"), F.lit("customers").alias("source"))
     return screening.consolidated_metadata([s, c])
@@ -592,6 +596,21 @@ def book_bucket(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(orderbook.bucket_levels(levels, ["ticker", "date"]))
 
 
+SIDES = "CASE WHEN event_type IN ('click', 'view') THEN 'bid' ELSE 'ask' END"
+BOOKS = f"SELECT CAST(user_id % 40 AS VARCHAR) || ' ' || {SIDES} AS ticker, date_trunc('day', ts) AS date, value AS price, CAST(event_id % 7 AS DOUBLE) AS size, row_number() OVER (PARTITION BY user_id % 40, {SIDES}, CAST(ts AS DATE) ORDER BY ts, event_id) - 1 AS pos FROM events"
+
+
+@query(f"SELECT date AS timestamp, split_part(ticker, ' ', 1) AS ticker, split_part(ticker, ' ', 2) AS side, level, price, size FROM ({bucket_sql(BOOKS)})")
+def book_snapshots(spark: SparkSession, sf: str) -> DataFrame:
+    """Stored rows of pushed books, each bucketed within its own row; here a book is a day's events."""
+    ev = views.events(spark, sf)
+    level = F.struct("ts", "event_id", F.col("value").alias("price"), (F.col("event_id") % 7).cast("double").alias("size"))
+    side = lambda kept: F.transform(F.sort_array(F.collect_list(F.when(kept, level))), lambda x: F.struct(x["price"].alias("price"), x["size"].alias("size")))
+    bid = F.col("event_type").isin("click", "view")
+    books = ev.groupBy(F.date_trunc("day", "ts").cast("timestamp_ntz").alias("ts"), (F.col("user_id") % 40).cast("string").alias("code")).agg(side(bid).alias("bids"), side(~bid).alias("asks"))
+    return rounded(orderbook.snapshots(books))
+
+
 @query("SELECT user_id, max(ts) AS ts, max_by(value, (ts, event_id)) AS value FROM events GROUP BY 1")
 def latest_book(spark: SparkSession, sf: str) -> DataFrame:
     return orderbook.latest(views.events(spark, sf), "user_id", ["ts", "event_id"], ["ts", "value"])

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from quillspark.functions import numbers, text
 from quillspark.operators import bars, decisions, orderbook, panels, screening
 from quillspark.plans import views
-from quillspark.plans.catalog import HOURLY, query, rounded
+from quillspark.plans.catalog import HOURLY, TYPES_OF_EVENTS, query, rounded
 from quillspark.sources import files
 from quillspark.sources.files import table
 from quillspark.streaming import live
@@ -56,8 +56,10 @@ def post_links(spark: SparkSession, sf: str) -> DataFrame:
 @query("""WITH l AS (SELECT event_type, list_sort(list(DISTINCT CAST(user_id AS VARCHAR))) AS a FROM events GROUP BY 1)
     SELECT event_type, array_to_string(a[1:20], ', ') || CASE WHEN len(a) > 20 THEN '...' ELSE '' END AS users FROM l""")
 def listed_heads(spark: SparkSession, sf: str) -> DataFrame:
-    # the list is as long as the type has users: a report line, for universes of symbols
-    lists = views.events(spark, sf).groupBy("event_type").agg(F.sort_array(F.collect_set(F.col("user_id").cast("string"))).alias("a"))
+    # 21 names show that there are more than 20; no type's names meet in one row
+    each = views.events(spark, sf).select("event_type", F.col("user_id").cast("string").alias("user")).distinct()
+    first = each.withColumn("i", F.row_number().over(W.partitionBy("event_type").orderBy("user"))).where("i <= 21")
+    lists = first.groupBy("event_type").agg(F.sort_array(F.collect_list("user")).alias("a"))
     return lists.select("event_type", text.head_list(F.col("a")).alias("users"))
 
 
@@ -85,11 +87,10 @@ def watchlist_lines(spark: SparkSession, sf: str) -> DataFrame:
     return files.watchlist_lines(table(spark, sf, "customer").select(line.alias("value")))
 
 
-@query(f"SELECT datetime, ticker, close, volume FROM ({HOURLY}) WHERE ticker IN ('click', 'purchase', 'view')")
+@query(f"SELECT datetime, ticker, close, volume FROM ({HOURLY})")
 def bars_from_wide(spark: SparkSession, sf: str) -> DataFrame:
-    names = ["click", "purchase", "view"]
-    wide = views.hourly(spark, sf).groupBy("datetime").pivot("ticker", names).agg(F.first("close").alias("close"), F.first("volume").alias("volume"))
-    return bars.from_wide(wide, names, ["close", "volume"])
+    wide = views.hourly(spark, sf).groupBy("datetime").pivot("ticker", TYPES_OF_EVENTS).agg(F.first("close").alias("close"), F.first("volume").alias("volume"))
+    return bars.from_wide(wide, TYPES_OF_EVENTS, ["close", "volume"])
 
 
 @query("""SELECT CAST(event_id AS VARCHAR) AS id, event_type || ' of ' || user_id AS title, CASE WHEN event_id % 4 = 0 THEN '' ELSE 'https://site.example/r/' || event_id END AS url,

@@ -324,3 +324,18 @@ def test_files(spark, tmp_path):
     assert kv["key"] == "A" and kv["value"]["x"] == 1
     control = files.mark_written(spark.createDataFrame([], "name string, written_at timestamp"), "t", F.lit("2024-01-01").cast("timestamp"))
     assert control.count() == 1
+
+
+def test_snapshots_within_rows(spark):
+    """Arrays against rows: sides of all sizes, flat ones, empty and null ones; no shuffle."""
+    import random
+
+    rng = random.Random(6)
+    sides = [[(float(rng.choice([1, 2, 3.5, 7, 7.25, 11])) if k < 20 else 5.0, float(rng.randint(0, 9))) for _ in range(k)] for k in (0, 1, 9, 10, 11, 12, 19, 40)] + [None]
+    level = "array<struct<price: double, size: double>>"
+    books = spark.createDataFrame([(i, f"US.{i}", rng.choice(sides), s) for i, s in enumerate(sides * 3)], f"n int, code string, bids {level}, asks {level}").withColumn("ts", F.timestamp_seconds("n"))
+    got = orderbook.snapshots(books)
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    want = orderbook.bucket_levels(orderbook.book_levels(books), ["ts", "code", "side"]).select("ts", "code", "side", "level", "price", "size")
+    rows = lambda df: sorted((*r[:4], round(r[4], 9), round(r[5], 9)) for r in df.collect())
+    assert rows(got) == rows(want)
