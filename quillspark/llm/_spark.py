@@ -73,12 +73,32 @@ def bounded_sample(df: DataFrame, max_rows: int, key: str = "doc_id") -> DataFra
     return df.where(hashed < -(2**63) + 2**64 * 19 * max_rows // (20 * n)).orderBy(hashed, key).limit(max_rows)
 
 
-def sampled_texts(documents: DataFrame, sample: DataFrame, max_bytes: int) -> pd.DataFrame:
-    """The ``documents`` rows (doc_id, text, ...) of a bounded ``sample``, in order of doc_id, with its columns: whole texts, in hash order, as long as they fit into ``max_bytes``."""
-    sample = F.broadcast(sample)  # bounded rows of numbers
-    sizes = documents.join(sample.select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.max(F.octet_length("text")).alias("bytes"), F.first(F.xxhash64("doc_id", F.lit(17))).alias("h")).toPandas()
-    sizes = sizes.sort_values("h", ignore_index=True)
-    ids = sizes["doc_id"][sizes["bytes"].fillna(0).cumsum() <= max_bytes].tolist()
-    fits = F.broadcast(documents.sparkSession.createDataFrame([(int(i),) for i in ids], "doc_id long"))
-    got = documents.join(sample, "doc_id").join(fits, "doc_id", "left_semi").toPandas()
-    return got.sort_values(["doc_id", "text"], ignore_index=True).drop_duplicates("doc_id", ignore_index=True)
+def fitting(sizes: pd.DataFrame, max_bytes: int) -> list[int]:
+    """Which rows (doc_id, bytes, group, h) to take: whole texts in hash order, those that do not fit are passed over.
+
+    Each group has an equal share of the bytes; what a small one leaves goes to the others. A group of which nothing fits gives
+    its smallest text, so no group goes missing: the bound may be exceeded by one text for each such group.
+    """
+    groups = [g.sort_values("h") for _, g in sizes.groupby("group", dropna=False)]
+    out: list[int] = []
+    for i, g in enumerate(sorted(groups, key=lambda g: int(g["bytes"].sum()))):
+        share, used, taken = max_bytes // (len(groups) - i), 0, []
+        for doc_id, size in zip(g["doc_id"].tolist(), g["bytes"].tolist(), strict=True):
+            if used + size <= share:
+                used += size
+                taken.append(doc_id)
+        out += taken or g.sort_values(["bytes", "h"])["doc_id"].tolist()[:1]
+        max_bytes = max(0, max_bytes - used)
+    return out
+
+
+def sampled_texts(documents: DataFrame, sample: DataFrame, max_bytes: int, group: str) -> pd.DataFrame:
+    """The ``documents`` rows (doc_id, text, ...) of a bounded ``sample``, in order of doc_id, with its columns: one row for each doc_id
+    (that of the least text), as many as ``fitting`` takes by the values of the column ``group``."""
+    rows = documents.join(F.broadcast(sample), "doc_id")  # bounded rows of numbers
+    others = [c for c in rows.columns if c not in ("doc_id", "text")]
+    one = rows.groupBy("doc_id").agg(F.min(F.struct(F.col("text").isNull().alias("missing"), "text", *others)).alias("row"))
+    one = cut(one.select("doc_id", "row.text", *(f"row.{c}" for c in others)))
+    sizes = one.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).alias("bytes"), F.col(group).alias("group"), F.xxhash64("doc_id", F.lit(17)).alias("h")).toPandas()
+    fits = F.broadcast(documents.sparkSession.createDataFrame([(int(i),) for i in fitting(sizes, max_bytes)], "doc_id long"))
+    return one.join(fits, "doc_id", "left_semi").toPandas().sort_values("doc_id", ignore_index=True)

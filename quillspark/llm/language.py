@@ -140,7 +140,7 @@ def fit(documents: DataFrame, *, max_fit_rows: int = 2000, max_fit_bytes: int =
     each = max(1, max_fit_rows // len(counts))
     cuts = [x for lang, n in sorted(counts.items()) for x in (F.lit(lang), F.lit(min(2**63 - 1, -(2**63) + 2**64 * each // n)))]
     sample = known.where(F.xxhash64("doc_id", F.lit(17)) <= F.element_at(F.create_map(*cuts), F.col("lang")))
-    got = sampled_texts(known, sample.select("doc_id").distinct(), max_fit_bytes)
+    got = sampled_texts(known, sample.select("doc_id").distinct(), max_fit_bytes, "lang")
     languages = sorted(got["lang"].unique())
     if not languages:
         return {"languages": []}

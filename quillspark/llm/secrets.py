@@ -14,6 +14,9 @@ also holds a secret part: a key, an assignment or a hexadecimal run. An assignme
 that touches an identifier assigns the identifier and is no secret part. A weak span
 that touches a base span is that span again and is left out.
 
+Weak parts are looked for around scopes only, by patterns that look at each place for a bounded time, so a text of any length
+takes time in proportion.
+
 A text is one row, so its parts are together already and the join needs no
 shuffle; one hot source or key changes nothing. Spans are (kind, start, end) in
 code points, end exclusive.
@@ -37,7 +40,10 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # the runs of 24 or more are what is left of all runs
 KEY = re.compile(r"(?<![A-Za-z0-9/+=])[A-Za-z0-9/+]{40}(?![A-Za-z0-9/+=])")
-ENDPOINT = re.compile(r"https?://[A-Za-z0-9.-]+\.[A-Za-z]{2,}(?::[0-9]{1,5})?|\b[a-z0-9-]+(?:\.[a-z0-9-]+)+\.[a-z]{2,}(?::[0-9]{1,5})?")
+# names of up to 13 labels of at most 63 characters: each start is looked at for a bounded time
+ENDPOINT = re.compile(r"https?://[A-Za-z0-9.-]{1,253}\.[A-Za-z]{2,63}(?::[0-9]{1,5})?|\b[a-z0-9-]{1,63}(?:\.[a-z0-9-]{1,63}){1,12}\.[a-z]{2,63}(?::[0-9]{1,5})?")
+#: More than a weak part can be long: it is looked for so far beyond a scope, so that none is cut short.
+MARGIN = 1024
 ORDER = {"assign": 0, "access": 1, "hex": 2, "key": 3, "endpoint": 4}
 SPANS = "array<struct<kind:string,start:int,end:int>>"
 
@@ -57,12 +63,14 @@ def linked_spans(text: str, base: list[tuple[str, int, int]], scope_chars: int)
     if not identifiers:
         return []
     taken = _merged([(s, e) for _, s, e in base])
-    keys = _free([(m.start(), m.end()) for m in KEY.finditer(text)], taken)
+    windows = _merged([(max(0, s - MARGIN), e + MARGIN) for s, e in _scopes(identifiers, scope_chars)])
+    search = lambda pattern: _free([(m.start(), m.end()) for s, e in windows for m in pattern.finditer(text, s, e)], taken)
+    keys = search(KEY)
     assigned = _free([(s, e) for kind, s, e in base if kind == "assign"], _merged(identifiers))
     runs = [(s, e) for kind, s, e in base if kind == "hex"]
     if not (keys or assigned or runs):
         return []
-    ends = _free([(m.start(), m.end()) for m in ENDPOINT.finditer(text)], taken)
+    ends = search(ENDPOINT)
     found: set[tuple[str, int, int]] = set()
     for near in _scopes(identifiers, scope_chars):
         mine = _within(keys, *near)

@@ -200,7 +200,7 @@ def fit(documents: DataFrame, labels: DataFrame, *, max_fit_rows: int = 4000, ma
     known = known.where(~held_out(F.col("doc_id")))
     share = known.agg(F.avg("toxic").alias("p"), F.count(F.lit(1)).alias("n")).first()
     halves = [bounded_sample(known.where(F.col("toxic") == label), max_fit_rows // 2) for label in (0, 1)]
-    got = sampled_texts(documents.select("doc_id", "text"), halves[0].unionByName(halves[1]).select("doc_id", "toxic"), max_fit_bytes)
+    got = sampled_texts(documents.select("doc_id", "text"), halves[0].unionByName(halves[1]).select("doc_id", "toxic"), max_fit_bytes, "toxic")
     net = ConvNet(buckets, seed)
     if not len(got) or got["toxic"].nunique() < 2:
         p = ((share["p"] or 0) * share["n"] + 1) / (share["n"] + 2)
