@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillspark.functions.numbers import completeness
-from quillspark.operators.numbering import numbered
+from quillspark.operators.numbering import numbered_chunks
 
 REFETCH_BELOW = 0.9
 
@@ -97,10 +97,5 @@ def fetch_batches(missing: DataFrame, size: int = 100) -> DataFrame:
     return batched.groupBy("batch").agg(F.min("ticker").alias("first"), F.max("ticker").alias("last"), F.min("low").alias("start"), F.date_add(F.max("high"), 1).alias("end"))
 
 
-def numbered_chunks(df: DataFrame, order: str | Column, size: int) -> DataFrame:
-    """Consecutive chunks of ``size`` rows."""
-    return numbered(df, [order], "_n").withColumn("batch", F.floor((F.col("_n") - 1) / size)).drop("_n")
-
-
 def report_totals(report: DataFrame) -> DataFrame:
     return report.agg(F.count_if("needs_refetch").alias("to_fetch"), F.count_if(~F.col("needs_refetch")).alias("complete"))

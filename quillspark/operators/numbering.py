@@ -23,3 +23,8 @@ def numbered(df: DataFrame, order: list[Column | str], name: str = "number") ->
     starts = each.select(F.col("own._range").alias("_range"), before.alias("_before"))
     within = ranged.withColumn("_rn", F.row_number().over(W.partitionBy("_range").orderBy(*order)))
     return within.join(starts, "_range").withColumn(name, F.col("_rn") + F.col("_before")).drop("_range", "_rn", "_before")
+
+
+def numbered_chunks(df: DataFrame, order: str | Column, size: int) -> DataFrame:
+    """``df`` with ``batch``: consecutive chunks of ``size`` rows."""
+    return numbered(df, [order], "_n").withColumn("batch", F.floor((F.col("_n") - 1) / size)).drop("_n")

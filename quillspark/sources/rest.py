@@ -140,14 +140,14 @@ def _bar(r: dict) -> tuple:
     return EPOCH + timedelta(milliseconds=r["t"]), *(float(r[k]) if r.get(k) is not None else None for k in "ohlcv")
 
 
-def _answer(get, url: str, params: dict, pause: float, retries: int, backoff: float, most: float) -> tuple[int, dict]:
-    """One page, asked for again while the service is busy."""
+def _answer(get, url: str, params: dict, pause: float, retries: int, backoff: float, most: float, growth: float = 1.5) -> tuple[int, dict]:
+    """One page, asked for again while the service is busy; each wait is ``growth`` times the one before."""
     for attempt in range(retries):
         time.sleep(pause)
         status, body = get(url, params)
         if status != 429 and status < 500:
             return status, body
-        time.sleep(min(most, backoff * 1.5**attempt))
+        time.sleep(min(most, backoff * growth**attempt))
     raise RuntimeError(f"no answer for {url} after {retries} attempts")
 
 
@@ -166,6 +166,46 @@ class BarSource(DataSource):
         return BarReader(dict(self.options))
 
 
+class PageReader(DataSourceReader):
+    def __init__(self, options: dict[str, str]):
+        self.options = options
+        self.ids = [i for i in options["ids"].split(",") if i]
+
+    def partitions(self) -> list[InputPartition]:
+        size = int(self.options.get("per_page", "250"))
+        return [TickerPartition(self.ids[i : i + size]) for i in range(0, len(self.ids), size)] or [TickerPartition([])]
+
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        if not partition.value:
+            return
+        module, _, name = self.options["transport"].partition(":")
+        get, key = getattr(importlib.import_module(module), name), self.options.get("key", "id")
+        pause = 60 * len(self.partitions()) / float(self.options.get("per_minute", "inf"))
+        params = {"ids": ",".join(partition.value)} | json.loads(self.options.get("always", "{}"))
+        try:
+            status, data = _answer(get, self.options["base"], params, pause, int(self.options.get("retries", "4")), float(self.options.get("backoff", "0.5")), float(self.options.get("max_backoff", "60")), 2.0)
+            found = {str(r.get(key)): r for r in data} if status < 400 else {}
+            error = None if status < 400 else f"{status}"
+        except Exception as e:
+            found, error = {}, str(e)
+        for i in partition.value:
+            yield i, json.dumps(found[i]) if i in found else None, error
+
+
+class PageSource(DataSource):
+    """``spark.read.format("rest_pages")``: objects by id, ``per_page`` ids to a request and task (options ids, base, transport, key). Rows (id, raw, error): raw is null for an id that the service does not know."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "rest_pages"
+
+    def schema(self) -> str:
+        return "id string, raw string, error string"
+
+    def reader(self, schema) -> DataSourceReader:
+        return PageReader(dict(self.options))
+
+
 def file_transport(url: str, params: dict) -> tuple[int, dict]:
     """Pages from JSON files: ``url`` is a path without its ending."""
     try:

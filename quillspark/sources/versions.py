@@ -80,7 +80,7 @@ class VersionedTable:
     def ledger(self) -> list[dict]:
         return [self._read(f"_ledger/{n}") for n in self._names("_ledger")]
 
-    def merge(self, batch: DataFrame, batch_id: int) -> dict:
+    def merge(self, batch: DataFrame, batch_id: int | str) -> dict:
         """Upsert a batch as one new version, with one ledger row; again with the same ``batch_id`` changes nothing."""
         done = next((m for m in reversed(self.versions()) if m["batch"] == batch_id), None)
         if done is None:
@@ -88,8 +88,16 @@ class VersionedTable:
         self._settle(done)
         return done
 
-    def _write(self, batch: DataFrame, batch_id: int) -> dict:
+    def replace(self, rows: DataFrame, batch_id: int | str, **facts) -> dict:
+        """A version that holds these rows alone; ``facts`` (when they were written, say) are kept with it."""
+        done = next((m for m in reversed(self.versions()) if m["batch"] == batch_id), None) or self._write(rows, batch_id, whole=True, facts=facts)
+        self._settle(done)
+        return done
+
+    def _write(self, batch: DataFrame, batch_id: int | str, whole: bool = False, facts: dict | None = None) -> dict:
         now = self.manifest() or {"version": -1, "parts": {}}
+        if whole:
+            now = now | {"parts": {}}
         batch = batch.withColumn("_part", self.part)
         batch.persist()
         try:
@@ -105,7 +113,7 @@ class VersionedTable:
         # a value with odd characters is written as Spark escapes it, so folders are taken as they are
         made = {self._unescaped(n.removeprefix("_part=")): f"{folder}/{n}" for n in self._names(folder) if n.startswith("_part=")}
         schema = batch.drop("_part").schema
-        manifest = {"version": now["version"] + 1, "batch": batch_id, "rows": rows, "parts": now["parts"] | made, "schema": json.loads(schema.json())}
+        manifest = {"version": now["version"] + 1, "batch": batch_id, "rows": rows, "parts": now["parts"] | made, "schema": json.loads(schema.json())} | (facts or {})
         self._put(f"_versions/{manifest['version']:08d}.json", manifest)
         return manifest
 
