@@ -46,6 +46,12 @@ def pull_start(last_run: dt.datetime | None, now: dt.datetime) -> dt.datetime:
     return last_run if last_run is not None and now - last_run > day else now - day
 
 
+def pull_starts(last_run: Column, now: Column) -> Column:
+    """``pull_start`` of each row."""
+    day = F.expr("interval 24 hours")
+    return F.when(now - last_run > day, last_run).otherwise(now - day)
+
+
 def stale_by_days(written_at: Column, now: Column, days: int) -> Column:
     """By UTC dates, not by hours; never written counts as stale."""
     return F.coalesce(F.datediff(F.to_date(now), F.to_date(written_at)) >= days, F.lit(True))

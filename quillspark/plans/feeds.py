@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspark.functions import numbers
+from quillspark.operators.bars import bars
 from quillspark.plans import views
-from quillspark.plans.catalog import HOURLY, query
+from quillspark.plans.catalog import DAILY, HOURLY, query
+from quillspark.sources import calendars, files, pulls
 from quillspark.sources.shared import shared_folder
 from quillspark.sources.versions import VersionedTable
 from quillspark.streaming import live, stateful
@@ -52,3 +55,64 @@ def stream_after_history(spark: SparkSession, sf: str) -> DataFrame:
     made.writeStream.outputMode("update").option("checkpointLocation", f"{out}/log").trigger(availableNow=True).foreachBatch(table.merge).start().awaitTermination()
     table.vacuum()
     return _bars_of(table)
+
+
+@query("SELECT event_id, event_type, ts, value, CAST(ts AS DATE) AS date FROM events")
+def flushed_events(spark: SparkSession, sf: str) -> DataFrame:
+    """Events through the file sink, in a folder for each date, read back as one table."""
+    out = shared_folder(spark, "stream")
+    rows = _ticks(spark, sf).select("event_id", "event_type", "ts", "value", F.to_date("ts").alias("date"))
+    live.write_flushes(rows, f"{out}/flushes", f"{out}/log", every=None).awaitTermination()
+    return spark.read.parquet(f"{out}/flushes").select("event_id", "event_type", F.col("ts").cast("timestamp_ntz").alias("ts"), "value", "date")
+
+
+# Pulls
+
+
+@query(f"""
+    WITH bad AS (SELECT CAST(user_id AS VARCHAR) AS ticker FROM events GROUP BY user_id HAVING min(value) < 0.5),
+    d AS (SELECT ticker, count(*) AS n_bars, min(datetime) AS first, max(datetime) AS last FROM ({DAILY}) GROUP BY 1)
+    SELECT ticker, CASE WHEN b THEN 'error' ELSE 'done' END AS status, CASE WHEN b THEN 0 ELSE n_bars END AS n_bars, CASE WHEN NOT b THEN first END AS first, CASE WHEN NOT b THEN last END AS last, CASE WHEN b THEN 'timeout' END AS error
+    FROM (SELECT *, ticker IN (FROM bad) AS b FROM d)
+""")
+def backfill_run(spark: SparkSession, sf: str) -> DataFrame:
+    """A backfill of every user's daily bars in two calls: a service that is down for some users, and the ledger after the second call."""
+    out = shared_folder(spark, "backfill")
+    ev = views.events(spark, sf).withColumn("ts", F.col("ts").cast("timestamp")).withColumn("ticker", F.col("user_id").cast("string"))
+    held = VersionedTable(spark, f"{out}/bars", ["ticker", "datetime"], ["close"], F.to_date("datetime"))
+    ledger = VersionedTable(spark, f"{out}/ledger", ["ticker"], ["fetched_at"])
+
+    def read(tickers: DataFrame) -> DataFrame:
+        own = ev.join(tickers, "ticker", "left_semi")
+        down = own.groupBy("ticker").agg(F.min("value").alias("least")).where("least < 0.5").select("ticker")
+        made = bars(own.join(down, "ticker", "left_anti"), "day", ticker="ticker", ts="ts", price="value", order=["ts", "event_id"])
+        return made.select(*pulls.BARS, F.lit("done").alias("status"), F.lit(None).cast("string").alias("error")).unionByName(down.withColumns({"status": F.lit("error"), "error": F.lit("timeout")}), allowMissingColumns=True)
+
+    for _ in range(2):
+        pulls.backfill(ev.select("ticker"), held, ledger, read, F.lit("2024-02-01").cast("timestamp"), every=1000)
+    return ledger.read().select("ticker", "status", "n_bars", F.col("first").cast("timestamp_ntz").alias("first"), F.col("last").cast("timestamp_ntz").alias("last"), "error")
+
+
+@query("SELECT CAST(d AS DATE) AS date, CAST(1440 AS BIGINT) AS minutes FROM (SELECT unnest(generate_series((SELECT CAST(min(ts) AS DATE) FROM events), (SELECT CAST(max(ts) AS DATE) FROM events), INTERVAL 1 DAY)) AS d)")
+def every_day(spark: SparkSession, sf: str) -> DataFrame:
+    """The calendar of a market that never closes, over the events' days, with the minutes of each day."""
+    first, last = views.events(spark, sf).agg(F.min(F.to_date("ts")), F.max(F.to_date("ts"))).first()
+    days = calendars.always_open(spark, first, last)
+    return days.select("date", numbers.minutes_between(F.col("market_open"), F.col("market_close")).cast("long").alias("minutes"))
+
+
+@query("SELECT CAST(user_id AS VARCHAR) AS name, datediff('day', CAST(max(ts) AS DATE), (SELECT CAST(max(ts) AS DATE) FROM events)) >= 7 AS stale FROM events GROUP BY 1 UNION ALL SELECT 'never', true")
+def stale_users(spark: SparkSession, sf: str) -> DataFrame:
+    """Users as tables last written by their last event, and one never written, against a weekly rule."""
+    ev = views.events(spark, sf)
+    control = ev.groupBy(F.col("user_id").cast("string").alias("name")).agg(F.max("ts").alias("written_at"))
+    now = F.lit(ev.agg(F.max("ts")).first()[0])
+    return files.stale(control, control.select("name").unionByName(spark.sql("select 'never' name")), now, freq="weekly")
+
+
+@query("SELECT user_id, CASE WHEN (SELECT max(ts) FROM events) - max(ts) > INTERVAL 24 HOUR THEN max(ts) ELSE (SELECT max(ts) FROM events) - INTERVAL 24 HOUR END AS start FROM events GROUP BY 1")
+def pull_starts(spark: SparkSession, sf: str) -> DataFrame:
+    """Where each user's next pull would start."""
+    ev = views.events(spark, sf)
+    now = F.lit(ev.agg(F.max("ts")).first()[0])
+    return ev.groupBy("user_id").agg(F.max("ts").alias("last")).select("user_id", numbers.pull_starts(F.col("last"), now).alias("start"))
