@@ -1,21 +1,23 @@
 """Benchmark decontamination by winnowing.
 
 Both texts become word sequences. Of the ``gram``-word hashes in each window of ``window`` consecutive
-words the smallest is kept as its
-fingerprint. A window that a document shares with an item has the
-same fingerprint at the same place, so no shared span of that length is
-lost. Fingerprints of a document that are fingerprints of the benchmark are hits; a hit is extended to the
-whole windows around it, and what the two sides share of those is joined on two 64-bit hashes.
-Neighbouring shared windows make up the span.
+words the smallest (the last of equal ones) is kept as its fingerprint, with its place. A window that a document shares with an
+item has the same fingerprint at the same place in it, so no shared span of that length is lost.
+
+The distinct fingerprints of the benchmark are joined with those of the documents. Each hit is then extended: word by word to the left and
+to the right of the fingerprint, as far as a window that holds it reaches. Where this makes up a window or more, its words are hit.
+Overlapping extensions make up longer spans.
+
+Items come in at the end. The join is over distinct contexts (a fingerprint and the words around it), whatever the number of items
+that hold one; a context stands for a set of items, and each document gets the sets that it has met.
 
 An item of fewer words is one window of its own length ``L``. Winnowing gives no
 guarantee below ``window`` words, so for each such length that occurs every
-``L``-word hash of the documents is a fingerprint.
+``L``-word hash of the documents is a fingerprint, and its context is the item.
 
-Fingerprints and windows of documents are looked up in a Bloom filter of the benchmark's (16 bits for each
+Fingerprints of documents are looked up in a Bloom filter of the benchmark's (16 bits or more for each
 entry, ``bloom_bits`` at most) before they are shuffled: it only drops what the join
-would drop. Only hits are joined; a distinct window is matched once whatever the number of items that hold it,
-and a window that many documents share is a skewed join that Spark can split.
+would drop. A fingerprint that many documents share is a skewed join that Spark can split.
 
 Defined results: one row for each row of documents, whatever its doc_id (null and repeated ids included); a null or empty text has no words and is never hit; items
 without words never occur; equal items are all reported, as items with one id
@@ -35,7 +37,9 @@ from pyspark.sql import functions as F
 from quillspark.llm._spark import cut
 from quillspark.llm._text import ALNUM, LOWER, gram_hashes, mix, slices, word_hashes, words
 
-ENTRY = "a bigint, b bigint, at bigint, size bigint"
+ENTRY = "f bigint, at bigint, size bigint, words array<bigint>"
+#: Stand for words beyond a text's ends, on either side: they equal nothing.
+BEYOND_DOCUMENT, BEYOND_ITEM = np.uint64(1), np.uint64(2)
 
 
 def _least(grams: np.ndarray, per: int) -> np.ndarray:
@@ -51,10 +55,25 @@ def _least(grams: np.ndarray, per: int) -> np.ndarray:
     return low
 
 
-def _window_hashes(hashes: np.ndarray, size: int, at: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Two independent hashes of each run of ``size`` words (or of those that start ``at``); sizes are kept apart."""
-    salt = np.uint64(0x9E3779B97F4A7C15 * size % 2**64)
-    return gram_hashes(hashes, size, at) ^ salt, gram_hashes(mix(hashes ^ np.uint64(0xD6E8FEB86659FD93)), size, at) ^ salt
+def _sized(hashes: np.ndarray, size: int) -> np.ndarray:
+    """The hash of each run of ``size`` words, kept apart by size."""
+    return gram_hashes(hashes, size) ^ np.uint64(0x9E3779B97F4A7C15 * size % 2**64)
+
+
+def _places(grams: np.ndarray, kept: np.ndarray, windows: np.ndarray, per: int) -> np.ndarray:
+    """Where the fingerprint of each of the ``windows`` lies: the last of the least of its ``per`` grams."""
+    place = np.full(len(windows), -1)
+    for d in range(per):
+        place = np.where(grams[windows + d] == kept[windows], windows + d, place)
+    return np.unique(place)
+
+
+def _around(hashes: np.ndarray, row: np.ndarray, places: np.ndarray, before: int, width: int, beyond: np.uint64) -> np.ndarray:
+    """The words (place x ``width``) from ``before`` words ahead of each place, within its row."""
+    at = places[:, None] + np.arange(-before, width - before)
+    inside = (at >= 0) & (at < len(hashes))
+    at = np.clip(at, 0, max(0, len(hashes) - 1))
+    return np.where(inside & (row[at] == row[places][:, None]), hashes[at], beyond)
 
 
 class _Bloom:
@@ -86,26 +105,33 @@ def _by_slice(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.
         yield first, last, word_hashes(data, starts, ends), row
 
 
-def _shared_windows(hashes: np.ndarray, row: np.ndarray, window: int, gram: int, short: list[int], bloom: _Bloom) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(words, places, first hashes, second hashes) of the windows within a row whose fingerprint and hash the filter has."""
-    n = len(hashes)
+def _lists(rows: np.ndarray) -> pa.Array:
+    """A list for each row of a matrix."""
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]), pa.array(np.ascontiguousarray(rows).view(np.int64).ravel()))
+
+
+def _fingerprints(hashes: np.ndarray, row: np.ndarray, window: int, gram: int, short: list[int], bloom: _Bloom | None, beyond: np.uint64) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(size, places, fingerprints, words around them) of all windows within a row whose fingerprint the filter has; sizes below ``window`` are whole short items."""
+    n, width, per = len(hashes), 2 * window - gram, window - gram + 1
     if n >= window:
-        kept = _least(gram_hashes(hashes, gram), window - gram + 1)
-        new = np.concatenate(([True], kept[1:] != kept[:-1]))  # neighbours mostly share their fingerprint
-        found = bloom.has(kept[new])[np.cumsum(new) - 1]
-        places = np.flatnonzero(found & (row[: n - window + 1] == row[window - 1 :]))
-        a, b = _window_hashes(hashes, window, places)
-        sure = bloom.has(a)
-        yield window, places[sure], a[sure], b[sure]
+        grams = gram_hashes(hashes, gram)
+        kept = _least(grams, per)
+        ok = row[: n - window + 1] == row[window - 1 :]
+        if bloom is not None:
+            new = np.concatenate(([True], kept[1:] != kept[:-1]))  # neighbours mostly share their fingerprint
+            ok &= bloom.has(kept[new])[np.cumsum(new) - 1]
+        places = _places(grams, kept, np.flatnonzero(ok), per)
+        yield window, places, grams[places], _around(hashes, row, places, window - gram, width, beyond)
     for size in short:
         if n >= size:
-            a, b = _window_hashes(hashes, size)
-            places = np.flatnonzero(bloom.has(a) & (row[: n - size + 1] == row[size - 1 :]))
-            yield size, places, a[places], b[places]
+            f = _sized(hashes, size)
+            ok = row[: n - size + 1] == row[size - 1 :]
+            places = np.flatnonzero(ok & bloom.has(f) if bloom is not None else ok)
+            yield size, places, f[places], _around(hashes, row, places, 0, width, beyond)
 
 
-def benchmark_windows(benchmark: DataFrame, window: int, gram: int) -> DataFrame:
-    """(f, a, b, size, item_id) of every item: the fingerprint and the hashes of each window, or for a short item of its whole sequence."""
+def benchmark_contexts(benchmark: DataFrame, window: int, gram: int) -> DataFrame:
+    """(f, size, context, items, set_id): each distinct fingerprint with the words around it, or short item as a whole, and the items that hold it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -116,17 +142,45 @@ def benchmark_windows(benchmark: DataFrame, window: int, gram: int) -> DataFrame
                     hashes = every[edges[row - first] : edges[row - first + 1]]
                     if not len(hashes) or not ids[row].is_valid:
                         continue
-                    size = min(len(hashes), window)
-                    a, b = _window_hashes(hashes, size)
-                    f = _least(gram_hashes(hashes, gram), window - gram + 1) if size == window else a
-                    yield pa.RecordBatch.from_arrays([*(pa.array(x.view(np.int64)) for x in (f, a, b)), pa.array(np.full(len(a), size)), pa.array([ids[row].as_py()] * len(a), pa.string())], names=["f", "a", "b", "size", "item_id"])
+                    short = [len(hashes)] if len(hashes) < window else []
+                    for size, places, f, around in _fingerprints(hashes, np.zeros(len(hashes), np.int64), window, gram, short, None, BEYOND_ITEM):
+                        if size < window:  # what is behind a short item is no part of it
+                            around[:, size:] = BEYOND_ITEM
+                        yield pa.RecordBatch.from_arrays([pa.array(f.view(np.int64)), pa.array(np.full(len(places), size)), _lists(around), pa.array([ids[row].as_py()] * len(places), pa.string())], names=["f", "size", "context", "item_id"])
 
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text")
-    return items.mapInArrow(run, "f bigint, a bigint, b bigint, size bigint, item_id string").distinct()
+    found = items.mapInArrow(run, "f bigint, size bigint, context array<bigint>, item_id string").distinct()
+    sets = found.groupBy("f", "size", "context").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
+    return sets.withColumn("set_id", F.sha2(F.to_json("items").cast("binary"), 256))
+
 
+def _extended(window: int, gram: int):
+    """Joined hits to (row, start, end, set_id) of those that extend to a window or more."""
+    left, width = window - gram, 2 * window - gram
 
-def _filter_of(windows: DataFrame, n: int, bloom_bits: int) -> _Bloom:
-    """The filter of the fingerprints and hashes of ``n`` windows: bits are set in tasks, the driver gets its bytes."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            m = batch.num_rows
+            if not m:
+                continue
+            document, item = (batch.column(c).flatten().to_numpy(zero_copy_only=False).reshape(m, width) for c in ("words", "context"))
+            at, size = (batch.column(c).to_numpy() for c in ("at", "size"))
+            same = document == item
+            back = np.cumprod(same[:, :left][:, ::-1], axis=1).sum(axis=1)
+            on = np.cumprod(same[:, left + gram :], axis=1).sum(axis=1)
+            whole = same[:, left : left + gram].all(axis=1) & (back + gram + on >= window)
+            short = np.cumprod(same, axis=1).sum(axis=1) >= size
+            ok = np.where(size == window, whole, short)
+            start = np.where(size == window, at - back, at)
+            end = np.where(size == window, at + gram + on, at + size)
+            kept = pa.array(ok)
+            yield pa.RecordBatch.from_arrays([x.filter(kept) for x in (batch.column("row"), pa.array(start), pa.array(end), batch.column("set_id"))], names=["row", "start", "end", "set_id"])
+
+    return run
+
+
+def _filter_of(contexts: DataFrame, n: int, bloom_bits: int) -> _Bloom:
+    """The filter of ``n`` contexts' fingerprints: bits are set in tasks, the driver gets its bytes."""
     bits = 1 << 13
     while bits < min(32 * n, bloom_bits):
         bits *= 2
@@ -134,15 +188,14 @@ def _filter_of(windows: DataFrame, n: int, bloom_bits: int) -> _Bloom:
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = _Bloom(bits)
         for batch in batches:
-            for column in ("f", "a"):
-                part.add(batch.column(column).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
+            part.add(batch.column("f").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
         used = np.flatnonzero(part.data)
         for at in range(0, len(used), 1 << 16):
             own = used[at : at + (1 << 16)]
             yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array(part.data[own].astype(np.int32))], names=["place", "bits"])
 
     bloom = _Bloom(bits)
-    got = windows.select("f", "a").mapInArrow(fill, "place int, bits int").groupBy("place").agg(F.bit_or("bits").alias("bits")).toPandas()  # bloom_bits / 8 rows at most
+    got = contexts.select("f").mapInArrow(fill, "place int, bits int").groupBy("place").agg(F.bit_or("bits").alias("bits")).toPandas()  # bloom_bits / 8 rows at most
     bloom.data[got["place"].to_numpy(np.int64)] = got["bits"].to_numpy(np.uint8)
     return bloom
 
@@ -159,16 +212,16 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             first = np.flatnonzero(np.concatenate(([True], start[1:] > end[:-1])))
             last = np.append(first[1:], len(start)) - 1
             out.append([{"start": s, "end": e} for s, e in zip(start[first].tolist(), end[last].tolist(), strict=True)])
-        yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(out, kind), batch.column("items")], names=["row", "spans", "items"])
+        yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(out, kind)], names=["row", "spans"])
 
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, *, window: int = 10, gram: int = 5, bloom_bits: int = 1 << 26) -> DataFrame:
     """One row for each document: doc_id, n_words, spans (hit word ranges, end exclusive, merged and in order), items (ids with an occurrence, sorted as strings)."""
-    windows = cut(benchmark_windows(benchmark, window, gram))
+    contexts = cut(benchmark_contexts(benchmark, window, gram))
     size = F.col("size")
-    known = windows.agg(F.count(F.lit(1)).alias("n"), F.collect_set(F.when(size < window, size)).alias("short")).first()
+    known = contexts.agg(F.count(F.lit(1)).alias("n"), F.collect_set(F.when(size < window, size)).alias("short")).first()
     short = sorted(known["short"])  # at most window - 1 numbers
-    bloom = _filter_of(windows, known["n"], bloom_bits)
+    bloom = _filter_of(contexts, known["n"], bloom_bits)
     bits, shared = len(bloom.data) * 8, documents.sparkSession.sparkContext.broadcast(bloom.data)
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,26 +230,28 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, *, window: int = 1
         for batch in batches:
             counts = np.zeros(batch.num_rows, np.int64)
             keys = batch.column("row").to_numpy()
-            none = lambda n: pa.nulls(n, pa.int64())
+            none = lambda n, kind=pa.int64(): pa.nulls(n, kind)
             for first, last, hashes, row in _by_slice(batch):
                 counts[first:last] = np.bincount(row, minlength=last - first)
                 starts = np.cumsum(counts[first:last]) - counts[first:last]
-                for size, places, a, b in _shared_windows(hashes, row, window, gram, short, seen):
+                for size, places, f, around in _fingerprints(hashes, row, window, gram, short, seen, BEYOND_DOCUMENT):
                     m, own = len(places), row[places]
-                    columns = (keys[first:last][own], none(m), none(m), a.view(np.int64), b.view(np.int64), places - starts[own], np.full(m, size))
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
+                    columns = (pa.array(keys[first:last][own]), none(m), none(m), pa.array(f.view(np.int64)), pa.array(places - starts[own]), pa.array(np.full(m, size)), _lists(around))
+                    yield pa.RecordBatch.from_arrays(list(columns), names=names)
             n = batch.num_rows
-            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), pa.array(counts), *(none(n) for _ in range(4))], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), pa.array(counts), *(none(n) for _ in range(3)), none(n, pa.list_(pa.int64()))], names=names)
 
-    names = ["row", "doc_id", "n_words", "a", "b", "at", "size"]
-    # a row for each document (n_words is set) and one for each of its shared windows; numbers only, written once
+    names = ["row", "doc_id", "n_words", "f", "at", "size", "words"]
+    # a row for each document (n_words is set) and one for each of its fingerprints that the filter has; numbers only, written once
     marked = cut(documents.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(mark, f"row bigint, doc_id bigint, n_words bigint, {ENTRY}"))
-    hits = marked.where("n_words is null").select("row", "a", "b", "at", "size")
-    found = hits.join(windows.select("a", "b", "item_id").distinct(), ["a", "b"])
-    span = F.struct(F.col("at").alias("start"), (F.col("at") + F.col("size")).alias("end"))
-    grouped = found.groupBy("row").agg(F.collect_set(span).alias("raw"), F.array_sort(F.collect_set("item_id")).alias("items"))
-    hit = grouped.mapInArrow(_merged, "row bigint, spans array<struct<start:bigint,end:bigint>>, items array<string>")
-    every = marked.where("n_words is not null").select("row", "doc_id", "n_words").join(hit, "row", "left")
+    hits = marked.where("n_words is null").select("row", "f", "at", "size", "words")
+    joined = hits.join(contexts.select("f", "size", "context", "set_id"), ["f", "size"]).select("row", "at", "size", "words", "context", "set_id")
+    found = joined.mapInArrow(_extended(window, gram), "row bigint, start bigint, end bigint, set_id string")
+    found = cut(found.groupBy("row", "set_id").agg(F.collect_set(F.struct("start", "end")).alias("raw")))
+    spans = found.groupBy("row").agg(F.flatten(F.collect_list("raw")).alias("raw")).mapInArrow(_merged, "row bigint, spans array<struct<start:bigint,end:bigint>>")
+    sets = contexts.groupBy("set_id").agg(F.first("items").alias("items"))
+    met = found.select("row", "set_id").join(sets, "set_id").groupBy("row").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    every = marked.where("n_words is not null").select("row", "doc_id", "n_words").join(spans, "row", "left").join(met, "row", "left")
     return every.select("doc_id", "n_words", F.coalesce("spans", F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)")).alias("spans"), F.coalesce("items", F.expr("cast(array() as array<string>)")).alias("items"))
 
 

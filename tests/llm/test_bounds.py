@@ -85,3 +85,46 @@ def test_scopes_cut_no_part():
         linked = secrets.linked_spans(text, secrets.base_spans(text), 300)
         inside = text.index(host) + len(host) <= len(ACCESS) + 300
         assert [s for s in linked if s[0] == "endpoint"] == ([("endpoint", text.index(host), text.index(host) + len(host))] if inside else [])
+
+
+def test_items_of_one_window_are_one_context(spark):
+    """A window that 300 items hold is joined once for each document; every item is reported."""
+    from quillspark.llm import decontaminate
+
+    shared = " ".join(f"w{i}" for i in range(10))
+    items = spark.createDataFrame([(f"i{i}", shared) for i in range(300)] + [("two", "alone here")], "item_id string, text string")
+    contexts = decontaminate.benchmark_contexts(items, 10, 5)
+    assert contexts.count() == 2
+    docs = spark.createDataFrame([(i, f"a{i} b {shared} c", "x") for i in range(50)] + [(99, "w0 w1 w2 w3 w4 w5 w6 w7 w8 x9 all alone", "y")], "doc_id long, text string, words string")
+    got = {r.doc_id: (r.n_words, [tuple(s) for s in r.spans], len(r.items)) for r in decontaminate.decontaminate(docs, items).collect()}
+    assert got == {i: (13, [(2, 12)], 300) for i in range(50)} | {99: (12, [], 0)}
+
+
+def test_extension_finds_every_window(spark):
+    """Spans of all lengths around the window, at texts' ends, with repeated words and equal hashes, against a plain search."""
+    from quillspark.llm import decontaminate
+
+    rng = random.Random(12)
+    make = lambda n, k: [str(rng.randint(0, k)) for _ in range(n)]
+    items = [(f"i{i}", make(n, k)) for i, (n, k) in enumerate([(40, 30), (10, 30), (11, 2), (25, 1), (3, 9), (9, 9), (1, 50), (60, 60), (14, 14)])]
+    docs = []
+    for i in range(120):
+        words = make(rng.randint(0, 30), 60)
+        for _ in range(rng.randint(0, 3)):
+            _, own = rng.choice(items)
+            a = rng.randint(0, len(own) - 1)
+            words += own[a : a + rng.randint(1, 16)] + make(rng.randint(0, 4), 60)
+        docs.append((i, words))
+    frame = lambda rows, schema: spark.createDataFrame([(i, " ".join(w)) for i, w in rows], schema)
+    marked = decontaminate.decontaminate(frame(docs, "doc_id long, text string"), frame(items, "item_id string, text string"))
+    got = {r.doc_id: ({j for s in r.spans for j in range(s["start"], s["end"])}, r["items"]) for r in marked.collect()}
+    for i, words in docs:
+        hit, met = set(), set()
+        for name, own in items:
+            size = min(10, len(own))
+            for w in {tuple(own[j : j + size]) for j in range(len(own) - size + 1)}:
+                for j in range(len(words) - size + 1):
+                    if tuple(words[j : j + size]) == w:
+                        hit |= set(range(j, j + size))
+                        met.add(name)
+        assert got[i] == (hit, sorted(met)), i
