@@ -15,7 +15,7 @@ SF = "/root/testdata/sf0.001"
 def test_registered():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_classifier", "minhash_near_dedup", "benchmark_decontamination", "secret_scans", "sentencepiece"]
     assert set(entry.queries()) >= {"pipeline", *queries.QUERIES}
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
 
 
 def test_run(spark):
