@@ -385,11 +385,15 @@ LAST_CROSS = f"""SELECT * FROM ({cross_sql(DAILY, 3, 8)}) QUALIFY row_number() O
 HELD = "SELECT CAST(range AS VARCHAR) AS symbol FROM range(0, 10)"
 
 
-@query(f"""
-    WITH x AS (SELECT ticker AS symbol, "cross" AS c FROM ({LAST_CROSS})), h AS ({HELD}),
+DECIDED = """
+    WITH x AS (SELECT ticker AS symbol, "cross" AS c FROM (LAST_CROSS)), h AS (HELD),
     d AS (SELECT 'open' AS kind, symbol, 'buy' AS side, 0.1E0 AS weight FROM x WHERE c = 'above' AND symbol NOT IN (FROM h) UNION ALL SELECT 'close', symbol, NULL, NULL FROM x WHERE c = 'below' AND symbol IN (FROM h))
     SELECT CAST(row_number() OVER (ORDER BY CASE kind WHEN 'open' THEN 0 ELSE 1 END, symbol) AS INTEGER) AS seq, kind, symbol, side, weight FROM d
-""")
+""".replace("LAST_CROSS", LAST_CROSS)
+POLLED = DECIDED.replace("(HELD)", "(SELECT DISTINCT CAST(user_id AS VARCHAR) AS symbol FROM events WHERE user_id % 2 = 0)")
+
+
+@query(DECIDED.replace("(HELD)", f"({HELD})"))
 def sma_decisions(spark: SparkSession, sf: str) -> DataFrame:
     return decisions.sma_cross_strategy(3, 8)(views.daily_by_user(spark, sf), views.holdings(spark))
 

@@ -2,17 +2,25 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+from datetime import datetime
+
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions import numbers
+from quillspark.operators import decisions, panels, screening, upsert
 from quillspark.operators.bars import bars
 from quillspark.plans import views
-from quillspark.plans.catalog import DAILY, HOURLY, query
+from quillspark.plans.catalog import DAILY, HOURLY, POLLED, query
+from quillspark.plans.records import DAYS, captures
 from quillspark.sources import calendars, files, pulls
+from quillspark.sources.rest import BarSource, PageSource
 from quillspark.sources.shared import shared_folder
-from quillspark.sources.versions import VersionedTable
-from quillspark.streaming import live, stateful
+from quillspark.sources.versions import BucketedTable, VersionedTable
+from quillspark.streaming import live, push, stateful
 
 EVENTS = dict(ticker="event_type", ts="ts", price="value", order="event_id")
 
@@ -116,3 +124,212 @@ def pull_starts(spark: SparkSession, sf: str) -> DataFrame:
     ev = views.events(spark, sf)
     now = F.lit(ev.agg(F.max("ts")).first()[0])
     return ev.groupBy("user_id").agg(F.max("ts").alias("last")).select("user_id", numbers.pull_starts(F.col("last"), now).alias("start"))
+
+
+@query("SELECT o_orderkey, o_orderstatus, CASE WHEN o_orderdate = (SELECT max(o_orderdate) FROM orders) THEN -o_totalprice ELSE o_totalprice END AS o_totalprice FROM orders")
+def bucketed_upsert(spark: SparkSession, sf: str) -> DataFrame:
+    """All orders as history in buckets of their keys, then the last day's again with another price: only their buckets are rewritten, and history is not shuffled."""
+    out, orders = shared_folder(spark, "buckets"), files.table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderdate")
+    held = BucketedTable(spark, f"{out}/orders", ["o_orderkey"], ["o_orderdate"], 16)
+    held.merge(orders, "history")
+    last = orders.agg(F.max("o_orderdate").alias("last"))
+    held.merge(orders.join(F.broadcast(last)).where("o_orderdate = last").drop("last").withColumn("o_totalprice", -F.col("o_totalprice")), "day")  # one row is broadcast
+    held.vacuum()
+    return held.read().drop("o_orderdate")
+
+
+# Services that read the test tables, as a broker's or a vendor's would be read
+
+
+class EventLog:
+    """The events as the numbered messages of a push service (see ``push``): a book and a bar for each event, of which a task reads its own range."""
+
+    def __init__(self, options: dict[str, str]):
+        self.file = pq.ParquetFile(options["path"])
+
+    def first(self) -> int:
+        return 0
+
+    def end(self) -> int:
+        return 2 * self.file.metadata.num_rows
+
+    def fetch(self, start: int, end: int) -> Iterator[tuple[int, str, str, str]]:
+        at = 0
+        for group in range(self.file.num_row_groups):
+            n = 2 * self.file.metadata.row_group(group).num_rows
+            if at < end and at + n > start:
+                low, high = max(start - at, 0), min(end - at, n)
+                rows = self.file.read_row_group(group, ["event_id", "ts", "user_id", "event_type", "value"]).slice(low // 2, (high + 1) // 2 - low // 2)
+                for i, r in enumerate(rows.to_pylist(), at // 2 + low // 2):
+                    price, when = r["value"], r["ts"].isoformat(" ")
+                    book = {"ts": when, "bids": [{"price": price, "size": r["event_id"]}], "asks": [{"price": price + 1, "size": 1}]}
+                    bar = {"datetime": when, "open": price, "high": price, "low": price, "close": price, "volume": r["event_id"]}
+                    both = (2 * i, str(r["user_id"]), "book", json.dumps(book)), (2 * i + 1, r["event_type"], "bar", json.dumps(bar))
+                    yield from (m for m in both if start <= m[0] < end)
+            at += n
+
+    def acknowledge(self, end: int) -> None:
+        """The table keeps all its messages."""
+
+
+def _pushes(spark: SparkSession, sf: str) -> DataFrame:
+    spark.dataSource.register(push.PushSource)
+    return spark.readStream.format("push_log").option("transport", f"{__name__}:EventLog").option("path", f"{sf}/events.parquet").load()
+
+
+def _drained(writer) -> None:
+    """A stream until it has read what there is now."""
+    running = writer.start()
+    try:
+        running.processAllAvailable()
+    finally:
+        running.stop()
+
+
+@query("SELECT event_type AS ticker, ts AS datetime, value AS close, CAST(event_id AS DOUBLE) AS volume FROM events")
+def published_bars(spark: SparkSession, sf: str) -> DataFrame:
+    """Bars that a service pushes, published as messages by ticker, and the messages of all batches read back."""
+    out = shared_folder(spark, "messages")
+    pushes = _pushes(spark, sf)
+    spark.dataSource.register(push.MessageSink)
+    messages = live.publish(push.pushed_bars(pushes).drop("number"))
+    _drained(messages.writeStream.format("message_log").option("folder", f"{out}/log").option("checkpointLocation", f"{out}/state"))
+    bar = F.from_json("value", "datetime timestamp, close double, volume double")
+    return push.read_messages(spark, f"{out}/log").select(F.col("key").alias("ticker"), bar.alias("b")).select("ticker", F.col("b.datetime").cast("timestamp_ntz").alias("datetime"), "b.close", "b.volume")
+
+
+@query("""SELECT CAST(user_id AS VARCHAR) AS code, max(ts) AS ts, max_by(value, ts) AS bid, CAST(max_by(event_id, ts) AS DOUBLE) AS size FROM events
+    WHERE user_id NOT IN (SELECT user_id FROM events GROUP BY 1 HAVING count(*) % 2 = 1) GROUP BY 1""")
+def watched_books(spark: SparkSession, sf: str) -> DataFrame:
+    """The last pushed book of each code that is still on the watchlist: codes taken off (those with an odd number of events) lose their state and what was held of them."""
+    out, own = shared_folder(spark, "books"), stateful.state_session(spark)
+    books = push.pushed_books(_pushes(own, sf))
+    ev = views.events(spark, sf).groupBy(F.col("user_id").cast("string").alias("code")).agg(F.count(F.lit(1)).alias("n"), F.max(F.col("ts").cast("timestamp")).alias("ts"))
+    ev.where("n % 2 = 1").select("code", "ts").write.parquet(f"{out}/drops")
+    drops = live.read_files(own, f"{out}/drops", "code string, ts timestamp")
+    held = VersionedTable(spark, f"{out}/books", ["code"], ["ts"])
+    made = stateful.hold_books(books, drops, every="1 hour").where("not repeated")
+    _drained(made.writeStream.outputMode("update").option("checkpointLocation", f"{out}/state").foreachBatch(held.merge))
+    left = held.read().join(spark.read.parquet(f"{out}/drops"), "code", "left_anti")
+    held.vacuum()
+    level = F.get("bids", F.lit(0))
+    return left.select("code", F.col("ts").cast("timestamp_ntz").alias("ts"), level["price"].alias("bid"), level["size"].alias("size"))
+
+
+def bar_service(url: str, params: dict) -> tuple[int, dict]:
+    """Bars of users, one for each event, from the events table: ``url`` names it. Symbols that start with X are refused by name; a symbol alone comes in pages of 500."""
+    base, _, rest = url.partition("?")
+    single = "symbols" not in params
+    path, symbol = base.rsplit("/", 1) if single else (base, None)
+    symbols = [symbol] if single else params["symbols"].split(",")
+    bad = next((s for s in symbols if s.startswith("X")), None)
+    if bad:
+        return 400, {"message": f"invalid symbol: {bad}"}
+    rows = pq.read_table(path, columns=["user_id", "ts", "value"], filters=[("user_id", "in", [int(s) for s in symbols])]).to_pylist()
+    found: dict[str, list] = {}
+    for r in sorted(rows, key=lambda r: r["ts"]):
+        t = round((r["ts"] - datetime(1970, 1, 1)).total_seconds() * 1000)
+        found.setdefault(str(r["user_id"]), []).append({"t": t, **dict.fromkeys("ohlc", r["value"]), "v": 1})
+    if not single:
+        return 200, {"bars": found}
+    at, all_ = int(rest or 0), found.get(symbol, [])
+    return 200, {"results": all_[at : at + 500]} | ({"next_url": f"{base}?{at + 500}"} if at + 500 < len(all_) else {})
+
+
+def _pulled(spark: SparkSession, sf: str, **options: str) -> DataFrame:
+    """What the service has of every user, and of a symbol for each user of an even number that it does not know."""
+    users = views.events(spark, sf).select("user_id").distinct()
+    names = users.select(F.col("user_id").cast("string").alias("t")).unionByName(users.where("user_id % 20 = 0").select(F.concat(F.lit("X"), "user_id").alias("t")))
+    tickers = ",".join(r[0] for r in names.orderBy("t").collect())  # the names of a request
+    spark.dataSource.register(BarSource)
+    got = spark.read.format("rest_bars").options(tickers=tickers, base=f"{sf}/events.parquet", transport=f"{__name__}:bar_service", errors="rows", **options).load()
+    return got.groupBy("ticker", "status").agg(F.count("datetime").alias("n"), F.min("datetime").cast("timestamp_ntz").alias("first"), F.round(F.sum("close"), 6).alias("total"))
+
+
+PULLED = """SELECT CAST(user_id AS VARCHAR) AS ticker, 'done' AS status, count(*) AS n, epoch_ms(CAST(round(epoch_us(min(ts)) / 1000) AS BIGINT)) AS first, round(sum(value), 6) AS total FROM events GROUP BY user_id
+    UNION ALL SELECT DISTINCT 'X' || user_id, 'invalid', 0, NULL, NULL FROM events WHERE user_id % 20 = 0"""
+
+
+@query(PULLED)
+def pulled_in_batches(spark: SparkSession, sf: str) -> DataFrame:
+    """A hundred symbols a request: refused ones are taken out, and the rest is asked for again."""
+    return _pulled(spark, sf, batch="100")
+
+
+@query(PULLED)
+def pulled_by_page(spark: SparkSession, sf: str) -> DataFrame:
+    """One symbol a request, page after page, over eight partitions."""
+    return _pulled(spark, sf)
+
+
+def customer_service(url: str, params: dict) -> tuple[int, list]:
+    """Objects of customers by key, from the table that ``url`` names."""
+    wanted = [int(i) for i in params["ids"].split(",")]
+    rows = pq.read_table(url, columns=["c_custkey", "c_name", "c_acctbal", "c_mktsegment"], filters=[("c_custkey", "in", wanted)]).to_pylist()
+    return 200, [
+        {"id": r["c_custkey"], "longName": r["c_name"] if r["c_custkey"] % 2 else "", "shortName": r["c_mktsegment"], "beta": "Infinity" if r["c_custkey"] % 3 == 0 else r["c_acctbal"], "marketCap": r["c_custkey"]}
+        for r in rows if r["c_custkey"] % 5
+    ]
+
+
+def _customer_blobs(spark: SparkSession, sf: str) -> DataFrame:
+    spark.dataSource.register(PageSource)
+    ids = ",".join(str(r[0]) for r in files.table(spark, sf, "customer").select("c_custkey").orderBy("c_custkey").collect())  # the names of a request
+    got = spark.read.format("rest_pages").options(ids=ids, base=f"{sf}/customer.parquet", transport=f"{__name__}:customer_service").load()
+    return got.select(F.col("id").alias("ticker"), "raw", F.lit("equities").alias("asset_class"))
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS ticker, CASE WHEN c_custkey % 5 > 0 AND c_custkey % 3 > 0 THEN c_acctbal END AS beta FROM customer")
+def weekly_fundamentals(spark: SparkSession, sf: str) -> DataFrame:
+    """The weekly fields of every customer's object, 250 ids a request; what is no finite number, or not known, is NULL."""
+    return screening.fundamentals(_customer_blobs(spark, sf), "equities", "weekly")
+
+
+@query("""SELECT CAST(c_custkey AS VARCHAR) AS ticker, 'equities' AS asset_class, CASE WHEN c_custkey % 2 = 1 THEN c_name ELSE c_mktsegment END AS name, CAST(c_custkey AS DOUBLE) AS market_cap
+    FROM customer WHERE c_custkey % 5 > 0""")
+def object_metadata(spark: SparkSession, sf: str) -> DataFrame:
+    """Normalised metadata of the same objects, those that the service knows."""
+    return screening.equity_metadata(_customer_blobs(spark, sf).where("raw is not null")).select("ticker", "asset_class", "name", "market_cap")
+
+
+# Tables as files, and strategies on a stream
+
+
+@query(f"{DAYS} SELECT date, CAST(n % 90 AS DOUBLE) AS bearish_pct, CAST(n % 100 AS DOUBLE) AS bullish_pct FROM d WHERE date >= (SELECT date_trunc('day', min(ts) + (max(ts) - min(ts)) / 2) FROM events)")
+def loaded_panels(spark: SparkSession, sf: str) -> DataFrame:
+    """A history table written sorted by its key, with a batch over it, and loaded by its name from the middle day on."""
+    out = shared_folder(spark, "panels")
+    rows, keys = panels.tables(panels.extract(captures(spark, sf)))["panel_sentiment"]
+    rows.limit(0).write.parquet(f"{out}/empty")
+    upsert.write_upsert(spark, f"{out}/empty", f"{out}/panel_sentiment", rows, keys, keys)
+    ts = F.col("ts").cast("timestamp")
+    middle = views.events(spark, sf).agg(F.date_trunc("day", F.timestamp_micros(((F.unix_micros(F.min(ts)) + F.unix_micros(F.max(ts))) / 2).cast("long"))).cast("timestamp_ntz").alias("at")).first()["at"]
+    return files.load(spark, out, "panel_sentiment", middle)
+
+
+@query("SELECT upper(n_name) || 'USDT' AS symbol, upper(n_name) AS base FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 9000)")
+def unmatched_file(spark: SparkSession, sf: str) -> DataFrame:
+    """Symbols without a coin, as a side file of JSON lines, read back."""
+    out, nations = shared_folder(spark, "side"), files.table(spark, sf, "nation").select("n_nationkey", F.upper("n_name").alias("base"))
+    coins = files.table(spark, sf, "supplier").where("s_acctbal > 9000").select(F.col("s_nationkey").alias("n_nationkey")).join(nations, "n_nationkey").select(F.lower("base").alias("symbol"))
+    files.write_side_file(screening.unmatched(nations.select(F.concat("base", F.lit("USDT")).alias("symbol"), "base"), coins), f"{out}/unmatched")
+    return spark.read.schema("symbol string, base string").json(f"{out}/unmatched")
+
+
+@query(POLLED)
+def polled_decisions(spark: SparkSession, sf: str) -> DataFrame:
+    """A strategy that is asked after each batch of a stream of daily bars: what it said after the last one. Held are the users of even numbers."""
+    out = shared_folder(spark, "polls")
+    held = VersionedTable(spark, f"{out}/bars", ["ticker", "datetime"], ["volume"], F.to_date("datetime"))
+    said = VersionedTable(spark, f"{out}/decisions", ["seq"], ["symbol"])
+    positions = views.events(spark, sf).where("user_id % 2 = 0").select(F.col("user_id").cast("string").alias("symbol")).distinct()
+    ask = live.run_strategy(decisions.sma_cross_strategy(3, 8), held.read, lambda: positions, said.replace)
+
+    def poll(batch: DataFrame, batch_id: int) -> None:
+        held.merge(batch.withColumn("ticker", F.col("ticker").cast("string")), batch_id)
+        ask(batch, batch_id)
+
+    made = live.stream_bars(_ticks(spark, sf), **EVENTS | {"ticker": "user_id"}, width="1 day")
+    made.writeStream.outputMode("update").option("checkpointLocation", f"{out}/log").trigger(availableNow=True).foreachBatch(poll).start().awaitTermination()
+    held.vacuum()
+    return said.read()

@@ -117,7 +117,7 @@ def picked_post(spark: SparkSession, sf: str) -> DataFrame:
 # Panels
 
 
-def _captures(spark: SparkSession, sf: str) -> DataFrame:
+def captures(spark: SparkSession, sf: str) -> DataFrame:
     """Three views of a panel for each day, with the day's number of events in them."""
     days = views.events(spark, sf).groupBy(F.date_trunc("day", "ts").alias("capture_ts")).agg(F.count(F.lit(1)).alias("n"))
     n = lambda k: (F.col("n") % k).cast("string")
@@ -135,24 +135,24 @@ DAYS = "WITH d AS (SELECT date_trunc('day', ts)::TIMESTAMP AS date, count(*) AS
 
 @query(f"{DAYS} SELECT date, CAST(n % 90 AS DOUBLE) AS bearish_pct, CAST(n % 100 AS DOUBLE) AS bullish_pct FROM d")
 def panel_sentiment(spark: SparkSession, sf: str) -> DataFrame:
-    return panels.tables(panels.extract(_captures(spark, sf)))["panel_sentiment"][0]
+    return panels.tables(panels.extract(captures(spark, sf)))["panel_sentiment"][0]
 
 
 @query(f"{DAYS} SELECT date, CAST(1 AS BIGINT) AS rank, 'NVDA' AS ticker, '24:2' AS split, 92E0 AS pct FROM d UNION ALL SELECT date, 2, 'AMD', '9:1', CAST(n % 7 AS DOUBLE) FROM d")
 def panel_most_bullish(spark: SparkSession, sf: str) -> DataFrame:
-    rows, _ = panels.tables(panels.extract(_captures(spark, sf)))["panel_sentiment_most_bullish"]
+    rows, _ = panels.tables(panels.extract(captures(spark, sf)))["panel_sentiment_most_bullish"]
     return rows.withColumn("rank", F.col("rank").cast("long"))
 
 
 @query(f"{DAYS} SELECT date, CAST(1 AS BIGINT) AS rank, 'ann' AS username, CAST(n % 50 AS DOUBLE) AS count FROM d UNION ALL SELECT date, 2, 'bob', 1500E0 FROM d")
 def panel_leaderboard(spark: SparkSession, sf: str) -> DataFrame:
-    rows, _ = panels.tables(panels.extract(_captures(spark, sf)))["panel_leaderboard"]
+    rows, _ = panels.tables(panels.extract(captures(spark, sf)))["panel_leaderboard"]
     return rows.withColumn("rank", F.col("rank").cast("long"))
 
 
 @query(f"{DAYS} SELECT date, CAST(1 AS BIGINT) AS rank, 'ann' AS username, CAST(n % 9 AS DOUBLE) AS streak_days FROM d")
 def panel_leaderboard_streaks(spark: SparkSession, sf: str) -> DataFrame:
-    rows, _ = panels.tables(panels.extract(_captures(spark, sf)))["panel_leaderboard_streaks"]
+    rows, _ = panels.tables(panels.extract(captures(spark, sf)))["panel_leaderboard_streaks"]
     return rows.withColumn("rank", F.col("rank").cast("long"))
 
 

@@ -13,12 +13,14 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from quillspark.operators.upsert import upsert
+from quillspark.operators.upsert import keep_last, upsert
 
 
 class VersionedTable:
@@ -102,11 +104,8 @@ class VersionedTable:
         batch.persist()
         try:
             touched = [r[0] for r in batch.select("_part").distinct().collect()]  # names of parts, not rows
-            old = self.read(now, touched) if now["parts"] else None
-            old = old.withColumn("_part", self.part) if old is not None else batch.limit(0)
             folder = f"data/{now['version'] + 1:08d}-{uuid.uuid4().hex}"
-            merged = upsert(old, batch, self.keys, self.order)
-            merged.write.partitionBy("_part").option("compression", "zstd").parquet(f"{self.root}/{folder}")
+            self._rewrite(now, touched, batch, f"{self.root}/{folder}")
             rows = batch.count()
         finally:
             batch.unpersist()
@@ -117,6 +116,13 @@ class VersionedTable:
         self._put(f"_versions/{manifest['version']:08d}.json", manifest)
         return manifest
 
+    def _rewrite(self, now: dict, touched: list[str], batch: DataFrame, path: str) -> None:
+        """The touched parts with the batch over them, in a new folder."""
+        old = self.read(now, touched) if now["parts"] else None
+        old = old.withColumn("_part", self.part) if old is not None else batch.limit(0)
+        merged = upsert(old, batch, self.keys, self.order)
+        merged.write.partitionBy("_part").option("compression", "zstd").parquet(path)
+
     def _unescaped(self, name: str) -> str:
         return self.spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName(name)
 
@@ -136,3 +142,59 @@ class VersionedTable:
             path, fs = self._path(name)
             fs.delete(path, True)
         return gone
+
+
+class BucketedTable(VersionedTable):
+    """A versioned table whose parts are the buckets of its keys, as Spark hashes them.
+
+    A batch rewrites only the buckets that its keys fall into, and only the batch is shuffled: Spark knows the history's buckets,
+    so the rows that stay are found by a join without an exchange on the history's side, and are written by the tasks that read them.
+    Keys are never null, and every batch has the columns of the first one; both are checked. A bucket has two files at most for each
+    version, as many rows as the keys that hash to it, whatever their dates: ``buckets`` is chosen by the table's size and kept.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, keys: list[str], order: list[str], buckets: int):
+        super().__init__(spark, root, keys, order, F.pmod(F.hash(*keys), F.lit(buckets)))
+        self.buckets = buckets
+
+    @contextmanager
+    def bucketed(self, manifest: dict | None = None, parts: list[str] | None = None) -> Iterator[DataFrame]:
+        """The table, or some parts of it, with its buckets known to Spark: joins and groupings by its keys do not shuffle it. For use within the block."""
+        manifest = manifest or self.manifest()
+        name, by = f"bucketed_{uuid.uuid4().hex}", ", ".join(f"`{k}`" for k in self.keys)
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in StructType.fromJson(manifest["schema"]))
+        self.spark.sql(f"CREATE TABLE {name} ({columns}, _part string) USING parquet PARTITIONED BY (_part) CLUSTERED BY ({by}) INTO {self.buckets} BUCKETS LOCATION '{self.root}/_none'")
+        try:
+            wanted = [f"PARTITION (_part = '{p}') LOCATION '{self.root}/{f}'" for p, f in sorted(manifest["parts"].items()) if parts is None or p in parts]
+            if wanted:
+                self.spark.sql(f"ALTER TABLE {name} ADD {' '.join(wanted)}")
+            yield self.spark.table(name).drop("_part")
+        finally:
+            self.spark.sql(f"DROP TABLE {name}")  # the files are not the table's own: they stay
+
+    def _write(self, batch: DataFrame, batch_id: int | str, whole: bool = False, facts: dict | None = None) -> dict:
+        now = self.manifest()
+        if now is not None and not whole:
+            schema = StructType.fromJson(now["schema"])
+            if sorted(batch.columns) != sorted(schema.names):
+                raise ValueError(f"columns {batch.columns}, not {schema.names}")
+            batch = batch.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in schema))  # a key of another type would hash to another bucket
+        return super()._write(batch, batch_id, whole, facts)
+
+    def _rewrite(self, now: dict, touched: list[str], batch: DataFrame, path: str) -> None:
+        for k in self.keys:
+            if not batch.where(F.col(k).isNull()).isEmpty():
+                raise ValueError(f"a null {k}")
+        new = keep_last(batch.repartition(self.buckets, *self.keys), self.keys, self.order)
+        if not now["parts"]:
+            self._save(new, path)
+            return
+        with self.bucketed(now, touched) as old:
+            stays = old.join(new.select(*self.keys), self.keys, "left_anti").withColumn("_part", self.part)
+            self._save(stays.unionByName(new), path)
+
+    def _save(self, rows: DataFrame, path: str) -> None:
+        name = f"bucketed_{uuid.uuid4().hex}"
+        writer = rows.write.format("parquet").option("path", path).option("compression", "zstd")
+        writer.partitionBy("_part").bucketBy(self.buckets, *self.keys).sortBy(*self.keys).saveAsTable(name)
+        self.spark.sql(f"DROP TABLE {name}")

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspark.operators.bars import bars
-from quillspark.sources.versions import VersionedTable
+from quillspark.sources.versions import BucketedTable, VersionedTable
 from quillspark.streaming import live, stateful
 
 SF = "/root/testdata/sf0.001"
@@ -71,6 +71,51 @@ def test_odd_parts_and_empty_batches(spark, tmp_path):
     assert [m["batch"] for m in table.versions()] == [0, 1, 2]
 
 
+def test_buckets_meet_a_batch_unshuffled(spark, tmp_path, monkeypatch):
+    """Only the buckets of a batch's keys are rewritten, and no exchange stands over the history's scan."""
+    table = BucketedTable(spark, str(tmp_path), ["ticker", "minute"], ["seq"], 8)
+    rows = lambda n, seq: spark.range(n).selectExpr("cast(id % 50 AS string) AS ticker", "cast(id AS int) AS minute", f"{seq} AS seq")
+    table.merge(rows(1000, 0), 0)
+    first, plans = table.manifest(), []
+    real = BucketedTable._save
+    monkeypatch.setattr(BucketedTable, "_save", lambda self, df, path: (plans.append(df._jdf.queryExecution().executedPlan().toString()), real(self, df, path)))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # a batch of any size
+    try:
+        table.merge(rows(2, 1).unionByName(rows(1, 2)).withColumn("minute", F.col("minute").cast("long")), 1)  # a repeated key, and a wider type
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    second = table.manifest()
+    changed = {p for p in second["parts"] if second["parts"][p] != first["parts"][p]}
+    assert len(first["parts"]) == 8 and 1 <= len(changed) <= 2
+    got = {(r.ticker, r.minute): r.seq for r in table.read().collect()}
+    assert table.read().count() == len(got) == 1000
+    assert {k: v for k, v in got.items() if v} == {("0", 0): 2, ("1", 1): 1}
+    history = next(i for i, line in enumerate(plans[0].split("\n")) if "Bucketed: true" in line)
+    lines = plans[0].split("\n")
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    over = [depth(lines[history])]
+    for line in reversed(lines[:history]):  # the operators that stand over the scan
+        if depth(line) < over[-1]:
+            over.append(depth(line))
+            assert "Exchange" not in line
+    with table.bucketed() as held:
+        assert "Exchange" not in held.groupBy("ticker", "minute").count()._jdf.queryExecution().executedPlan().toString()
+    table.vacuum()
+    assert table.read().count() == 1000 and not [t for t in spark.catalog.listTables() if t.name.startswith("bucketed_")]
+
+
+def test_buckets_refuse_null_keys_and_other_columns(spark, tmp_path):
+    table = BucketedTable(spark, str(tmp_path), ["k"], ["v"], 4)
+    table.merge(spark.createDataFrame([], "k int, v int"), 0)
+    assert table.read().count() == 0
+    table.merge(spark.createDataFrame([(1, 1), (1, 2)], "k int, v int"), 1)
+    with pytest.raises(ValueError):
+        table.merge(spark.createDataFrame([(None, 1)], "k int, v int"), 2)
+    with pytest.raises(ValueError):
+        table.merge(spark.createDataFrame([(1, 1, 1)], "k int, v int, w int"), 2)
+    assert [tuple(r) for r in table.read().collect()] == [(1, 2)] and [r["batch"] for r in table.ledger()] == [0, 1]
+
+
 def test_stream_goes_on_from_history(spark, tmp_path):
     """A stream over the second half of the events, seeded with bars of the first half, gives the bars of all events, in many batches and across a restart."""
     ev = spark.read.parquet(f"{SF}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
