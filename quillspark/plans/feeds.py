@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
-from datetime import datetime
+from datetime import datetime, timedelta
 
 import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
@@ -145,21 +145,21 @@ class EventLog:
     """The events as the numbered messages of a push service (see ``push``): a book and a bar for each event, of which a task reads its own range."""
 
     def __init__(self, options: dict[str, str]):
-        self.file = pq.ParquetFile(options["path"])
+        self.path = options["path"]
 
     def first(self) -> int:
         return 0
 
     def end(self) -> int:
-        return 2 * self.file.metadata.num_rows
+        return 2 * pq.read_metadata(self.path).num_rows
 
     def fetch(self, start: int, end: int) -> Iterator[tuple[int, str, str, str]]:
-        at = 0
-        for group in range(self.file.num_row_groups):
-            n = 2 * self.file.metadata.row_group(group).num_rows
+        at, file = 0, pq.ParquetFile(self.path)
+        for group in range(file.num_row_groups):
+            n = 2 * file.metadata.row_group(group).num_rows
             if at < end and at + n > start:
                 low, high = max(start - at, 0), min(end - at, n)
-                rows = self.file.read_row_group(group, ["event_id", "ts", "user_id", "event_type", "value"]).slice(low // 2, (high + 1) // 2 - low // 2)
+                rows = file.read_row_group(group, ["event_id", "ts", "user_id", "event_type", "value"]).slice(low // 2, (high + 1) // 2 - low // 2)
                 for i, r in enumerate(rows.to_pylist(), at // 2 + low // 2):
                     price, when = r["value"], r["ts"].isoformat(" ")
                     book = {"ts": when, "bids": [{"price": price, "size": r["event_id"]}], "asks": [{"price": price + 1, "size": 1}]}
@@ -172,8 +172,19 @@ class EventLog:
         """The table keeps all its messages."""
 
 
+def _register(spark: SparkSession, source: type) -> None:
+    """Register a source in this session, whichever is the active one: Spark looks for others of its name in the active one."""
+    sessions, active = spark._jvm.org.apache.spark.sql.classic.SparkSession, SparkSession.getActiveSession()
+    sessions.setActiveSession(spark._jsparkSession)
+    try:
+        spark.dataSource.register(source)
+    finally:
+        if active is not None:
+            sessions.setActiveSession(active._jsparkSession)
+
+
 def _pushes(spark: SparkSession, sf: str) -> DataFrame:
-    spark.dataSource.register(push.PushSource)
+    _register(spark, push.PushSource)
     return spark.readStream.format("push_log").option("transport", f"{__name__}:EventLog").option("path", f"{sf}/events.parquet").load()
 
 
@@ -191,7 +202,7 @@ def published_bars(spark: SparkSession, sf: str) -> DataFrame:
     """Bars that a service pushes, published as messages by ticker, and the messages of all batches read back."""
     out = shared_folder(spark, "messages")
     pushes = _pushes(spark, sf)
-    spark.dataSource.register(push.MessageSink)
+    _register(spark, push.MessageSink)
     messages = live.publish(push.pushed_bars(pushes).drop("number"))
     _drained(messages.writeStream.format("message_log").option("folder", f"{out}/log").option("checkpointLocation", f"{out}/state"))
     bar = F.from_json("value", "datetime timestamp, close double, volume double")
@@ -209,7 +220,8 @@ def watched_books(spark: SparkSession, sf: str) -> DataFrame:
     drops = live.read_files(own, f"{out}/drops", "code string, ts timestamp")
     held = VersionedTable(spark, f"{out}/books", ["code"], ["ts"])
     made = stateful.hold_books(books, drops, every="1 hour").where("not repeated")
-    _drained(made.writeStream.outputMode("update").option("checkpointLocation", f"{out}/state").foreachBatch(held.merge))
+    # one batch of what there is now: a stream with timers never runs out of batches
+    made.writeStream.outputMode("update").option("checkpointLocation", f"{out}/state").trigger(once=True).foreachBatch(held.merge).start().awaitTermination()
     left = held.read().join(spark.read.parquet(f"{out}/drops"), "code", "left_anti")
     held.vacuum()
     level = F.get("bids", F.lit(0))
@@ -228,7 +240,7 @@ def bar_service(url: str, params: dict) -> tuple[int, dict]:
     rows = pq.read_table(path, columns=["user_id", "ts", "value"], filters=[("user_id", "in", [int(s) for s in symbols])]).to_pylist()
     found: dict[str, list] = {}
     for r in sorted(rows, key=lambda r: r["ts"]):
-        t = round((r["ts"] - datetime(1970, 1, 1)).total_seconds() * 1000)
+        t = (r["ts"] - datetime(1970, 1, 1)) // timedelta(milliseconds=1)
         found.setdefault(str(r["user_id"]), []).append({"t": t, **dict.fromkeys("ohlc", r["value"]), "v": 1})
     if not single:
         return 200, {"bars": found}
@@ -241,12 +253,12 @@ def _pulled(spark: SparkSession, sf: str, **options: str) -> DataFrame:
     users = views.events(spark, sf).select("user_id").distinct()
     names = users.select(F.col("user_id").cast("string").alias("t")).unionByName(users.where("user_id % 20 = 0").select(F.concat(F.lit("X"), "user_id").alias("t")))
     tickers = ",".join(r[0] for r in names.orderBy("t").collect())  # the names of a request
-    spark.dataSource.register(BarSource)
+    _register(spark, BarSource)
     got = spark.read.format("rest_bars").options(tickers=tickers, base=f"{sf}/events.parquet", transport=f"{__name__}:bar_service", errors="rows", **options).load()
     return got.groupBy("ticker", "status").agg(F.count("datetime").alias("n"), F.min("datetime").cast("timestamp_ntz").alias("first"), F.round(F.sum("close"), 6).alias("total"))
 
 
-PULLED = """SELECT CAST(user_id AS VARCHAR) AS ticker, 'done' AS status, count(*) AS n, epoch_ms(CAST(round(epoch_us(min(ts)) / 1000) AS BIGINT)) AS first, round(sum(value), 6) AS total FROM events GROUP BY user_id
+PULLED = """SELECT CAST(user_id AS VARCHAR) AS ticker, 'done' AS status, count(*) AS n, epoch_ms(epoch_us(min(ts)) // 1000) AS first, round(sum(value), 6) AS total FROM events GROUP BY user_id
     UNION ALL SELECT DISTINCT 'X' || user_id, 'invalid', 0, NULL, NULL FROM events WHERE user_id % 20 = 0"""
 
 
@@ -273,7 +285,7 @@ def customer_service(url: str, params: dict) -> tuple[int, list]:
 
 
 def _customer_blobs(spark: SparkSession, sf: str) -> DataFrame:
-    spark.dataSource.register(PageSource)
+    _register(spark, PageSource)
     ids = ",".join(str(r[0]) for r in files.table(spark, sf, "customer").select("c_custkey").orderBy("c_custkey").collect())  # the names of a request
     got = spark.read.format("rest_pages").options(ids=ids, base=f"{sf}/customer.parquet", transport=f"{__name__}:customer_service").load()
     return got.select(F.col("id").alias("ticker"), "raw", F.lit("equities").alias("asset_class"))

@@ -55,8 +55,9 @@ def upsert_batches(existing: Callable[[], DataFrame | None], save: Callable[[Dat
 
 
 def publish(batch: DataFrame) -> DataFrame:
-    """Rows as a message sink takes them: key is the ticker, value the bar as JSON."""
-    return batch.select(F.col("ticker").alias("key"), F.to_json(F.struct("*")).alias("value"))
+    """Rows as a message sink takes them: key is the ticker, value the bar as JSON, times to the microsecond."""
+    times = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+    return batch.select(F.col("ticker").alias("key"), F.to_json(F.struct("*"), times).alias("value"))
 
 
 def run_strategy(strategy: Strategy, bars: Callable[[], DataFrame], positions: Callable[[], DataFrame], emit: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
