@@ -55,9 +55,15 @@ def ticker_groups(items: Column, columns: int) -> Column:
 
 
 def movers(strip: Column) -> Column:
-    """Ticker groups of three, the first of each ticker."""
-    rows = ticker_groups(strip, 3)
-    return F.filter(rows, lambda r, i: F.array_position(F.transform(rows, lambda x: x["ticker"]), r["ticker"]) == i + 1)
+    """Ticker groups of three, the first of each ticker.
+
+    Groups are sorted by ticker and place, those that follow one of their ticker go, and the rest goes back in order of place.
+    """
+    placed = F.array_sort(F.transform(ticker_groups(strip, 3), lambda r, i: F.struct(r["ticker"].alias("ticker"), i.alias("at"), r.alias("row"))))
+    before = F.concat(F.array(F.lit(None).cast("string")), F.transform(placed, lambda r: r["ticker"]))
+    # the list of tickers is one longer than the groups: the last pair has no group
+    firsts = F.zip_with(placed, before, lambda r, last: F.when(r["ticker"].isNotNull() & ~r["ticker"].eqNullSafe(last), F.struct(r["at"].alias("at"), r["row"].alias("row"))))
+    return F.transform(F.array_sort(F.filter(firsts, lambda r: r.isNotNull())), lambda r: r["row"])
 
 
 def sentiment_state(items: Column) -> Column:

@@ -35,7 +35,7 @@ def write_upsert(spark, path_old: str, path_new: str, incoming: DataFrame, keys:
 def touched_partitions(existing: DataFrame, incoming: DataFrame, keys: list[str], batch_order: list[str], partition: str) -> DataFrame:
     """The merged rows of those partitions only that ``incoming`` touches, for a dynamic partition overwrite."""
     parts = incoming.select(partition).distinct()
-    return upsert(existing.join(F.broadcast(parts), partition, "left_semi"), incoming, keys, batch_order)
+    return upsert(existing.join(parts, partition, "left_semi"), incoming, keys, batch_order)
 
 
 def snapshot_replace(existing: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:

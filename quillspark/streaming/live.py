@@ -70,5 +70,5 @@ def run_strategy(strategy: Strategy, bars: Callable[[], DataFrame], positions: C
 
 
 def subscriptions(batch: DataFrame, watchlist: DataFrame) -> DataFrame:
-    """The rows of watched tickers, by exact name; the list is read anew for each batch."""
-    return batch.join(F.broadcast(watchlist), "ticker", "left_semi")
+    """The rows of watched tickers, by exact name; the list is read anew for each batch, and broadcast if Spark finds it small."""
+    return batch.join(watchlist, "ticker", "left_semi")

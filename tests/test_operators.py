@@ -165,6 +165,15 @@ def test_sections(spark):
     assert got[4]["blocks"] == {"SENTIMENT": ["b"]}
 
 
+def test_movers_keep_the_first_of_a_ticker(spark):
+    """In order of place, however often tickers repeat."""
+    for names in (["B", "A", "B", "C", "A"], [], ["A"] * 4, [f"T{i * 7 % 11}" for i in range(60)]):
+        rows = [(n, float(i)) for i, n in enumerate(names)]
+        lines = [x for n, v in rows for x in (n, str(v), "+1%")]
+        got = spark.createDataFrame([(lines,)], "l array<string>").select(panels.movers(F.col("l")).alias("m")).first()["m"]
+        assert [(r["ticker"], r["price"]) for r in got] == [(n, v) for i, (n, v) in enumerate(rows) if n not in names[:i]]
+
+
 @pytest.mark.parametrize("swap", [False, True])
 def test_sentiment(spark, swap):
     base, alt = ["62% Bull", "NVDA", "24:2", "92%"], ["38% Bear", "TSLA", "1:9", "90%"]
