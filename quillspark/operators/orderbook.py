@@ -40,13 +40,14 @@ def book_levels(books: DataFrame) -> DataFrame:
 
 def bucketed(levels: Column, n: int = LEVELS) -> Column:
     """``bucket_levels`` of one side within its row: array<struct<level, price, size>> of array<struct<price, size>>."""
-    prices = F.transform(levels, lambda x: x["price"])
-    low, high = F.array_min(prices), F.array_max(prices)
-    width = F.when(high > low, (high - low) / n).otherwise(1.0)
+    once = lambda value, use: F.transform(F.array(value), use)[0]  # noqa: E731  (evaluated once for a side, not again for each of its levels)
     row = lambda level, price, size: F.struct(level.cast("int").alias("level"), price.cast("double").alias("price"), size.cast("double").alias("size"))
-    place = lambda x: F.least(F.floor((x["price"] - low) / width), F.lit(n - 1))
-    total = lambda i: F.aggregate(levels, F.lit(0.0), lambda sum_, x: sum_ + F.when(place(x) == i, x["size"]).otherwise(0.0))
-    bins = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: row(i, low + (i + 0.5) * width, total(i)))
+    prices = F.transform(levels, lambda x: x["price"])
+    ends = F.struct(F.array_min(prices).alias("low"), F.array_max(prices).alias("high"))
+    span = lambda e: F.struct(e["low"].alias("low"), F.when(e["high"] > e["low"], (e["high"] - e["low"]) / n).otherwise(1.0).alias("width"))
+    placed = lambda s: F.transform(levels, lambda x: F.struct(F.least(F.floor((x["price"] - s["low"]) / s["width"]), F.lit(n - 1)).alias("level"), x["size"].alias("size")))
+    total = lambda p, i: F.aggregate(p, F.lit(0.0), lambda sum_, x: sum_ + F.when(x["level"] == i, x["size"]).otherwise(0.0))
+    bins = once(once(ends, span), lambda s: once(placed(s), lambda p: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: row(i, s["low"] + (i + 0.5) * s["width"], total(p, i)))))
     return F.when(F.size(levels) <= n, F.transform(levels, lambda x, i: row(i, x["price"], x["size"]))).when(F.size(levels) > n, bins)
 
 

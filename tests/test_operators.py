@@ -348,3 +348,19 @@ def test_snapshots_within_rows(spark):
     want = orderbook.bucket_levels(orderbook.book_levels(books), ["ts", "code", "side"]).select("ts", "code", "side", "level", "price", "size")
     rows = lambda df: sorted((*r[:4], round(r[4], 9), round(r[5], 9)) for r in df.collect())
     assert rows(got) == rows(want)
+
+
+def test_snapshots_of_deep_books(spark):
+    """A side's ends are found once, not again for each of its levels: 20,000 levels within a minute."""
+    import threading
+
+    level = "array<struct<price: double, size: double>>"
+    side = F.transform(F.sequence(F.lit(0), F.lit(19_999)), lambda i: F.struct((i * 7 % 20_000).cast("double").alias("price"), F.lit(1.0).alias("size"))).cast(level)
+    books = spark.range(1).select(F.timestamp_seconds("id").alias("ts"), F.lit("US.A").alias("code"), side.alias("bids"), F.lit(None).cast(level).alias("asks")).repartition(1)
+    late = threading.Timer(60, spark.sparkContext.cancelAllJobs)
+    late.start()
+    try:
+        got = orderbook.snapshots(books).orderBy("level").collect()
+    finally:
+        late.cancel()
+    assert [r["size"] for r in got] == [2000.0] * 10 and got[0]["price"] == pytest.approx(999.95)
