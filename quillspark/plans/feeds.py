@@ -97,7 +97,7 @@ def backfill_run(spark: SparkSession, sf: str) -> DataFrame:
         return made.select(*pulls.BARS, F.lit("done").alias("status"), F.lit(None).cast("string").alias("error")).unionByName(down.withColumns({"status": F.lit("error"), "error": F.lit("timeout")}), allowMissingColumns=True)
 
     for _ in range(2):
-        pulls.backfill(ev.select("ticker"), held, ledger, read, F.lit("2024-02-01").cast("timestamp"), every=1000)
+        pulls.backfill(ev.select("ticker"), held, ledger, read, F.lit("2024-02-01").cast("timestamp"), every=1000, growth=2)
     return ledger.read().select("ticker", "status", "n_bars", F.col("first").cast("timestamp_ntz").alias("first"), F.col("last").cast("timestamp_ntz").alias("last"), "error")
 
 

@@ -41,10 +41,12 @@ def ledger_of(rows: DataFrame, now: Column) -> DataFrame:
     return found.withColumn("fetched_at", now)
 
 
-def backfill(tickers: DataFrame, bars: VersionedTable, ledger: VersionedTable, read: Read, now: Column, *, every: int = 25, force: bool = False) -> int:
-    """Bars of all tickers that are not done, ``every`` of them at a time: their bars are durable before their ledger rows. Returns the number of chunks.
+def backfill(tickers: DataFrame, bars: VersionedTable, ledger: VersionedTable, read: Read, now: Column, *, every: int = 25, force: bool = False, growth: int = 1) -> int:
+    """Bars of all tickers that are not done, in chunks of ``every``: their bars are durable before their ledger rows. Returns the number of chunks.
 
     Failed tickers do not touch the others; they and those never tried are pending when this is called again.
+    A round takes one chunk, or ``growth`` times as many as the round before: with 2 or more the number of rounds grows with the logarithm of the
+    tickers, and all rounds together rewrite a bounded multiple of the bars. A call that ends anywhere loses the round that it was in.
     """
     known = ledger.read()
     pending = tickers.select("ticker").distinct()
@@ -54,10 +56,12 @@ def backfill(tickers: DataFrame, bars: VersionedTable, ledger: VersionedTable, r
     last = chunks.agg(F.max("batch")).first()[0]
     if last is None:
         return 0
-    for i in range(int(last) + 1):
-        got = settled(read(chunks.where(F.col("batch") == i).select("ticker")))
+    start, size = 0, 1
+    while start <= last:
+        got = settled(read(chunks.where((F.col("batch") >= start) & (F.col("batch") < start + size)).select("ticker")))
         bars.merge(got.where("datetime is not null").select(BARS), uuid.uuid4().hex)
         ledger.merge(ledger_of(got, now), uuid.uuid4().hex)
+        start, size = start + size, size * growth
     return int(last) + 1
 
 

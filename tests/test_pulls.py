@@ -64,6 +64,26 @@ def test_backfill_killed_between_bars_and_ledger(spark, tmp_path):
     assert status_of(ledger) == {"A": ("done", 2), "B": ("done", 2)} and bars.read().count() == 4
 
 
+def test_backfill_in_growing_rounds(spark, tmp_path):
+    """Seven chunks in three rounds, each ticker asked for once; a call that ends in the third goes on from there."""
+    bars, ledger = tables(spark, tmp_path)
+    tickers = spark.createDataFrame([(f"T{i:02d}",) for i in range(14)], "ticker string")
+    one, asked = pulls.rest_read(spark, base="up", transport="tests.test_pulls:batches", batch="2", backoff="0"), []
+
+    def read(chunk):
+        asked.append(sorted(r[0] for r in chunk.collect()))
+        if len(asked) == 3:
+            raise KeyboardInterrupt
+        return one(chunk)
+
+    with pytest.raises(KeyboardInterrupt):
+        pulls.backfill(tickers, bars, ledger, read, now(), every=2, growth=2)
+    assert [len(a) for a in asked] == [2, 4, 8] and len(status_of(ledger)) == 6 and bars.read().count() == 12
+    assert pulls.backfill(tickers, bars, ledger, read, now(), every=2, growth=2) == 4
+    assert [len(a) for a in asked[3:]] == [2, 4, 2] and sorted(sum(asked[3:], [])) == asked[2]
+    assert status_of(ledger) == {f"T{i:02d}": ("done", 2) for i in range(14)} and bars.read().count() == 28
+
+
 def test_history(spark, tmp_path):
     bars, _ = tables(spark, tmp_path)
     asked = []
