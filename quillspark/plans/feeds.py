@@ -5,8 +5,12 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 from datetime import datetime, timedelta
+from functools import lru_cache
 
+import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.parquet as pq
+from pyarrow.fs import FileSelector, FileSystem
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,7 +21,7 @@ from quillspark.plans import views
 from quillspark.plans.catalog import DAILY, HOURLY, POLLED, query
 from quillspark.plans.records import DAYS, captures
 from quillspark.sources import calendars, files, pulls
-from quillspark.sources.rest import BarSource, PageSource
+from quillspark.sources.rest import BarSource, PageSource, write_names
 from quillspark.sources.shared import shared_folder
 from quillspark.sources.versions import BucketedTable, VersionedTable
 from quillspark.streaming import live, push, stateful
@@ -228,8 +232,52 @@ def watched_books(spark: SparkSession, sf: str) -> DataFrame:
     return left.select("code", F.col("ts").cast("timestamp_ntz").alias("ts"), level["price"].alias("bid"), level["size"].alias("size"))
 
 
+SHELF = 1000  # keys to a folder of what a service holds
+
+
+def _shelved(rows: DataFrame, key: str, folder: str) -> str:
+    """What a service holds, by key: a folder for each ``SHELF`` keys, sorted, in small row groups, so that a request reads about its own rows and not the table."""
+    shelf = F.floor(F.col(key) / SHELF)
+    rows.withColumn("shelf", shelf).repartitionByRange(key).sortWithinPartitions("shelf", key).write.partitionBy("shelf").option("parquet.block.size", 1 << 18).parquet(folder)
+    return folder
+
+
+@lru_cache(maxsize=64)
+def _spans(folder: str, shelf: int, key: str) -> list[tuple[str, int, int, int]]:
+    """(path, row group, least key, greatest key) of a shelf."""
+    store, root = FileSystem.from_uri(folder)
+    found = []
+    for file in store.get_file_info(FileSelector(f"{root}/shelf={shelf}", allow_not_found=True)):
+        if file.path.endswith(".parquet"):
+            about = pq.read_metadata(file.path, filesystem=store)
+            at = about.schema.names.index(key)
+            ends = [about.row_group(g).column(at).statistics for g in range(about.num_row_groups)]
+            found += [(file.path, g, e.min, e.max) for g, e in enumerate(ends)]
+    return found
+
+
+@lru_cache(maxsize=16)
+def _group(folder: str, path: str, group: int) -> pa.Table:
+    with FileSystem.from_uri(folder)[0].open_input_file(path) as f:
+        return pq.ParquetFile(f).read_row_group(group, use_threads=False)
+
+
+def _held(folder: str, key: str, wanted: list[int]) -> pa.Table | None:
+    """The rows of some keys, or None. The last few row groups are kept, as requests for neighbours follow each other."""
+    shelves: dict[int, list[int]] = {}
+    for i in wanted:
+        shelves.setdefault(i // SHELF, []).append(i)
+    found = []
+    for shelf, ids in shelves.items():
+        for path, group, least, greatest in _spans(folder, shelf, key):
+            if any(least <= i <= greatest for i in ids):
+                rows = _group(folder, path, group)
+                found.append(rows.filter(pc.is_in(rows[key], value_set=pa.array(ids, pa.int64()))))
+    return pa.concat_tables(found) if found else None
+
+
 def bar_service(url: str, params: dict) -> tuple[int, dict]:
-    """Bars of users, one for each event, from the events table: ``url`` names it. Symbols that start with X are refused by name; a symbol alone comes in pages of 500."""
+    """Bars of users, one for each event, from the shelved events: ``url`` names them. Symbols that start with X are refused by name; a symbol alone comes in pages of 500."""
     base, _, rest = url.partition("?")
     single = "symbols" not in params
     path, symbol = base.rsplit("/", 1) if single else (base, None)
@@ -237,24 +285,26 @@ def bar_service(url: str, params: dict) -> tuple[int, dict]:
     bad = next((s for s in symbols if s.startswith("X")), None)
     if bad:
         return 400, {"message": f"invalid symbol: {bad}"}
-    rows = pq.read_table(path, columns=["user_id", "ts", "value"], filters=[("user_id", "in", [int(s) for s in symbols])]).to_pylist()
+    held, at = _held(path, "user_id", [int(s) for s in symbols]), int(rest or 0)
+    n = held.num_rows if held else 0
     found: dict[str, list] = {}
-    for r in sorted(rows, key=lambda r: r["ts"]):
+    rows = held.sort_by("ts").slice(at, 500 if single else None).to_pylist() if held else []
+    for r in rows:
         t = (r["ts"] - datetime(1970, 1, 1)) // timedelta(milliseconds=1)
         found.setdefault(str(r["user_id"]), []).append({"t": t, **dict.fromkeys("ohlc", r["value"]), "v": 1})
     if not single:
         return 200, {"bars": found}
-    at, all_ = int(rest or 0), found.get(symbol, [])
-    return 200, {"results": all_[at : at + 500]} | ({"next_url": f"{base}?{at + 500}"} if at + 500 < len(all_) else {})
+    return 200, {"results": found.get(symbol, [])} | ({"next_url": f"{base}?{at + 500}"} if at + 500 < n else {})
 
 
 def _pulled(spark: SparkSession, sf: str, **options: str) -> DataFrame:
     """What the service has of every user, and of a symbol for each user of an even number that it does not know."""
-    users = views.events(spark, sf).select("user_id").distinct()
+    out, ev = shared_folder(spark, "service"), views.events(spark, sf)
+    users = ev.select("user_id").distinct()
     names = users.select(F.col("user_id").cast("string").alias("t")).unionByName(users.where("user_id % 20 = 0").select(F.concat(F.lit("X"), "user_id").alias("t")))
-    tickers = ",".join(r[0] for r in names.orderBy("t").collect())  # the names of a request
+    base, tickers = _shelved(ev.select("user_id", "ts", "value"), "user_id", f"{out}/bars"), write_names(names, f"{out}/names", 8)
     _register(spark, BarSource)
-    got = spark.read.format("rest_bars").options(tickers=tickers, base=f"{sf}/events.parquet", transport=f"{__name__}:bar_service", errors="rows", **options).load()
+    got = spark.read.format("rest_bars").options(names_at=tickers, base=base, transport=f"{__name__}:bar_service", errors="rows", **options).load()
     return got.groupBy("ticker", "status").agg(F.count("datetime").alias("n"), F.min("datetime").cast("timestamp_ntz").alias("first"), F.round(F.sum("close"), 6).alias("total"))
 
 
@@ -275,19 +325,22 @@ def pulled_by_page(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def customer_service(url: str, params: dict) -> tuple[int, list]:
-    """Objects of customers by key, from the table that ``url`` names."""
+    """Objects of customers by key, from the shelved table that ``url`` names."""
     wanted = [int(i) for i in params["ids"].split(",")]
-    rows = pq.read_table(url, columns=["c_custkey", "c_name", "c_acctbal", "c_mktsegment"], filters=[("c_custkey", "in", wanted)]).to_pylist()
+    held = _held(url, "c_custkey", wanted)
     return 200, [
         {"id": r["c_custkey"], "longName": r["c_name"] if r["c_custkey"] % 2 else "", "shortName": r["c_mktsegment"], "beta": "Infinity" if r["c_custkey"] % 3 == 0 else r["c_acctbal"], "marketCap": r["c_custkey"]}
-        for r in rows if r["c_custkey"] % 5
+        for r in (held.to_pylist() if held else []) if r["c_custkey"] % 5
     ]
 
 
 def _customer_blobs(spark: SparkSession, sf: str) -> DataFrame:
     _register(spark, PageSource)
-    ids = ",".join(str(r[0]) for r in files.table(spark, sf, "customer").select("c_custkey").orderBy("c_custkey").collect())  # the names of a request
-    got = spark.read.format("rest_pages").options(ids=ids, base=f"{sf}/customer.parquet", transport=f"{__name__}:customer_service").load()
+    out, customers = shared_folder(spark, "service"), files.table(spark, sf, "customer").select("c_custkey", "c_name", "c_acctbal", "c_mktsegment")
+    base = _shelved(customers, "c_custkey", f"{out}/objects")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ids = write_names(customers.select(F.col("c_custkey").cast("string").alias("id"), "c_custkey"), f"{out}/names", parts, "c_custkey")
+    got = spark.read.format("rest_pages").options(names_at=ids, base=base, transport=f"{__name__}:customer_service").load()
     return got.select(F.col("id").alias("ticker"), "raw", F.lit("equities").alias("asset_class"))
 
 

@@ -13,6 +13,9 @@ which is what the backfill ledger needs.
 With ``batch`` set, one request asks for so many tickers (parameter ``symbols``, answer ``bars`` by symbol, ``next_page_token`` to go on). A symbol
 that an error names is taken out and the rest is asked for again; a refused batch whose error names none is cut in halves until
 the refused symbols stand alone.
+
+Long lists of names do not go through the driver: ``write_names`` puts them into files, one for each partition, and the option ``names_at`` (for
+``tickers`` or ``ids``) has the tasks read their own file, name after name. Its folder must be mounted by the driver and all executors.
 """
 
 from __future__ import annotations
@@ -23,7 +26,11 @@ import re
 import time
 from collections.abc import Iterator
 from datetime import UTC, datetime, timedelta
+from itertools import batched
 
+import pyarrow.parquet as pq
+from pyarrow.fs import FileSelector, FileSystem
+from pyspark.sql import DataFrame
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from quillspark.functions.text import CLASS_SHARE, INVALID_SYMBOL
@@ -32,10 +39,49 @@ EPOCH = datetime(1970, 1, 1, tzinfo=UTC)
 
 
 class TickerPartition(InputPartition):
-    def __init__(self, tickers: list[str]):
+    """Names, or the file that holds them."""
+
+    def __init__(self, tickers: list[str] | str):
         super().__init__(tickers)
 
 
+def write_names(names: DataFrame, path: str, partitions: int, order: str | None = None) -> str:
+    """The first column of ``names`` (text) for ``names_at``: a file for each of ``partitions`` ranges of ``order`` (by default of the names), in order."""
+    name = names.columns[0]
+    by = order or name
+    names.repartitionByRange(partitions, by).sortWithinPartitions(by).select(name).write.parquet(path)
+    return path
+
+
+class NamesReader(DataSourceReader):
+    """A reader of names that an option lists or files hold; its partitions are made once."""
+
+    def __init__(self, options: dict[str, str], listed: str):
+        self.options = {k: v for k, v in options.items() if k != listed}
+        if "names_at" in options:
+            store, path = FileSystem.from_uri(options["names_at"])
+            dealt = sorted(f.path for f in store.get_file_info(FileSelector(path)) if f.path.endswith(".parquet"))
+        else:
+            dealt = self.deal([n for n in options[listed].split(",") if n])
+        self.dealt = [TickerPartition(d) for d in dealt] or [TickerPartition([])]
+        self.pause = 60 * len(self.dealt) / float(options.get("per_minute", "inf"))
+
+    def deal(self, names: list[str]) -> list[list[str]]:
+        raise NotImplementedError
+
+    def partitions(self) -> list[InputPartition]:
+        return self.dealt
+
+    def names(self, partition: InputPartition) -> Iterator[str]:
+        if not isinstance(partition.value, str):
+            yield from partition.value
+            return
+        store, _ = FileSystem.from_uri(self.options["names_at"])
+        with store.open_input_file(partition.value) as f:
+            for rows in pq.ParquetFile(f).iter_batches():
+                yield from rows.column(0).to_pylist()
+
+
 def provider_symbol(ticker: str) -> str:
     return re.sub(CLASS_SHARE, r"\1.\2", ticker)
 
@@ -45,30 +91,23 @@ def invalid_symbol(message: str) -> str | None:
     return found[1] if found else None
 
 
-class BarReader(DataSourceReader):
+class BarReader(NamesReader):
     def __init__(self, options: dict[str, str]):
-        self.options = options
-        self.tickers = [t for t in options["tickers"].split(",") if t]
-        self.batch = int(options.get("batch", "0"))
+        self.batch, self.parallel = int(options.get("batch", "0")), int(options.get("parallel", "8"))
         self.always = json.loads(options.get("always", "{}"))
+        super().__init__(options, "tickers")
 
-    def partitions(self) -> list[InputPartition]:
-        units = -(-len(self.tickers) // self.batch) if self.batch else len(self.tickers)
-        n = min(units, int(self.options.get("parallel", "8")))
-        if self.batch:  # whole batches, so that no request is split
-            groups = [self.tickers[i : i + self.batch] for i in range(0, len(self.tickers), self.batch)]
-            return [TickerPartition([t for g in groups[i::n] for t in g]) for i in range(n)] or [TickerPartition([])]
-        return [TickerPartition(self.tickers[i::n]) for i in range(n)] or [TickerPartition([])]
+    def deal(self, names: list[str]) -> list[list[str]]:
+        """To ``parallel`` partitions; whole batches, so that no request is split."""
+        groups = [names[i : i + (self.batch or 1)] for i in range(0, len(names), self.batch or 1)]
+        n = min(len(groups), self.parallel)
+        return [[t for g in groups[i::n] for t in g] for i in range(n)]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         rows = self.options.get("errors") == "rows"
-        if not partition.value:
-            return
         module, _, name = self.options["transport"].partition(":")
         get = getattr(importlib.import_module(module), name)
-        size = self.batch or 1
-        for i in range(0, len(partition.value), size):
-            group = partition.value[i : i + size]
+        for group in map(list, batched(self.names(partition), self.batch or 1)):
             for ticker, bars, status, error in self._batch(get, group) if self.batch else self._single(get, group[0]):
                 if status == "error" and not rows:
                     raise RuntimeError(f"{ticker}: {error}")
@@ -78,8 +117,7 @@ class BarReader(DataSourceReader):
                     yield ticker, *[None] * 6, status, error
 
     def _get(self, get, url: str, params: dict) -> tuple[int, dict]:
-        pause = 60 * len(self.partitions()) / float(self.options.get("per_minute", "inf"))
-        return _answer(get, url, params | self.always, pause, int(self.options.get("retries", "5")), float(self.options.get("backoff", "15")), float(self.options.get("max_backoff", "60")))
+        return _answer(get, url, params | self.always, self.pause, int(self.options.get("retries", "5")), float(self.options.get("backoff", "15")), float(self.options.get("max_backoff", "60")))
 
     def _single(self, get, ticker: str) -> Iterator[tuple]:
         """(ticker, bars, status, error) of one ticker: all its pages, or why not."""
@@ -166,34 +204,31 @@ class BarSource(DataSource):
         return BarReader(dict(self.options))
 
 
-class PageReader(DataSourceReader):
+class PageReader(NamesReader):
     def __init__(self, options: dict[str, str]):
-        self.options = options
-        self.ids = [i for i in options["ids"].split(",") if i]
+        self.size = int(options.get("per_page", "250"))
+        super().__init__(options, "ids")
 
-    def partitions(self) -> list[InputPartition]:
-        size = int(self.options.get("per_page", "250"))
-        return [TickerPartition(self.ids[i : i + size]) for i in range(0, len(self.ids), size)] or [TickerPartition([])]
+    def deal(self, names: list[str]) -> list[list[str]]:
+        return [names[i : i + self.size] for i in range(0, len(names), self.size)]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        if not partition.value:
-            return
         module, _, name = self.options["transport"].partition(":")
         get, key = getattr(importlib.import_module(module), name), self.options.get("key", "id")
-        pause = 60 * len(self.partitions()) / float(self.options.get("per_minute", "inf"))
-        params = {"ids": ",".join(partition.value)} | json.loads(self.options.get("always", "{}"))
-        try:
-            status, data = _answer(get, self.options["base"], params, pause, int(self.options.get("retries", "4")), float(self.options.get("backoff", "0.5")), float(self.options.get("max_backoff", "60")), 2.0)
-            found = {str(r.get(key)): r for r in data} if status < 400 else {}
-            error = None if status < 400 else f"{status}"
-        except Exception as e:
-            found, error = {}, str(e)
-        for i in partition.value:
-            yield i, json.dumps(found[i]) if i in found else None, error
+        for group in batched(self.names(partition), self.size):
+            params = {"ids": ",".join(group)} | json.loads(self.options.get("always", "{}"))
+            try:
+                status, data = _answer(get, self.options["base"], params, self.pause, int(self.options.get("retries", "4")), float(self.options.get("backoff", "0.5")), float(self.options.get("max_backoff", "60")), 2.0)
+                found = {str(r.get(key)): r for r in data} if status < 400 else {}
+                error = None if status < 400 else f"{status}"
+            except Exception as e:
+                found, error = {}, str(e)
+            for i in group:
+                yield i, json.dumps(found[i]) if i in found else None, error
 
 
 class PageSource(DataSource):
-    """``spark.read.format("rest_pages")``: objects by id, ``per_page`` ids to a request and task (options ids, base, transport, key). Rows (id, raw, error): raw is null for an id that the service does not know."""
+    """``spark.read.format("rest_pages")``: objects by id, ``per_page`` ids to a request (options ids, base, transport, key); a task makes one request, or those of its file of names. Rows (id, raw, error): raw is null for an id that the service does not know."""
 
     @classmethod
     def name(cls) -> str:

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from quillspark.operators import health, report
 from quillspark.sources import pulls
-from quillspark.sources.rest import PageSource
+from quillspark.plans import feeds
+from quillspark.sources.rest import BarReader, BarSource, PageReader, PageSource, write_names
 from quillspark.sources.versions import VersionedTable
 
 def now():
@@ -134,6 +135,41 @@ def test_read_through(spark, tmp_path):
     assert {r.id: r.error for r in bad.collect()} == {"a": None, "b": None, "broken": "404"}
 
 
+def test_names_in_files(spark, tmp_path):
+    """Names that tasks read from files: the same rows as a list in an option, and no name in what the driver plans."""
+    spark.dataSource.register(PageSource)
+    spark.dataSource.register(BarSource)
+    ids = [f"coin{i}" for i in range(40)] + ["unknown"]
+    at = write_names(spark.createDataFrame([(i,) for i in ids], "id string"), str(tmp_path / "names"), 3)
+    shared = dict(transport="tests.test_pulls:pages", base=str(tmp_path / "calls"), per_page="4")
+    rows = lambda **o: sorted(map(tuple, spark.read.format("rest_pages").options(**shared, **o).load().collect()), key=str)
+    assert rows(names_at=at) == rows(ids=",".join(ids)) and len(rows(names_at=f"file://{at}")) == 41
+    reader = PageReader(dict(names_at=at, **shared))
+    assert 1 < len(reader.partitions()) <= 3 and "coin" not in str([p.value for p in reader.partitions()])
+    bars = spark.read.format("rest_bars").options(transport="tests.test_pulls:batches", base="up", batch="5", errors="rows", names_at=at).load()
+    assert sorted((r.ticker, r.n) for r in bars.groupBy("ticker").agg(F.count("datetime").alias("n")).collect()) == sorted((i, 2) for i in ids)
+
+
+def test_pauses_of_all_partitions(spark):
+    """The share of a call is settled once, not by dealing all names out again for each request."""
+    reader = BarReader(dict(tickers=",".join("abcd"), per_minute="60", parallel="4", transport="tests.test_pulls:batches", base="up"))
+    assert reader.pause == 4
+    reader.deal = None
+    assert len(reader.partitions()) == 4 and PageReader(dict(ids="a,b,c", per_page="1", per_minute="60")).pause == 3
+
+
+def test_services_read_their_own_rows(spark, tmp_path, monkeypatch):
+    """A request reads the row groups of its keys, not the table."""
+    rows = spark.range(200_000).select((F.col("id") % 2500).alias("user_id"), F.timestamp_seconds("id").cast("timestamp_ntz").alias("ts"), F.lit(1.0).alias("value"))
+    held, read = feeds._shelved(rows, "user_id", str(tmp_path / "bars")), []
+    real = feeds._group.__wrapped__
+    monkeypatch.setattr(feeds, "_group", lambda *a: read.append(real(*a)) or read[-1])
+    status, data = feeds.bar_service(f"{held}/1700", {})
+    assert status == 200 and len(data["results"]) == 80 and "next_url" not in data and [r["t"] for r in data["results"]] == sorted(r["t"] for r in data["results"])
+    assert 80 <= sum(t.num_rows for t in read) <= 40_000
+    assert {k: len(v) for k, v in feeds.bar_service(held, {"symbols": "999,1000,2499,2500"})[1]["bars"].items()} == {"999": 80, "1000": 80, "2499": 80}
+
+
 def test_report(spark):
     tickers = spark.createDataFrame([(f"<T{i}>", "cryptos") for i in range(30)] + [("E", "equities")], "ticker string, asset_class string")
     days = spark.sql("select a asset_class, date '2024-01-01' date, 10 expected_minutes from values ('cryptos'), ('equities') t(a)")
