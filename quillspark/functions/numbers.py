@@ -14,6 +14,12 @@ def finite(c: Column) -> Column:
     return F.when(~F.isnan(c) & ~c.isin(float("inf"), float("-inf")), c)
 
 
+def ratio(over: Column, under: Column) -> Column:
+    """Division of doubles as floating-point numbers have it: by zero infinite, zero by zero NaN."""
+    by_zero = F.when(over > 0, float("inf")).when(over < 0, float("-inf")).when(over == 0, float("nan"))
+    return F.when(under == 0, F.when(F.isnan(over), over).otherwise(by_zero)).otherwise(F.try_divide(over, under))
+
+
 def completeness(actual: Column, expected: Column) -> Column:
     """The share that is there, 1 at most; NULL where nothing is expected."""
     share = F.try_divide(actual.cast("double"), expected.cast("double"))

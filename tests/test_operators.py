@@ -364,3 +364,13 @@ def test_snapshots_of_deep_books(spark):
     finally:
         late.cancel()
     assert [r["size"] for r in got] == [2000.0] * 10 and got[0]["price"] == pytest.approx(999.95)
+
+
+def test_ratio(spark):
+    """Division by zero as in IEEE 754."""
+    from quillspark.functions.numbers import ratio
+
+    nan, inf = float("nan"), float("inf")
+    rows = [(1.0, 0.0, inf), (-1.0, 0.0, -inf), (0.0, 0.0, nan), (nan, 0.0, nan), (3.0, 2.0, 1.5), (None, 0.0, None), (1.0, None, None)]
+    got = spark.createDataFrame(rows, "a double, b double, want double").select(ratio(F.col("a"), F.col("b")).alias("r"), "want").collect()
+    assert all(repr(r[0]) == repr(r[1]) for r in got)

@@ -40,3 +40,22 @@ def test_query_matches_sql(spark, duck, name):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.fixture(scope="module")
+def zero_closes(tmp_path_factory):
+    """Six days of 60 users: some closes that a return is taken over, and some last ones, are zero, of held users too."""
+    root = tmp_path_factory.mktemp("zeros")
+    duckdb.connect().execute(f"""COPY (SELECT u * 6 + d AS event_id, TIMESTAMP '2024-01-01' + to_days(CAST(d AS INTEGER)) + to_seconds(u) AS ts, u AS user_id, 'view' AS event_type,
+        CASE WHEN d = 1 AND u % 7 = 3 OR d = 5 AND u % 11 = 5 AND u % 7 <> 3 THEN 0E0 ELSE 1E0 + (u * 37 + d * 11) % 101 END AS value, '{{"k": 1}}' AS props FROM range(60) a(u), range(6) b(d)) TO '{root}/events.parquet'""")
+    return str(root)
+
+
+@pytest.mark.parametrize("name", ["momentum_targets", "rebalance_decisions", "order_sizing"])
+def test_closes_of_zero(spark, zero_closes, name):
+    """A return over a close of zero is infinite, and ranks first, as in the SQL (and in pandas)."""
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{zero_closes}/events.parquet'")
+    df = catalog.QUERIES[name](spark, zero_closes)
+    want = con.sql(catalog.ORACLE_SQL[name])
+    assert canonical(df.collect(), df.columns) == canonical(want.fetchall(), want.columns)
