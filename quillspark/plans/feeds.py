@@ -162,14 +162,18 @@ class EventLog:
         for group in range(file.num_row_groups):
             n = 2 * file.metadata.row_group(group).num_rows
             if at < end and at + n > start:
-                low, high = max(start - at, 0), min(end - at, n)
-                rows = file.read_row_group(group, ["event_id", "ts", "user_id", "event_type", "value"]).slice(low // 2, (high + 1) // 2 - low // 2)
-                for i, r in enumerate(rows.to_pylist(), at // 2 + low // 2):
-                    price, when = r["value"], r["ts"].isoformat(" ")
-                    book = {"ts": when, "bids": [{"price": price, "size": r["event_id"]}], "asks": [{"price": price + 1, "size": 1}]}
-                    bar = {"datetime": when, "open": price, "high": price, "low": price, "close": price, "volume": r["event_id"]}
-                    both = (2 * i, str(r["user_id"]), "book", json.dumps(book)), (2 * i + 1, r["event_type"], "bar", json.dumps(bar))
-                    yield from (m for m in both if start <= m[0] < end)
+                first = at // 2
+                for batch in file.iter_batches(1 << 14, [group], ["event_id", "ts", "user_id", "event_type", "value"]):
+                    low, high = max(start // 2 - first, 0), min((end + 1) // 2 - first, batch.num_rows)
+                    for i, r in enumerate(batch.slice(low, high - low).to_pylist() if low < high else [], first + low):
+                        price, when = r["value"], r["ts"].isoformat(" ")
+                        book = {"ts": when, "bids": [{"price": price, "size": r["event_id"]}], "asks": [{"price": price + 1, "size": 1}]}
+                        bar = {"datetime": when, "open": price, "high": price, "low": price, "close": price, "volume": r["event_id"]}
+                        both = (2 * i, str(r["user_id"]), "book", json.dumps(book)), (2 * i + 1, r["event_type"], "bar", json.dumps(bar))
+                        yield from (m for m in both if start <= m[0] < end)
+                    first += batch.num_rows
+                    if 2 * first >= end:
+                        break
             at += n
 
     def acknowledge(self, end: int) -> None:
@@ -189,7 +193,8 @@ def _register(spark: SparkSession, source: type) -> None:
 
 def _pushes(spark: SparkSession, sf: str) -> DataFrame:
     _register(spark, push.PushSource)
-    return spark.readStream.format("push_log").option("transport", f"{__name__}:EventLog").option("path", f"{sf}/events.parquet").load()
+    # a task decodes the row group of its range from the start, and its shuffle writes a block for each partition: few large ranges
+    return spark.readStream.format("push_log").option("transport", f"{__name__}:EventLog").option("path", f"{sf}/events.parquet").option("per_partition", "100000").load()
 
 
 def _drained(writer) -> None:

@@ -6,10 +6,12 @@ of Python and of this library.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
+from datetime import datetime, timedelta, timezone
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -86,7 +88,7 @@ def seeded_bars(ticks: DataFrame, history: DataFrame, *, ticker: str, ts: str, p
 
 
 class _Books(StatefulProcessor):
-    """The last book of one code, repeated by a timer until a drop row ends it."""
+    """The last book of one code, repeated by a timer until a drop row ends it. Rows (at, book, dropped) have microseconds and JSON, which is parsed for the newest book alone."""
 
     def __init__(self, every_ms: int, ttl_ms: int | None):
         self.every_ms, self.ttl_ms = every_ms, ttl_ms
@@ -96,61 +98,80 @@ class _Books(StatefulProcessor):
         side = "array<struct<price: double, size: double>>"
         self.book = handle.getValueState("book", f"at timestamp, bids {side}, asks {side}", self.ttl_ms)
 
-    def _row(self, key, repeated: bool) -> pd.DataFrame:
-        at, bids, asks = self.book.get()
-        return pd.DataFrame({"code": [key[0]], "ts": [at], "bids": [_levels(bids)], "asks": [_levels(asks)], "repeated": [repeated]})
-
-    def _next(self, timerValues) -> None:
+    def _cancel(self) -> None:
         for t in list(self.handle.listTimers()):
             self.handle.deleteTimer(t[0] if isinstance(t, tuple) else t)
+
+    def _repeat(self, timerValues) -> None:
         self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.every_ms)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         newest, dropped = None, None
-        for pdf in rows:
-            off = pdf.loc[pdf["dropped"], "ts"]
-            if len(off) and (dropped is None or off.max() > dropped):
-                dropped = off.max()
-            books = pdf.loc[~pdf["dropped"]]
-            if len(books):
-                last = books.loc[books["ts"].idxmax()]
-                if newest is None or last["ts"] >= newest["ts"]:
-                    newest = last
-        if self.book.exists():
-            at = pd.Timestamp(self.book.get()[0])
-            if dropped is not None and dropped >= at:
+        for code, at, book, off in rows:
+            if at is None:
+                continue
+            if off:
+                dropped = at if dropped is None else max(dropped, at)
+            elif newest is None or (at, book) > newest:
+                newest = at, book
+        # each call on state is a message to the JVM: a code that comes for the first time needs few of them
+        timed = holds = self.book.exists()
+        if holds:
+            held = _micros(self.book.get()[0])
+            if dropped is not None and dropped >= held:
                 self.book.clear()
-            elif newest is not None and newest["ts"] < at:
+                holds = False
+            elif newest is not None and newest[0] < held:
                 newest = None
-        if newest is not None and (dropped is None or newest["ts"] > dropped):
-            self.book.update((newest["ts"].to_pydatetime(), _levels(newest["bids"]), _levels(newest["asks"])))
-            self._next(timerValues)
-            yield self._row(key, False)
-        elif not self.book.exists():
-            for t in list(self.handle.listTimers()):
-                self.handle.deleteTimer(t[0] if isinstance(t, tuple) else t)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        fresh = newest is not None and (dropped is None or newest[0] > dropped)
+        if (fresh or not holds) and (timed or self.ttl_ms is not None):  # a book that its ttl ended leaves its timer
+            self._cancel()
+        if fresh:
+            sides = json.loads(newest[1])
+            held = (EPOCH + timedelta(microseconds=newest[0]), _levels(sides.get("bids")), _levels(sides.get("asks")))
+            self.book.update(held)
+            self._repeat(timerValues)
+            yield _row(key, held, False)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         if self.book.exists():
-            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.every_ms)
-            yield self._row(key, True)
+            self._repeat(timerValues)
+            yield _row(key, self.book.get(), True)
 
     def close(self) -> None:
         pass
 
 
-def _levels(side) -> list[tuple[float, float]]:
-    return [] if side is None else [(float(x["price"]), float(x["size"])) if not isinstance(x, tuple) else (float(x[0]), float(x[1])) for x in side]
+EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
+
+
+def _micros(at: datetime) -> int:
+    return (at.astimezone(timezone.utc) - EPOCH) // timedelta(microseconds=1)
+
+
+def _levels(side) -> list[tuple[float | None, float | None]]:
+    """(price, size) of the levels of a parsed side; JSON writes numbers that are not finite as strings."""
+    number = lambda x: None if x is None else float(x)
+    return [(number(x.get("price")), number(x.get("size"))) for x in ((y or {}) for y in side or [])]
+
+
+def _row(key, held, repeated: bool) -> Row:
+    at, bids, asks = held
+    side = lambda levels: [Row(price=x[0], size=x[1]) for x in levels]
+    return Row(code=key[0], ts=at.astimezone(timezone.utc), bids=side(bids), asks=side(asks), repeated=repeated)
 
 
 def hold_books(books: DataFrame, drops: DataFrame, every: str = "1 second", ttl: str | None = None) -> DataFrame:
     """The last book of each code (code, ts, bids, asks), again at every interval without a new one, until a row of ``drops`` (code, ts) takes the code off.
 
     A drop removes the state of its code at once: nothing is emitted for it until a later book comes. ``ttl`` removes the state of codes that fell silent.
+    Of books of one time the greatest by their JSON is taken; rows without a time are passed over.
     """
     side = "array<struct<price: double, size: double>>"
-    rows = books.select("code", "ts", F.col("bids").cast(side).alias("bids"), F.col("asks").cast(side).alias("asks"), F.lit(False).alias("dropped"))
-    off = drops.select("code", "ts", F.lit(None).cast(side).alias("bids"), F.lit(None).cast(side).alias("asks"), F.lit(True).alias("dropped"))
+    at = F.unix_micros(F.col("ts").cast("timestamp")).alias("at")
+    book = F.to_json(F.struct(F.col("bids").cast(side).alias("bids"), F.col("asks").cast(side).alias("asks"))).alias("book")
+    rows = books.select("code", at, book, F.lit(False).alias("dropped"))
+    off = drops.select("code", at, F.lit(None).cast("string").alias("book"), F.lit(True).alias("dropped"))
     ms = lambda t: None if t is None else int(pd.Timedelta(t).total_seconds() * 1000)
     out = f"code string, ts timestamp, bids {side}, asks {side}, repeated boolean"
-    return rows.unionByName(off).groupBy("code").transformWithStateInPandas(_Books(ms(every), ms(ttl)), out, "Update", "ProcessingTime")
+    return rows.unionByName(off).groupBy("code").transformWithState(_Books(ms(every), ms(ttl)), out, "Update", "ProcessingTime")

@@ -3,10 +3,13 @@
 import json
 import os
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
+from quillspark.plans import feeds
 from quillspark.streaming import push
 
 
@@ -107,3 +110,32 @@ def test_books(spark):
     rows = spark.createDataFrame([(0, "A", "book", json.dumps(book("A", 9.0)["body"])), (1, "A", "bar", "{}"), (2, "B", "book", "no json")], "number long, ticker string, kind string, body string")
     got = push.pushed_books(rows).orderBy("code").collect()
     assert [(r.code, r.ts and r.ts.hour, r.bids and r.bids[0].price) for r in got] == [("A", 10, 9.0), ("B", None, None)]
+
+
+def test_event_log_reads_its_range(spark, tmp_path, monkeypatch):
+    """A range of messages is read from its row groups up to its end, not as whole row groups; any two ranges that meet give what one gives."""
+    ev = pq.read_table("/root/testdata/sf0.01/events.parquet").slice(0, 50_000)
+    path = str(tmp_path / "events.parquet")
+    pq.write_table(pa.concat_tables([ev] * 8), path, row_group_size=60_000)
+    log, read = feeds.EventLog({"path": path}), []
+
+    class Counted(pq.ParquetFile):
+        def iter_batches(self, *args, **options):
+            for batch in super().iter_batches(*args, **options):
+                read.append(batch.num_rows)
+                yield batch
+
+        def read_row_group(self, *args, **options):
+            read.append((found := super().read_row_group(*args, **options)).num_rows)
+            return found
+
+    monkeypatch.setattr(feeds.pq, "ParquetFile", Counted)
+    n = log.end()
+    assert n == 16 * ev.num_rows
+    whole = list(log.fetch(0, n))
+    assert [m[0] for m in whole] == list(range(n)) and sum(read) == n // 2
+    for start, end in ((0, 1), (1, 2), (3, 3), (119_999, 120_003), (32_767, 32_769), (100_001, 140_000), (n - 1, n)):
+        assert list(log.fetch(start, end)) == whole[start:end]
+    read.clear()
+    list(log.fetch(0, 1000))
+    assert sum(read) <= 20_000

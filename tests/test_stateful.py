@@ -1,8 +1,10 @@
 """Versioned tables, seeded streams and held books."""
 
+import json
 import time
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from quillspark.operators.bars import bars
@@ -174,3 +176,77 @@ def test_books_held_until_dropped(spark, tmp_path):
     finally:
         query.stop()
     assert ("A", 3.0, False) in {s[1:] for s in seen} and ("A", 2.0, False) not in {s[1:] for s in seen}
+
+
+class Handle:
+    """State of one code, that counts the messages to it."""
+
+    def __init__(self):
+        self.value, self.timers, self.sent = None, [], 0
+
+    def getValueState(self, name, schema, ttl):
+        return self
+
+    def _sent(self, answer=None):
+        self.sent += 1
+        return answer
+
+    def exists(self):
+        return self._sent(self.value is not None)
+
+    def get(self):
+        return self._sent(self.value)
+
+    def update(self, value):
+        self.value = self._sent(value)
+
+    def clear(self):
+        self.value = self._sent()
+
+    def listTimers(self):
+        return self._sent(iter(list(self.timers)))
+
+    def registerTimer(self, at):
+        self._sent(self.timers.append(at))
+
+    def deleteTimer(self, at):
+        self._sent(self.timers.remove(at))
+
+    def getCurrentProcessingTimeInMs(self):
+        return 5000
+
+
+def test_a_new_book_needs_few_messages(monkeypatch):
+    """Rows are told apart without parsing them, and the state of a code that comes for the first time hears three messages, whatever the number of rows."""
+    row, parsed, loads = Row("code", "at", "book", "dropped"), [], json.loads
+    monkeypatch.setattr(json, "loads", lambda text: parsed.append(text) or loads(text))
+    book = lambda at, price: row("A", at, json.dumps({"bids": [{"price": price, "size": "NaN"}]}), False)
+
+    def given(handle, *rows, ttl=None):
+        books = stateful._Books(1000, ttl)
+        books.init(handle)
+        return [(r.ts.timestamp(), r.bids[0].price) for r in books.handleInputRows(("A",), iter(rows), handle)]
+
+    new = Handle()
+    assert given(new, *(book(i * 10**6, i + 1.0) for i in range(50)), book(10**6, 99.0)) == [(49.0, 50.0)]
+    assert new.sent == 3 and len(parsed) == 1 and new.timers == [6000]
+    assert given(new, book(48 * 10**6, 1.0)) == [] and given(new, book(50 * 10**6, 7.0), row("A", 49 * 10**6, None, True)) == [(50.0, 7.0)] and new.timers == [6000]
+    assert given(new, row("A", 60 * 10**6, None, True), book(55 * 10**6, 8.0)) == [] and new.value is None and new.timers == []
+    ended = Handle()
+    ended.timers = [5500]  # the book of this timer was ended by its ttl
+    assert given(ended, book(10**6, 2.0), ttl=60_000) == [(1.0, 2.0)] and ended.timers == [6000]
+
+
+def test_books_without_a_time(spark, tmp_path):
+    """A pushed book that did not parse does not end the stream; numbers that are not finite, empty and missing sides stay what they are."""
+    own = stateful.state_session(spark)
+    side = "array<struct<price: double, size: double>>"
+    level = lambda p: f"array(named_struct('price', double('{p}'), 'size', 0.1D))"
+    at = "timestamp '2024-01-01 10:00:00.123456'"
+    spark.sql(f"select 'A' code, cast(null as timestamp) ts, cast(null as {side}) bids, cast(null as {side}) asks union all select 'B', null, null, null union all select 'B', {at}, {level('inf')}, null union all select 'C', {at}, {level('nan')}, array()").write.parquet(str(tmp_path / "books"))
+    spark.sql(f"select 'C' code, {at} - interval 1 second ts union all select 'D', null").write.parquet(str(tmp_path / "drops"))
+    read = lambda kind, schema: own.readStream.schema(schema).parquet(str(tmp_path / kind))
+    held = stateful.hold_books(read("books", f"code string, ts timestamp, bids {side}, asks {side}"), read("drops", "code string, ts timestamp"), every="1 hour")
+    seen = []
+    held.writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "log")).trigger(once=True).foreachBatch(lambda df, i: seen.extend(df.selectExpr("code", "unix_micros(ts) at", "bids", "asks").collect())).start().awaitTermination()
+    assert sorted((r.code, r.at, str(r.bids[0].price), r.bids[0].size, r.asks) for r in seen) == [("B", 1704103200123456, "inf", 0.1, []), ("C", 1704103200123456, "nan", 0.1, [])]
