@@ -223,12 +223,15 @@ class PageReader(NamesReader):
                 error = None if status < 400 else f"{status}"
             except Exception as e:
                 found, error = {}, str(e)
+            if error is not None and self.options.get("errors") == "raise":
+                raise RuntimeError(f"{group[0]} to {group[-1]}: {error}")
             for i in group:
                 yield i, json.dumps(found[i]) if i in found else None, error
 
 
 class PageSource(DataSource):
-    """``spark.read.format("rest_pages")``: objects by id, ``per_page`` ids to a request (options ids, base, transport, key); a task makes one request, or those of its file of names. Rows (id, raw, error): raw is null for an id that the service does not know."""
+    """``spark.read.format("rest_pages")``: objects by id, ``per_page`` ids to a request (options ids, base, transport, key); a task makes one request, or those of its file of names. Rows (id, raw, error): raw is null for an id that the service does not know,
+    and for those of a request that failed, whose error says why. With ``errors`` set to ``raise`` a failed request ends the read instead; what does not keep ``error`` needs this."""
 
     @classmethod
     def name(cls) -> str:

@@ -1,13 +1,15 @@
 """Backfills that go on where they ended, incremental histories, reads behind a staleness rule, the report."""
 
 import json
+from pathlib import Path
 
 import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from quillspark.operators import health, report
 from quillspark.sources import pulls
-from quillspark.plans import feeds
+from quillspark.plans import catalog, feeds
 from quillspark.sources.rest import BarReader, BarSource, PageReader, PageSource, write_names
 from quillspark.sources.versions import VersionedTable
 
@@ -170,6 +172,31 @@ def test_services_read_their_own_rows(spark, tmp_path, monkeypatch):
     assert {k: len(v) for k, v in feeds.bar_service(held, {"symbols": "999,1000,2499,2500"})[1]["bars"].items()} == {"999": 80, "1000": 80, "2499": 80}
 
 
+def test_failed_pages_end_the_read(spark, tmp_path):
+    spark.dataSource.register(PageSource)
+    read = lambda ids: spark.read.format("rest_pages").options(base=str(tmp_path / "calls"), transport="tests.test_pulls:pages", ids=ids, per_page="2", errors="raise").load()
+    assert {r.id: r.raw is None for r in read("a,b,unknown").collect()} == {"a": False, "b": False, "unknown": True}
+    with pytest.raises(PySparkException, match="broken to c: 404"):
+        read("a,b,broken,c").collect()
+
+
+@pytest.mark.parametrize("fault", ["garbled", "lost"])
+@pytest.mark.parametrize("name", ["object_metadata"])
+def test_faults_of_a_service_are_no_results(spark, monkeypatch, name, fault):
+    """Objects that a service cannot read, or has lost, end the query and are not taken for unknown ones."""
+    shelved = feeds._shelved
+
+    def faulty(rows, key, folder):
+        if fault == "garbled":
+            for path in Path(shelved(rows, key, folder)).rglob("part-*.parquet"):
+                path.write_bytes(b"PAR0" * 100)
+        return folder
+
+    monkeypatch.setattr(feeds, "_shelved", faulty)
+    with pytest.raises(PySparkException, match="not in" if fault == "lost" else "[Pp]arquet"):
+        catalog.QUERIES[name](spark, "/root/testdata/sf0.001").collect()
+
+
 def test_report(spark):
     tickers = spark.createDataFrame([(f"<T{i}>", "cryptos") for i in range(30)] + [("E", "equities")], "ticker string, asset_class string")
     days = spark.sql("select a asset_class, date '2024-01-01' date, 10 expected_minutes from values ('cryptos'), ('equities') t(a)")
