@@ -181,7 +181,7 @@ def test_failed_pages_end_the_read(spark, tmp_path):
 
 
 @pytest.mark.parametrize("fault", ["garbled", "lost"])
-@pytest.mark.parametrize("name", ["object_metadata"])
+@pytest.mark.parametrize("name", ["object_metadata", "weekly_fundamentals"])
 def test_faults_of_a_service_are_no_results(spark, monkeypatch, name, fault):
     """Objects that a service cannot read, or has lost, end the query and are not taken for unknown ones."""
     shelved = feeds._shelved
